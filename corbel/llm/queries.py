@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, quality, simhash
-from .common import id_remainder, table
+from . import decontaminate, language, mixing, ppm, quality, simhash, tokenfile, warc
+from .common import id_remainder, shared_folder, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,14 +35,37 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), (id_remainder(F.col("id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of documents under a byte model and under word counts of six in seven ids."""
+    docs = table(spark, sf_dir, "documents")
+    rows = ppm.scores(docs, docs.where(id_remainder(F.col("doc_id"), 7) != 2))
+    return rows.select(F.col("id").alias("doc_id"), (id_remainder(F.col("id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to WARC archives and read back."""
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.index(spark, path)
+
+
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mixture of sources 5:2:1 takes of each document."""
     rows = mixing.mixture(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of documents, written to coded files and read back."""
+    import public_tokenizers
+
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    tokenfile.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return tokenfile.read(spark, path, summary=True)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_language, op5_decontaminate, op6_quality, op9_mixture)}
+    return {f.__name__: f for f in (op1_simhash, op2_language, op5_decontaminate, op6_quality, op7_ppm, op8_warc, op9_mixture, op10_token_file)}
 
 
 def oracle_sql() -> dict[str, str]:
