@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, ppm, quality, simhash, tokenfile, warc
+from . import decontaminate, language, linededup, mixing, ppm, quality, simhash, tokenfile, warc
 from .common import id_remainder, shared_folder, table
 
 
@@ -24,6 +24,33 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), (id_remainder(F.col("id"), 4) == 2).alias("held_out"), "lang_pred", "family_pred", "score")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines that are equal to or one edit from an earlier line."""
+    rows = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_kept", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
+OP4_SQL = """
+WITH l AS (
+  SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(13)) AS t, line
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
+), f AS (
+  SELECT t, min(doc_id * 4294967296 + pos) AS place, length(t) AS n FROM l WHERE t <> '' GROUP BY t
+), h AS (
+  SELECT DISTINCT t, place, n, half FROM (
+    SELECT t, place, n, 'first' || left(t, (n + d) // 2) AS half FROM f, (VALUES (-1), (0), (1)) AS v(d) WHERE n >= 20
+    UNION ALL SELECT t, place, n, 'last' || right(t, (n + d) // 2) FROM f, (VALUES (-1), (0), (1)) AS v(d) WHERE n >= 20)
+), near AS (
+  SELECT DISTINCT a.t FROM h a JOIN h b ON a.half = b.half AND b.place < a.place AND abs(a.n - b.n) <= 1 WHERE levenshtein(a.t, b.t) <= 1
+), k AS (
+  SELECT l.doc_id, l.pos, l.line, l.t = '' OR (l.doc_id * 4294967296 + l.pos = f.place AND near.t IS NULL) AS kept
+  FROM l LEFT JOIN f ON l.t = f.t LEFT JOIN near ON l.t = near.t
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (kept) AS n_kept, md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (kept), '')) AS kept_md5
+FROM k GROUP BY doc_id
+"""
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside windows of 13 words of a benchmark item."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -65,8 +92,8 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_language, op5_decontaminate, op6_quality, op7_ppm, op8_warc, op9_mixture, op10_token_file)}
+    return {f.__name__: f for f in (op1_simhash, op2_language, op4_line_dedup, op5_decontaminate, op6_quality, op7_ppm, op8_warc, op9_mixture, op10_token_file)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": OP4_SQL}
