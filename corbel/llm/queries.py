@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, linededup, mixing, ppm, quality, simhash, tokenfile, warc
+from . import decontaminate, language, linededup, mixing, ppm, quality, search, simhash, tokenfile, warc
 from .common import id_remainder, shared_folder, table
 
 
@@ -24,6 +24,27 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), (id_remainder(F.col("id"), 4) == 2).alias("held_out"), "lang_pred", "family_pred", "score")
 
 
+def op3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that match each document of an id divisible by 100 best."""
+    docs = table(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.where("doc_id % 100 = 0")).withColumn("score", F.round("score", 6))
+
+
+OP3_SQL = """
+WITH w AS (
+  SELECT doc_id, unnest(string_split(trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), ' ')) AS term FROM documents
+), t AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term <> '' GROUP BY ALL),
+s AS (SELECT d.doc_id, coalesce(l.n, 0) AS n FROM documents d LEFT JOIN (SELECT doc_id, sum(tf) AS n FROM t GROUP BY 1) l USING (doc_id)),
+g AS (SELECT count(*) AS docs, sum(n) / count(*) AS mean FROM s),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
+r AS (
+  SELECT q.doc_id AS query_id, t.doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * t.tf * 2.2 / (t.tf + 1.2 * (1 - 0.75 + 0.75 * s.n / mean))), 6) AS score
+  FROM t q JOIN t USING (term) JOIN f USING (term) JOIN s ON s.doc_id = t.doc_id CROSS JOIN g WHERE q.doc_id % 100 = 0 GROUP BY ALL
+)
+SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10
+"""
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without lines that are equal to or one edit from an earlier line."""
     rows = linededup.dedup_lines(table(spark, sf_dir, "documents"))
@@ -92,8 +113,8 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_language, op4_line_dedup, op5_decontaminate, op6_quality, op7_ppm, op8_warc, op9_mixture, op10_token_file)}
+    return {f.__name__: f for f in (op1_simhash, op2_language, op3_search, op4_line_dedup, op5_decontaminate, op6_quality, op7_ppm, op8_warc, op9_mixture, op10_token_file)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL}
+    return {"op3_search": OP3_SQL, "op4_line_dedup": OP4_SQL}
