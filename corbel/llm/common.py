@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,10 +35,9 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of ``column``, so that array work over a batch stays small."""
     for batch in batches:
-        sizes = batch.column(column).cast(pa.binary()).to_pylist()
         start = held = 0
-        for i, x in enumerate(sizes):
-            held += len(x or b"")
+        for i, size in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            held += size
             if held >= most:
                 yield batch.slice(start, i + 1 - start)
                 start, held = i + 1, 0

@@ -2,9 +2,9 @@
 
 A stream is cut into blocks that start afresh and carry a checksum, so each can be decoded alone. In a block, order 1 (the
 last id) and order 2 (the last two) each hold the id they saw last and how often it came again. The surer one names a
-candidate; logits of both orders, learned as the block goes on, are added up to the chance that it is right, and that decides a
-binary symbol. A miss is followed by the id itself under the order-0 distribution of the segment. All blocks of a
-segment take a step at a time in arrays; all arithmetic is on integers, so every machine decodes alike.
+candidate; logits of both orders, learned as the block goes on, are added up to the chance that it is right. The range is
+divided by that chance, and what is left for a miss by the order-0 distribution of the segment: one coding step an id. All
+blocks of a segment take a step at a time in arrays; all arithmetic is on integers, so every machine decodes alike.
 """
 
 from __future__ import annotations
@@ -15,45 +15,52 @@ from dataclasses import dataclass
 import numpy as np
 
 U = np.uint64
-LOW32, SHIFT32 = U(0xFFFFFFFF), U(32)
-SLOTS = 2048
-#: chance in 65,536ths of a logit in 256ths, from -8 to 8
-SQUASH = np.clip(np.round(65536 / (1 + np.exp(-np.arange(-2048, 2049) / 256))), 48, 65488).astype(np.int64)
+LOW32, SHIFT32, ONE32 = U(0xFFFFFFFF), U(32), U(1 << 32)
+SLOTS = 512
+#: chance of a logit in 256ths from -8 to 8, in 4,096ths
+SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2049) / 256))), 4, 4092).astype(np.int32)
 
 
 class _Model:
-    """Predictions of all blocks; ``guess`` before an id is known, ``learn`` after."""
+    """Predictions of all blocks by order 1 and order 2, in two rows; ``guess`` before an id is known, ``learn`` after."""
 
     def __init__(self, lanes: int):
-        self.base = np.arange(lanes, dtype=np.int64) * SLOTS
-        self.t1, self.t2 = np.zeros(lanes * SLOTS, np.int64), np.zeros(lanes * SLOTS, np.int64)
-        self.row = np.arange(lanes, dtype=np.int64) * 16
-        start = np.repeat(np.array([-900, -300, -100, 50, 150, 200, 250, 300]), 2)
-        self.a1, self.a2 = np.tile(start, lanes), np.tile(start, lanes)
-        self.p1, self.p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        both = np.arange(2)[:, None]
+        self.base = (both * lanes + np.arange(lanes)) * SLOTS
+        self.seen = np.zeros(2 * lanes * SLOTS, np.int32)  # id and count of repeats
+        self.row = (both * lanes + np.arange(lanes)) * 8
+        self.logits = np.tile(np.array([-900, -300, -100, 50, 150, 200, 250, 300], np.int32), 2 * lanes)
+        self.last, self.mixed = np.zeros(lanes, np.int32), np.zeros((2, lanes), np.int32)  # last id, hashes of both contexts
 
     def guess(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The candidate of the first ``n`` blocks and its chance."""
-        p1, p2 = self.p1[:n], self.p2[:n]
-        self.i1 = self.base[:n] + ((p1 * 40503 >> 5) & (SLOTS - 1))
-        self.i2 = self.base[:n] + ((p1 * 40503 + p2 * 30011 >> 4) & (SLOTS - 1))
-        e1, e2 = self.t1[self.i1], self.t2[self.i2]
-        self.c1, self.c2, self.k1, self.k2 = e1 >> 3, e2 >> 3, e1 & 7, e2 & 7
-        same = (self.c1 == self.c2).astype(np.int64)
-        self.x1, self.x2 = self.row[:n] + 2 * self.k1 + same, self.row[:n] + 2 * self.k2 + same
-        self.p = SQUASH[np.clip(self.a1[self.x1] + self.a2[self.x2], -2048, 2048) + 2048]
-        return np.where((self.k2 > 0) | (self.k1 == 0), self.c2, self.c1), self.p
+        self.at = self.base[:, :n] + ((self.mixed[:, :n] >> 5) & (SLOTS - 1))
+        self.e = self.seen.take(self.at)
+        k = self.e & 7
+        self.x = self.row[:, :n] + k
+        self.v = self.logits.take(self.x)
+        total = self.v[0] + self.v[1]
+        np.clip(total, -2048, 2048, out=total)
+        total += 2048
+        self.p = SQUASH.take(total)
+        return np.where(k[1] >= k[0], self.e[1], self.e[0]) >> 3, self.p
 
     def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
         n = len(ids)
-        step = ((hit.astype(np.int64) << 16) - self.p) >> 10
-        self.a1[self.x1] += step
-        self.a2[self.x2] += step
+        self.v += ((hit.astype(np.int32) << 12) - self.p) >> 6
+        self.logits[self.x] = self.v
         new = ids << 3
-        self.t1[self.i1] = new | np.where(self.c1 == ids, np.minimum(self.k1 + 1, 7), 0)
-        self.t2[self.i2] = new | np.where(self.c2 == ids, np.minimum(self.k2 + 1, 7), 0)
-        self.p2[:n] = self.p1[:n]
-        self.p1[:n] = ids
+        self.e -= new  # 0 to 7: the same id, with its count
+        again = self.e.view(np.uint32) < 8
+        np.minimum(self.e, 6, out=self.e)
+        self.e += 1
+        self.e *= again
+        self.e += new
+        self.seen[self.at] = self.e
+        self.mixed[1, :n] = self.last[:n] * np.int32(30011)
+        np.multiply(ids, np.int32(40503), out=self.mixed[0, :n])
+        self.mixed[1, :n] += self.mixed[0, :n]
+        self.last[:n] = ids
 
 
 @dataclass
@@ -69,12 +76,18 @@ class Segment:
 
 
 def _order0(ids: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, int]:
-    symbols, counts = np.unique(ids, return_counts=True)
+    top = int(ids.max())
+    if top < 1 << 22:
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        counts = counts[symbols]
+    else:
+        symbols, counts = np.unique(ids, return_counts=True)
     bits = max(16, int(len(symbols)).bit_length() + 2)
-    free = (1 << bits) - len(symbols)
-    freq = 1 + counts * free // max(1, counts.sum())
-    if len(freq):
-        freq[np.argmax(freq)] += (1 << bits) - freq.sum()
+    if bits > 22:
+        raise ValueError("a segment holds at most a million different ids")
+    freq = 1 + counts * ((1 << bits) - len(symbols)) // counts.sum()
+    freq[np.argmax(freq)] += (1 << bits) - freq.sum()
     packed = zlib.compress(np.concatenate([[bits], np.diff(symbols, prepend=0), freq]).astype("<u4").tobytes(), 6)
     return packed, symbols, freq, np.cumsum(freq) - freq, bits
 
@@ -86,6 +99,12 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     return symbols, freq, np.cumsum(freq) - freq, int(a[0])
 
 
+def _chance(p: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
+    """The chance in as many bits as leave the total at 30: 12, or fewer for very many different ids."""
+    left = min(12, 30 - bits)
+    return (p if left == 12 else np.maximum(1, p >> (12 - left))).astype(np.int64), left
+
+
 def _shape(n: int, block: int) -> tuple[int, int]:
     """Number of blocks and length of the last."""
     lanes = -(-n // block)
@@ -97,94 +116,93 @@ def _crcs(ids: np.ndarray, block: int) -> list[int]:
     return [zlib.crc32(raw[at : at + 4 * block]) for at in range(0, len(raw), 4 * block)]
 
 
+def _narrow(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
+    """Which blocks have used up 32 bits; a range across their border is cut at it, so that the upper word is settled."""
+    thin = np.flatnonzero(rng < ONE32)
+    if len(thin):
+        a, b = low[thin], rng[thin]
+        rng[thin] = np.where((a ^ (a + b)) > LOW32, (~a + U(1)) & LOW32, b)
+    return thin
+
+
 def encode(ids: np.ndarray, block: int = 2048) -> Segment:
-    """Any non-negative ids below 2**31; none give a segment without blocks."""
+    """Any ids from 0 to 2**28 - 1; none give a segment without blocks."""
     n = len(ids)
     if not n:
         return Segment(0, block, b"", [], [], b"")
-    ids = np.asarray(ids, np.int64)
     packed, symbols, freq, start, bits = _order0(ids)
     lanes, last = _shape(n, block)
-    grid = np.zeros((lanes, block), np.int64)
+    grid = np.zeros((lanes, block), np.int32)
     grid.ravel()[:n] = ids
     grid = np.ascontiguousarray(grid.T)
-    place = np.searchsorted(symbols, grid)
+    if symbols[-1] < 1 << 22:
+        place = np.zeros(int(symbols[-1]) + 1, np.int32)
+        place[symbols] = np.arange(len(symbols))
+        number = place.take
+    else:
+        number = lambda x: np.searchsorted(symbols, x)
     model, low, rng = _Model(lanes), np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
-    out, at = np.zeros((lanes, block * (bits + 17) // 32 + 8), np.uint32), np.zeros(lanes, np.int64)
-
-    def put(who: np.ndarray | slice, begin: np.ndarray, width: np.ndarray, total: int) -> None:
-        lo, r = low[who], rng[who] >> U(total)
-        lo, r = lo + begin.astype(U) * r, width.astype(U) * r
-        thin = np.flatnonzero(r < U(1 << 32))
-        if len(thin):
-            whose = thin if isinstance(who, slice) else who[thin]
-            a, b = lo[thin], r[thin]
-            b = np.where((a ^ (a + b)) > LOW32, (~a + U(1)) & LOW32, b)
-            out[whose, at[whose]] = (a >> SHIFT32).astype(np.uint32)
-            at[whose] += 1
-            lo[thin], r[thin] = a << SHIFT32, b << SHIFT32
-        low[who], rng[who] = lo, r
-
+    out, at = np.zeros((lanes, block * (bits + 14) // 32 + 8), np.uint32), np.zeros(lanes, np.int64)
     for t in range(min(block, n)):
         m = lanes if t < last else lanes - 1
         now = grid[t, :m]
         guess, p = model.guess(m)
         hit = guess == now
-        put(slice(0, m), np.where(hit, 0, p), np.where(hit, p, 65536 - p), 16)
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            k = place[t, miss]
-            put(miss, start[k], freq[k], bits)
+        p, left = _chance(p, bits)
+        k = number(now)
+        miss, mine = (1 << left) - p, p << bits
+        begin, width = np.where(hit, 0, mine + miss * start.take(k)), np.where(hit, mine, miss * freq.take(k))
+        r = rng[:m] >> U(left + bits)
+        low[:m] += begin.view(U) * r
+        rng[:m] = width.view(U) * r
+        thin = _narrow(low[:m], rng[:m])
+        if len(thin):
+            out[thin, at[thin]] = low[thin] >> SHIFT32
+            at[thin] += 1
+            low[thin] <<= SHIFT32
+            rng[thin] <<= SHIFT32
         model.learn(now, hit)
     for _ in range(2):
-        out[np.arange(lanes), at] = (low >> SHIFT32).astype(np.uint32)
+        out[np.arange(lanes), at] = low >> SHIFT32
         at += 1
         low = low << SHIFT32
     payload = b"".join(out[i, :k].astype("<u4").tobytes() for i, k in enumerate(at))
-    return Segment(n, block, packed, at.tolist(), _crcs(ids, block), payload)
+    return Segment(n, block, packed, at.tolist(), _crcs(np.asarray(ids), block), payload)
 
 
 def decode(s: Segment) -> np.ndarray:
     """The ids; ValueError names the first block whose checksum differs."""
     if not s.n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     symbols, freq, start, bits = _unpack(s.order0)
-    of_slot = np.repeat(np.arange(len(symbols)), freq)
+    of_slot = np.repeat(np.arange(len(symbols), dtype=np.int32), freq)
+    symbols = symbols.astype(np.int32)
     lanes, last = _shape(s.n, s.block)
     words, sizes = np.frombuffer(s.payload, "<u4"), np.array(s.words, np.int64)
     words = np.concatenate([words, np.zeros(4, "<u4")]).astype(U)
     begin = np.cumsum(sizes) - sizes
     at, model, low, rng = begin + 2, _Model(lanes), np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
     code = (words[begin] << SHIFT32) | words[begin + 1]
-    grid = np.zeros((s.block, lanes), np.int64)
-
-    def slots(who, total: int) -> np.ndarray:
-        return np.minimum((code[who] - low[who]) // (rng[who] >> U(total)), U((1 << total) - 1)).astype(np.int64)
-
-    def take(who, begin_: np.ndarray, width: np.ndarray, total: int) -> None:
-        lo, r = low[who], rng[who] >> U(total)
-        lo, r = lo + begin_.astype(U) * r, width.astype(U) * r
-        thin = np.flatnonzero(r < U(1 << 32))
-        if len(thin):
-            whose = thin if isinstance(who, slice) else who[thin]
-            a, b = lo[thin], r[thin]
-            b = np.where((a ^ (a + b)) > LOW32, (~a + U(1)) & LOW32, b)
-            code[whose] = (code[whose] << SHIFT32) | words[np.minimum(at[whose], len(words) - 1)]
-            at[whose] += 1
-            lo[thin], r[thin] = a << SHIFT32, b << SHIFT32
-        low[who], rng[who] = lo, r
-
+    grid = np.zeros((s.block, lanes), np.int32)
     for t in range(min(s.block, s.n)):
         m = lanes if t < last else lanes - 1
         guess, p = model.guess(m)
-        hit = slots(slice(0, m), 16) < p
-        take(slice(0, m), np.where(hit, 0, p), np.where(hit, p, 65536 - p), 16)
-        now = guess.copy()
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            k = of_slot[slots(miss, bits)]
-            take(miss, start[k], freq[k], bits)
-            now[miss] = symbols[k]
+        p, left = _chance(p, bits)
+        r = rng[:m] >> U(left + bits)
+        v = np.minimum((code[:m] - low[:m]) // r, U((1 << (left + bits)) - 1)).view(np.int64)
+        mine = p << bits
+        hit, miss = v < mine, (1 << left) - p
+        k = of_slot.take(np.where(hit, 0, (v - mine) // miss), mode="clip")
+        now = np.where(hit, guess, symbols.take(k))
+        lo, width = np.where(hit, 0, mine + miss * start.take(k)), np.where(hit, mine, miss * freq.take(k))
+        low[:m] += lo.view(U) * r
+        rng[:m] = width.view(U) * r
+        thin = _narrow(low[:m], rng[:m])
+        if len(thin):
+            code[thin] = (code[thin] << SHIFT32) | words.take(at[thin], mode="clip")
+            at[thin] += 1
+            low[thin] <<= SHIFT32
+            rng[thin] <<= SHIFT32
         grid[t, :m] = now
         model.learn(now, hit)
     ids = np.ascontiguousarray(grid.T).ravel()[: s.n]

@@ -6,76 +6,134 @@ their ids as one stream coded by ``idcoder``. ``file`` and ``part`` order the se
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import idcoder
+from .common import slices
 
 SEGMENT = "file int, part int, doc_ids array<long>, sizes array<long>, n long, block long, order0 binary, words array<long>, crcs array<long>, payload binary"
-_TAIL = re.compile(rb"[!-&(-/:-@\[-`{-~]+$")  # ASCII signs but the apostrophe
+_ALNUM = frozenset(bytes([b]) for b in range(128) if chr(b).isalnum())
+_SIGNS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum() and b != 39)  # of ASCII, but the apostrophe
 
 
 class Encoder:
     """Ids of whole texts with a word cache.
 
     Words between ASCII white space are tokenized alone, which gives the same ids where the tokenizer drops white space and never
-    joins what it separates (``word_bpe_49k`` does; the constructor checks a probe). Signs at the end of a word of
-    letters are split off, as that tokenizer splits them, so that a word is cached once for all of them.
+    joins what it separates (``word_bpe_49k`` does; the constructor checks a probe, and texts are tokenized whole if it
+    fails). Signs at the end of a word that ends in a letter or digit are split off and A-Z lower-cased, as that tokenizer
+    does, so that a word is tokenized once for all its forms. About ``most`` words are held.
     """
 
     def __init__(self, path: str, most: int = 400_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.cache: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
-        probe = "One two,  three.\n\tFour's (five) six-seven!! 8 9aé. X"
-        whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
-        self.by_word = self.ids(probe.encode(), check=False).tolist() == whole
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.cache) + len(words) > self.most:
-            self.cache.clear()
-        if len(self.cores) > self.most:
-            self.cores.clear()
-        cut, need = {}, set()
-        for w in words:
-            tail = _TAIL.search(w)
-            core = w[: tail.start()] if tail else w
-            if tail and core and core.decode("utf-8", "replace").isalpha():
-                parts = (core.lower(), tail.group())
-            else:
-                parts = (w,)
-            cut[w] = parts
-            need.update(x for x in parts if x not in self.cores)
-        asked = list(need)
-        for w, e in zip(asked, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in asked], add_special_tokens=False)):
-            self.cores[w] = np.array(e.ids, "<u4").tobytes()
-        for w, parts in cut.items():
-            self.cache[w] = b"".join(self.cores[x] for x in parts)
-
-    def ids(self, text: bytes, check: bool = True) -> np.ndarray:
-        if check and not self.by_word:
-            return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
-        words = text.split()
-        new = {w for w in words if w not in self.cache}
-        if new:
-            self._learn(new)
-            if len(new) > self.most:  # more words than the cache holds: those of one text at least are in it now
-                return np.frombuffer(b"".join(self.cache[w] if w in self.cache else self._one(w) for w in words), "<u4")
-            words_known = all(w in self.cache for w in words)
-            if not words_known:  # the cache was emptied: learn the rest of this text again
-                self._learn({w for w in words if w not in self.cache})
-        return np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<u4")
-
-    def _one(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        self.words: dict[bytes, bytes] = {}
+        self.signs: dict[bytes, bytes] = {}
+        # how the names of special tokens begin: words with one are tokenized as they are
+        self.marks = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        # tokens that end a word, where the vocabulary marks them
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())], bool)
+        probe = "One two,  three.\n\tFour's (five) six-seven!! 8 9aé. ÇA ǅ X"
+        self.by_word = True
+        self.by_word = self.encode(pa.array([probe]))[0].tolist() == self.tokenizer.encode(probe, add_special_tokens=False).ids
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, to: dict[bytes, bytes], words: list[bytes]) -> None:
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            to.update(zip(some, (x.tobytes() for x in self._ids([w.decode("utf-8", "replace") for w in some]))))
+
+    def _learn(self, need: set[bytes]) -> None:
+        """Adds words. Those of letters alone are tokenized many at a time, and cut where a word ends."""
+        joined = [w for w in need if w.isalpha() or w.decode("utf-8", "replace").isalpha()]
+        alone = list(need.difference(joined))
+        for at in range(0, len(joined), 2_000):
+            some = joined[at : at + 2_000]
+            ids = self._ids([b" ".join(some).decode("utf-8", "replace")])[0]
+            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(ends) == len(some) and ends[-1] == ids.nbytes:
+                raw, cuts = ids.tobytes(), [0, *ends.tolist()]
+                self.words.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+            else:  # a word that the tokenizer splits, or a vocabulary without marks
+                alone += some
+        self._add(self.words, alone)
+
+    def _forms(self, forms: pa.Array, marked: bool) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the different forms and their numbers: of the word, then of the signs after it, which always begin a token of their own."""
+        bare = pc.ascii_rtrim(forms, characters=_SIGNS)
+        tail = (pc.binary_length(forms).to_numpy() - pc.binary_length(bare).to_numpy()).astype(np.int64)
+        coded = bare.dictionary_encode()
+        word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        known = self.words
+        pool = list(map(known.get, words))
+        need = {w for w, x in zip(words, pool) if x is None}
+        whole = {w for w in need if w and w[-1:] not in _ALNUM and not w.decode("utf-8", "replace")[-1:].isalnum()}
+        self._learn(need - whole)
+        pool = [known.get(w, b"") if x is None else x for w, x in zip(words, pool)]
+        # forms to be tokenized as they are
+        odd = np.isin(word, [k for k, w in enumerate(words) if w in whole]) if whole else np.zeros(len(word), bool)
+        for m in self.marks if marked else ():
+            odd |= pc.match_substring(forms, m).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(odd)
+        if len(at):
+            word[at] = len(pool) + np.arange(len(at))
+            pool += [x.tobytes() for x in self._ids(forms.take(pa.array(at)).to_pylist())]
+            tail[at] = 0
+        sign = np.full(len(word), len(pool))
+        pool.append(b"")
+        for k in np.unique(tail[tail > 0]):
+            at = np.flatnonzero(tail == k)
+            some = pc.utf8_slice_codeunits(forms.take(pa.array(at)), -int(k)).dictionary_encode()
+            texts = some.dictionary.cast(pa.binary()).to_pylist()
+            self._add(self.signs, [t for t in texts if t not in self.signs])
+            sign[at] = len(pool) + some.indices.to_numpy(zero_copy_only=False)
+            pool += [self.signs[t] for t in texts]
+        if len(known) > self.most:  # what these texts used stays
+            now = set(words)
+            self.words = {w: x for w, x in known.items() if w in now}
+        if len(self.signs) > self.most // 8:
+            self.signs.clear()
+        size = np.fromiter(map(len, pool), np.int64, len(pool)) // 4
+        flat, start = np.frombuffer(b"".join(pool), "<u4"), np.cumsum(size) - size
+        both = np.stack([word, sign], 1)
+        return _gather(flat, start[both].ravel(), size[both].ravel()), size[both].sum(1)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after another, and how many each text has. A few megabytes at a time."""
+        if not self.by_word:
+            each = self._ids(texts.to_pylist())
+            return np.concatenate([*each, np.zeros(0, "<u4")]), np.array([len(x) for x in each], np.int64)
+        marked = any(pc.any(pc.match_substring(texts, m)).as_py() for m in self.marks)
+        # A-Z is lower-cased by the tokenizer, but for what may be the name of a special token
+        words = pc.ascii_split_whitespace(texts if marked else pc.ascii_lower(texts))
+        offsets = words.offsets.to_numpy().astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        ids, size = self._forms(coded.dictionary, marked)
+        start, counts = np.cumsum(size) - size, size[index]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        return _gather(ids, start[index], counts), np.diff(upto[offsets - offsets[0]])
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The slices of ``flat`` one after another."""
+    take = np.repeat(start - (np.cumsum(size) - size), size)
+    take += np.arange(len(take))
+    return flat[take]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -88,11 +146,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, segment: int = 4 << 20, block: int = 2048) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, segment: int = 2 << 20, block: int = 1024) -> None:
     """Writes the ids of all whole texts, each with ``end_id`` at its end, in ascending order of ``id_col``.
 
     Null texts are empty: their only id is the end. Null ids come first; equal ids follow each other in the order of their texts. A
-    segment has ``segment`` ids, or one document more; a single longer document makes a longer one. An empty table makes an empty folder.
+    segment has ``segment`` ids and up to a few megabytes of text more; a single longer document makes a longer one. An empty table makes an empty folder.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
 
@@ -101,26 +159,26 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
 
         file, part, own = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         ids: list = []
+        sizes: list[int] = []
         streams: list[np.ndarray] = []
         held = 0
-        end = np.array([end_id], "<u4")
 
         def out() -> pa.RecordBatch:
             s = idcoder.encode(np.concatenate(streams), block)
-            sizes = [len(x) for x in streams]
             cells = [[file], [part], [ids], [sizes], [s.n], [s.block], [s.order0], [s.words], [s.crcs], [s.payload]]
             longs = pa.list_(pa.int64())
             kinds = [pa.int32(), pa.int32(), longs, longs, pa.int64(), pa.int64(), pa.binary(), longs, longs, pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], ["file", "part", "doc_ids", "sizes", "n", "block", "order0", "words", "crcs", "payload"])
 
-        for batch in batches:
-            for i, t in zip(batch.column("id").to_pylist(), batch.column("t").cast(pa.binary()).to_pylist()):
-                ids.append(i)
-                streams.append(np.concatenate([own.ids(t), end]))
-                held += len(streams[-1])
-                if held >= segment:
-                    yield out()
-                    ids, streams, held, part = [], [], 0, part + 1
+        for batch in slices(batches, "t", 8 << 20):
+            stream, size = own.encode(batch.column("t"))
+            ids += batch.column("id").to_pylist()
+            sizes += (size + 1).tolist()
+            streams.append(np.insert(stream, np.cumsum(size), end_id))
+            held += len(streams[-1])
+            if held >= segment:
+                yield out()
+                ids, sizes, streams, held, part = [], [], [], 0, part + 1
         if ids:
             yield out()
 
