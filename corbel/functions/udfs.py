@@ -12,13 +12,21 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Look-alikes of Latin letters: fixed values.
 HOMOGLYPHS = dict(zip("аеорсхуАВЕКМНОРСТХУ", "aeopcxyABEKMHOPCTXY"))
 ZERO_WIDTH = set("\u200b\u200c\u200d\u2060\ufeff")
 BIDI = {"\u061c", "\u200e", "\u200f", *map(chr, range(0x202A, 0x202F)), *map(chr, range(0x2066, 0x206A))}
-FINDING = "struct<kind:string,source_start:int,source_end:int>"
-CANONICAL = f"struct<content:string,digest:string,raw_digest:string,findings:array<{FINDING}>>"
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+TEXT = T.StringType()
+FINDING = _struct(kind=TEXT, source_start=T.IntegerType(), source_end=T.IntegerType())
+CANONICAL = _struct(content=TEXT, digest=TEXT, raw_digest=TEXT, findings=T.ArrayType(FINDING))
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e]*")
 _SPACE = re.compile("[\\s\\ufeff]+")
 
@@ -64,14 +72,14 @@ def canonicalize(text: Column) -> Column:
     return F.when(text.isNotNull(), _canonicalize(F.coalesce(text, F.lit(""))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(TEXT)
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-LINK = "struct<href:string,text:string>"
-REGION = "struct<reason:string,tag:string,text:string>"
-PAGE = f"struct<format:string,title:string,metadata:map<string,string>,links:array<{LINK}>,hidden:array<{REGION}>,content:string>"
+LINK = _struct(href=TEXT, text=TEXT)
+REGION = _struct(reason=TEXT, tag=TEXT, text=TEXT)
+PAGE = _struct(format=TEXT, title=TEXT, metadata=T.MapType(TEXT, TEXT), links=T.ArrayType(LINK), hidden=T.ArrayType(REGION), content=TEXT)
 INACTIVE = {"script", "style", "template", "noscript"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
@@ -170,7 +178,7 @@ def parse_html(page: Column) -> Column:
 def keyed_digest(text: Column, secret: str) -> Column:
     """HMAC-SHA256 with the digest prefix."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(TEXT)
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else "sha256:" + hmac.new(secret.encode(), t.encode(), hashlib.sha256).hexdigest())
 
@@ -191,14 +199,14 @@ def crockford(raw: bytes) -> str:
 def stable_id(prefix: str, text: Column, secret: str) -> Column:
     """The same id for the same text and secret."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(TEXT)
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else f"{prefix}_{crockford(hmac.new(secret.encode(), t.encode(), hashlib.sha256).digest()[:16])}")
 
     return run(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(TEXT)
 def decimal_sum(lists: pd.Series) -> pd.Series:
     """Exact sum of decimal texts of up to 100 digits, zeros at the end stripped; null if one is no decimal."""
 
