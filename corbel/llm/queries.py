@@ -112,9 +112,43 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, path, summary=True)
 
 
+# The words of a text, as op5 cuts them
+_WORDS = "string_split(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), ' ')"
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, list_filter({_WORDS}, lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter({_WORDS}, lambda x: x <> '') AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(13, len(w)) AS k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS gram FROM (SELECT *, unnest(generate_series(1, greatest(1, len(w) - 12))) AS i FROM b WHERE len(w) > 0)),
+p AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d WHERE len(w) > 0),
+h AS (SELECT doc_id, item_id, i, n.k FROM p CROSS JOIN (SELECT DISTINCT k FROM g) n JOIN g ON g.k = n.k AND g.gram = array_to_string(w[i:i + n.k - 1], ' ') WHERE i + n.k - 1 <= len(w)),
+c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS x FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), k AS (SELECT *, sha1(h) AS hex, max(page_id) OVER (PARTITION BY h) AS keep FROM p),
+c AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> (15 - 5 * j)) % 32 + 1, 1), '' ORDER BY g, j) AS digest
+  FROM (SELECT page_id, g, j, ('0x' || substr(hex, 5 * g + 1, 5))::INTEGER AS v FROM k, (SELECT unnest(generate_series(0, 7)) AS g), (SELECT unnest(generate_series(0, 3)) AS j)) GROUP BY 1)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to, true AS complete
+FROM k JOIN c USING (page_id)
+"""
+OP9_SQL = """
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, source_size * 3 AS cap, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM s),
+l AS (SELECT *, cap / w AS ratio, ((SELECT sum(source_size)::BIGINT FROM s) * 1.0::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE) / sum(w) OVER (ORDER BY cap / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+f AS (SELECT ratio, k, level FROM l WHERE ratio > level ORDER BY ratio, k LIMIT 1),
+g AS (SELECT source, source_size, CASE WHEN f.k IS NOT NULL AND (l.ratio > f.ratio OR (l.ratio = f.ratio AND l.k >= f.k)) THEN l.w * f.level ELSE cap::DOUBLE END AS target FROM l LEFT JOIN f ON true),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM g),
+u AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.whole, r.target - r.whole * r.source_size AS rest, ('0x' || left(md5(d.doc_id::VARCHAR), 12))::BIGINT AS u, d.source FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+e AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id::VARCHAR, size ROWS UNBOUNDED PRECEDING) AS upto FROM u)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (whole + CASE WHEN rest > 0 AND (upto <= rest OR (upto - size < rest AND upto - rest < rest - (upto - size))) THEN 1 ELSE 0 END))::BIGINT AS taken FROM e
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_simhash, op2_language, op3_search, op4_line_dedup, op5_decontaminate, op6_quality, op7_ppm, op8_warc, op9_mixture, op10_token_file)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_search": OP3_SQL, "op4_line_dedup": OP4_SQL}
+    return {"op3_search": OP3_SQL, "op4_line_dedup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op8_warc": OP8_SQL, "op9_mixture": OP9_SQL}
