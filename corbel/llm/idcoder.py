@@ -16,7 +16,8 @@ import numpy as np
 
 U = np.uint64
 LOW32, SHIFT32, ONE32 = U(0xFFFFFFFF), U(32), U(1 << 32)
-SLOTS = 512
+SLOTS = 256
+FREQ = (1 << 24) - 1
 #: chance of a logit in 256ths from -8 to 8, in 4,096ths
 SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2049) / 256))), 4, 4092).astype(np.int32)
 
@@ -135,12 +136,13 @@ def encode(ids: np.ndarray, block: int = 2048) -> Segment:
     grid = np.zeros((lanes, block), np.int32)
     grid.ravel()[:n] = ids
     grid = np.ascontiguousarray(grid.T)
+    shares = start << 24 | freq
     if symbols[-1] < 1 << 22:
-        place = np.zeros(int(symbols[-1]) + 1, np.int32)
-        place[symbols] = np.arange(len(symbols))
-        number = place.take
+        place = np.zeros(int(symbols[-1]) + 1, np.int64)
+        place[symbols] = shares
+        share = place.take
     else:
-        number = lambda x: np.searchsorted(symbols, x)
+        share = lambda x: shares.take(np.searchsorted(symbols, x))
     model, low, rng = _Model(lanes), np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
     out, at = np.zeros((lanes, block * (bits + 14) // 32 + 8), np.uint32), np.zeros(lanes, np.int64)
     for t in range(min(block, n)):
@@ -149,9 +151,9 @@ def encode(ids: np.ndarray, block: int = 2048) -> Segment:
         guess, p = model.guess(m)
         hit = guess == now
         p, left = _chance(p, bits)
-        k = number(now)
+        own = share(now)
         miss, mine = (1 << left) - p, p << bits
-        begin, width = np.where(hit, 0, mine + miss * start.take(k)), np.where(hit, mine, miss * freq.take(k))
+        begin, width = np.where(hit, 0, mine + miss * (own >> 24)), np.where(hit, mine, miss * (own & FREQ))
         r = rng[:m] >> U(left + bits)
         low[:m] += begin.view(U) * r
         rng[:m] = width.view(U) * r
@@ -176,7 +178,7 @@ def decode(s: Segment) -> np.ndarray:
         return np.zeros(0, np.int32)
     symbols, freq, start, bits = _unpack(s.order0)
     of_slot = np.repeat(np.arange(len(symbols), dtype=np.int32), freq)
-    symbols = symbols.astype(np.int32)
+    symbols, shares = symbols.astype(np.int32), start << 24 | freq
     lanes, last = _shape(s.n, s.block)
     words, sizes = np.frombuffer(s.payload, "<u4"), np.array(s.words, np.int64)
     words = np.concatenate([words, np.zeros(4, "<u4")]).astype(U)
@@ -194,7 +196,8 @@ def decode(s: Segment) -> np.ndarray:
         hit, miss = v < mine, (1 << left) - p
         k = of_slot.take(np.where(hit, 0, (v - mine) // miss), mode="clip")
         now = np.where(hit, guess, symbols.take(k))
-        lo, width = np.where(hit, 0, mine + miss * start.take(k)), np.where(hit, mine, miss * freq.take(k))
+        own = shares.take(k)
+        lo, width = np.where(hit, 0, mine + miss * (own >> 24)), np.where(hit, mine, miss * (own & FREQ))
         low[:m] += lo.view(U) * r
         rng[:m] = width.view(U) * r
         thin = _narrow(low[:m], rng[:m])

@@ -1,10 +1,11 @@
 """Line dedup by a deletion neighbourhood; DataFrame functions only.
 
-Equal lines are joined first. A line that is one edit from another agrees with it in the first or the last half, so only lines
-that share a half with a different line go on. These emit every string they become by deleting one character, and themselves, as
-hashed keys with the place of the deletion. Two lines are one edit apart if and only if both give the same string by a
-deletion at the same place (a substitution), or one is what the other gives by a deletion. Each key holds the earliest
-line, so groups are never paired off; the edit distance to that line is verified.
+Equal lines are joined first. Whether a distinct line has another one edit away is narrowed down in two exact steps: such lines agree in
+the first or the last half; and on a grid of 16 characters they agree before and after one window. Only windows that
+are shared by different lines emit what they become by deleting one character, and themselves, as hashed keys together with what
+stands around them. Two lines are one edit apart if and only if both give the same key by a deletion at the same place
+(a substitution), or one gives by a deletion what the other is. Each key holds the earliest line, so groups are never
+paired off; the edit distance to that line is verified.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from .common import stable
 
 BLANK = " \t\r"
+WINDOW = 16
 
 
 def _lines(text: Column) -> Column:
@@ -25,28 +27,50 @@ def _bare(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANK))
 
 
-def _halves(t: Column) -> Column:
-    """Hashes of the halves that a line shares with any line one edit away: both roundings, as its length or the other's may be odd."""
+def _hash(t: Column) -> list[Column]:
+    """128 bits of a line."""
+    return [F.xxhash64(t).alias("h1"), F.xxhash64(F.lit("#"), t).alias("h2")]
+
+
+def _halves(t: Column, min_chars: int) -> list[Column]:
+    """Hashes of the first and last half, for its own and the next shorter length, as the other line may be shorter; null for short lines."""
     n = F.char_length(t)
-    cuts = F.array(F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int"), F.floor((n + 1) / 2).cast("int"))
-    each = lambda side, part: F.transform(cuts, lambda h: F.xxhash64(F.lit(side), h, part(h)))
-    return F.array_distinct(F.concat(each("first", lambda h: F.substring(t, 1, h)), each("last", lambda h: F.right(t, h))))
+    long_ = n >= min_chars
+    out = []
+    for k, cut in enumerate((F.floor(n / 2), F.floor((n - 1) / 2))):
+        cut = cut.cast("int")
+        use = long_ if k == 0 else long_ & (n % 2 == 0)
+        out += [F.when(use, F.xxhash64(F.lit("first"), cut, F.substring(t, F.lit(1), cut))).alias(f"a{k}"), F.when(use, F.xxhash64(F.lit("last"), cut, F.right(t, cut))).alias(f"b{k}")]
+    return out
+
+
+HALVES = ("a0", "b0", "a1", "b1")
 
 
-def first_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Distinct non-blank lines of ``docs(doc, text)`` by hash: ``(h1, h2, at, halves)``, ``at`` being the first place as a number."""
+def _each(docs: DataFrame, *more: Column) -> DataFrame:
+    """Distinct non-blank lines of each document: ``(doc, h1, h2, at)`` and ``more`` about ``t``, ``at`` being the place as a number."""
     each = docs.select("doc", F.posexplode(F.array_distinct(F.transform(_lines(F.col("text")), _bare))).alias("pos", "t")).where("t <> ''")
-    at = (F.col("doc").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("pos")).cast("decimal(38,0)")
-    halves = F.when(F.char_length("t") >= min_chars, _halves(F.col("t"))).otherwise(F.array().cast("array<bigint>"))
-    return each.select("doc", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit("#"), "t").alias("h2"), at.alias("at"), "t", halves.alias("halves"))
+    at = (F.col("doc").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("pos")).cast("decimal(38,0)")
+    return each.select("doc", *_hash(F.col("t")), at.alias("at"), *more)
 
 
 def near_earlier(lines: DataFrame) -> DataFrame:
     """``(h1, h2)`` of those of the distinct ``lines(h1, h2, at, t)`` that are one edit from an earlier one."""
     n = F.char_length("t")
-    cut = lambda i: F.concat(F.substring("t", 1, i - 1), F.substring(F.col("t"), i + 1, n))
-    keys = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(i.alias("place"), F.xxhash64(F.when(i == 0, F.col("t")).otherwise(cut(i))).alias("key")))
-    v = stable(lines.select("h1", "h2", "at", F.inline(keys)))
+    starts = F.sequence(F.lit(0), F.floor((n - 1) / WINDOW).cast("int"))
+
+    def window(i: Column, size: int) -> Column:
+        left, right = i * WINDOW, F.greatest(n - i * WINDOW - size, F.lit(0))
+        return F.struct(F.xxhash64(left, F.substring("t", F.lit(1), left), right, F.right("t", right)).alias("around"), F.substring(F.col("t"), left + 1, n - left - right).alias("w"))
+
+    cells = F.concat(F.transform(starts, lambda i: window(i, WINDOW)), F.transform(starts, lambda i: window(i, WINDOW + 1)))
+    parts = lines.select("h1", "h2", "at", F.inline(F.array_distinct(cells)))
+    shared = parts.groupBy("around").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("around")
+    parts = stable(parts.join(shared, "around"))
+    size = F.char_length("w")
+    cut = lambda i: F.concat(F.substring(F.col("w"), F.lit(1), i - 1), F.substring(F.col("w"), i + 1, size))
+    keys = F.transform(F.sequence(F.lit(0), size), lambda i: F.struct(i.alias("place"), F.xxhash64("around", F.when(i == 0, F.col("w")).otherwise(cut(i))).alias("key")))
+    v = stable(parts.select("h1", "h2", "at", F.inline(keys)))
     whole = v.groupBy("key").agg(F.min(F.when(F.col("place") == 0, F.col("at"))).alias("bare"), F.min(F.when(F.col("place") > 0, F.col("at"))).alias("cut"))
     same = v.where("place > 0").groupBy("key", "place").agg(F.min("at").alias("swap"))
     met = v.join(whole, "key").join(same, ["key", "place"], "left")
@@ -66,17 +90,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     come last; rows with equal ids count as one document, so copies of it with the same id keep the same lines.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    each = first_lines(rows, min_chars)
-    firsts = stable(each.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("halves").alias("halves")))
-    shared = firsts.select(F.explode("halves").alias("half"), "h1", "h2").groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half")
-    maybe = stable(firsts.select("h1", "h2", "at", F.explode("halves").alias("half")).join(shared, "half").select("h1", "h2", "at").distinct())
+    firsts = stable(_each(rows, *_halves(F.col("t"), min_chars)).groupBy("h1", "h2").agg(F.min("at").alias("at"), *(F.min(c).alias(c) for c in HALVES)))
+    halves = firsts.select("h1", "h2", "at", F.explode(F.array_compact(F.array(*HALVES))).alias("half"))
+    shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half")
+    maybe = stable(halves.join(shared, "half").select("h1", "h2", "at").distinct())
     if maybe.count() <= 200_000:  # else both sides are shuffled
         maybe = F.broadcast(maybe)
-    lines = stable(each.drop("halves").join(maybe, ["h1", "h2", "at"]).groupBy("h1", "h2", "at").agg(F.first("t").alias("t")))
+    lines = stable(_each(rows, F.col("t")).join(maybe, ["h1", "h2", "at"]).groupBy("h1", "h2", "at").agg(F.first("t").alias("t")))
     near = near_earlier(lines).withColumn("near", F.lit(True))
-    known = firsts.drop("halves").join(near, ["h1", "h2"], "left")
+    known = firsts.select("h1", "h2", "at").join(near, ["h1", "h2"], "left")
     # (document, line) pairs to drop: first occurrences that are near an earlier line, and all later occurrences
-    gone = each.select("doc", "h1", "h2", F.col("at").alias("own")).join(known, ["h1", "h2"]).where("near or own > at")
+    gone = _each(rows).withColumnRenamed("at", "own").join(known, ["h1", "h2"]).where("near or own > at")
     gone = gone.groupBy("doc").agg(F.collect_set("h1").alias("gone"))
     kept = rows.join(gone, "doc", "left").withColumn("lines", _lines(F.col("text"))).withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(_bare(x))))
     no = F.coalesce("gone", F.array().cast("array<bigint>"))

@@ -44,23 +44,26 @@ def build(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> Data
     shards = int(size // shard_bytes) + 1
 
     def index(part: pa.Table) -> pa.Table:
-        number, ids, lengths, tokens = _Numbers(), [], [], []
+        number, ids, lengths, terms, tfs = _Numbers(), [], [], [], []
         for batch in part.to_batches(max_chunksize=1024):
             for doc, text in zip(batch.column("id").to_pylist(), as_bytes(batch.column("t"))):
                 w = words(text)
                 ids.append(doc)
                 lengths.append(len(w))
-                tokens.append(np.fromiter(map(number.__getitem__, w), np.int64, len(w)))
+                term, tf = np.unique(np.fromiter(map(number.__getitem__, w), np.int32, len(w)), return_counts=True)
+                terms.append(term)
+                tfs.append(tf.astype(np.int32))
         n = np.array(lengths, np.int64)
-        pair = np.concatenate([*tokens, np.zeros(0, np.int64)]) * len(ids) + np.repeat(np.arange(len(ids)), n)
-        pair, tf = np.unique(pair, return_counts=True)
-        term, doc = pair // max(1, len(ids)), pair % max(1, len(ids))
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in terms])
+        term, tf = np.concatenate([*terms, np.zeros(0, np.int32)]), np.concatenate([*tfs, np.zeros(0, np.int32)])
+        by_term = np.argsort(term, kind="stable")
+        doc, tf = doc[by_term], tf[by_term]
         hashes = np.fromiter(map(_hash, number), np.int64, len(number))
         order = np.argsort(hashes)
         counts = np.bincount(term, minlength=len(hashes))
         starts = np.cumsum(counts) - counts
         take = np.repeat(starts[order], counts[order]) + _within(counts[order])
-        cells = [ids, n, hashes[order], np.concatenate([[0], np.cumsum(counts[order])]), doc[take].astype(np.int32), tf[take].astype(np.int32)]
+        cells = [ids, n, hashes[order], np.concatenate([[0], np.cumsum(counts[order])]), doc[take], tf[take]]
         kinds = [pa.int64()] * 4 + [pa.int32()] * 2
         return pa.table({k: pa.array([c], pa.list_(t)) for k, c, t in zip(("ids", "lengths", "terms", "offsets", "docs", "tfs"), cells, kinds)})
 
@@ -133,7 +136,7 @@ class Shard:
         return found[keep], scores[keep]
 
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", query_id_col: str = "doc_id", query_text_col: str = "text", k1: float = 1.2, b: float = 0.75, shard_bytes: int = 48 << 20, block_bytes: int = 16 << 20) -> DataFrame:
+def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", query_id_col: str = "doc_id", query_text_col: str = "text", k1: float = 1.2, b: float = 0.75, shard_bytes: int = 20 << 20, block_bytes: int = 16 << 20) -> DataFrame:
     """``(query_id, doc_id, score, rank)``: the k rows of ``docs`` with the highest BM25 score for each row of ``queries``.
 
     Terms are lower-cased runs of digits, letters and characters beyond ASCII; a query's different terms count once. idf is
