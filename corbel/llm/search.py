@@ -3,7 +3,8 @@
 A shard holds about ``shard_bytes`` of texts as postings, sorted by term hash (XXH3, 64 bits). Frequent terms are also laid out
 over blocks of documents with the largest contribution in each block. A query first adds up its rare terms; the best of
 these, scored in full, give a threshold, and only documents whose sum plus their block's bound reaches it are scored further, block
-by block from the highest bound, until no block can enter the top k. Document frequencies, document count and mean
+by block from the highest bound, until no block can enter the top k. Scores are rounded to six decimals before they are ranked, so that
+equal texts tie wherever they are; sums within a shard differ by far less. Document frequencies, document count and mean
 length are those of all shards, so the shards' results merge exactly.
 """
 
@@ -22,6 +23,7 @@ from .common import as_bytes, stable
 from .decontaminate import words
 
 BLOCK = 64
+DIGITS = 6
 INDEX = "ids array<long>, lengths array<long>, terms array<long>, offsets array<long>, docs array<int>, tfs array<int>"
 
 
@@ -115,7 +117,8 @@ class Shard:
         per_block = score.reshape(-1, BLOCK).max(1) + bound
         first = np.argpartition(-score, min(4 * k, size - 1))[: 4 * k]
         found, scores = first, exact(first)
-        kth = lambda s: np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else 0.0
+        slack = 10.0**-DIGITS  # what rounds to the last score ties with it
+        kth = lambda s: np.partition(s, len(s) - k)[len(s) - k] - slack if len(s) > k else 0.0
         least = kth(scores)
         order = np.argsort(-per_block)
         step = 8
@@ -187,7 +190,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
                     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                     for q, t, weight in block:
                         d, s = shard.top(shard.find(t), weight, k)
-                        d, s = _first(shard.ids[d], s, k)
+                        d, s = _first(shard.ids[d], np.round(s, DIGITS), k)
                         out.append((np.full(len(d), q), d, s))
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "doc_id", "score"])
