@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, stable
+from .common import as_bytes, lean, slices, stable
 
 # What separates words: every ASCII character but digits and letters; A-Z becomes a-z.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -103,7 +103,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         sent = docs.sparkSession.sparkContext.broadcast(dict(prefix))
 
         def probe(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches, "t"):
                 sizes, spans, items = [], [], []
                 for text in as_bytes(batch.column("t")):
                     w = words(text)
@@ -116,7 +116,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], [*keep, "n_words", "spans", "items"])
 
         kinds = f"id {texts.schema['id'].dataType.simpleString()}, " + "row long, " * (passes > 1) + "n_words long, spans array<struct<start:bigint,end:bigint>>, items array<string>"
-        one = texts.mapInArrow(probe, kinds)
+        one = texts.mapInArrow(lean(probe), kinds)
         if passes == 1:
             return one
         found = one if found is None else found.unionByName(one)

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, slices
+
 DIMS = 2048
 UNKNOWN = "und"
 # Families of ISO 639-1 codes, fixed values; a code that is not here is a family of its own.
@@ -154,7 +156,7 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(sent.value)
-        for batch in batches:
+        for batch in slices(batches, "t"):
             x = [features(t) for t in batch.column("t").to_pylist()]
             out = [(UNKNOWN, UNKNOWN, 0.0)] * len(x)
             at = [i for i, v in enumerate(x) if v is not None]
@@ -164,4 +166,4 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64())))], ["id", "lang_pred", "family_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, family_pred string, score double")
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, family_pred string, score double")

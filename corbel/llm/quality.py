@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, stable
+from .common import as_bytes, lean, slices, stable
 from .textstats import NAMES, stats
 
 D = len(NAMES)
@@ -21,12 +21,12 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``(id, x: array<float>)``: the statistics of each row's whole text; null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "t"):
             x = [np.nan_to_num(np.array(stats(t), np.float32)) for t in as_bytes(batch.column("t"))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(x, pa.list_(pa.float32()))], ["id", "x"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, x array<float>")
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, x array<float>")
 
 
 @dataclass

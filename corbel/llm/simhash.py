@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, stable
+from .common import as_bytes, give_back, lean, slices, stable
 from .components import components
 
 SEED = 42
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id, fp: array of lanes longs, shingles)``: one 64-bit SimHash a lane and the number of shingles; null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "t"):
             fps, sizes = [], []
             for text in as_bytes(batch.column("t")):
                 h = shingle_hashes(text, words)
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 sizes.append(len(h))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["id", "fp", "shingles"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, fp array<long>, shingles long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(lean(run), "id long, fp array<long>, shingles long")
 
 
 def _mix(h: np.ndarray, k: int) -> np.ndarray:
@@ -243,7 +243,13 @@ def near_links(points: DataFrame, radius: int, shards: int | None = None, band:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([int(x[0]) for x in seen.values()], pa.int64()), pa.array([int(x[1]) for x in seen.values()], pa.int64())], ["shard", "homes", "queries"])
 
     counted = points.select("fp", "size").mapInArrow(count, "shard long, homes long, queries long").groupBy("shard").agg(F.sum("homes").alias("h"), F.sum("queries").alias("q")).where("h > 0 and q > 1").collect()
-    grid = {x["shard"]: (math.ceil(x["h"] / cell), math.ceil(x["q"] / cell)) for x in counted}
+    held = 16 << 20  # 4-byte hashes of the homes of a cell, at most
+
+    def most(shard: int) -> int:
+        """Points of a cell: fewer where sets are large."""
+        return cell if verify_jaccard is None else max(1, min(cell, int(held / math.exp(step * (shard // tree.leaves)))))
+
+    grid = {x["shard"]: (math.ceil(x["h"] / most(x["shard"])), math.ceil(x["q"] / most(x["shard"]))) for x in counted}
     names = ["id", "fp"] + ["hashes"] * (verify_jaccard is not None)
 
     def spread(batches):
@@ -282,6 +288,7 @@ def near_links(points: DataFrame, radius: int, shards: int | None = None, band:
                 return both >= verify_jaccard * (len(a) + len(b) - both)
 
         out = spanning_links(ids, fps, (role & 1) > 0, (role & 2) > 0, radius, verify)
+        give_back()
         return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
 
     kinds = "cell long, role byte, id long, fp array<long>" + ", hashes array<int>" * (verify_jaccard is not None)
@@ -325,7 +332,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         raise ValueError("bands of size hold for similarities from 0.8")
 
     def sketch(batches):
-        for batch in batches:
+        for batch in slices(batches, "t"):
             keys, fps, sizes, sets = [], [], [], []
             for text in as_bytes(batch.column("t")):
                 h = shingle_hashes(text, words)
@@ -337,7 +344,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 sets.append(small)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary()), pa.array(fps, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], ["id", "key", "fp", "size", "hashes"])
 
-    rows = stable(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(sketch, "id long, key binary, fp array<long>, size long, hashes array<int>"))
+    rows = stable(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(lean(sketch), "id long, key binary, fp array<long>, size long, hashes array<int>"))
     same = stable(rows.groupBy("key").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("size").alias("size")).where("rep is not null"))
     same = same.groupBy("rep").agg(F.first("key").alias("key"), F.first("fp").alias("fp"), F.first("size").alias("size"))
     points = stable(same.select(F.col("rep").alias("id"), "fp", "size", "key"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import idcoder
-from .common import slices
+from .common import give_back, lean, slices
 
 SEGMENT = "file int, part int, doc_ids array<long>, sizes array<long>, n long, block long, order0 binary, words array<long>, crcs array<long>, payload binary"
 _ALNUM = frozenset(bytes([b]) for b in range(128) if chr(b).isalnum())
@@ -170,7 +170,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
             kinds = [pa.int32(), pa.int32(), longs, longs, pa.int64(), pa.int64(), pa.binary(), longs, longs, pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], ["file", "part", "doc_ids", "sizes", "n", "block", "order0", "words", "crcs", "payload"])
 
-        for batch in slices(batches, "t", 8 << 20):
+        for batch in slices(batches, "t", 4 << 20):
             stream, size = own.encode(batch.column("t"))
             ids += batch.column("id").to_pylist()
             sizes += (size + 1).tolist()
@@ -179,10 +179,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
             if held >= segment:
                 yield out()
                 ids, sizes, streams, held, part = [], [], [], 0, part + 1
+                give_back()
         if ids:
             yield out()
 
-    rows.repartitionByRange("id").sortWithinPartitions("id", "t").mapInArrow(run, SEGMENT).write.parquet(path)
+    rows.repartitionByRange("id").sortWithinPartitions("id", "t").mapInArrow(lean(run), SEGMENT).write.parquet(path)
 
 
 def _offsets(segments: DataFrame) -> DataFrame:
@@ -216,6 +217,6 @@ def read(spark: SparkSession, path: str, summary: bool = False) -> DataFrame:
                 m = len(sizes)
                 yield pa.RecordBatch.from_arrays([pa.array([row["file"]] * m, pa.int32()), pa.array([row["part"]] * m, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(at), pa.array(sizes), last], ["file", "part", "doc_id", "at", "n_tokens", "ids_crc32" if summary else "ids"])
 
-    docs = stored.mapInArrow(run, kinds)
+    docs = stored.mapInArrow(lean(run), kinds)
     before = _offsets(stored.select("file", "part", "n"))
     return docs.join(before, ["file", "part"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32" if summary else "ids")
