@@ -6,6 +6,7 @@ their ids as one stream coded by ``idcoder``. ``file`` and ``part`` order the se
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ class Encoder:
     Words between ASCII white space are tokenized alone, which gives the same ids where the tokenizer drops white space and never
     joins what it separates (``word_bpe_49k`` does; the constructor checks a probe, and texts are tokenized whole if it
     fails). Signs at the end of a word that ends in a letter or digit are split off and A-Z lower-cased, as that tokenizer
-    does, so that a word is tokenized once for all its forms. About ``most`` words are held.
+    does, so that a word is tokenized once for all its forms. At about ``most`` held words the cache begins anew.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -38,8 +39,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.words: dict[bytes, bytes] = {}
-        self.signs: dict[bytes, bytes] = {}
+        self._forget()
         # how the names of special tokens begin: words with one are tokenized as they are
         self.marks = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
         # tokens that end a word, where the vocabulary marks them
@@ -51,66 +51,90 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, to: dict[bytes, bytes], words: list[bytes]) -> None:
+    def _forget(self) -> None:
+        """An empty cache: places of words and signs in ``start`` and ``size``, which cut ``flat`` into their ids."""
+        self.words: dict[bytes, int] = {b"": 0}
+        self.signs: dict[bytes, int] = {}
+        self.flat, self.start, self.size = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _hold(self, flat: list[np.ndarray], size: list[np.ndarray]) -> int:
+        """Appends ids, with the sizes of the entries; the place of the first."""
+        first, sizes = len(self.size), np.concatenate([np.zeros(0, np.int64), *size])
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.flat = np.concatenate([self.flat, *flat])
+        return first
+
+    def _add(self, words: list[bytes]) -> int:
+        """Tokenizes each alone; the place of the first."""
+        flat, size = [], []
         for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
-            to.update(zip(some, (x.tobytes() for x in self._ids([w.decode("utf-8", "replace") for w in some]))))
+            ids = self._ids([w.decode("utf-8", "replace") for w in words[at : at + 20_000]])
+            flat += ids
+            size.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        return self._hold(flat, size)
 
-    def _learn(self, need: set[bytes]) -> None:
+    def _learn(self, need: list[bytes]) -> None:
         """Adds words. Those of letters alone are tokenized many at a time, and cut where a word ends."""
-        joined = [w for w in need if w.isalpha() or w.decode("utf-8", "replace").isalpha()]
-        alone = list(need.difference(joined))
+        joined, alone = [], []
+        for w in need:
+            (joined if w.isalpha() or w.decode("utf-8", "replace").isalpha() else alone).append(w)
+        known, flat, size = [], [], []
         for at in range(0, len(joined), 2_000):
             some = joined[at : at + 2_000]
             ids = self._ids([b" ".join(some).decode("utf-8", "replace")])[0]
-            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-            if len(ends) == len(some) and ends[-1] == ids.nbytes:
-                raw, cuts = ids.tobytes(), [0, *ends.tolist()]
-                self.words.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                known += some
+                flat.append(ids)
+                size.append(np.diff(ends, prepend=0))
             else:  # a word that the tokenizer splits, or a vocabulary without marks
                 alone += some
-        self._add(self.words, alone)
+        first = self._hold(flat, size)
+        self.words.update(zip(known, range(first, first + len(known))))
+        first = self._add(alone)
+        self.words.update(zip(alone, range(first, first + len(alone))))
 
     def _forms(self, forms: pa.Array, marked: bool) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the different forms and their numbers: of the word, then of the signs after it, which always begin a token of their own."""
+        if len(self.words) + len(self.signs) > self.most:
+            self._forget()
         bare = pc.ascii_rtrim(forms, characters=_SIGNS)
         tail = (pc.binary_length(forms).to_numpy() - pc.binary_length(bare).to_numpy()).astype(np.int64)
         coded = bare.dictionary_encode()
-        word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        index = coded.indices.to_numpy(zero_copy_only=False)
         words = coded.dictionary.cast(pa.binary()).to_pylist()
-        known = self.words
-        pool = list(map(known.get, words))
-        need = {w for w, x in zip(words, pool) if x is None}
-        whole = {w for w in need if w and w[-1:] not in _ALNUM and not w.decode("utf-8", "replace")[-1:].isalnum()}
-        self._learn(need - whole)
-        pool = [known.get(w, b"") if x is None else x for w, x in zip(words, pool)]
-        # forms to be tokenized as they are
-        odd = np.isin(word, [k for k, w in enumerate(words) if w in whole]) if whole else np.zeros(len(word), bool)
+        place = np.fromiter(map(self.words.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(place < 0)
+        need = [words[i] for i in new]
+        whole = np.array([w[-1:] not in _ALNUM and not w.decode("utf-8", "replace")[-1:].isalnum() for w in need], bool)
+        learned = [w for w, x in zip(need, whole) if not x]
+        self._learn(learned)
+        place[new[~whole]] = np.fromiter(map(self.words.__getitem__, learned), np.int64, len(learned))
+        word, odd = place[index], np.zeros(len(words), bool)
+        odd[new[whole]] = True
+        odd = odd[index]  # forms to be tokenized as they are
         for m in self.marks if marked else ():
             odd |= pc.match_substring(forms, m).to_numpy(zero_copy_only=False)
-        at = np.flatnonzero(odd)
-        if len(at):
-            word[at] = len(pool) + np.arange(len(at))
-            pool += [x.tobytes() for x in self._ids(forms.take(pa.array(at)).to_pylist())]
-            tail[at] = 0
-        sign = np.full(len(word), len(pool))
-        pool.append(b"")
-        for k in np.unique(tail[tail > 0]):
-            at = np.flatnonzero(tail == k)
+        sign = np.zeros(len(word), np.int64)
+        for k in np.unique(tail[(tail > 0) & ~odd]):
+            at = np.flatnonzero((tail == k) & ~odd)
             some = pc.utf8_slice_codeunits(forms.take(pa.array(at)), -int(k)).dictionary_encode()
             texts = some.dictionary.cast(pa.binary()).to_pylist()
-            self._add(self.signs, [t for t in texts if t not in self.signs])
-            sign[at] = len(pool) + some.indices.to_numpy(zero_copy_only=False)
-            pool += [self.signs[t] for t in texts]
-        if len(known) > self.most:  # what these texts used stays
-            now = set(words)
-            self.words = {w: x for w, x in known.items() if w in now}
-        if len(self.signs) > self.most // 8:
-            self.signs.clear()
-        size = np.fromiter(map(len, pool), np.int64, len(pool)) // 4
-        flat, start = np.frombuffer(b"".join(pool), "<u4"), np.cumsum(size) - size
+            unseen = [t for t in texts if t not in self.signs]
+            first = self._add(unseen)
+            self.signs.update(zip(unseen, range(first, first + len(unseen))))
+            sign[at] = np.fromiter(map(self.signs.__getitem__, texts), np.int64, len(texts))[some.indices.to_numpy(zero_copy_only=False)]
         both = np.stack([word, sign], 1)
-        return _gather(flat, start[both].ravel(), size[both].ravel()), size[both].sum(1)
+        both[odd] = 0
+        flat, start, size = self.flat, self.start[both], self.size[both]
+        at = np.flatnonzero(odd)
+        if len(at):
+            own = self._ids(forms.take(pa.array(at)).to_pylist())
+            size[at, 0] = np.fromiter(map(len, own), np.int64, len(own))
+            start[at, 0] = len(flat) + np.cumsum(size[at, 0]) - size[at, 0]
+            flat = np.concatenate([flat, *own])
+        return _gather(flat, start.ravel(), size.ravel()), size.sum(1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and how many each text has. A few megabytes at a time."""
