@@ -34,7 +34,7 @@ class Encoder:
     does, so that a word is tokenized once for all its forms. At about ``most`` held words the cache begins anew.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
