@@ -108,7 +108,7 @@ def test_samples_and_uploads(spark, tmp_path):
     (up / "c.bin").write_bytes(b"\xff\xfe\xff")
     (up / "d.txt").write_bytes(b"x" * 100)
     got = {r.path[-5:]: (r.media_type, r.state) for r in corpus.read_uploads(spark, str(up), most=40).collect()}
-    assert got == {"a.pdf": ("application/pdf", "quarantined"), "b.txt": ("text/plain", "size_limit"), "c.bin": (None, "type_rejected"), "d.txt": ("text/plain", "size_limit")}
+    assert got == {"a.pdf": ("application/pdf", "quarantined"), "b.txt": ("text/plain", "malware"), "c.bin": (None, "type_rejected"), "d.txt": ("text/plain", "size_limit")}
     assert {r.state for r in corpus.read_uploads(spark, str(up / "b.txt")).collect()} == {"malware"}
 
 
