@@ -3,7 +3,10 @@
 Spark counts, over all training documents, each byte after its context of ``order`` bytes, and each word. The trie of contexts
 of every shorter order follows from these counts. A byte unseen in its context costs an escape (method D) and is predicted by the
 next shorter context, without the bytes that the longer one has ruled out; below order 0 all others are alike. The
-probability of a byte depends on ``order + 1`` bytes only, so a batch is scored by its distinct such strings.
+probability of a byte depends on ``order + 1`` bytes only, so a chunk of documents asks for its distinct such strings.
+
+The model grows with the training texts and no task holds it whole: strings are dealt out by the three bytes before the last one,
+so each task has all longer contexts of the strings that it answers. Orders 0 to 2 are sent to all tasks. Answers go back to the chunks.
 """
 
 from __future__ import annotations
@@ -14,12 +17,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, lean, slices, stable
+from .common import as_bytes, give_back, lean, slices, stable
 
 END = 0xFF  # never in UTF-8: what stands before a text and what ends it
+BUCKETS = 1024  # that strings are dealt to; a task takes one or more
+SPREAD = 0x9E3779  # odd: multiplication by it permutes 24-bit numbers
+GATHER = pow(SPREAD, -1, 1 << 24)
 
 
 def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,18 +170,157 @@ def trie(counted: DataFrame, order: int = 5, most: int = 2_000_000) -> Trie | No
     return Trie.build(order, [s[0] for s in split], [s[1] for s in split])
 
 
-def scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 5, most: int = 2_000_000, common: int = 100_000) -> DataFrame:
+def _keys(codes: np.ndarray, order: int) -> np.ndarray:
+    """Codes rearranged so that those of one bucket, and of one context of three bytes in it, are neighbours when sorted."""
+    near = (codes >> np.uint64(8) & np.uint64(0xFFFFFF)) * np.uint64(SPREAD) & np.uint64(0xFFFFFF)
+    return near << np.uint64(8 * max(order - 2, 1)) | codes >> np.uint64(32) << np.uint64(8) | codes & np.uint64(0xFF)
+
+
+def _codes(keys: np.ndarray, order: int) -> np.ndarray:
+    shift = 8 * max(order - 2, 1)
+    near = (keys >> np.uint64(shift)) * np.uint64(GATHER) & np.uint64(0xFFFFFF)
+    return (keys & np.uint64((1 << shift) - 1)) >> np.uint64(8) << np.uint64(32) | near << np.uint64(8) | keys & np.uint64(0xFF)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(blob: bytes, n: int, kind: type) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob, n * np.dtype(kind).itemsize, "zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(-1, n).T).view(kind).ravel()
+
+
+def _unpack_keys(part: pa.Table) -> np.ndarray:
+    blobs = zip(part.column("keys").to_pylist(), part.column("size").to_pylist())
+    return np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(_unpack(b, n, np.uint64), dtype=np.uint64) for b, n in blobs)])
+
+
+def _dealt(keys: np.ndarray, order: int) -> Iterator[tuple[int, slice]]:
+    """Buckets of sorted keys, and where these are."""
+    shift = np.uint64(8 * max(order - 2, 1) + 14)  # the ten highest of 24 bits
+    cuts = np.searchsorted(keys >> shift, np.arange(BUCKETS + 1, dtype=np.uint64))
+    return ((b, slice(cuts[b], cuts[b + 1])) for b in np.flatnonzero(np.diff(cuts)).tolist())
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _summed(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    unique, inverse = np.unique(x, return_inverse=True)
+    return unique, np.bincount(inverse, n, len(unique))
+
+
+def gathered(train: DataFrame, text_col: str = "text", order: int = 5, hold: int = 300_000) -> DataFrame:
+    """What ``counts`` counts, before it is summed: packed keys with their counts by bucket, ``(low, n)`` of the strings of up to three bytes, and ``(word, n)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
+        keys, ns = np.zeros(0, np.uint64), np.zeros(0, np.float64)
+
+        def out() -> pa.RecordBatch:
+            parts = list(_dealt(keys, order))
+            low, low_n = _summed(_codes(keys, order) & _mask(min(order, 2) + 1), ns)
+            a, b, c = len(parts), len(low), len(words)
+            full = lambda kind, before, x, after: pa.concat_arrays([pa.nulls(before, kind), pa.array(x, kind), pa.nulls(after, kind)])
+            cells = [
+                full(pa.int32(), 0, [k for k, _ in parts], b + c), full(pa.int32(), 0, [s.stop - s.start for _, s in parts], b + c),
+                full(pa.binary(), 0, [_pack_keys(keys[s]) for _, s in parts], b + c), full(pa.binary(), 0, [_pack(ns[s].astype(np.uint32)) for _, s in parts], b + c),
+                full(pa.int64(), a, low.astype(np.int64), c), full(pa.binary(), a + b, list(words), 0), full(pa.int64(), a, np.concatenate([low_n.astype(np.int64), np.fromiter(words.values(), np.int64, c)]), 0),
+            ]
+            return pa.RecordBatch.from_arrays(cells, ["bucket", "size", "keys", "ns", "low", "word", "n"])
+
+        for batch in slices(batches, "t"):
+            texts = [x.lower() for x in as_bytes(batch.column("t"))]
+            new, n = np.unique(_keys(grams(texts, order)[0], order), return_counts=True)
+            keys, ns = _summed(np.concatenate([keys, new]), np.concatenate([ns, n]))
+            for t in texts:
+                words.update(t.split())
+            words[b""] += len(texts)
+            if len(words) > hold or len(keys) > 5 * hold:
+                yield out()
+                words, keys, ns = Counter(), keys[:0], ns[:0]
+        yield out()
+
+    rows = train.select(F.col(text_col).cast("string").alias("t"))
+    return rows.mapInArrow(lean(run), "bucket int, size int, keys binary, ns binary, low long, word binary, n long")
+
+
+def chunked(rows: DataFrame, order: int, most_bytes: int = 24 << 20, most_keys: int = 1_500_000) -> DataFrame:
+    """``rows(id, t)`` lower-cased with the number of their chunk, and (without id and t) packed by bucket the distinct keys of each chunk."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, keys = TaskContext.get().partitionId() << 32, 0, np.zeros(0, np.uint64)
+        names, id_kind = ["chunk", "id", "t", "bucket", "size", "keys"], None
+
+        def out() -> pa.RecordBatch:
+            parts = list(_dealt(keys, order))
+            n = len(parts)
+            cells = [pa.array([k for k, _ in parts], pa.int32()), pa.array([s.stop - s.start for _, s in parts], pa.int32()), pa.array([_pack_keys(keys[s]) for _, s in parts], pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.nulls(n, id_kind), pa.nulls(n, pa.binary()), *cells], names)
+
+        for batch in slices(batches, "t", 2 << 20):
+            id_kind, n = batch.column("id").type, batch.num_rows
+            texts = [x.lower() for x in as_bytes(batch.column("t"))]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), batch.column("id"), pa.array(texts, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            keys, held = np.union1d(keys, _keys(grams(texts, order)[0], order)), held + sum(map(len, texts))
+            if held > most_bytes or len(keys) > most_keys:
+                yield out()
+                chunk, held, keys = chunk + 1, 0, keys[:0]
+        if len(keys):
+            yield out()
+
+    return rows.mapInArrow(lean(run), f"chunk long, id {kind}, t binary, bucket int, size int, keys binary")
+
+
+def answers(counted: DataFrame, asked: DataFrame, low: tuple[np.ndarray, np.ndarray], order: int, share: int = 1_500_000) -> DataFrame:
+    """``(chunk, bucket, size, keys, logs)``: the asked keys' log10 probabilities under all counts. A task takes buckets of about ``share`` keys."""
+    levels = [_summed(low[0] & _mask(k + 1), low[1]) for k in range(min(order, 2) + 1)]
+    sent = asked.sparkSession.sparkContext.broadcast(levels)
+    n = sum(x.agg(F.sum("size")).first()[0] or 0 for x in (counted, asked))
+    tasks = min(BUCKETS, max(1, -(-n // share)))
+
+    def run(own: pa.Table, asks: pa.Table) -> pa.Table:
+        known = list(sent.value)
+        if own.num_rows and order > 2:
+            ns = np.concatenate([_unpack(b, m, np.uint32) for b, m in zip(own.column("ns").to_pylist(), own.column("size").to_pylist())])
+            codes, ns = _summed(_codes(_unpack_keys(own), order), ns)
+            known += [_summed(codes & _mask(k + 1), ns) for k in range(3, order + 1)]
+        model = Trie.build(len(known) - 1, [x[0] for x in known], [x[1] for x in known])
+        unique, inverse = np.unique(_codes(_unpack_keys(asks), order), return_inverse=True)
+        logs = model.log10(unique)[inverse]
+        ends = np.cumsum(asks.column("size").to_numpy())
+        out = asks.select(["chunk", "bucket", "size", "keys"]).append_column("logs", pa.array([x.tobytes() for x in np.split(logs, ends[:-1])] if len(ends) else [], pa.binary()))
+        give_back()
+        return out
+
+    task = (F.col("bucket") % tasks).alias("task")
+    left, right = counted.select(task, "size", "keys", "ns"), asked.select(task, "chunk", "bucket", "size", "keys")
+    return left.groupBy("task").cogroup(right.groupBy("task")).applyInArrow(run, "chunk long, bucket int, size int, keys binary, logs binary")
+
+
+def scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 5, most: int | None = None, common: int = 100_000) -> DataFrame:
     """``(id, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``, learned from all of ``train``.
 
     Texts are lower-cased (A-Z); null is empty. ``score`` is the trie's log10 probability of all bytes and the end, ``base_score`` that of
     the words and one end under smoothed word counts. At most ``common`` frequent words are sent to the tasks; the
     others are looked up by a join. Rows that repeat an id keep their own rows. Without training texts all bytes are alike.
+    All contexts are kept; with ``most`` the model is cut to so many edges (see ``trie``) and sent to the tasks.
     """
     if not 1 <= order <= 6:
         raise ValueError("order must be 1 to 6")
     spark = docs.sparkSession
-    counted = stable(counts(train, text_col, order))
-    words = counted.where("word is not null")
+    if most is None:
+        counted = stable(gathered(train, text_col, order))
+        words = stable(counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
+        lows = counted.where("low is not null").groupBy("low").agg(F.sum("n").alias("n")).toArrow()
+        low = lows.column("low").to_numpy().view(np.uint64), lows.column("n").to_numpy()
+    else:
+        counted = stable(counts(train, text_col, order))
+        words = counted.where("word is not null")
     n_all, v_all = (x or 0 for x in words.agg(F.sum("n"), F.count("*")).first())
     # how many words have each count, from the most frequent on: a threshold that keeps at most `common` words
     step = F.floor(F.log2("n") * 16)
@@ -186,21 +332,22 @@ def scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col:
         cut = r["step"]
     often = step >= F.lit(cut if cut is not None else 1 << 20)
     frequent = {bytes(r["word"]): r["n"] for r in words.where(often).select("word", "n").collect()}
-    model = trie(counted, order, most)
+    model = None if most is None else trie(counted, order, most)
     log = {w: float(np.log10(n + 1)) for w, n in frequent.items()}
     sent = spark.sparkContext.broadcast((model, log))
     del model, frequent, log
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], asked: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
         own, log = sent.value
         for batch in slices(batches, "t", 2 << 20):
             texts = [x.lower() for x in as_bytes(batch.column("t"))]
-            codes, begin = grams(texts, order)
-            if own is None:
+            if own is None and asked is None:
                 total = np.array([-(len(t) + 1) * np.log10(256.0) for t in texts])
             else:
-                unique, inverse = np.unique(codes, return_inverse=True)
-                total = np.add.reduceat(own.log10(unique)[inverse], begin)
+                codes, begin = grams(texts, order)
+                unique, inverse = np.unique(codes if asked is None else _keys(codes, order), return_inverse=True)
+                logs = own.log10(unique) if asked is None else asked[1][np.searchsorted(asked[0], unique)]
+                total = np.add.reduceat(logs[inverse], begin)
             sizes, known, base, rare, times = [], [], [], [], []
             for t in texts:
                 w = t.split()
@@ -215,9 +362,22 @@ def scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col:
             cells = [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cells, ["id", "n_tokens", "known", "base", "score", "rare", "times"])
 
+    def of_chunk(texts: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by("bucket")
+        logs = np.frombuffer(b"".join(found.column("logs").to_pylist()), np.float64)
+        out = pa.Table.from_batches(run(iter(texts.select(["id", "t"]).to_batches()), (_unpack_keys(found), logs)))
+        give_back()
+        return out
+
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     kinds = f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, known long, base double, score double, rare array<binary>, times array<long>"
-    done = stable(rows.mapInArrow(lean(run), kinds).withColumn("row", F.monotonically_increasing_id()))
+    if most is None and len(low[0]):
+        chunks = stable(chunked(rows, order))
+        found = answers(counted.where("bucket is not null"), chunks.where("bucket is not null"), low, order)
+        scored = chunks.where("bucket is null").select("chunk", "id", "t").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(of_chunk, kinds)
+    else:
+        scored = rows.mapInArrow(lean(run), kinds)
+    done = stable(scored.withColumn("row", F.monotonically_increasing_id()))
     asked = done.select("row", F.inline(F.arrays_zip("rare", "times"))).withColumnRenamed("rare", "word")
     more = asked.join(words.where(~often).select("word", "n"), "word").groupBy("row").agg(F.sum("times").alias("k"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("b"))
     all_ = done.drop("rare", "times").join(more, "row", "left")

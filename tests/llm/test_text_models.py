@@ -132,6 +132,29 @@ def test_ppm_without_training_rows_and_pruned(spark):
     assert ppm.scores(docs.where("false"), docs).count() == 0
 
 
+def test_ppm_keeps_every_context_of_a_large_model(spark):
+    """More than 2,000,000 edges, dealt to several tasks and asked for by several chunks, score as one model that holds them all."""
+    rng = np.random.default_rng(7)
+    texts = [bytes(rng.integers(97, 123, 50_000, np.uint8)) for _ in range(20)]
+    codes, begin = ppm.grams(texts, 5)
+    levels = [np.unique(codes & ppm._mask(k + 1), return_counts=True) for k in range(6)]
+    assert sum(len(u) for u, _ in levels) > 2_000_000
+    model = ppm.Trie.build(5, [u for u, _ in levels], [n.astype(float) for _, n in levels])
+    want = np.add.reduceat(model.log10(codes), begin)
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [r.score for r in sorted(ppm.scores(docs, docs).collect())]
+    assert np.abs(np.array(got) - want).max() < 1e-3
+
+
+def test_ppm_keys_are_codes_rearranged():
+    for order in range(1, 7):
+        codes = ppm.grams([EN.encode(), DE.encode(), b""], order)[0]
+        keys = np.unique(ppm._keys(codes, order))
+        assert (ppm._codes(keys, order) != 0).all() and set(ppm._codes(keys, order).tolist()) == set(codes.tolist())
+        parts = list(ppm._dealt(keys, order))
+        assert sum(s.stop - s.start for _, s in parts) == len(keys) and len({b for b, _ in parts}) == len(parts)
+
+
 def test_remainder_is_that_of_crc32(spark):
     from corbel.llm.common import id_remainder
 
