@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,44 +50,128 @@ def cap_series(df: DataFrame, metric: str, series: str, order: str, most: int =
     return df.join(kept, [metric, series], "left_semi")
 
 
+def _runs(values: list, last: list) -> Iterator[tuple[slice, bool]]:
+    """Stretches of equal neighbours, and whether each begins a key; ``last`` holds the key that the batch before ended with."""
+    same = lambda a, b: a == b or a != a and b != b
+    at = 0
+    while at < len(values):
+        end = at + 1
+        while end < len(values) and same(values[end], values[at]):
+            end += 1
+        yield slice(at, end), not last or not same(last[0], values[at])
+        last[:] = [values[at]]
+        at = end
+
+
 def anchored_windows(df: DataFrame, key: str, at_ms: str, order: str, window_ms: int, most: int) -> DataFrame:
     """Fixed windows that begin with a key's first event and again with the first event at or after their end; all hits count, over ``most`` are denied.
 
-    A key's events fold in order inside ``aggregate``, as the next window depends on the last; ``(key, order, at, slot, allowed)``. A key's times are
-    cut at gaps of a whole window first, since a gap always begins a window, so a busy key is folded in pieces.
+    ``(key, order, window_start, hit, allowed)``. The next window depends on the last, so a key's events pass through one task, in order; it
+    holds a batch of them and the current window, however many there are.
     """
-    w = Window.partitionBy(key).orderBy(at_ms, order)
-    gap = F.coalesce((F.col(at_ms) - F.lag(at_ms).over(w) >= window_ms).cast("int"), F.lit(1))
-    rows = df.withColumn("gap", gap).withColumn("piece", F.sum("gap").over(w))
-    lists = rows.groupBy(key, "piece").agg(F.array_sort(F.collect_list(F.struct(F.col(at_ms).cast("long").alias("at"), F.col(order).cast("long").alias("id")))).alias("events"))
-    empty = F.expr("named_struct('start', cast(null as bigint), 'n', 0L, 'out', cast(array() as array<struct<id:bigint,start:bigint,n:bigint>>))")
-
-    def step(acc: Column, e: Column) -> Column:
-        fresh = acc["start"].isNull() | (acc["start"] + window_ms <= e["at"])
-        start, n = F.when(fresh, e["at"]).otherwise(acc["start"]), F.when(fresh, F.lit(1).cast("long")).otherwise(acc["n"] + 1)
-        return F.struct(start.alias("start"), n.alias("n"), F.concat(acc["out"], F.array(F.struct(e["id"].alias("id"), start.alias("start"), n.alias("n")))).alias("out"))
-
-    folded = lists.select(key, F.inline(F.aggregate("events", empty, step, lambda acc: acc["out"])))
-    return folded.select(key, F.col("id").alias(order), F.col("start").alias("window_start"), F.col("n").alias("hit"), (F.col("n") <= most).alias("allowed"))
+    rows = df.select(key, F.col(at_ms).cast("long").alias("at"), F.col(order).cast("long").alias(order))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, start, n = [], None, 0
+        for batch in batches:
+            column = batch.column("at")
+            times, empty = column.fill_null(0).to_numpy(), column.is_null().to_numpy(zero_copy_only=False)
+            starts, hits = np.zeros(len(times), np.int64), np.ones(len(times), np.int64)
+            for run, fresh in _runs(batch.column(key).to_pylist(), last):
+                if fresh:
+                    start, n = None, 0
+                at = run.start + int(empty[run].sum())  # rows without a time come first, each for itself
+                while at < run.stop:
+                    if start is None or start + window_ms <= times[at]:
+                        start, n = int(times[at]), 0
+                    end = at + int(np.searchsorted(times[at : run.stop], start + window_ms))
+                    starts[at:end], hits[at:end] = start, np.arange(n + 1, n + 1 + end - at)
+                    at, n = end, n + end - at
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(order), pa.array(starts, pa.int64(), mask=empty), pa.array(hits, pa.int64())], [key, order, "window_start", "hit"])
+
+    kinds = f"`{key}` {df.schema[key].dataType.simpleString()}, `{order}` long, window_start long, hit long"
+    return rows.repartition(key).sortWithinPartitions(key, "at", order).mapInArrow(fold, kinds).withColumn("allowed", F.col("hit") <= most)
 
 
 def circuit(rows: DataFrame, key: str, order: str, failed: str, opens: int = 3, cool: int = 5) -> DataFrame:
-    """Each key's breaker state after all its calls, folded in order: ``opens`` failures in a row open it, ``cool`` calls later one probe decides."""
-    lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(failed).alias("bad")))).alias("calls"))
-    start = F.expr("named_struct('state', 'closed', 'bad', 0, 'waited', 0, 'opened', 0)")
-
-    def step(a: Column, c: Column) -> Column:
-        state = a["state"]
-        bad = F.when(state == "closed", F.when(c["bad"], a["bad"] + 1).otherwise(0)).otherwise(0)
-        trip = (state == "closed") & (bad >= opens)
-        ripe = (state == "open") & (a["waited"] + 1 >= cool)
-        new = F.when(trip, "open").when(ripe, "half_open").when(state == "half_open", F.when(c["bad"], "open").otherwise("closed")).otherwise(state)
-        waited = F.when((state == "open") & ~ripe, a["waited"] + 1).otherwise(0)
-        opened = a["opened"] + F.when((new == "open") & (state != "open"), 1).otherwise(0)
-        return F.struct(new.alias("state"), F.when(trip, 0).otherwise(bad).cast("int").alias("bad"), waited.cast("int").alias("waited"), opened.cast("int").alias("opened"))
-
-    folded = lists.select(key, F.aggregate("calls", start, step).alias("s"))
-    return folded.select(key, F.col("s.state").alias("state"), F.col("s.opened").alias("times_opened"))
+    """Each key's breaker state after all its calls in order: ``opens`` failures in a row open it, ``cool`` calls later one probe decides.
+
+    Calls are dealt by ranges of (key, order), so a busy key goes to many tasks. A task says for each of its keys where each state leads and how
+    often it opens on the way; a key's few such rows are then taken in order.
+    """
+    names = ["closed"] * max(opens, 1) + ["open"] * max(cool, 1) + ["half_open"]  # failures in a row; calls waited; the probe
+    first_open, half = max(opens, 1), len(names) - 1
+
+    def after(state: int, bad: bool) -> int:
+        if state == half:
+            return first_open if bad else 0
+        if state >= first_open:
+            return state + 1  # the last one leads to the probe
+        return 0 if not bad and opens > 0 else first_open if state + 1 >= opens else state + 1
+
+    table = np.array([[after(s, bad) for s in range(half + 1)] for bad in (False, True)], np.int16)
+    opened = ((table >= first_open) & (table < half) & ~((np.arange(half + 1) >= first_open) & (np.arange(half + 1) < half))).astype(np.int64)
+
+    def lead(bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each state leads and how often it opens, by pairs of neighbours until one row is left."""
+        to, n = table[bad], opened[bad]
+        while len(to) > 1:
+            odd = len(to) % 2
+            a, b, m, k = to[0 : len(to) - odd : 2], to[1::2], n[0 : len(n) - odd : 2], n[1::2]
+            to, n = np.concatenate([np.take_along_axis(b, a, 1), to[len(to) - odd :]]), np.concatenate([m + np.take_along_axis(k, a, 1), n[len(n) - odd :]])
+        return to[0], n[0]
+
+    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = [], None
+
+        def rows_of(done: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([x[0] for x in done]), pa.array([x[1].tolist() for x in done], pa.list_(pa.int32())), pa.array([x[2].tolist() for x in done], pa.list_(pa.int64()))], [key, "to", "n"])
+
+        for batch in batches:
+            bad, done = batch.column("bad").fill_null(False).to_numpy(zero_copy_only=False).astype(np.int8), []
+            for run, fresh in _runs(batch.column(key).to_pylist(), last):
+                to, n = lead(bad[run])
+                if fresh:
+                    done += [held] if held else []
+                    held = batch.column(key).slice(run.start, 1), to, n
+                else:
+                    held = held[0], to[held[1]], held[2] + n[held[1]]
+            if done:
+                yield rows_of(done)
+        if held:
+            yield rows_of([held])
+
+    calls = rows.select(key, F.col(order).alias("at"), F.col(failed).alias("bad"))
+    parts = calls.repartitionByRange(key, "at", "bad").sortWithinPartitions(key, "at", "bad").mapInArrow(summary, f"`{key}` {rows.schema[key].dataType.simpleString()}, to array<int>, n array<long>")
+    lists = parts.withColumn("task", F.spark_partition_id()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("task", "to", "n"))).alias("parts"))
+
+    def step(a: Column, p: Column) -> Column:
+        return F.struct(F.element_at(p["to"], a["state"] + 1).alias("state"), (a["opened"] + F.element_at(p["n"], a["state"] + 1)).alias("opened"))
+
+    folded = lists.select(key, F.aggregate("parts", F.expr("named_struct('state', 0, 'opened', 0L)"), step).alias("s"))
+    return folded.select(key, F.element_at(F.array(*map(F.lit, names)), F.col("s.state") + 1).alias("state"), F.col("s.opened").cast("int").alias("times_opened"))
+
+
+def ordered_digest(df: DataFrame, key: str, order: list[str], item: Column) -> DataFrame:
+    """``(key, n, digest)``: SHA-256 of a JSON array of each key's items in order. A key's items pass through one task, which holds a batch of them."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, n, hashed = [], None, 0, None
+        done = lambda: pa.RecordBatch.from_arrays([held, pa.array([n], pa.int64()), pa.array(["sha256:" + (hashed.update(b"]"), hashed.hexdigest())[1]])], [key, "n", "digest"])
+        for batch in batches:
+            items = batch.column("item").cast(pa.binary()).to_pylist()
+            for run, fresh in _runs(batch.column(key).to_pylist(), last):
+                if fresh:
+                    if hashed:
+                        yield done()
+                    held, n, hashed = batch.column(key).slice(run.start, 1), 0, hashlib.sha256(b"[")
+                hashed.update((b"," if n else b"") + b",".join(items[run]))
+                n += run.stop - run.start
+        if hashed:
+            yield done()
+
+    rows = df.repartition(key).sortWithinPartitions(key, *order).select(key, item.alias("item"))
+    return rows.mapInArrow(fold, f"`{key}` {df.schema[key].dataType.simpleString()}, n long, digest string")
 
 
 def next_circuit(state: Column, failures: Column, cooled: Column, probe_ok: Column) -> Column:

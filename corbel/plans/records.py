@@ -439,9 +439,8 @@ SOFT_DELETE = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '2024-01-01' WHEN do
 def audit_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events in order as one JSON payload, with its digest and count; a user's history is one export."""
     e = table(spark, sf_dir, "events").select("user_id", F.unix_millis("ts").alias("at"), "event_id", "event_type")
-    per = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("at", "event_id", "event_type"))).alias("rows"))
-    payload = F.to_json(F.transform("rows", lambda r: F.struct(r["event_id"].alias("id"), r["event_type"].alias("type"))))
-    return per.select("user_id", F.size("rows").alias("n"), T.digest(payload.cast("binary")).alias("digest"))
+    item = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type")))
+    return ops.ordered_digest(e, "user_id", ["at", "event_id", "event_type"], item)
 
 
 AUDIT_EXPORT = """SELECT user_id, count(*) AS n, 'sha256:' || sha256('[' || string_agg('{"id":' || event_id || ',"type":"' || event_type || '"}', ',' ORDER BY epoch_us(ts) // 1000, event_id) || ']') AS digest FROM events GROUP BY 1"""

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import io
 import json
 import zipfile
@@ -70,6 +71,35 @@ def test_circuit_fold(spark):
     assert got == {1: ("open", 1), 2: ("open", 1), 3: ("closed", 1)}
 
 
+def test_busy_keys_make_no_row_of_all_their_events(spark):
+    """A key with most events is folded without gathering them: no list of events in the plan, and the results of loops."""
+    calls = [(1, k, k % 7 < 4 or k % 11 == 0, k * k % 50_000) for k in range(30_000)] + [(u, k, k % 3 > 0, k * 900) for u in range(2, 40) for k in range(u)]
+    df = spark.createDataFrame(calls, "u int, n long, bad boolean, at long").repartition(16)
+    state, windows = {}, {}
+    for u, _, bad, _ in calls:
+        name, fails, waited, opened = state.get(u, ("closed", 0, 0, 0))
+        if name == "closed":
+            fails = fails + 1 if bad else 0
+            state[u] = ("open", 0, 0, opened + 1) if fails >= 3 else ("closed", fails, 0, opened)
+        elif name == "open":
+            state[u] = ("half_open", 0, 0, opened) if waited + 1 >= 5 else ("open", 0, waited + 1, opened)
+        else:
+            state[u] = ("open", 0, 0, opened + 1) if bad else ("closed", 0, 0, opened)
+    want = []
+    for u, n, _, at in sorted(calls, key=lambda c: (c[0], c[3], c[1])):
+        start, hit = windows.get(u, (None, 0))
+        windows[u] = start, hit = (at, 1) if start is None or start + 700 <= at else (start, hit + 1)
+        want.append((u, n, start, hit, hit <= 2))
+    broken, limited = ops.circuit(df, "u", "n", "bad"), ops.anchored_windows(df, "u", "at", "n", 700, 2)
+    assert {r.u: (r.state, r.times_opened) for r in broken.collect()} == {u: (s[0], s[3]) for u, s in state.items()}
+    assert sorted(map(tuple, limited.collect())) == sorted(want)
+    digests = {r.u: (r.n, r.digest) for r in ops.ordered_digest(df, "u", ["n"], F.col("n").cast("string")).collect()}
+    assert digests == {u: (len(x), "sha256:" + hashlib.sha256(f"[{','.join(x)}]".encode()).hexdigest()) for u in state for x in [[str(c[1]) for c in calls if c[0] == u]]}
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (limited, ops.ordered_digest(df, "u", ["n"], F.col("n").cast("string")))]
+    assert not any("collect_list" in p for p in plans)
+    assert "RepartitionByExpression [u" in broken._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_lifecycles(spark):
     df = spark.createDataFrame([("draft", "approved"), ("draft", "active"), ("active", "rolled_back"), ("rolled_back", "active"), ("superseded", "active")], "a string, b string")
     assert [r[0] for r in df.select(policy.next_policy_state(F.col("a"), F.col("b"))).collect()] == ["accepted", "rejected", "accepted", "accepted", "rejected"]
