@@ -319,7 +319,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 34) -> DataFrame:
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 34, row_col: str | None = None) -> DataFrame:
     """``(doc_id, group_id)`` for rows whose texts belong together: equal word sequences, or chains of texts with a
     Jaccard similarity of at least ``similarity`` over the sets of their shingles of ``words`` words.
 
@@ -327,6 +327,8 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     about 19, its deviation 4) and whose numbers of shingles differ by a quarter at most; the sets decide. A radius this
     large leaves the triangle bound nothing to prune, so the bands of size and the grid of cells share out the work. Only
     texts that have a candidate carry their shingles further. Null and blank texts are one group. Smallest id names a group.
+    With ``row_col``, a column of distinct longs, the rows also have it and ``first``: whether the row is its group's only one to
+    stay, which is that of the smallest id and, of several such rows, of the smallest ``row_col``.
     """
     if similarity < 0.8:
         raise ValueError("bands of size hold for similarities from 0.8")
@@ -342,15 +344,22 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 small = np.unique((u >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 sizes.append(len(small))
                 sets.append(small)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary()), pa.array(fps, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], ["id", "key", "fp", "size", "hashes"])
-
-    rows = stable(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(lean(sketch), "id long, key binary, fp array<long>, size long, hashes array<int>"))
-    same = stable(rows.groupBy("key").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("size").alias("size")).where("rep is not null"))
-    same = same.groupBy("rep").agg(F.first("key").alias("key"), F.first("fp").alias("fp"), F.first("size").alias("size"))
-    points = stable(same.select(F.col("rep").alias("id"), "fp", "size", "key"))
-    maybe = near_links(points.drop("key"), radius, band=True)
-    hot = stable(maybe.select(F.explode(F.array("u", "v")).alias("id")).distinct())
-    linked = stable(rows.select("id", "fp", "size", "hashes").join(hot, "id").dropDuplicates(["id"]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(keys, pa.binary()), pa.array(fps, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], ["id", "row", "key", "fp", "size", "hashes"])
+
+    rows = stable(docs.select(F.col(id_col).cast("long").alias("id"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"), F.col(text_col).cast("string").alias("t")).mapInArrow(lean(sketch), "id long, row long, key binary, fp array<long>, size long, hashes array<int>"))
+    # a number of the text's own: the smallest id of several texts can be the same where ids repeat
+    rows = rows.withColumn("node", F.xxhash64("key"))
+    same = stable(rows.groupBy("key").agg(F.min("id").alias("rep"), F.first("node").alias("node"), F.first("fp").alias("fp"), F.first("size").alias("size")).where("rep is not null"))
+    points = stable(same.groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"))).withColumnRenamed("node", "id")
+    maybe = near_links(points, radius, band=True)
+    hot = stable(maybe.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    linked = stable(rows.select("node", "fp", "size", "hashes").join(hot, "node").dropDuplicates(["node"]).withColumnRenamed("node", "id"))
     comp = components(near_links(linked, radius, band=True, verify_jaccard=similarity))
-    names = points.select("key", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("group_id"))
-    return rows.select("id", "key").join(names, "key").select(F.col("id").alias("doc_id"), "group_id")
+    named = same.select("key", "node", "rep").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lowest = named.groupBy("component").agg(F.min("rep").alias("group_id"))
+    named = named.join(lowest, "component").select("key", "component", "group_id")
+    if row_col is None:
+        return rows.select("id", "key").join(named, "key").select(F.col("id").alias("doc_id"), "group_id")
+    named = stable(rows.select("id", "row", "key").join(named, "key"))
+    stay = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias("stay"))
+    return named.join(stay, "component").select(F.col("id").alias("doc_id"), "group_id", F.col("row").alias(row_col), (F.col("row") == F.col("stay")).alias("first"))

@@ -106,3 +106,16 @@ def test_hot_group_makes_no_pairs(spark):
     rows = [(i, "the same words again and again in this text") for i in range(500)]
     out = S.near_duplicates(frame(spark, rows))
     assert out.where(F.col("component_id") == 0).count() == 500
+
+
+def test_groups_of_repeated_ids(spark):
+    """An id with two texts is the smallest of both; a row is repeated whole. Each text keeps one row, and no row is lost."""
+    import corpus_pipeline as C
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, b), (5, c), (5, c), (6, a + " more"), (7, c), (4, "alone in its group")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id, r.group_id) for r in S.duplicate_groups(docs).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (4, 4), (5, 5), (5, 5), (6, 1), (7, 5)]
+    kept = sorted(tuple(r) for r in C.drop_near_duplicates(spark, docs, "").collect())
+    assert kept == [(1, a), (1, b), (4, "alone in its group"), (5, c)]
