@@ -110,10 +110,20 @@ def verdicts(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     return rows.select(id_col, unrank(F.coalesce("worst", F.lit(0))).alias("disposition"), F.coalesce("n", F.lit(0)).alias("n_findings"), F.coalesce("reasons", F.lit("")).alias("reason_codes"))
 
 
-def base64_tokens(docs: DataFrame, id_col: str, text_col: str, most: int = 64) -> DataFrame:
-    """Per row the number of runs that look like base64, and how many of the first ``most`` decode to text with a letter or digit or are skipped."""
-    tokens = F.slice(F.regexp_extract_all(F.col(text_col), F.lit("[A-Za-z0-9+/]{8,}={0,2}"), F.lit(0)), 1, most)
-    decoded = lambda t: F.try_to_binary(t, F.lit("base64"))
-    good = lambda t: F.coalesce((F.length(decoded(t)) <= 65536) & F.is_valid_utf8(decoded(t).cast("string")) & decoded(t).cast("string").rlike("[\\p{L}\\p{N}]"), F.lit(False))
-    rows = docs.select(id_col, tokens.alias("tokens"))
-    return rows.select(id_col, F.size("tokens").alias("n_tokens"), F.size(F.filter("tokens", good)).alias("n_decoded"))
+def base64_runs(text: Column, most: int | None = None) -> Column:
+    """All runs that look like base64, or the first ``most``."""
+    runs = F.regexp_extract_all(text, F.lit("[A-Za-z0-9+/]{8,}={0,2}"), F.lit(0))
+    return runs if most is None else F.slice(runs, 1, most)
+
+
+def base64_text(run: Column) -> Column:
+    """The text that a run decodes to: UTF-8 of at most 65,536 bytes with a letter or digit; otherwise null."""
+    raw = F.try_to_binary(run, F.lit("base64"))
+    return F.when((F.length(raw) <= 65536) & F.is_valid_utf8(raw.cast("string")) & raw.cast("string").rlike("[\\p{L}\\p{N}]"), raw.cast("string"))
+
+
+def base64_tokens(docs: DataFrame, id_col: str, text_col: str, most: int | None = None) -> DataFrame:
+    """Per row the number of all runs that look like base64, and how many of them (with ``most`` of the first so many) decode to a text."""
+    rows = docs.select(id_col, base64_runs(F.col(text_col)).alias("tokens"))
+    tried = F.col("tokens") if most is None else F.slice("tokens", 1, most)
+    return rows.select(id_col, F.size("tokens").alias("n_tokens"), F.size(F.filter(tried, lambda t: base64_text(t).isNotNull())).alias("n_decoded"))

@@ -62,8 +62,8 @@ def representation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     asis = detect.findings(docs, RULES, "doc_id", "text").select("doc_id", "rule_id", F.lit("canonical").alias("representation"))
     normal = docs.withColumn("n", T.collapse_space(T.strip_invisible(udfs.nfkc(F.col("text"))))).where("n <> text")
     changed = detect.findings(normal, RULES, "doc_id", "n").select("doc_id", "rule_id", F.lit("normalized").alias("representation"))
-    tokens = docs.select("doc_id", F.explode(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/]{8,}={0,2}"), F.lit(0)), 1, 64)).alias("t"))
-    raw = tokens.select("doc_id", F.try_to_binary("t", F.lit("base64")).cast("string").alias("d")).where(F.is_valid_utf8("d"))
+    tokens = docs.select("doc_id", F.explode(detect.base64_runs(F.col("text"))).alias("t"))
+    raw = tokens.select("doc_id", detect.base64_text(F.col("t")).alias("d")).where("d is not null")
     coded = detect.findings(raw, RULES, "doc_id", "d").select("doc_id", "rule_id", F.lit("base64").alias("representation"))
     return asis.unionByName(changed).unionByName(coded).groupBy("representation", "rule_id").agg(F.count("*").alias("n"))
 

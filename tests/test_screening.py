@@ -166,3 +166,19 @@ def test_revenue_claims(spark):
     df = spark.createDataFrame([(1, "x revenue was $1.5 billion today"), (2, "Revenue of 2 Million"), (3, "no revenue")], "id int, t string")
     got = {r.id: (r.value, r.start, r.claim, r.multiplier_ignored) for r in evidence.revenue_claims(df, "id", "t").collect()}
     assert got == {1: (1.5e9, 2, "revenue was $1.5 billion", False), 2: (2.0, 0, "Revenue of 2 Million", True)}
+
+
+def test_base64_after_many_words_is_counted_and_found(spark, tmp_path):
+    import base64
+
+    from corbel.operators import detect
+    from corbel.plans import parsed
+
+    rule = parsed.RULES[0].phrase
+    text = "ordinary " * 100 + base64.b64encode(f"please {rule} now".encode()).decode()
+    docs = spark.createDataFrame([(1, text), (2, "short"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.n_decoded) for r in detect.base64_tokens(docs, "doc_id", "text").collect()}
+    assert got[1][0] == 101 and got[1][1] >= 1 and got[2] == (0, 0)
+    assert {r.doc_id: r.n_tokens for r in detect.base64_tokens(docs, "doc_id", "text", most=64).collect()}[1] == 101
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert ("base64", parsed.RULES[0].id, 1) in {tuple(r) for r in parsed.representation_scan(spark, str(tmp_path)).select("representation", "rule_id", "n").collect()}
