@@ -16,52 +16,61 @@ import numpy as np
 
 U = np.uint64
 LOW32, SHIFT32, ONE32 = U(0xFFFFFFFF), U(32), U(1 << 32)
-SLOTS = 256
+SLOTS = 1024
 FREQ = (1 << 24) - 1
 #: chance of a logit in 256ths from -8 to 8, in 4,096ths
-SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2049) / 256))), 4, 4092).astype(np.int32)
+SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2049) / 256))), 4, 4092).astype(np.int64)
 
 
 class _Model:
-    """Predictions of all blocks by order 1 and order 2, in two rows; ``guess`` before an id is known, ``learn`` after."""
-
-    def __init__(self, lanes: int):
-        both = np.arange(2)[:, None]
-        self.base = (both * lanes + np.arange(lanes)) * SLOTS
-        self.seen = np.zeros(2 * lanes * SLOTS, np.int32)  # id and count of repeats
-        self.row = (both * lanes + np.arange(lanes)) * 8
-        self.logits = np.tile(np.array([-900, -300, -100, 50, 150, 200, 250, 300], np.int32), 2 * lanes)
-        self.last, self.mixed = np.zeros(lanes, np.int32), np.zeros((2, lanes), np.int32)  # last id, hashes of both contexts
-
-    def guess(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The candidate of the first ``n`` blocks and its chance."""
-        self.at = self.base[:, :n] + ((self.mixed[:, :n] >> 5) & (SLOTS - 1))
-        self.e = self.seen.take(self.at)
-        k = self.e & 7
-        self.x = self.row[:, :n] + k
-        self.v = self.logits.take(self.x)
-        total = self.v[0] + self.v[1]
-        np.clip(total, -2048, 2048, out=total)
-        total += 2048
-        self.p = SQUASH.take(total)
-        return np.where(k[1] >= k[0], self.e[1], self.e[0]) >> 3, self.p
+    """Predictions of all blocks: those of order 1, then those of order 2, in flat arrays; ``guess`` before the ids are known, ``learn`` after."""
+
+    def __init__(self, lanes: int, slots: int = SLOTS):
+        self.lanes, self.mask, both = lanes, slots - 1, np.arange(2 * lanes)
+        self.base, self.seen = both * slots, np.zeros(2 * lanes * slots, np.int32)  # id and count of repeats of each context
+        self.row, self.logits = both * 8, np.tile(np.array([-900, -300, -100, 50, 150, 200, 250, 300], np.int32), 2 * lanes)
+        self.last, self.slot = np.zeros(lanes, np.int64), np.zeros(2 * lanes, np.int64)  # last id, slots of both contexts
+        self.e, self.v, self.p = np.zeros(2 * lanes, np.int32), np.zeros(2 * lanes, np.int32), np.zeros(lanes, np.int64)
+
+    def guess(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each block's candidate and its chance in 4,096ths."""
+        m = self.lanes
+        self.at = self.base + self.slot
+        e = self.seen.take(self.at, out=self.e, mode="clip")
+        k = e & 7
+        self.x = self.row + k
+        v = self.logits.take(self.x, out=self.v, mode="clip")
+        total = v[:m] + v[m:]
+        np.minimum(np.maximum(total, -2048, out=total), 2048, out=total)
+        SQUASH.take(total + np.int64(2048), out=self.p, mode="clip")
+        guess = np.where(k[m:] >= k[:m], e[m:], e[:m])
+        guess >>= 3
+        return guess, self.p
 
     def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        n = len(ids)
-        self.v += ((hit.astype(np.int32) << 12) - self.p) >> 6
-        self.logits[self.x] = self.v
+        m, e, v = self.lanes, self.e, self.v
+        step = (((hit.astype(np.int64) << 12) - self.p) >> 6).astype(np.int32)
+        v[:m] += step
+        v[m:] += step
+        self.logits[self.x] = v
         new = ids << 3
-        self.e -= new  # 0 to 7: the same id, with its count
-        again = self.e.view(np.uint32) < 8
-        np.minimum(self.e, 6, out=self.e)
-        self.e += 1
-        self.e *= again
-        self.e += new
-        self.seen[self.at] = self.e
-        self.mixed[1, :n] = self.last[:n] * np.int32(30011)
-        np.multiply(ids, np.int32(40503), out=self.mixed[0, :n])
-        self.mixed[1, :n] += self.mixed[0, :n]
-        self.last[:n] = ids
+        e[:m] -= new  # 0 to 7: the same id, with its count
+        e[m:] -= new
+        again = e.view(np.uint32) < 8
+        np.minimum(e, 6, out=e)
+        e += 1
+        e *= again
+        e[:m] += new
+        e[m:] += new
+        self.seen[self.at] = e
+        wide = ids.astype(np.int64)
+        first, second = self.slot[:m], self.slot[m:]
+        np.multiply(wide, 40503, out=first)
+        np.multiply(self.last, 30011, out=second)
+        second += first
+        self.slot >>= 5
+        self.slot &= self.mask
+        self.last = wide
 
 
 @dataclass
@@ -100,16 +109,9 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     return symbols, freq, np.cumsum(freq) - freq, int(a[0])
 
 
-def _chance(p: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
-    """The chance in as many bits as leave the total at 30: 12, or fewer for very many different ids."""
-    left = min(12, 30 - bits)
-    return (p if left == 12 else np.maximum(1, p >> (12 - left))).astype(np.int64), left
-
-
-def _shape(n: int, block: int) -> tuple[int, int]:
-    """Number of blocks and length of the last."""
-    lanes = -(-n // block)
-    return lanes, n - (lanes - 1) * block
+def _left(bits: int) -> int:
+    """Bits of the chance that leave the total at 30: 12, or fewer for very many different ids."""
+    return min(12, 30 - bits)
 
 
 def _crcs(ids: np.ndarray, block: int) -> list[int]:
@@ -132,32 +134,32 @@ def encode(ids: np.ndarray, block: int = 2048) -> Segment:
     if not n:
         return Segment(0, block, b"", [], [], b"")
     packed, symbols, freq, start, bits = _order0(ids)
-    lanes, last = _shape(n, block)
-    grid = np.zeros((lanes, block), np.int32)
+    lanes, left = -(-n // block), _left(bits)
+    grid = np.full((lanes, block), ids[-1], np.int32)  # the last block goes on with its last id, which nobody reads
     grid.ravel()[:n] = ids
     grid = np.ascontiguousarray(grid.T)
     shares = start << 24 | freq
     if symbols[-1] < 1 << 22:
         place = np.zeros(int(symbols[-1]) + 1, np.int64)
         place[symbols] = shares
-        share = place.take
+        share = lambda x: place.take(x.astype(np.int64), mode="clip")
     else:
         share = lambda x: shares.take(np.searchsorted(symbols, x))
     model, low, rng = _Model(lanes), np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
     out, at = np.zeros((lanes, block * (bits + 14) // 32 + 8), np.uint32), np.zeros(lanes, np.int64)
     for t in range(min(block, n)):
-        m = lanes if t < last else lanes - 1
-        now = grid[t, :m]
-        guess, p = model.guess(m)
+        now = grid[t]
+        guess, p = model.guess()
         hit = guess == now
-        p, left = _chance(p, bits)
+        if left < 12:
+            p = np.maximum(1, p >> (12 - left))
         own = share(now)
         miss, mine = (1 << left) - p, p << bits
         begin, width = np.where(hit, 0, mine + miss * (own >> 24)), np.where(hit, mine, miss * (own & FREQ))
-        r = rng[:m] >> U(left + bits)
-        low[:m] += begin.view(U) * r
-        rng[:m] = width.view(U) * r
-        thin = _narrow(low[:m], rng[:m])
+        r = rng >> U(left + bits)
+        low += begin.view(U) * r
+        rng = width.view(U) * r
+        thin = _narrow(low, rng)
         if len(thin):
             out[thin, at[thin]] = low[thin] >> SHIFT32
             at[thin] += 1
@@ -177,36 +179,36 @@ def decode(s: Segment) -> np.ndarray:
     if not s.n:
         return np.zeros(0, np.int32)
     symbols, freq, start, bits = _unpack(s.order0)
-    of_slot = np.repeat(np.arange(len(symbols), dtype=np.int32), freq)
+    of_slot = np.repeat(np.arange(len(symbols), dtype=np.int64), freq)
     symbols, shares = symbols.astype(np.int32), start << 24 | freq
-    lanes, last = _shape(s.n, s.block)
+    lanes, left = -(-s.n // s.block), _left(bits)
     words, sizes = np.frombuffer(s.payload, "<u4"), np.array(s.words, np.int64)
     words = np.concatenate([words, np.zeros(4, "<u4")]).astype(U)
     begin = np.cumsum(sizes) - sizes
     at, model, low, rng = begin + 2, _Model(lanes), np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
     code = (words[begin] << SHIFT32) | words[begin + 1]
     grid = np.zeros((s.block, lanes), np.int32)
+    top = U((1 << (left + bits)) - 1)
     for t in range(min(s.block, s.n)):
-        m = lanes if t < last else lanes - 1
-        guess, p = model.guess(m)
-        p, left = _chance(p, bits)
-        r = rng[:m] >> U(left + bits)
-        v = np.minimum((code[:m] - low[:m]) // r, U((1 << (left + bits)) - 1)).view(np.int64)
+        guess, p = model.guess()
+        if left < 12:
+            p = np.maximum(1, p >> (12 - left))
+        r = rng >> U(left + bits)
+        v = np.minimum((code - low) // r, top).view(np.int64)
         mine = p << bits
         hit, miss = v < mine, (1 << left) - p
         k = of_slot.take(np.where(hit, 0, (v - mine) // miss), mode="clip")
-        now = np.where(hit, guess, symbols.take(k))
-        own = shares.take(k)
-        lo, width = np.where(hit, 0, mine + miss * (own >> 24)), np.where(hit, mine, miss * (own & FREQ))
-        low[:m] += lo.view(U) * r
-        rng[:m] = width.view(U) * r
-        thin = _narrow(low[:m], rng[:m])
+        now = np.where(hit, guess, symbols.take(k, mode="clip"))
+        own = shares.take(k, mode="clip")
+        low += np.where(hit, 0, mine + miss * (own >> 24)).view(U) * r
+        rng = np.where(hit, mine, miss * (own & FREQ)).view(U) * r
+        thin = _narrow(low, rng)
         if len(thin):
             code[thin] = (code[thin] << SHIFT32) | words.take(at[thin], mode="clip")
             at[thin] += 1
             low[thin] <<= SHIFT32
             rng[thin] <<= SHIFT32
-        grid[t, :m] = now
+        grid[t] = now
         model.learn(now, hit)
     ids = np.ascontiguousarray(grid.T).ravel()[: s.n]
     for i, (a, b) in enumerate(zip(_crcs(ids, s.block), s.crcs)):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +24,19 @@ from .common import give_back, lean, slices
 SEGMENT = "file int, part int, doc_ids array<long>, sizes array<long>, n long, block long, order0 binary, words array<long>, crcs array<long>, payload binary"
 _ALNUM = frozenset(bytes([b]) for b in range(128) if chr(b).isalnum())
 _SIGNS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum() and b != 39)  # of ASCII, but the apostrophe
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")  # lower-cased letters that normalization leaves alone
+# how byte-level vocabularies write bytes: signs and letters as they are, the others from U+0100 on
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LEVEL = {b: chr(b) for b in _SELF} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SELF)}
+
+
+def _closed(word: bytes) -> bool:
+    """Whether signs after the word begin a token of their own: it ends in a digit or letter, lower-cased too, of the older Latin, Greek
+    and Cyrillic blocks, which all Unicode versions class alike. (U+0130 does not: lower-cased it ends in a combining mark.)"""
+    if word[-1:] in _ALNUM:
+        return True
+    last = word.decode("utf-8", "replace")[-1:]
+    return "\x80" < last < "\u0530" and last.isalnum() and last.lower()[-1].isalnum()
 
 
 class Encoder:
@@ -31,7 +45,8 @@ class Encoder:
     Words between ASCII white space are tokenized alone, which gives the same ids where the tokenizer drops white space and never
     joins what it separates (``word_bpe_49k`` does; the constructor checks a probe, and texts are tokenized whole if it
     fails). Signs at the end of a word that ends in a letter or digit are split off and A-Z lower-cased, as that tokenizer
-    does, so that a word is tokenized once for all its forms. At about ``most`` held words the cache begins anew.
+    does, so that a word is tokenized once for all its forms. Words of plain lower-case letters go straight to the tokenizer's
+    model, if that gives the same ids for all those letters in words of two and three. At about ``most`` held words the cache begins anew.
     """
 
     def __init__(self, path: str, most: int = 800_000):
@@ -44,6 +59,9 @@ class Encoder:
         self.marks = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
         # tokens that end a word, where the vocabulary marks them
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())], bool)
+        letters = [c for c in map(chr, range(97, 256)) if _PLAIN.fullmatch(c)]
+        words = [*letters, *(a + b for a, b in zip(letters, letters[1:] + letters[:1])), *(a + b + a for a in letters for b in letters[::7])]
+        self.direct = all(self._model(w) == e.ids for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)))
         probe = "One two,  three.\n\tFour's (five) six-seven!! 8 9aé. ÇA ǅ X"
         self.by_word = True
         self.by_word = self.encode(pa.array([probe]))[0].tolist() == self.tokenizer.encode(probe, add_special_tokens=False).ids
@@ -74,20 +92,31 @@ class Encoder:
             size.append(np.fromiter(map(len, ids), np.int64, len(ids)))
         return self._hold(flat, size)
 
+    def _model(self, word: str) -> list[int]:
+        """Ids of a word of plain letters by the tokenizer's model alone."""
+        if not word.isascii():
+            word = "".join(_LEVEL[b] for b in word.encode())
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
+
     def _learn(self, need: list[bytes]) -> None:
-        """Adds words. Those of letters alone are tokenized many at a time, and cut where a word ends."""
-        joined, alone = [], []
+        """Adds words: plain ones by the model; others of letters many at a time, cut where a word ends; the rest each alone."""
+        plain, joined, alone = [], [], []
         for w in need:
-            (joined if w.isalpha() or w.decode("utf-8", "replace").isalpha() else alone).append(w)
-        known, flat, size = [], [], []
+            text = w.decode("utf-8", "replace")
+            (plain if self.direct and _PLAIN.fullmatch(text) else joined if text.isalpha() else alone).append(w)
+        tokenize, ids, ends = self.tokenizer.model.tokenize, [], []
+        for w in plain:
+            ids += [t.id for t in tokenize(w.decode() if w.isascii() else "".join(map(_LEVEL.__getitem__, w)))]
+            ends.append(len(ids))
+        known, flat, size = plain, [np.array(ids, "<u4")], [np.diff(np.array(ends, np.int64), prepend=0)]
         for at in range(0, len(joined), 2_000):
             some = joined[at : at + 2_000]
-            ids = self._ids([b" ".join(some).decode("utf-8", "replace")])[0]
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(some) and ends[-1] == len(ids):
-                known += some
-                flat.append(ids)
-                size.append(np.diff(ends, prepend=0))
+            own = self._ids([b" ".join(some).decode("utf-8", "replace")])[0]
+            cuts = np.flatnonzero(self.ends[own]) + 1
+            if len(cuts) == len(some) and cuts[-1] == len(own):
+                known = known + some
+                flat.append(own)
+                size.append(np.diff(cuts, prepend=0))
             else:  # a word that the tokenizer splits, or a vocabulary without marks
                 alone += some
         first = self._hold(flat, size)
@@ -103,11 +132,11 @@ class Encoder:
         tail = (pc.binary_length(forms).to_numpy() - pc.binary_length(bare).to_numpy()).astype(np.int64)
         coded = bare.dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False)
-        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         place = np.fromiter(map(self.words.get, words, itertools.repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(place < 0)
         need = [words[i] for i in new]
-        whole = np.array([w[-1:] not in _ALNUM and not w.decode("utf-8", "replace")[-1:].isalnum() for w in need], bool)
+        whole = np.array([not _closed(w) for w in need], bool)
         learned = [w for w, x in zip(need, whole) if not x]
         self._learn(learned)
         place[new[~whole]] = np.fromiter(map(self.words.__getitem__, learned), np.int64, len(learned))
@@ -141,7 +170,9 @@ class Encoder:
         if not self.by_word:
             each = self._ids(texts.to_pylist())
             return np.concatenate([*each, np.zeros(0, "<u4")]), np.array([len(x) for x in each], np.int64)
-        marked = any(pc.any(pc.match_substring(texts, m)).as_py() for m in self.marks)
+        held = texts.buffers()[2]
+        held = held.to_pybytes() if held is not None else b""
+        marked = any(m.encode() in held for m in self.marks)
         # A-Z is lower-cased by the tokenizer, but for what may be the name of a special token
         words = pc.ascii_split_whitespace(texts if marked else pc.ascii_lower(texts))
         offsets = words.offsets.to_numpy().astype(np.int64)
@@ -170,7 +201,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, segment: int = 2 << 20, block: int = 1024) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, segment: int = 4 << 20, block: int = 1024) -> None:
     """Writes the ids of all whole texts, each with ``end_id`` at its end, in ascending order of ``id_col``.
 
     Null texts are empty: their only id is the end. Null ids come first; equal ids follow each other in the order of their texts. A
@@ -194,7 +225,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
             kinds = [pa.int32(), pa.int32(), longs, longs, pa.int64(), pa.int64(), pa.binary(), longs, longs, pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], ["file", "part", "doc_ids", "sizes", "n", "block", "order0", "words", "crcs", "payload"])
 
-        for batch in slices(batches, "t", 4 << 20):
+        for batch in slices(batches, "t", 6 << 20):
             stream, size = own.encode(batch.column("t"))
             ids += batch.column("id").to_pylist()
             sizes += (size + 1).tolist()

@@ -37,7 +37,7 @@ def test_coder_is_small_on_repeats_and_refuses_damage():
     assert (idcoder.decode(idcoder.encode(wide, 4096)) == wide).all()
 
 
-ODD = ["", "  ", "<|endoftext|> x", "<|ENDOFTEXT|> A", "a<|startoftext|>b,", "İstanbul ΣΑΣ. ς", "don't we'll, it's.", "éa,  b c", "\x1ca\x1db", "ﬁne² ½ 10,5.", "🙂🙂!! ok", "A,B;C", "ǅ, ß. ẞ", "naïve...", "a's, '", "»é,", " \n lead", "x " * 5_000]
+ODD = ["", "  ", "TAKSİ. İ! xİ,", "<|endoftext|> x", "<|ENDOFTEXT|> A", "a<|startoftext|>b,", "İstanbul ΣΑΣ. ς", "don't we'll, it's.", "éa,  b c", "\x1ca\x1db", "ﬁne² ½ 10,5.", "🙂🙂!! ok", "A,B;C", "ǅ, ß. ẞ", "naïve...", "a's, '", "»é,", " \n lead", "x " * 5_000]
 
 
 def test_encoder_equals_the_tokenizer_on_whole_texts():
@@ -52,6 +52,16 @@ def test_encoder_equals_the_tokenizer_on_whole_texts():
             assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+_ENCODER = tokenfile.Encoder(P.path("word_bpe_49k.json"))
+_SIGN = st.sampled_from("İıßſKÅé\u0307\u0301ŉǅﬁ٣²Σς中Ж.,'!-() \t\n<|>aZ9")
+
+
+@settings(max_examples=1_500, deadline=None)
+@given(st.text(st.one_of(_SIGN, st.characters(exclude_categories=["Cs"])), max_size=40))
+def test_encoder_equals_the_tokenizer_on_any_unicode(text):
+    assert _ENCODER.encode(pa.array([text]))[0].tolist() == _ENCODER.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer
 
