@@ -249,23 +249,26 @@ def gathered(train: DataFrame, text_col: str = "text", order: int = 5, hold: int
 
 
 def chunked(rows: DataFrame, order: int, most_bytes: int = 24 << 20, most_keys: int = 1_500_000) -> DataFrame:
-    """``rows(id, t)`` lower-cased with the number of their chunk, and (without id and t) packed by bucket the distinct keys of each chunk."""
+    """``rows(id, t)`` in chunks: rows ``(chunk, ids, sizes, texts)`` of lower-cased texts, compressed together, and rows ``(chunk, bucket, size, keys)`` of a chunk's distinct keys, packed."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held, keys = TaskContext.get().partitionId() << 32, 0, np.zeros(0, np.uint64)
-        names, id_kind = ["chunk", "id", "t", "bucket", "size", "keys"], None
+        names, longs = ["chunk", "ids", "sizes", "texts", "bucket", "size", "keys"], pa.list_(pa.int64())
+        list_kind = None
 
         def out() -> pa.RecordBatch:
             parts = list(_dealt(keys, order))
             n = len(parts)
             cells = [pa.array([k for k, _ in parts], pa.int32()), pa.array([s.stop - s.start for _, s in parts], pa.int32()), pa.array([_pack_keys(keys[s]) for _, s in parts], pa.binary())]
-            return pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.nulls(n, id_kind), pa.nulls(n, pa.binary()), *cells], names)
+            return pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.nulls(n, list_kind), pa.nulls(n, longs), pa.nulls(n, pa.binary()), *cells], names)
 
         for batch in slices(batches, "t", 2 << 20):
-            id_kind, n = batch.column("id").type, batch.num_rows
             texts = [x.lower() for x in as_bytes(batch.column("t"))]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), batch.column("id"), pa.array(texts, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            list_kind = pa.list_(batch.column("id").type)
+            ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("id")).cast(list_kind)
+            cells = [pa.array([chunk], pa.int64()), ids, pa.array([[len(x) for x in texts]], longs), pa.array([pa.compress(b"".join(texts), "zstd", asbytes=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*cells, pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())], names)
             keys, held = np.union1d(keys, _keys(grams(texts, order)[0], order)), held + sum(map(len, texts))
             if held > most_bytes or len(keys) > most_keys:
                 yield out()
@@ -273,11 +276,11 @@ def chunked(rows: DataFrame, order: int, most_bytes: int = 24 << 20, most_keys:
         if len(keys):
             yield out()
 
-    return rows.mapInArrow(lean(run), f"chunk long, id {kind}, t binary, bucket int, size int, keys binary")
+    return rows.mapInArrow(lean(run), f"chunk long, ids array<{kind}>, sizes array<long>, texts binary, bucket int, size int, keys binary")
 
 
 def answers(counted: DataFrame, asked: DataFrame, low: tuple[np.ndarray, np.ndarray], order: int, share: int = 1_500_000) -> DataFrame:
-    """``(chunk, bucket, size, keys, logs)``: the asked keys' log10 probabilities under all counts. A task takes buckets of about ``share`` keys."""
+    """``(chunk, bucket, size, keys, logs)``: the asked keys' log10 probabilities under all counts, in 32 bits each. A task takes buckets of about ``share`` keys."""
     levels = [_summed(low[0] & _mask(k + 1), low[1]) for k in range(min(order, 2) + 1)]
     sent = asked.sparkSession.sparkContext.broadcast(levels)
     n = sum(x.agg(F.sum("size")).first()[0] or 0 for x in (counted, asked))
@@ -293,7 +296,7 @@ def answers(counted: DataFrame, asked: DataFrame, low: tuple[np.ndarray, np.ndar
         unique, inverse = np.unique(_codes(_unpack_keys(asks), order), return_inverse=True)
         logs = model.log10(unique)[inverse]
         ends = np.cumsum(asks.column("size").to_numpy())
-        out = asks.select(["chunk", "bucket", "size", "keys"]).append_column("logs", pa.array([x.tobytes() for x in np.split(logs, ends[:-1])] if len(ends) else [], pa.binary()))
+        out = asks.select(["chunk", "bucket", "size", "keys"]).append_column("logs", pa.array([_pack(x) for x in np.split(logs.astype(np.float32), ends[:-1])] if len(ends) else [], pa.binary()))
         give_back()
         return out
 
@@ -337,44 +340,53 @@ def scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col:
     sent = spark.sparkContext.broadcast((model, log))
     del model, frequent, log
 
-    def run(batches: Iterator[pa.RecordBatch], asked: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    def score(ids: pa.Array, texts: list[bytes], asked: tuple[np.ndarray, np.ndarray] | None) -> pa.RecordBatch:
         own, log = sent.value
+        if own is None and asked is None:
+            total = np.array([-(len(t) + 1) * np.log10(256.0) for t in texts])
+        else:
+            codes, begin = grams(texts, order)
+            unique, inverse = np.unique(codes if asked is None else _keys(codes, order), return_inverse=True)
+            logs = own.log10(unique) if asked is None else asked[1][np.searchsorted(asked[0], unique)]
+            total = np.add.reduceat(logs[inverse], begin)
+        sizes, known, base, rare, times = [], [], [], [], []
+        for t in texts:
+            w = t.split()
+            w.append(b"")
+            found = [log[x] for x in w if x in log]
+            more = Counter(x for x in w if x not in log) if len(found) < len(w) else {}
+            sizes.append(len(w))
+            known.append(len(found))
+            base.append(sum(found))
+            rare.append(list(more))
+            times.append(list(more.values()))
+        cells = [ids, pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(cells, ["id", "n_tokens", "known", "base", "score", "rare", "times"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", 2 << 20):
-            texts = [x.lower() for x in as_bytes(batch.column("t"))]
-            if own is None and asked is None:
-                total = np.array([-(len(t) + 1) * np.log10(256.0) for t in texts])
-            else:
-                codes, begin = grams(texts, order)
-                unique, inverse = np.unique(codes if asked is None else _keys(codes, order), return_inverse=True)
-                logs = own.log10(unique) if asked is None else asked[1][np.searchsorted(asked[0], unique)]
-                total = np.add.reduceat(logs[inverse], begin)
-            sizes, known, base, rare, times = [], [], [], [], []
-            for t in texts:
-                w = t.split()
-                w.append(b"")
-                found = [log[x] for x in w if x in log]
-                more = Counter(x for x in w if x not in log) if len(found) < len(w) else {}
-                sizes.append(len(w))
-                known.append(len(found))
-                base.append(sum(found))
-                rare.append(list(more))
-                times.append(list(more.values()))
-            cells = [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cells, ["id", "n_tokens", "known", "base", "score", "rare", "times"])
+            yield score(batch.column("id"), [x.lower() for x in as_bytes(batch.column("t"))], None)
 
     def of_chunk(texts: pa.Table, found: pa.Table) -> pa.Table:
         found = found.sort_by("bucket")
-        logs = np.frombuffer(b"".join(found.column("logs").to_pylist()), np.float64)
-        out = pa.Table.from_batches(run(iter(texts.select(["id", "t"]).to_batches()), (_unpack_keys(found), logs)))
+        logs = np.concatenate([np.zeros(0), *(_unpack(b, n, np.float32).astype(np.float64) for b, n in zip(found.column("logs").to_pylist(), found.column("size").to_pylist()))])
+        asked, out = (_unpack_keys(found), logs), []
+        for i in range(texts.num_rows):
+            ids, sizes, blob = (texts.column(c)[i] for c in ("ids", "sizes", "texts"))
+            ends = np.cumsum(sizes.values.to_numpy())
+            raw = pa.decompress(blob.as_py(), int(ends[-1]), "zstd", asbytes=True)
+            out.append(score(ids.values, [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())], asked))
+        done = pa.Table.from_batches(out)
+        del out, asked, found
         give_back()
-        return out
+        return done
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     kinds = f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, known long, base double, score double, rare array<binary>, times array<long>"
     if most is None and len(low[0]):
         chunks = stable(chunked(rows, order))
         found = answers(counted.where("bucket is not null"), chunks.where("bucket is not null"), low, order)
-        scored = chunks.where("bucket is null").select("chunk", "id", "t").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(of_chunk, kinds)
+        scored = chunks.where("bucket is null").select("chunk", "ids", "sizes", "texts").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(of_chunk, kinds)
     else:
         scored = rows.mapInArrow(lean(run), kinds)
     done = stable(scored.withColumn("row", F.monotonically_increasing_id()))
