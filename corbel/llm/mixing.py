@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Pareto order sampling; DataFrame functions only.
 
-A source's target over its size is what each of its documents is taken on average. The whole part is certain: every
-document is copied so often. The rest is an inclusion chance pi; documents are ranked by u/(1-u) over pi/(1-pi), u a hash
-of the id in (0, 1), and taken in this order until the words that remain to the target are reached.
+A source's target over its size is how often its words are taken. The whole part is certain: every document is copied so
+often. The rest is left to chance with an inclusion chance pi of each document's own, in proportion to its size and 1 at most, such that the
+expected words are the rest. Documents are ranked by u/(1-u) over pi/(1-pi), u a hash of the id in (0, 1), and taken in
+this order until the words that remain to the target are reached.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import stable
 
 WEIGHTS = (5, 2, 1)
-BUCKETS = 1 << 16
+PLACES = 1 << 16
 
 
 def n_words(text: Column) -> Column:
@@ -55,40 +56,75 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
 
 
+def chances(by_size: DataFrame, goal: DataFrame) -> DataFrame:
+    """``(key, top, rate)``: documents of at most ``top`` words have the chance ``rate`` a word, longer ones are certain.
+
+    ``by_size(key, size, n)`` counts each source's documents of each size, ``goal(key, source_size, rest)`` says what is to be taken. With
+    all sizes above t certain, the rate of the others is (rest - words above t) / (squares up to t); the largest t whose chance stays
+    below 1 is right. The window runs over a source's different sizes.
+    """
+    upto = Window.partitionBy("key").orderBy("size")
+    rows = by_size.where("size > 0").join(goal.where("rest > 0").select("key", "source_size", "rest"), "key")
+    words = F.sum(F.col("n") * F.col("size")).over(upto)
+    squares = F.sum(F.col("n").cast("double") * F.col("size") * F.col("size")).over(upto)
+    rows = rows.withColumn("rate", (F.col("rest") - (F.col("source_size") - words)) / squares).where(F.col("rate") * F.col("size") <= 1)
+    best = rows.groupBy("key").agg(F.max(F.struct("size", "rate")).alias("best"))
+    return best.select("key", F.col("best.size").alias("top"), F.col("best.rate").alias("rate"))
+
+
+def _edge(words: DataFrame, place: str) -> DataFrame:
+    """Of ``words(key, before, rest, place, words)`` the first place of each key in which ``rest`` is exceeded, and the words before it."""
+    run = Window.partitionBy("key").orderBy(place)
+    words = words.withColumn("upto", F.col("before") + F.sum("words").over(run)).where("upto > rest")
+    edge = words.groupBy("key").agg(F.min(F.struct(place, F.expr("upto - words").alias("before"))).alias("edge"))
+    return edge.select("key", f"edge.{place}", "edge.before")
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """Stable rows, one a source, for a join: sent to all tasks up to 100,000, else shuffled."""
+    return F.broadcast(rows) if rows.count() <= 100_000 else rows
+
+
 def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, most: int = 3) -> DataFrame:
-    """One row per source of stable ``rows(source, size, u, id)``: ``(key, source_size, target, whole, rest, edge, last)``.
+    """One row per source of stable ``rows(source, size, u, id)``: ``(key, source_size, target, whole, rest, top, rate, edge, last)``.
 
-    Ranks are never formed in one task: the order is cut into 65,536 buckets of u and (source, bucket) sums are added up;
-    ``edge`` is the bucket in which the source's remaining words are reached. Only its documents are ordered one by
-    one, and ``last`` is the place in the order up to which they are taken.
+    Ranks are never formed in one task: the order is cut into 256 times 256 places, and words are added up by (source, place), first coarse,
+    then within the place in which the source's remaining words are reached; ``edge`` is that place. Only its documents
+    are ordered one by one, and ``last`` is the point of the order up to which they are taken.
     """
-    rows = rows.withColumn("key", _key(F.col("source"))).withColumn("bucket", _bucket(F.col("u")))
-    sums = rows.groupBy("key", "bucket").agg(F.sum("size").alias("words"), F.first("source").alias("source"))
-    goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
+    rows = rows.withColumn("key", _key(F.col("source")))
+    by_size = stable(rows.groupBy("key", "size").agg(F.count("*").alias("n"), F.first("source").alias("source")))
+    goal = targets(by_size.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    goal = goal.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("key", _key(F.col("source"))).drop("source")
-    run = Window.partitionBy("key").orderBy("bucket")
-    edge = sums.drop("source").join(goal.select("key", "rest"), "key").withColumn("upto", F.sum("words").over(run)).where("upto > rest")
-    edge = edge.groupBy("key").agg(F.min(F.struct("bucket", F.expr("upto - words").alias("taken"))).alias("edge"))
-    goal = stable(goal.join(edge, "key", "left"))
-    at_edge = rows.join(goal.where("edge is not null").select("key", "source_size", "rest", "edge", F.col("edge.bucket").alias("bucket")), ["key", "bucket"])
+    goal = stable(goal.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("key", _key(F.col("source"))).drop("source"))
+    goal = stable(goal.join(chances(by_size, goal), "key", "left"))
+    ranked = rows.join(_small(goal.select("key", "rest", "top", "rate")), "key").withColumn("odds", _odds()).where("odds is not null").withColumn("place", _place())
+    coarse, fine = F.shiftright("place", 8).alias("coarse"), F.col("place")
+    first = _edge(ranked.groupBy("key", coarse).agg(F.first("rest").alias("rest"), F.lit(0).cast("long").alias("before"), F.sum("size").alias("words")), "coarse")
+    first = stable(first)
+    inside = ranked.withColumn("coarse", coarse).join(_small(first), ["key", "coarse"])
+    second = _edge(inside.groupBy("key", fine).agg(F.first("rest").alias("rest"), F.first("before").alias("before"), F.sum("size").alias("words")), "place")
+    second = stable(second.select("key", F.col("place").alias("edge"), "before"))
+    at_edge = ranked.join(_small(second), "key").where("place = edge")
     order = Window.partitionBy("key").orderBy("odds", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at_edge = at_edge.withColumn("odds", _odds()).withColumn("end", F.col("edge.taken") + F.sum("size").over(order))
+    at_edge = at_edge.withColumn("end", F.col("before") + F.sum("size").over(order))
     # the document on the target itself is taken if that comes nearer
     start = F.col("end") - F.col("size")
     near = (F.col("end") <= F.col("rest")) | ((start < F.col("rest")) & (F.col("end") - F.col("rest") < F.col("rest") - start))
     last = at_edge.where(near).groupBy("key").agg(F.max(F.struct("odds", "id", "size")).alias("last"))
-    return goal.join(last, "key", "left")
+    return goal.join(second.select("key", "edge"), "key", "left").join(last, "key", "left")
 
 
-def _bucket(u: Column) -> Column:
-    return F.floor(u * BUCKETS).cast("int")
+def _odds() -> Column:
+    """u's odds over those of the document's inclusion chance: 0 for certain ones; null for those that are not drawn at all."""
+    pi = F.col("rate") * F.col("size")
+    drawn = (F.col("rest") > 0) & (F.col("size") > 0) & F.col("rate").isNotNull()
+    return F.when(drawn & ((F.col("size") > F.col("top")) | (pi >= 1)), F.lit(0.0)).when(drawn & (pi > 0), (F.col("u") / (1 - F.col("u"))) / (pi / (1 - pi)))
 
 
-def _odds() -> Column:
-    """u's odds over those of the inclusion chance; null where nothing is left to chance."""
-    pi = F.col("rest") / F.col("source_size")
-    return F.when((F.col("source_size") > 0) & (F.col("rest") > 0), (F.col("u") / (1 - F.col("u"))) / (pi / (1 - pi)))
+def _place() -> Column:
+    """Odds as one of 65,536 places in their order."""
+    return F.floor(F.col("odds") / (1 + F.col("odds")) * PLACES).cast("int")
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, most: int = 3, carry: bool = False) -> DataFrame:
@@ -96,17 +132,16 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     as a struct ``row`` too.
 
     A null source is a source of its own; null ids and texts count as empty. Sources without a word have target 0 and no
-    copies. Rows with equal ids and sizes share a rank. An empty table gives an empty table.
+    copies; documents without a word are copied for the whole part only. Rows with equal ids and sizes share a rank. Other columns may have any
+    name. Very long texts are counted where they are. An empty table gives an empty table.
     """
     base = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), uniform(F.col(id_col)).alias("u"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), *([F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else [])
     )
     rows = stable(base.drop("row"))
-    goal = stable(plan(rows, weights, share, most))
-    if goal.count() <= 100_000:  # one row a source; more sources are joined by key
-        goal = F.broadcast(goal)
-    out = (base if carry else rows).withColumn("key", _key(F.col("source"))).join(goal, "key").withColumn("odds", _odds()).withColumn("bucket", _bucket(F.col("u")))
-    chosen = (F.col("rest") > 0) & (F.col("edge").isNull() | (F.col("bucket") < F.col("edge.bucket")) | ((F.col("bucket") == F.col("edge.bucket")) & (F.struct("odds", "id", "size") <= F.col("last"))))
+    goal = _small(stable(plan(rows, weights, share, most)))
+    out = (base if carry else rows).withColumn("key", _key(F.col("source"))).join(goal, "key").withColumn("odds", _odds()).withColumn("place", _place())
+    chosen = F.col("odds").isNotNull() & (F.col("edge").isNull() | (F.col("place") < F.col("edge")) | ((F.col("place") == F.col("edge")) & (F.struct("odds", "id", "size") <= F.col("last"))))
     return out.select("doc_id", "size", "source_size", "target", (F.col("whole") + F.coalesce(chosen, F.lit(False)).cast("long")).alias("copies"), *(["row"] if carry else []))
 
 

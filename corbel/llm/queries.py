@@ -17,7 +17,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Languages by family and one-versus-rest support vector machines, learned from three of four ids."""
+    """Languages by family and one-versus-one support vector machines, learned from three of four ids."""
     docs = table(spark, sf_dir, "documents")
     held = id_remainder(F.col("doc_id"), 4) == 2
     rows = language.identify(docs, docs.where(~held))
@@ -140,9 +140,15 @@ l AS (SELECT *, cap / w AS ratio, ((SELECT sum(source_size)::BIGINT FROM s) * 1.
 f AS (SELECT ratio, k, level FROM l WHERE ratio > level ORDER BY ratio, k LIMIT 1),
 g AS (SELECT source, source_size, CASE WHEN f.k IS NOT NULL AND (l.ratio > f.ratio OR (l.ratio = f.ratio AND l.k >= f.k)) THEN l.w * f.level ELSE cap::DOUBLE END AS target FROM l LEFT JOIN f ON true),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM g),
-u AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.whole, r.target - r.whole * r.source_size AS rest, ('0x' || left(md5(d.doc_id::VARCHAR), 12))::BIGINT AS u, d.source FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-e AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id::VARCHAR, size ROWS UNBOUNDED PRECEDING) AS upto FROM u)
-SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (whole + CASE WHEN rest > 0 AND (upto <= rest OR (upto - size < rest AND upto - rest < rest - (upto - size))) THEN 1 ELSE 0 END))::BIGINT AS taken FROM e
+x AS (SELECT *, target - whole * source_size AS rest FROM r),
+m AS (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY ALL),
+c AS (SELECT x.source, size, (rest - (source_size - (sum(n * size) OVER (PARTITION BY x.source ORDER BY size))::BIGINT)) / sum(n::DOUBLE * size * size) OVER (PARTITION BY x.source ORDER BY size) AS rate FROM m JOIN x ON m.source IS NOT DISTINCT FROM x.source WHERE rest > 0),
+t AS (SELECT source, max(size) AS top, arg_max(rate, size) AS rate FROM c WHERE rate * size <= 1 GROUP BY 1),
+u AS (SELECT d.doc_id, d.size, d.source, x.source_size, x.target, x.whole, x.rest, t.top, t.rate * d.size AS pi, (('0x' || left(md5(d.doc_id::VARCHAR), 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
+  FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source LEFT JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+o AS (SELECT *, CASE WHEN rest > 0 AND size > 0 THEN CASE WHEN size > top OR pi >= 1 THEN 0.0::DOUBLE WHEN pi > 0 THEN (u / (1 - u)) / (pi / (1 - pi)) END END AS odds FROM u),
+e AS (SELECT *, CASE WHEN odds IS NOT NULL THEN sum(size) OVER (PARTITION BY source ORDER BY odds NULLS LAST, doc_id::VARCHAR, size ROWS UNBOUNDED PRECEDING) END AS upto FROM o)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (whole + CASE WHEN upto <= rest OR (upto - size < rest AND upto - rest < rest - (upto - size)) THEN 1 ELSE 0 END))::BIGINT AS taken FROM e
 """
 
 

@@ -124,6 +124,18 @@ def test_lines_of_repeated_rows_and_empty_tables(spark):
 
 
 # mixing
+def test_lines_of_distant_null_and_repeated_ids_and_a_very_long_document(spark):
+    """Ids that leave no room for a place in 63 bits; rows with equal ids and different texts; 100,000 lines in a document, in bounded time."""
+    some = "the first line of many letters\nshort\na line that nobody else has got"
+    docs = [(-(2**62), some), (2**62, "the first line of many letterz\nshort\nown"), (2**62, "own\nanother text with the same id"), (None, "short\nlast")]
+    for rows in (docs, [(None if i is None else int(i > 0), t) for i, t in docs]):
+        got = {(r.text, r.n_lines, r.n_kept) for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+        assert got == {(some, 3, 3), ("", 3, 0), ("own\nanother text with the same id", 2, 2), ("last", 2, 1)}
+    long_ = "\n".join(f"line {k // 2}" for k in range(100_000))
+    r = linededup.dedup_lines(frame(spark, [(1, long_)])).collect()[0]
+    assert (r.n_lines, r.n_kept) == (100_000, 50_000) and r.text == "\n".join(f"line {k}" for k in range(50_000))
+
+
 def test_targets_by_repeated_sharing(spark):
     for sizes in ({"a": 10, "b": 1000, "c": 500, "d": 5, None: 7}, {"a": 0, "b": 3}, {"x": 9}, {f"s{k:02}": (k * 37) % 91 + 1 for k in range(30)}):
         got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
@@ -160,6 +172,20 @@ def test_mixture_meets_targets_and_agrees_when_run_again(spark):
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
 
 
+def test_inclusion_follows_the_documents_own_chances(spark):
+    """200 sources of equal sizes: how often a document is drawn follows its size, and the longest is certain."""
+    sizes = [1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 60]
+    rows = [(k * 100 + j, "w " * n) for k in range(200) for j, n in enumerate(sizes)]
+    got = mixing.mixture(frame(spark, rows, lambda i: f"s{i // 100:03d}"), weights=(1,), share=0.7).collect()
+    rest, top = 0.7 * sum(sizes), [n for n in sizes if n < 60]
+    rate = (rest - 60) / sum(n * n for n in top)
+    assert rate * 16 < 1 and all(abs(r.target - rest) < 1e-6 and r.copies <= 1 for r in got)
+    for n in sizes:
+        drawn = [r.copies for r in got if r.size == n]
+        want = min(1, rate * n)
+        assert len(drawn) == 200 and abs(sum(drawn) / 200 - want) <= 0.02 + 3.5 * (want * (1 - want) / 200) ** 0.5
+
+
 def test_mixture_of_one_huge_document_or_nothing(spark):
     got = mixing.mixture(frame(spark, [(1, "w " * 50_000), (2, "a b"), (2, "a b")], lambda i: f"s{i}")).collect()
     assert len(got) == 3 and all(r.copies <= 3 for r in got)
