@@ -22,12 +22,17 @@ def fold(text: Column) -> Column:
 
 def occurrences(folded: Column, phrase: Column) -> Column:
     """Zero-based starts of all non-overlapping occurrences of a literal phrase, from the left."""
-    pieces = F.split(folded, F.concat(F.lit("\\Q"), phrase, F.lit("\\E")), -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    literal = F.concat(F.lit("\\Q"), F.replace(phrase, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    pieces = F.split(folded, literal, -1)
+    n, group = F.size(pieces) - 1, 256  # pieces are added up group by group, as a fold copies what it holds at each step
     step = lambda acc, piece: F.struct(
         (acc["at"] + F.char_length(piece) + F.char_length(phrase)).cast("int").alias("at"), F.concat(acc["out"], F.array((acc["at"] + F.char_length(piece)).cast("int"))).alias("out")
     )
-    return F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, step)["out"]
+    begin = lambda at, kind: F.struct(at.cast("int").alias("at"), F.array().cast(kind).alias("out"))
+    within = lambda acc, k: F.aggregate(F.slice(pieces, k * group + 1, F.least(F.lit(group), n - k * group)), begin(acc["at"], "array<int>"), step)
+    outer = lambda acc, k: F.element_at(F.transform(F.array(within(acc, k)), lambda g: F.struct(g["at"].alias("at"), F.concat(acc["out"], F.array(g["out"])).alias("out"))), 1)
+    groups = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / group).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.aggregate(groups, begin(F.lit(0), "array<array<int>>"), outer)["out"])
 
 
 def line(text: Column, offset: Column) -> Column:
@@ -74,12 +79,12 @@ def percent(bps: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    """Lower-case runs of letters and digits joined by dashes, 48 characters at most; text is expected in plain ASCII."""
+    """Lower-case runs of letters and digits joined by dashes, 48 characters at most; ``udfs.unaccented`` makes plain letters of accented ones before."""
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, 48)
 
 
 def private_ipv4(address: Column) -> Column:
-    """Ranges that are not publicly routable; null if the text is no dotted quad."""
+    """Ranges that are not publicly routable (fixed values); null if the text is no dotted quad."""
     part = lambda k: F.regexp_extract(address, "^(\\d{1,3})\\.(\\d{1,3})\\.(\\d{1,3})\\.(\\d{1,3})$", k).try_cast("int")
     a, b = part(1), part(2)
     return (
@@ -115,5 +120,16 @@ def url_block_reason(url: Column) -> Column:
 def content_type(value: Column) -> Column:
     """The type before parameters, in lower case; ``BLOCKED`` unless it may be parsed, null if empty."""
     kind = F.lower(F.trim(F.substring_index(value, ";", 1)))
+    # fixed values
     allowed = ("application/json", "application/pdf", "application/xml", "text/html", "text/plain", "text/xml")
     return F.when(value.isNull(), "BLOCKED").when(kind == "", F.lit(None)).when(kind.isin(*allowed), kind).otherwise("BLOCKED")
+
+
+def decoded(raw: Column, charset: Column) -> Column:
+    """Text of bytes in UTF-8, UTF-16LE or UTF-16BE (fixed values); null for another charset or bytes that do not come back the same."""
+    out = F.when(charset == "utf-8", F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")))
+    for name in ("UTF-16LE", "UTF-16BE"):
+        even = F.octet_length(raw) % 2 == 0
+        text = F.decode(F.when(even, raw).otherwise(F.lit(b"")), name)
+        out = out.when((charset == name.lower()) & even & ~F.contains(text, F.lit("\ufffd")), text)
+    return out

@@ -8,6 +8,7 @@ import hmac
 import html.parser
 import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -77,6 +78,12 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+@F.pandas_udf(TEXT)
+def unaccented(texts: pd.Series) -> pd.Series:
+    """Letters without their marks (NFKD)."""
+    return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+
+
 LINK = _struct(href=TEXT, text=TEXT)
 REGION = _struct(reason=TEXT, tag=TEXT, text=TEXT)
 PAGE = _struct(format=TEXT, title=TEXT, metadata=T.MapType(TEXT, TEXT), links=T.ArrayType(LINK), hidden=T.ArrayType(REGION), content=TEXT)
@@ -90,6 +97,8 @@ class _Page(html.parser.HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[dict] = []
+        self.names: Counter = Counter()  # of open tags
+        self.pieces: list[str] = []  # all text; a node's own begins at its start
         self.visible: list[str] = []
         self.metadata: dict[str, str] = {}
         self.links: list[dict] = []
@@ -106,7 +115,7 @@ class _Page(html.parser.HTMLParser):
             a.setdefault(k, v or "")
         style = re.sub(r"\s+", "", a.get("style", "")).lower()
         reason = "inactive_content" if tag in INACTIVE else "hidden_attribute" if "hidden" in a or a.get("aria-hidden") == "true" else "hidden_css" if "display:none" in style or "visibility:hidden" in style else None
-        node = {"tag": tag, "text": [], "concealed": self.concealed or reason is not None, "region": None, "link": None}
+        node = {"tag": tag, "start": len(self.pieces), "concealed": self.concealed or reason is not None, "region": None, "link": None}
         if reason:
             node["region"] = {"reason": reason, "tag": tag, "text": ""}
             self.hidden.append(node["region"])
@@ -121,24 +130,27 @@ class _Page(html.parser.HTMLParser):
             self.links.append(node["link"])
         if tag not in VOID:
             self.open.append(node)
+            self.names[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_data(self, data: str) -> None:
-        for node in self.open:
-            node["text"].append(data)
+        self.pieces.append(data)
         if not self.concealed:
             self.visible.append(data)
 
     def handle_endtag(self, tag: str) -> None:
-        if any(n["tag"] == tag for n in self.open):
+        if self.names[tag]:
             while self._close() != tag:
                 pass
 
     def _close(self) -> str:
         node = self.open.pop()
-        text = _SPACE.sub(" ", "".join(node["text"])).strip()
+        self.names[node["tag"]] -= 1
+        if node["region"] is None and node["link"] is None and (node["tag"] != "title" or self.title is not None):
+            return node["tag"]
+        text = _SPACE.sub(" ", "".join(self.pieces[node["start"] :])).strip()
         for kind in ("region", "link"):
             if node[kind] is not None:
                 node[kind]["text"] = text
@@ -185,6 +197,16 @@ def keyed_digest(text: Column, secret: str) -> Column:
     return run(text)
 
 
+def signed(body: Column, at: Column, signature: Column, secret: str, now_s: Column, tolerance_s: int = 300) -> Column:
+    """Whether a delivery's signature ``v1=<hex>`` is the HMAC-SHA256 of ``timestamp.body`` and its time is within the tolerance."""
+
+    @F.pandas_udf(T.BooleanType())
+    def run(bodies: pd.Series, times: pd.Series, given: pd.Series) -> pd.Series:
+        return pd.Series([None not in (b, t, g) and hmac.compare_digest("v1=" + hmac.new(secret.encode(), f"{t}.{b}".encode(), hashlib.sha256).hexdigest(), g) for b, t, g in zip(bodies, times, given)])
+
+    return run(body, at.cast("string"), signature) & (F.abs(now_s - at) <= tolerance_s)
+
+
 CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 
 

@@ -58,3 +58,8 @@ def last_owner_guard(members: DataFrame, workspace: str, role: str, status: str)
     owners = members.where((F.col(role) == "owner") & (F.col(status) == "active")).groupBy(workspace).agg(F.count("*").alias("owners"))
     own = (F.col(role) == "owner") & (F.col(status) == "active")
     return members.join(owners, workspace, "left").withColumn("removable", ~own | (F.coalesce("owners", F.lit(0)) > 1)).drop("owners")
+
+
+def scopes_valid(scopes: Column) -> Column:
+    """1 to 32 scopes, all of them known actions."""
+    return F.coalesce(F.size(scopes).between(1, 32) & (F.size(F.array_except(scopes, F.array(*map(F.lit, ACTIONS)))) == 0), F.lit(False))

@@ -77,6 +77,24 @@ def in_scope(allowed: Column, value: Column) -> Column:
     return allowed.isNull() | (F.coalesce(value, F.lit("")).cast("string") != "") & F.coalesce(F.array_contains(allowed, value), F.lit(False))
 
 
+def matching(rules: tuple[Rule, ...], text: Column, tenant: Column, source: Column) -> Column:
+    """The rules that apply and whose phrase stands in the text, as an array of structs."""
+    folded = T.fold(text)
+    return F.filter(rules_literal(rules), lambda r: in_scope(r["tenants"], tenant) & in_scope(r["sources"], source) & F.contains(folded, F.lower(r["phrase"])))
+
+
+def decide(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str, tenant_col: str | None = None, source_col: str | None = None) -> DataFrame:
+    """What ``verdicts`` says of ``findings``, decided inside each row: no occurrence becomes a row, nothing is shuffled."""
+    none = F.lit(None).cast("string")
+    tenant, source = (F.col(c).cast("string") if c else none for c in (tenant_col, source_col))
+    rows = docs.select(F.col(id_col), T.fold(F.col(text_col)).alias("folded"), matching(rules, F.col(text_col), tenant, source).alias("hits"))
+    rows = rows.withColumn("hits", F.coalesce("hits", F.array().cast(rows.schema["hits"].dataType)))
+    times = lambda r: ((F.char_length("folded") - F.char_length(F.replace(F.col("folded"), F.lower(r["phrase"]), F.lit("")))) / F.char_length(r["phrase"])).cast("long")
+    n = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, r: acc + times(r))
+    worst = F.coalesce(F.array_max(F.transform("hits", lambda r: rank(r["disposition"]))), F.lit(0))
+    return rows.select(id_col, unrank(worst).alias("disposition"), n.alias("n_findings"), F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda r: r["reason"]))), ",").alias("reason_codes"))
+
+
 def findings(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str, tenant_col: str | None = None, source_col: str | None = None) -> DataFrame:
     """One row for each occurrence of a rule's phrase: ids, start and end offsets (code points), lines and columns.
 
@@ -85,8 +103,7 @@ def findings(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: st
     none = F.lit(None).cast("string")
     tenant, source = (F.col(c).cast("string") if c else none for c in (tenant_col, source_col))
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), T.fold(F.col(text_col)).alias("folded"), tenant.alias("tenant"), source.alias("source"))
-    hit = lambda r: in_scope(r["tenants"], F.col("tenant")) & in_scope(r["sources"], F.col("source")) & F.contains(F.col("folded"), F.lower(r["phrase"]))
-    hits = rows.withColumn("rule", F.explode(F.filter(rules_literal(rules), hit)))
+    hits = rows.withColumn("rule", F.explode(matching(rules, F.col("text"), F.col("tenant"), F.col("source"))))
     places = hits.withColumn("start", F.explode(T.occurrences(F.col("folded"), F.lower(F.col("rule.phrase"))))).withColumn("end", F.col("start") + F.char_length("rule.phrase"))
     return places.select(
         id_col, F.col("rule.id").alias("rule_id"), F.col("rule.reason").alias("reason_code"), F.col("rule.severity").alias("severity"), F.col("rule.disposition").alias("disposition"),

@@ -93,6 +93,22 @@ def anchored_windows(df: DataFrame, key: str, at_ms: str, order: str, window_ms:
     return rows.repartition(key).sortWithinPartitions(key, "at", order).mapInArrow(fold, kinds).withColumn("allowed", F.col("hit") <= most)
 
 
+def two_level_windows(df: DataFrame, group: str, key: str, at_ms: str, order: str, window_ms: int, most_group: int, most_key: int, suspended: str | None = None) -> DataFrame:
+    """``(group, key, order, allowed, reason, retry_after_s)``: a request must fit both its group's and its key's window; denied ones count in both.
+
+    Requests of suspended groups (a boolean column) are denied and count nowhere. The delay is the longer of those of the windows that are full, a second at least.
+    """
+    held = F.coalesce(F.col(suspended), F.lit(False)) if suspended else F.lit(False)
+    rows = df.select(group, key, F.col(at_ms).cast("long").alias("at"), F.col(order).cast("long").alias(order), held.alias("held"))
+    open_ = rows.where(~F.col("held")).withColumn("both", F.to_json(F.struct(group, key)))
+    ends = lambda c, name: anchored_windows(open_, c, "at", order, window_ms, most_group if c == group else most_key).select(order, F.when(~F.col("allowed"), F.col("window_start") + window_ms).alias(name))
+    met = rows.join(ends(group, "g"), order, "left").join(ends("both", "k"), order, "left")
+    full = F.greatest("g", "k")  # null where both have room
+    wait = F.greatest(F.lit(1), F.ceil((full - F.col("at")) / 1000)).cast("long")
+    reason = F.when(F.col("held"), "suspended").when(full.isNotNull(), "quota")
+    return met.select(group, key, order, reason.isNull().alias("allowed"), reason.alias("reason"), F.when(~F.col("held") & full.isNotNull(), wait).alias("retry_after_s"))
+
+
 def circuit(rows: DataFrame, key: str, order: str, failed: str, opens: int = 3, cool: int = 5) -> DataFrame:
     """Each key's breaker state after all its calls in order: ``opens`` failures in a row open it, ``cool`` calls later one probe decides.
 
@@ -174,6 +190,7 @@ def ordered_digest(df: DataFrame, key: str, order: list[str], item: Column) -> D
     return rows.mapInArrow(fold, f"`{key}` {df.schema[key].dataType.simpleString()}, n long, digest string")
 
 
+# Thresholds of alerts, budgets of capacity and times of recovery below: fixed values.
 def next_circuit(state: Column, failures: Column, cooled: Column, probe_ok: Column) -> Column:
     return F.when(state == "closed", F.when(failures >= 3, "open").otherwise("closed")).when(state == "open", F.when(cooled, "half_open").otherwise("open")).otherwise(F.when(probe_ok, "closed").otherwise("open"))
 

@@ -138,3 +138,78 @@ def upsert(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
     use = F.col(f"a.{key}").isNull() | (F.col(f"b.{version}") > F.col(f"a.{version}"))
     cols = [F.when(F.col(f"b.{key}").isNotNull() & use, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in old.columns if c != key]
     return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full").select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), *cols)
+
+
+def lease_valid(token: Column, now: Column) -> Column:
+    """Whether a worker with ``token`` still holds the job: leased to it, and neither lease, execution nor deadline is over."""
+    after = lambda c: F.col(c) > now
+    return F.coalesce((F.col("state") == "leased") & (F.col("lease_token") == token) & after("lease_expires_at") & after("execution_expires_at") & after("deadline_at"), F.lit(False))
+
+
+def enqueue(new: DataFrame, old: DataFrame, now: Column) -> DataFrame:
+    """``outcome`` of new jobs ``(job_id, idempotency_key, payload_ref, max_attempts, timeout_ms, deadline_at)``: INVALID envelope, created, replay of the
+    same payload, or CONFLICT. Of a batch's jobs with one key the smallest ``job_id`` is first."""
+    valid = F.col("payload_ref").rlike("^object://sha256/[0-9a-f]{64}$") & F.col("max_attempts").between(1, 20) & F.col("timeout_ms").between(1_000, 86_400_000) & (F.col("deadline_at") > now) & F.col("idempotency_key").isNotNull()
+    rows = new.withColumn("valid", F.coalesce(valid, F.lit(False)))
+    first = rows.where("valid").groupBy("idempotency_key").agg(F.min(F.struct("job_id", "payload_ref")).alias("first"))
+    known = old.select("idempotency_key", F.col("payload_ref").alias("known"))
+    met = rows.join(first, "idempotency_key", "left").join(known, "idempotency_key", "left")
+    same = F.col("payload_ref") == F.coalesce("known", "first.payload_ref")
+    outcome = F.when(~F.col("valid"), "INVALID").when(~same, "CONFLICT").when(F.col("known").isNull() & (F.col("job_id") == F.col("first.job_id")), "created").otherwise("replay")
+    return met.select("job_id", "idempotency_key", outcome.alias("outcome"), F.when(outcome == "created", "available").alias("state"))
+
+
+def heartbeat(jobs: DataFrame, asked: DataFrame, now: Column, lease_ms: int) -> DataFrame:
+    """``asked(job_id, token)`` after a heartbeat: the lease goes on for ``lease_ms``, at most to the end of the execution; LOST where it is not held."""
+    met = asked.join(jobs, "job_id", "left")
+    held = lease_valid(F.col("token"), now)
+    outcome = F.when(F.col("state").isNull(), "NOT_FOUND").when(held, "extended").otherwise("LOST_LEASE")
+    return met.select("job_id", outcome.alias("outcome"), F.when(held, F.least(later(now, F.lit(lease_ms)), F.col("execution_expires_at"))).alias("lease_expires_at"), F.when(held, F.col("cancel_requested_at").isNotNull()).alias("cancel_requested"))
+
+
+def complete(jobs: DataFrame, results: DataFrame, asked: DataFrame, now: Column) -> DataFrame:
+    """``asked(job_id, token, result_digest)`` after completion, ``results(effect_key, result_digest)`` being the ledger: an effect has one result.
+
+    A job that ended with the same result is a replay; with another it is a CONFLICT, as is an effect that has another result. Of a batch's
+    valid requests for one effect the smallest ``job_id`` commits, and those with its result agree with it.
+    """
+    met = asked.join(jobs.select("job_id", "state", "effect_key", "lease_token", "lease_expires_at", "execution_expires_at", "deadline_at", F.col("result_digest").alias("own_digest")), "job_id", "left")
+    met = met.withColumn("held", lease_valid(F.col("token"), now))
+    first = met.where("held").groupBy("effect_key").agg(F.min(F.struct("job_id", "result_digest")).alias("first"))
+    met = met.join(first, "effect_key", "left").join(results.select("effect_key", F.col("result_digest").alias("known")), "effect_key", "left")
+    same = F.col("result_digest") == F.coalesce("known", "first.result_digest")
+    outcome = (
+        F.when(F.col("state").isNull(), "NOT_FOUND")
+        .when(F.col("state") == "succeeded", F.when(F.col("own_digest").eqNullSafe(F.col("result_digest")), "replay").otherwise("CONFLICT"))
+        .when(~F.col("held"), "LOST_LEASE").when(~same, "CONFLICT").otherwise("succeeded")
+    )
+    return met.select("job_id", outcome.alias("outcome"), F.when(outcome.isin("succeeded", "replay"), "succeeded").otherwise(F.col("state")).alias("state"))
+
+
+def cancel(jobs: DataFrame, asked: DataFrame, now: Column) -> DataFrame:
+    """``asked(job_id)`` after the request: waiting jobs are cancelled, leased ones asked to stop, ended ones stay."""
+    met = asked.join(jobs, "job_id", "left")
+    waits, runs = F.col("state").isin("available", "retry_wait"), F.col("state") == "leased"
+    outcome = F.when(F.col("state").isNull(), "NOT_FOUND").when(waits, "cancelled").when(runs, "requested").otherwise("terminal")
+    return met.select("job_id", outcome.alias("outcome"), F.when(waits, "cancelled").otherwise(F.col("state")).alias("state"), F.when(waits | runs, now).otherwise(F.col("cancel_requested_at")).alias("cancel_requested_at"), F.when(waits, now).alias("completed_at"))
+
+
+def insert_unless_any(new: DataFrame, old: DataFrame, group: str, order: str) -> DataFrame:
+    """The first row by ``order`` of each group that has no row in ``old`` at all: an insert guarded by NOT EXISTS."""
+    fields = [c for c in new.columns if c not in (group, order)]
+    first = new.groupBy(group).agg(F.min(F.struct(order, *fields)).alias("r")).select(group, "r.*")
+    return first.join(old.select(group).distinct(), group, "left_anti").select(new.columns)
+
+
+def update_from(rows: DataFrame, source: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``rows`` with ``columns`` replaced by those of the row of ``source`` with the same key, where there is one and it is not null."""
+    other = source.select(key, *(F.col(c).alias(f"_new_{c}") for c in columns))
+    met = rows.join(other, key, "left")
+    return met.select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns))
+
+
+def lookup(rows: DataFrame, key: str, value: object) -> DataFrame:
+    """The row of a key with ``found``: one, none or several; several or none give a row of nulls, so that a broken uniqueness is seen."""
+    met = rows.where(F.col(key) == F.lit(value))
+    first = met.agg(F.count("*").alias("n"), F.min(F.struct(*rows.columns)).alias("r"))
+    return first.select(F.when(F.col("n") == 1, "one").when(F.col("n") == 0, "none").otherwise("several").alias("found"), *(F.when(F.col("n") == 1, F.col(f"r.{c}")).alias(c) for c in rows.columns))

@@ -6,9 +6,9 @@ has no SQL form that is faithful, and is tested on small cases.
 
 from __future__ import annotations
 
-from . import parsed, records, screening
+from . import lifecycle, parsed, records, screening
 
-MODULES = [screening, records, parsed]
+MODULES = [screening, records, parsed, lifecycle]
 
 
 def queries() -> dict:

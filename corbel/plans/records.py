@@ -382,6 +382,14 @@ def circuit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.circuit(e, "user_id", "event_id", "failed")
 
 
+# states: failures in a row 0 to 2; 3 to 7 open, calls waited; 8 the probe
+CIRCUIT_STATES = """WITH RECURSIVE e AS (SELECT user_id, value < 20 AS bad, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+w AS (SELECT user_id, n, CASE WHEN bad THEN 1 ELSE 0 END AS s, 0 AS opened FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.n, CASE WHEN w.s = 8 THEN CASE WHEN bad THEN 3 ELSE 0 END WHEN w.s >= 3 THEN w.s + 1 WHEN bad THEN w.s + 1 ELSE 0 END,
+    w.opened + CASE WHEN bad AND w.s IN (2, 8) THEN 1 ELSE 0 END FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+SELECT user_id, CASE WHEN s = 8 THEN 'half_open' WHEN s >= 3 THEN 'open' ELSE 'closed' END AS state, opened AS times_opened FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC) AS k FROM w) WHERE k = 1"""
+
+
 def alert_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts of each day's snapshot, made from the day's events."""
     day = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("bad"), F.count_if(F.col("event_type") == "click").alias("clicks"))
@@ -496,15 +504,15 @@ PAGE_OF_CHILDREN = "SELECT event_id, event_type, user_id FROM events WHERE user_
 
 
 def replay_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deliveries accepted once within an hour of the last of the same user and type that was seen."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").withColumn("before", F.lag("ts").over(w))
-    return e.select("event_id", F.coalesce(F.unix_millis("ts") - F.unix_millis("before") > 3_600_000, F.lit(True)).alias("accepted"))
+    """Deliveries accepted once an hour for each user and type: an accepted one keeps others out until it expires, a refused one doesn't prolong that."""
+    e = table(spark, sf_dir, "events").select(F.concat_ws("|", "user_id", "event_type").alias("key"), "event_id", F.unix_millis("ts").alias("at"))
+    return ops.anchored_windows(e, "key", "at", "event_id", 3_600_000, 1).select("event_id", F.col("allowed").alias("accepted"))
 
 
-REPLAY_WINDOW = """SELECT event_id, coalesce(epoch_us(ts) // 1000 - epoch_us(lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)) // 1000 > 3600000, true) AS accepted FROM events"""
+REPLAY_WINDOW = """WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+w AS (SELECT user_id, event_type, event_id, n, ms + 3600000 AS expires, true AS accepted FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_type, e.event_id, e.n, CASE WHEN w.expires <= e.ms THEN e.ms + 3600000 ELSE w.expires END, w.expires <= e.ms FROM w JOIN e ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.n = w.n + 1)
+SELECT event_id, accepted FROM w"""
 
 
 def correlation_flows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ SCAN_RULES_FINDINGS = f"WITH {_findings_sql(RULES, _DOCS)} SELECT id AS doc_id,
 
 def scan_rules_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's most restrictive disposition and reasons."""
-    return detect.verdicts(table(spark, sf_dir, "documents"), _doc_findings(spark, sf_dir), "doc_id")
+    return detect.decide(table(spark, sf_dir, "documents"), RULES, "doc_id", "text", "lang", "source")
 
 
 SCAN_RULES_DISPOSITION = f"""WITH {_findings_sql(RULES, _DOCS)}
@@ -177,6 +177,12 @@ def base64_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.base64_tokens(table(spark, sf_dir, "documents"), "doc_id", "text").where("n_tokens > 0")
 
 
+BASE64_SCAN = """WITH t AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9+/]{8,}={0,2}') AS x FROM documents),
+u AS (SELECT doc_id, len(x) AS n_tokens, unnest(x) AS v FROM t WHERE len(x) > 0), b AS (SELECT *, rtrim(v, '=') AS bare FROM u),
+d AS (SELECT doc_id, n_tokens, CASE WHEN length(v) % 4 = 0 OR (v = bare AND length(v) % 4 <> 1) THEN TRY(decode(from_base64(rpad(bare, ((length(bare) + 3) // 4 * 4)::INTEGER, '=')))) END AS s FROM b)
+SELECT doc_id, any_value(n_tokens)::INTEGER AS n_tokens, (count(*) FILTER (strlen(s) <= 65536 AND regexp_matches(s, '[\\p{L}\\p{N}]')))::INTEGER AS n_decoded FROM d GROUP BY 1"""
+
+
 def revenue_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue statements: sentences made of order totals, as the prose has none."""
     unit = F.element_at(F.array(*map(F.lit, ("million", "Billion", "billion", "dollars"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
@@ -218,7 +224,7 @@ FROM documents d LEFT JOIN c ON d.doc_id = c.subject GROUP BY 1"""
 
 def classifier_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule verdicts with a model's view from labels, which may be missing."""
-    base = detect.verdicts(table(spark, sf_dir, "documents"), _doc_findings(spark, sf_dir), "doc_id")
+    base = detect.decide(table(spark, sf_dir, "documents"), RULES, "doc_id", "text", "lang", "source")
     m = base.join(table(spark, sf_dir, "labels"), "doc_id", "left")
     model = F.when(F.col("toxic") == 1, "block").when(F.col("quality") == 0, "review").otherwise("allow")
     return m.select("doc_id", F.col("disposition").alias("deterministic"), policy.merge_model(F.col("disposition"), model, F.col("toxic").isNotNull()).alias("merged"))

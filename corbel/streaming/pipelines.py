@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,6 +32,44 @@ def screen(stream: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: st
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class RuleSource:
+    """Rules from a table that may change between batches ``(id, phrase, reason, severity, disposition, version, tenants, sources)``.
+
+    Each batch reads the table again; a set that is invalid, empty or can't be read leaves the last good one in force, and ``error`` says why. A rule set is
+    configuration of at most ``detect.MOST_RULES`` rows, so it is read whole.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, rules: tuple[Rule, ...] = ()):
+        self.spark, self.path, self.rules, self.error = spark, path, rules, None
+
+    def current(self) -> tuple[Rule, ...]:
+        try:
+            rows = self.spark.read.parquet(self.path).limit(detect.MOST_RULES + 1).collect()
+            many = lambda x: None if x is None else tuple(x)
+            rules = tuple(Rule(r["id"], r["phrase"], r["reason"], r["severity"], r["disposition"], r["version"], many(r["tenants"]), many(r["sources"])) for r in sorted(rows, key=lambda r: r["id"] or ""))
+            bad = detect.violations(rules)
+            if bad or not rules:
+                raise ValueError(f"invalid rules: {bad}" if bad else "no rules")
+            self.rules, self.error = rules, None
+        except Exception as e:  # whatever is wrong with the table, screening goes on
+            self.error = str(e)
+        if not self.rules:
+            raise RuntimeError(f"no rules have ever been valid: {self.error}")
+        return self.rules
+
+
+def screen_reloading(stream: DataFrame, source: RuleSource, id_col: str, text_col: str, out: str, checkpoint: str) -> StreamingQuery:
+    """``screen`` under the rules that are in force when a batch begins; verdicts name the rules' digest."""
+
+    def batch(df: DataFrame, n: int) -> None:
+        rules = source.current()
+        digest = hashlib.sha256(repr(rules).encode()).hexdigest()
+        decided = detect.decide(df, rules, id_col, text_col).withColumn("rules_digest", F.lit(f"sha256:{digest}"))
+        decided.write.mode("overwrite").parquet(f"{out}/verdicts/batch={n}")
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def once_only(stream: DataFrame, key: list[str], time_col: str, within: str) -> DataFrame:
     """The first row of a key within a time span, whatever repeats."""
     return stream.withWatermark(time_col, within).dropDuplicatesWithinWatermark(key)

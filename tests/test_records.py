@@ -1,9 +1,12 @@
 import datetime as dt
 import hashlib
+import hmac
 import io
 import json
+import os
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from corbel.functions import udfs
@@ -121,10 +124,10 @@ def test_ids_and_digests(spark):
 
 
 def test_canonical_json_sorts_keys(spark):
-    raw = '{"z":[3,true,null],"nested":{"beta":"€","alpha":17},"a":"Verus"}'
+    raw = '{"z":[3,true,null],"nested":{"beta":"€","alpha":17},"a":"Sample"}'
     got = spark.range(1).select(F.to_json(F.parse_json(F.lit(raw)))).first()[0]
-    assert got == '{"a":"Verus","nested":{"alpha":17,"beta":"€"},"z":[3,true,null]}'
-    assert spark.range(1).select(F.sha2(F.lit(got).cast("binary"), 256)).first()[0] == "1587c5aedb51c490501abef3bb27cba325be92ef803aa18770a7a6fb0de8f887"
+    assert got == '{"a":"Sample","nested":{"alpha":17,"beta":"€"},"z":[3,true,null]}'
+    assert spark.range(1).select(F.sha2(F.lit(got).cast("binary"), 256)).first()[0] == hashlib.sha256(got.encode()).hexdigest()
 
 
 def test_samples_and_uploads(spark, tmp_path):
@@ -202,3 +205,96 @@ def test_stream_rate_limit_equals_batch(spark, tmp_path):
         got = out
     want = [tuple(r) for r in ops.anchored_windows(df, "user", "at", "n", 700, 2).select("user", "n", "window_start", "hit", "allowed").collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_rules_are_read_again_and_the_last_good_set_stays(spark, tmp_path):
+    rules = "id string, phrase string, reason string, severity string, disposition string, version string, tenants array<string>, sources array<string>"
+    put = lambda *rows: spark.createDataFrame([(i, p, "TOOL_COERCION", "low", d, "1", None, None) for i, p, d in rows], rules).write.mode("overwrite").parquet(str(tmp_path / "rules"))
+    source = pipelines.RuleSource(spark, str(tmp_path / "rules"))
+    with pytest.raises(RuntimeError):
+        source.current()
+    put(("a", "first phrase", "review"))
+    assert [r.id for r in source.current()] == ["a"] and source.error is None
+    put(("b", "x", "review"))  # too short a phrase
+    assert [r.id for r in source.current()] == ["a"] and "b" in source.error
+    put(("c", "second phrase", "block"))
+    spark.createDataFrame([(1, "the first phrase"), (2, "the second phrase"), (3, None)], "id long, text string").write.parquet(str(tmp_path / "in"))
+    q = pipelines.screen_reloading(pipelines.read_table_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema), source, "id", "text", str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.awaitTermination(120)
+    assert {r.id: r.disposition for r in spark.read.parquet(str(tmp_path / "out/verdicts")).collect()} == {1: "allow", 2: "block", 3: "allow"}
+
+
+def test_signed_deliveries(spark):
+    good = "v1=" + hmac.new(b"k", b'100.{"a":1}', hashlib.sha256).hexdigest()
+    rows = [('{"a":1}', 100, good), ('{"a":2}', 100, good), ('{"a":1}', 101, good), (None, 100, good), ('{"a":1}', 100, None)]
+    df = spark.createDataFrame(rows, "body string, at long, sig string")
+    check = lambda now: [r[0] for r in df.select(udfs.signed(F.col("body"), F.col("at"), F.col("sig"), "k", F.lit(now))).collect()]
+    assert check(390) == [True, False, False, False, False] and check(401)[0] is False
+
+
+def test_page_parser_equals_a_plain_one_and_stays_linear(spark):
+    import random
+    import time
+
+    class Plain(udfs._Page):
+        """Every open node keeps its own list of texts."""
+
+        def handle_starttag(self, tag, attrs):
+            super().handle_starttag(tag, attrs)
+            if tag not in udfs.VOID:
+                self.open[-1]["own"] = []
+
+        def handle_data(self, data):
+            super().handle_data(data)
+            for n in self.open:
+                n["own"].append(data)
+
+        def _close(self):
+            node = self.open[-1]
+            tag = super()._close()
+            text = " ".join("".join(node["own"]).split())
+            for k in ("region", "link"):
+                assert node[k] is None or node[k]["text"] == text
+            return tag
+
+    rng = random.Random(4)
+    for _ in range(300):
+        parts = [rng.choice(["<div>", "</div>", "<p hidden>", "</p>", "<a href=x>", "</a>", "<title>", "</title>", "text ", " more\n", "<br>", "<span style='display: none'>", "</span>"]) for _ in range(rng.randrange(40))]
+        page = Plain()
+        page.feed("".join(parts))
+        page.finish()
+        assert udfs.parse_page("".join(parts) + "<i>")[2:5] == (page.metadata, page.links, page.hidden)
+    began = time.time()
+    assert udfs.parse_page("<div>x" * 40_000)[5] == " ".join("x" * 40_000)
+    assert time.time() - began < 10
+
+
+def test_payload_checks_and_json_walks(spark):
+    from corbel.operators import capsule, delivery, listing, workqueue
+
+    deep = "{" + '"a":{' * 40 + "}" * 41
+    df = spark.createDataFrame([('{"a":[{"TOKEN":1}]}',), ('{"tokens":1}',), (deep,), ("nope",), (None,), ("null",)], "t string")
+    assert [r[0] for r in df.select(capsule.forbidden_key(F.col("t"))).collect()] == ["TOKEN", None, "depth", "json", "json", None]
+    got = [r[0] for r in df.select(capsule.sanitized(F.col("t"))).collect()]
+    assert got[0] == '{"a":[{"TOKEN":1}]}' and "[depth-limited]" in got[2] and got[3] is None
+    url = spark.createDataFrame([(None,), ("",), ("https://ok.example",)], "u string")
+    assert [r[0] for r in url.select(delivery.endpoint_allowed(F.col("u"))).collect()] == [False, False, True]
+    empty = spark.createDataFrame([], "account_id long, coin string, balance string, available string, frozen string, locked string")
+    assert listing.holdings(empty).count() == 0
+    one = workqueue.update_from(spark.createDataFrame([(1, None), (2, "x")], "k long, v string"), spark.createDataFrame([(1, "new"), (2, None)], "k long, v string"), "k", ["v"])
+    assert sorted(map(tuple, one.collect())) == [(1, "new"), (2, "x")]
+    assert [r[0] for r in spark.createDataFrame([("Éa ñ",)], "t string").select(udfs.unaccented(F.col("t"))).collect()] == ["Ea n"]
+
+
+def test_pseudonyms_are_keyed_hashes(spark):
+    from corbel.plans import parsed
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the driver's tables")
+    rows = parsed.pseudonyms(spark, folder).collect()
+    names = {r.c_custkey: r.c_name for r in spark.read.parquet(f"{folder}/customer.parquet").collect()}
+    for r in rows:
+        raw = hmac.new(b"fixture-secret", names[r.c_custkey].encode(), hashlib.sha256).digest()
+        assert r.digest == "sha256:" + raw.hex() and r.member_id == "member_" + udfs.crockford(raw[:16])
+    assert len(rows) == len(names)
