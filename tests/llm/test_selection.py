@@ -227,3 +227,40 @@ def test_search_equals_brute_force(spark, more):
 def test_search_of_empty_tables(spark):
     some, none = frame(spark, [(1, "a")]), frame(spark, [])
     assert search.top_k(none, some).count() == 0 and search.top_k(some, none).count() == 0
+
+
+def test_search_with_null_ids_clashing_columns_and_ties(spark):
+    docs = [(5, "red apple"), (None, "red apple"), (3, "red apple"), (None, "green pear tree"), (9, "pear " * 4_000), (3, "red apple")]
+    asked = [(1, "apple"), (None, "pear"), (2, "pear tree")]
+    got = sorted(((r.query_id, r["rank"], r.doc_id) for r in search.top_k(frame(spark, docs), frame(spark, asked), k=4).collect()), key=repr)
+    assert got == sorted([(1, 1, 3), (1, 2, 3), (1, 3, 5), (1, 4, None), (2, 1, None), (2, 2, 9)], key=repr)
+
+
+def test_search_scores_few_documents(spark):
+    """Pivots end the search: of a shard's documents only a part is scored in full, and the result is that of scoring all."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n, terms = 3_000, 600
+    lists = [np.unique(rng.integers(0, n, int(n / (1 + t / 6)) + 2)).astype(np.int32) for t in range(terms)]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    docs = np.concatenate(lists)
+    tfs = rng.integers(1, 6, len(docs)).astype(np.int32)
+    row = {"lengths": rng.integers(50, 400, n), "terms": np.arange(terms), "offsets": offsets, "docs": docs, "tfs": tfs}
+    shard = search.Shard(row, 200.0, 1.2, 0.75)
+    df = np.diff(offsets)
+    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    queries = [(np.sort(rng.choice(terms, 40, replace=False)), None) for _ in range(300)]
+    queries = [(t, idf[t]) for t, _ in queries]
+    least = np.full(len(queries), -np.inf)
+    for (t, w), (found, scores) in zip(queries, shard.search(queries, 10, least)):
+        full = np.zeros(n)
+        for x, i in zip(t, w):
+            at = slice(offsets[x], offsets[x + 1])
+            full[docs[at]] += shard.weights[at] * i
+        best = np.sort(full)[::-1][:10]
+        assert np.allclose(np.sort(scores)[::-1][:10], best) and np.allclose(full[found], scores)
+    assert shard.scored < 0.35 * n * len(queries)
+    before = shard.scored
+    list(shard.search(queries, 10, np.full(len(queries), 1e9)))  # what can't reach the k-th score of other shards isn't scored at all
+    assert shard.scored == before
