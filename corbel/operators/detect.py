@@ -60,6 +60,23 @@ def violations(rules: tuple[Rule, ...]) -> list[str]:
     return out + ["too many rules"] * (len(rules) > MOST_RULES)
 
 
+def rule_violations(rules: DataFrame) -> DataFrame:
+    """A table of rules ``(position, id, phrase, reason, severity, disposition)`` with ``violations``, sorted: what ``violations`` says of a set held in memory, by column."""
+    twice = rules.groupBy("id").agg(F.count("*").alias("times"))
+    code = F.contains("phrase", F.lit("${")) | F.contains("phrase", F.lit("=>")) | F.contains("phrase", F.lit("function"))
+    bad = (
+        (F.col("id").rlike("^[a-z0-9-]+$"), "id"), (F.char_length(F.trim("phrase")) >= 3, "phrase"), (F.col("reason").isin(*REASONS), "reason"), (F.col("severity").isin(*SEVERITIES), "severity"),
+        (F.col("disposition").isin(*RANK), "disposition"), (~code, "code"), (F.col("times") == 1, "duplicate"),
+    )
+    found = F.array_compact(F.array(*(F.when(~F.coalesce(good, F.lit(False)), name) for good, name in bad)))
+    return rules.join(twice, "id", "left").withColumn("violations", F.array_sort(found)).drop("times")
+
+
+def joined_fields(fields: Column) -> Column:
+    """All fields of a record as one text, white space collapsed and invisible characters gone, for phrases that are split between fields."""
+    return T.collapse_space(T.strip_invisible(F.array_join(fields, " ")))
+
+
 def rules_literal(rules: tuple[Rule, ...]) -> Column:
     """The rules as one array of structs; a rule set is configuration, of at most ``MOST_RULES`` rules."""
     if bad := violations(rules):

@@ -6,9 +6,9 @@ has no SQL form that is faithful, and is tested on small cases.
 
 from __future__ import annotations
 
-from . import lifecycle, parsed, records, screening
+from . import forms, lifecycle, parsed, records, screening
 
-MODULES = [screening, records, parsed, lifecycle]
+MODULES = [screening, records, parsed, lifecycle, forms]
 
 
 def queries() -> dict:
