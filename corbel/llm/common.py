@@ -7,6 +7,8 @@ import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,20 +19,64 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where the cluster names none, as in tests."""
+    """The cluster's shared folder (``spark.checkpoint.dir``). Only a session in one process, as in tests, may name none: it gets a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corbel-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corbel-"))
     return sc.getCheckpointDir()
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def stable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: it is computed once and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/corbel-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def clearing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what ``stable`` has written inside, but for what went through the function that it yields: results, written while their
+    inputs are still there."""
+    outer, made, kept = _MADE.get(), [], []
+    token = _MADE.set(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = stable(df)
+        kept.append(made.pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        _MADE.reset(token)
+        if outer is not None:
+            outer += kept
+        fs = spark._jvm.org.apache.hadoop.fs
+        for path in made:
+            p = fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def free_name(columns: list[str], base: str) -> str:
+    """A column name that is not among ``columns``."""
+    return next(n for n in (base, *(f"{base}{k}" for k in range(len(columns) + 1))) if n not in columns)
+
+
+def without(rows: DataFrame, name: Column, bad: DataFrame, most: int = 200_000) -> DataFrame:
+    """``rows`` but for those whose ``name`` is in the stable, one-column ``bad``: sent to all tasks up to ``most`` names, else shuffled. No name in ``bad`` is null."""
+    column = free_name(rows.columns, "_bad")
+    bad = bad.select(F.col(bad.columns[0]).alias(column)).distinct()
+    return rows.join(F.broadcast(bad) if bad.count() <= most else bad, name == F.col(column), "left_anti")
+
+
 def give_back() -> None:
     """Hands freed memory back to the system. Python workers live on between tasks, and their allocators would keep it."""
     pa.default_memory_pool().release_unused()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stable
+from .common import clearing, stable
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -30,18 +30,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``edges(u, v)`` of longs to ``(node, component)``, the component being its smallest node.
 
     Self-links and nulls are ignored; nodes without a link to another node do not appear. An empty table gives an
-    empty table. Each round halves the distance to the smallest node; a round's table is written to the shared folder.
+    empty table. Each round halves the distance to the smallest node; a round's table is written to the shared folder and deleted at the end.
     """
-    now = stable(edges.select("u", "v").where("u <> v").distinct())
-    before = _state(now)
-    if before[0] == 0:
-        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    for _ in range(rounds):
-        now = stable(_small_star(_large_star(now)))
-        after = _state(now)
-        if after == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        before = after
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    with clearing(edges.sparkSession) as keep:
+        now = stable(edges.select("u", "v").where("u <> v").distinct())
+        before = _state(now)
+        for _ in range(rounds if before[0] else 0):
+            now = stable(_small_star(_large_star(now)))
+            after = _state(now)
+            if after == before:
+                break
+            before = after
+        else:
+            if before[0]:
+                raise RuntimeError(f"components did not settle in {rounds} rounds")
+        lows = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        return keep(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(lows))

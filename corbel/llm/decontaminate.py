@@ -82,7 +82,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``spans`` are the merged word ranges inside windows that occur in the text, ``items`` the sorted distinct ids of the
     items these windows belong to. At most ``block`` windows are sent to the tasks at a time, so what is sent has a
     bound whatever the benchmark's size; a larger benchmark takes several passes, joined exactly by row. Null texts have no words; null
-    items are left out; repeated items count once. An empty benchmark gives no hits, an empty ``docs`` no rows.
+    items are left out; repeated items count once. Rows that repeat an id, or have none, keep their own rows; ``id_col`` may be of any type; other columns
+    may have any name; texts are read whole, however long. An empty benchmark gives no hits, an empty ``docs`` no rows.
     """
     cut = stable(windows(benchmark, item_col, item_text_col, size).withColumn("at", F.monotonically_increasing_id()))
     n = cut.count()

@@ -131,26 +131,29 @@ def _vectors(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "lang string, x binary").where("x is not null")
 
 
-def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 800, languages: int = 200) -> Model | None:
+def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 800, most: int = 16_000) -> Model | None:
     """A model from the labelled rows of ``train``; null labels are left out.
 
-    At most about ``per_language`` rows of each language are used, drawn by a hash of the id; of over ``languages`` labels those with the most rows.
+    At most about ``per_language`` rows of each language are used, drawn by a hash of the id, and about ``most`` of all: with very many languages
+    fewer of each, but 20 at least. Every language that has a label is learned.
     """
     known = train.where(F.col(lang_col).isNotNull())
-    counts = known.groupBy(F.col(lang_col).alias("g")).count().orderBy(F.desc("count"), "g").limit(languages).collect()
+    counts = known.groupBy(F.col(lang_col).alias("g")).count().collect()
     if not counts:
         return None
+    per_language = min(per_language, max(20, most // len(counts)))
     share = F.create_map(*itertools.chain.from_iterable((F.lit(r["g"]), F.lit(int(min(1.0, per_language / r["count"]) * (1 << 30)))) for r in counts))
     drawn = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(1 << 30)) < F.coalesce(share[F.col(lang_col)], F.lit(0)))
-    rows = _vectors(drawn, text_col, lang_col).limit(2 * per_language * len(counts)).collect()
-    return fit([(r["lang"], np.frombuffer(r["x"], np.float32)) for r in rows])
+    rows = _vectors(drawn, text_col, lang_col).collect()
+    return fit([(g, np.frombuffer(x, np.float32)) for g, x in sorted((r["lang"], bytes(r["x"])) for r in rows)])
 
 
 def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """``(id, lang_pred, family_pred, score)`` for every row of ``docs`` from its text alone, learned from ``train``.
 
     Null texts and texts without a letter are ``und`` with score 0, as is every text if ``train`` has no label. Very short
-    texts are predicted like others. An empty table gives an empty table.
+    texts are predicted like others, very long ones from all of their letters. Equal texts get equal answers; rows that repeat an id keep
+    their own rows, null ids too; a tie goes to the first language by name. Other columns may have any name. An empty table gives an empty table.
     """
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(learn(train, text_col, id_col=id_col, **more)))
 

@@ -310,7 +310,8 @@ def scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col:
 
     Texts are lower-cased (A-Z); null is empty. ``score`` is the trie's log10 probability of all bytes and the end, ``base_score`` that of
     the words and one end under smoothed word counts. At most ``common`` frequent words are sent to the tasks; the
-    others are looked up by a join. Rows that repeat an id keep their own rows. Without training texts all bytes are alike.
+    others are looked up by a join. Rows that repeat an id, or have none, keep their own rows, and equal texts score alike. Texts are read whole; a very long one makes a
+    chunk of its own, held whole with its strings. Other columns may have any name. Without training texts all bytes are alike, and an empty table gives an empty one.
     All contexts are kept; with ``most`` the model is cut to so many edges (see ``trie``) and sent to the tasks.
     """
     if not 1 <= order <= 6:

@@ -136,13 +136,22 @@ def scored(rows: DataFrame, model: Model | None) -> DataFrame:
     return rows.select("id", "x").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
 
 
-def quality(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **more) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", key_col: str | None = None, **more) -> DataFrame:
     """``(id, score)`` for every row of ``docs``, learned from the rows of ``labels`` with a label of 0 or 1.
 
     ``train`` is a predicate of an id column. Labels of ids without a document, null labels and labels that contradict another
-    label of the same id are left out. Texts, never their ids or other columns, make the score; empty and null texts have one too.
+    label of the same id are left out; of several texts under one id one is learned from. Texts, never their ids or other columns, make the score, so equal
+    texts tie; whole texts are read however long they are, and empty and null ones have a score too. Null ids are scored and not learned from. Other
+    columns may have any name. An empty table gives an empty table; without labels all scores are 0.5. With ``key_col``, a string column that
+    is the same for rows of the same text only, the result's ``id`` is that key.
     """
-    x = stable(statistics(docs, id_col, text_col))
-    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("top")).where("y = top")
-    learn = x.where(train(F.col("id"))).join(known.select("id", "y"), "id").dropDuplicates(["id"])
+    key = key_col or id_col
+    x = stable(statistics(docs, key, text_col))
+    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("doc")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("top")).where("y = top")
+    if key_col:  # labels to texts; the one with the smallest key of an id, and of a text's labels the mean would be neither: contradictions are left out
+        of_id = docs.select(F.col(id_col).alias("doc"), F.col(key_col).alias("id")).where(train(F.col("doc"))).groupBy("doc").agg(F.min("id").alias("id"))
+        known = of_id.join(known, "doc").groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top")
+    else:
+        known = known.where(train(F.col("doc"))).withColumnRenamed("doc", "id")
+    learn = x.join(known.select("id", "y"), "id").groupBy("id").agg(F.min(F.struct("x", "y")).alias("r")).select("id", "r.*")
     return scored(x, fit(stable(learn), **more))

@@ -205,7 +205,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     """Writes the ids of all whole texts, each with ``end_id`` at its end, in ascending order of ``id_col``.
 
     Null texts are empty: their only id is the end. Null ids come first; equal ids follow each other in the order of their texts. A
-    segment has ``segment`` ids and up to a few megabytes of text more; a single longer document makes a longer one. An empty table makes an empty folder.
+    segment has ``segment`` ids and up to a few megabytes of text more; a single longer document makes a longer one, which a task holds whole with its ids. Ids are
+    integers, or cast to long; other columns are not read. An empty table makes an empty folder.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
 

@@ -78,7 +78,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     """Writes a record per row; of rows whose payloads of at least ``at_least`` bytes are equal, all but that of the largest id revisit it.
 
     Payloads are the html in UTF-8, null being empty. Rows that repeat an id and its html make equal records. A null id is kept
-    as null. White space in URLs is dropped, a null URL left out. An empty table makes archives without pages.
+    as null. White space in URLs is dropped, a null URL left out. Other columns are not read. However long a payload is, a record's block has at most ``segment``
+    bytes, as the rest goes on in further records, so a file of 20,000 records stays below 2 GB. An empty table makes archives without pages.
     """
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("body")).withColumn("sha", F.sha1("body"))

@@ -160,3 +160,37 @@ def test_remainder_is_that_of_crc32(spark):
 
     got = spark.range(50).select("id", id_remainder(F.col("id"), 7).alias("r")).collect()
     assert all(r.r == zlib.crc32(str(r.id).encode()) % 7 for r in got)
+
+
+def test_language_features_and_votes_by_hand(spark):
+    """Every n-gram counted one by one; every pair of a family votes once; all languages with a label are learned, however many."""
+    from corbel.llm import language as L
+
+    text = "Ça va, Élise? x"
+    raw = b" " + b" ".join(text.lower().encode().translate(L._BLANK).split()) + b" "
+    counts = np.zeros(L.DIMS)
+    for n in range(1, 5):
+        for i in range(len(raw) - n + 1):
+            counts[(int.from_bytes(raw[i : i + n], "big") * 2654435761 + n * 40503) % 2**32 >> 21] += 1
+    assert np.allclose(L.features(text), np.sqrt(counts / counts.sum()), atol=1e-6)
+    rng = np.random.default_rng(5)
+    langs = ["de", "nl", "sv", "fr", "it"]
+    seeds = {g: rng.random(L.DIMS).astype(np.float32) for g in langs}
+    model = L.fit([(g, seeds[g] + 0.05 * rng.random(L.DIMS).astype(np.float32)) for g in langs for _ in range(30)])
+    x = np.array([seeds[g] for g in langs], np.float32)
+    got = model.predict(x)
+    for row, (lang, family, score) in zip(x, got):
+        one = np.append(row, 1)
+        margins = [float(one @ model.weights[:, k]) for k in range(len(model.families))]
+        assert family == model.families[int(np.argmax(margins))]
+        own, pairs, w = model.within[family]
+        votes = dict.fromkeys(own, 0.0)
+        for k, (a, b) in enumerate(pairs):
+            p = 1 / (1 + np.exp(-3 * float(one @ w[:, k])))
+            votes[own[a]] += p
+            votes[own[b]] += 1 - p
+        assert lang == max(own, key=lambda g: votes[g]) and 0 <= score <= 1
+    assert [g[0] for g in got] == langs
+    rows = [(k * 1000 + i, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 20, f"l{k}") for k in range(230) for i in range(2)]
+    learned = L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(learned.families) == 230
