@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, give_back, lean, slices, stable
+from .common import as_bytes, clearing, free_name, give_back, lean, slices, stable, without
 from .components import components
 
 SEED = 42
@@ -46,29 +46,19 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, lanes: int = 1) -> DataFrame:
-    """``(id, fp: array of lanes longs, shingles)``: one 64-bit SimHash a lane and the number of shingles; null texts are empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """``(id, fp, shingles)``: the 64-bit SimHash and the number of shingles; null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
             fps, sizes = [], []
             for text in as_bytes(batch.column("t")):
                 h = shingle_hashes(text, words)
-                more = [h if k == 0 else _mix(h, k) for k in range(lanes)]
-                fps.append(np.array([fingerprint(x) for x in more], np.uint64).view(np.int64))
+                fps.append(np.uint64(fingerprint(h)).view(np.int64))
                 sizes.append(len(h))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["id", "fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64())], ["id", "fp", "shingles"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(lean(run), "id long, fp array<long>, shingles long")
-
-
-def _mix(h: np.ndarray, k: int) -> np.ndarray:
-    """Another 64-bit hash of a hash, for further lanes."""
-    with np.errstate(over="ignore"):
-        x = h ^ np.uint64(0x9E3779B97F4A7C15 * k % 2**64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(lean(run), "id long, fp long, shingles long")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -175,8 +165,8 @@ class Forest:
         return a != b
 
 
-def spanning_links(ids: np.ndarray, fps: np.ndarray, home: np.ndarray, query: np.ndarray, radius: int, verify=None) -> list[tuple[int, int]]:
-    """Links that join what the homes and queries of one task link, as few as it takes; ``verify(i, j)`` decides on a pair."""
+def spanning_links(ids: np.ndarray, fps: np.ndarray, home: np.ndarray, query: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links that join what the homes and queries of one task link, as few as it takes."""
     at_home, at_query = np.flatnonzero(home), np.flatnonzero(query)
     forest, out = Forest(len(ids)), []
     for q, hs, ds in close_pairs(fps[at_home], fps[at_query], radius):
@@ -184,115 +174,75 @@ def spanning_links(ids: np.ndarray, fps: np.ndarray, home: np.ndarray, query: np
         other = ids[hs] != ids[q]
         hs, ds = hs[other], ds[other]
         while len(hs):
-            roots = forest.find(hs)
-            free = roots != forest.find(np.array([q]))[0]
-            hs, ds, roots = hs[free], ds[free], roots[free]
-            if not len(hs):
-                break
-            j = int(hs[np.argmin(ds)])
-            if verify is None or verify(q, j):
+            free = forest.find(hs) != forest.find(np.array([q]))[0]
+            hs, ds = hs[free], ds[free]
+            if len(hs):
+                j = int(hs[np.argmin(ds)])
                 forest.join(q, j)
                 out.append((int(ids[q]), int(ids[j])))
-            else:
-                keep = hs != j
-                hs, ds = hs[keep], ds[keep]
     return out
 
 
-def near_links(points: DataFrame, radius: int, shards: int | None = None, band: bool = False, sample: int = 4096, cell: int | None = None, verify_jaccard: float | None = None) -> DataFrame:
-    """Spanning links ``(u, v)`` of ``points(id, fp, size[, hashes])`` within ``radius`` bits.
+def near_links(points: DataFrame, radius: int, shards: int | None = None, sample: int = 4096, cell: int = 400_000) -> DataFrame:
+    """Spanning links ``(u, v)`` of ``points(id, fp)`` within ``radius`` bits.
 
-    ``points`` must be stable (read twice) with distinct ids. ``sample``: rows that shape the tree, at most about so many.
-    ``shards``: leaves, 64 or one for each 250,000 points. ``band``: only pairs whose sizes differ by a quarter at
-    most are sought: points also go by bands of size, to their own and the next band. ``cell``: homes and queries of
-    one task at most about so many. ``verify_jaccard``: links need that Jaccard similarity of the ``hashes``.
+    ``points`` must be stable (read twice) with distinct ids. ``shards``: leaves, 64 or one for each 250,000 points. ``sample``: rows that
+    shape the tree, at most about so many, or 64 a leaf. ``cell``: homes and queries of one task at most about so many.
     """
     n = points.count()
     lanes = points.select(F.size("fp").alias("k")).first() if n else None
     if lanes is None:
         return points.sparkSession.createDataFrame([], "u long, v long")
-    share = min(1.0, sample / n)
-    rows = points.where((F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))).select("fp").limit(2 * sample).collect()
-    shaped = np.array([x["fp"] for x in rows], np.int64).view(np.uint64).reshape(-1, lanes["k"])
     shards = shards or max(64, 1 << math.ceil(math.log2(max(1, n / 250_000))))
-    tree = Tree(shaped, radius, int(math.log2(shards)))
-    cell = cell or (16_384 if band else 400_000)
-    step = math.log(1.25)
-
-    def bands(sizes: np.ndarray) -> np.ndarray:
-        return np.floor(np.log(np.maximum(sizes, 1)) / step).astype(np.int64) + 1 if band else np.zeros(len(sizes), np.int64)
-
-    def places(batch: pa.RecordBatch):
-        """Row, shard, at home there; in the next band a row is only a query."""
-        fps = _lanes(batch.column("fp"), lanes["k"])
-        at, leaf, home = tree.route(fps)
-        b = bands(batch.column("size").to_numpy(zero_copy_only=False))[at]
-        shard = b * tree.leaves + leaf
-        if band:
-            at, shard, home = np.concatenate([at, at]), np.concatenate([shard, shard + tree.leaves]), np.concatenate([home, np.zeros(len(at), bool)])
-        return at, shard, home
-
-    def count(batches):
-        seen: dict[int, np.ndarray] = {}
-        for batch in batches:
-            _, shard, home = places(batch)
-            for s in np.unique(shard):
-                m = shard == s
-                seen[int(s)] = seen.get(int(s), 0) + np.array([home[m].sum(), m.sum()])
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([int(x[0]) for x in seen.values()], pa.int64()), pa.array([int(x[1]) for x in seen.values()], pa.int64())], ["shard", "homes", "queries"])
-
-    counted = points.select("fp", "size").mapInArrow(count, "shard long, homes long, queries long").groupBy("shard").agg(F.sum("homes").alias("h"), F.sum("queries").alias("q")).where("h > 0 and q > 1").collect()
-    held = 16 << 20  # 4-byte hashes of the homes of a cell, at most
-
-    def most(shard: int) -> int:
-        """Points of a cell: fewer where sets are large."""
-        return cell if verify_jaccard is None else max(1, min(cell, int(held / math.exp(step * (shard // tree.leaves)))))
+    sample = max(sample, 64 * shards)
+    share = min(1.0, sample / n)
+    rows = points.where((F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))).select("fp").limit(2 * sample).toArrow()
+    tree = Tree(_lanes(rows.column("fp"), lanes["k"]), radius, int(math.log2(shards)))
 
-    grid = {x["shard"]: (math.ceil(x["h"] / most(x["shard"])), math.ceil(x["q"] / most(x["shard"]))) for x in counted}
-    names = ["id", "fp"] + ["hashes"] * (verify_jaccard is not None)
+    def places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tree.route(_lanes(batch.column("fp"), lanes["k"]))
 
-    def spread(batches):
-        """A row of the grid: homes go to one row of cells, queries to one column."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        homes, queries = np.zeros(tree.leaves, np.int64), np.zeros(tree.leaves, np.int64)
         for batch in batches:
-            at, shard, home = places(batch)
-            ids = batch.column("id").to_numpy()
-            take, cells, roles = [], [], []
-            for s in np.unique(shard):
-                if int(s) not in grid:
-                    continue
-                a, c = grid[int(s)]
-                m = np.flatnonzero(shard == s)
-                key = ids[at[m]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-                row, col, h = key % np.uint64(a), key % np.uint64(c), home[m]
-                for i in range(a):
-                    for j in range(c):
-                        as_home, as_query = h & (row == i), col == j
-                        on = as_home | as_query
-                        take.append(at[m[on]])
-                        cells.append(np.full(on.sum(), (int(s) << 24) + i * c + j))
-                        roles.append(as_home[on] + 2 * as_query[on])
-            if take and sum(map(len, take)):
-                idx = pa.array(np.concatenate(take))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells), pa.int64()), pa.array(np.concatenate(roles).astype(np.int8), pa.int8()), *(batch.column(c).take(idx) for c in names)], ["cell", "role", *names])
+            _, leaf, home = places(batch)
+            homes += np.bincount(leaf[home], minlength=tree.leaves)
+            queries += np.bincount(leaf, minlength=tree.leaves)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(tree.leaves)), pa.array(homes), pa.array(queries)], ["leaf", "h", "q"])
+
+    # one row a leaf: how many parts its homes and its queries are cut into
+    rows_of, columns_of = np.zeros(tree.leaves, np.int64), np.zeros(tree.leaves, np.int64)
+    for x in points.select("fp").mapInArrow(count, "leaf long, h long, q long").groupBy("leaf").agg(F.sum("h").alias("h"), F.sum("q").alias("q")).where("h > 0 and q > 1").collect():
+        rows_of[x["leaf"]], columns_of[x["leaf"]] = math.ceil(x["h"] / cell), math.ceil(x["q"] / cell)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A leaf is a grid of cells: a home goes to its row of cells, a query to its column; where both meet it has both roles."""
+        for batch in batches:
+            at, leaf, home = places(batch)
+            used = rows_of[leaf] > 0
+            at, leaf, home = at[used], leaf[used], home[used]
+            key = batch.column("id").to_numpy()[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            a, c = rows_of[leaf], columns_of[leaf]
+            row, column = (key % a.astype(np.uint64)).astype(np.int64), (key % c.astype(np.uint64)).astype(np.int64)
+            q = np.repeat(np.arange(len(at)), a)  # a query in every row of its column
+            i = np.arange(len(q)) - np.repeat(np.cumsum(a) - a, a)
+            h = np.repeat(np.flatnonzero(home), c[home])  # a home in every column of its row, but the one it queries
+            j = np.arange(len(h)) - np.repeat(np.cumsum(c[home]) - c[home], c[home])
+            h, j = h[j != column[h]], j[j != column[h]]
+            place = np.concatenate([i * c[q] + column[q], row[h] * c[h] + j])
+            role = np.concatenate([2 + (home[q] & (i == row[q])), np.ones(len(h), np.int64)]).astype(np.int8)
+            take = pa.array(at[np.concatenate([q, h])])
+            if len(take):
+                cells = [pa.array(leaf[np.concatenate([q, h])] << 24 | place), pa.array(role), batch.column("id").take(take), batch.column("fp").take(take)]
+                yield pa.RecordBatch.from_arrays(cells, ["cell", "role", "id", "fp"])
 
     def join(part: pa.Table) -> pa.Table:
         ids, role = part.column("id").to_numpy(), part.column("role").to_numpy()
-        fps, verify = _lanes(part.column("fp").combine_chunks(), lanes["k"]), None
-        if verify_jaccard is not None:
-            sets = part.column("hashes")
-
-            def verify(i: int, j: int) -> bool:
-                a, b = (np.asarray(sets[x].values) for x in (i, j))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                return both >= verify_jaccard * (len(a) + len(b) - both)
-
-        out = spanning_links(ids, fps, (role & 1) > 0, (role & 2) > 0, radius, verify)
+        out = spanning_links(ids, _lanes(part.column("fp"), lanes["k"]), (role & 1) > 0, (role & 2) > 0, radius)
         give_back()
         return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
 
-    kinds = "cell long, role byte, id long, fp array<long>" + ", hashes array<int>" * (verify_jaccard is not None)
-    return points.select("size", *names).mapInArrow(spread, kinds).groupBy("cell").applyInArrow(join, "u long, v long")
+    return points.select("id", "fp").mapInArrow(spread, "cell long, role byte, id long, fp array<long>").groupBy("cell").applyInArrow(join, "u long, v long")
 
 
 def _lanes(column: pa.Array, k: int) -> np.ndarray:
@@ -308,10 +258,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     any other. Rows that repeat an id keep their own rows; a null id gets a null component unless others share its
     fingerprint. An empty table gives an empty table. Other columns of ``docs`` are not read.
     """
-    fps = stable(fingerprints(docs, id_col, text_col, words).select("id", F.col("fp")[0].alias("fp")))
+    fps = stable(fingerprints(docs, id_col, text_col, words).select("id", "fp"))
     nodes = stable(fps.groupBy("fp").agg(F.min("id").alias("rep")))
     # a fingerprint's number of its own: the smallest id of several fingerprints can be the same where ids repeat
-    points = nodes.select(F.col("fp").alias("id"), F.array("fp").alias("fp"), F.lit(1).cast("long").alias("size"))
+    points = nodes.select(F.col("fp").alias("id"), F.array("fp").alias("fp"))
     comp = components(near_links(points, radius))
     named = nodes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -319,47 +269,215 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 34, row_col: str | None = None) -> DataFrame:
-    """``(doc_id, group_id)`` for rows whose texts belong together: equal word sequences, or chains of texts with a
-    Jaccard similarity of at least ``similarity`` over the sets of their shingles of ``words`` words.
+SLOTS = 1 << 16
+
+
+def _rarity(texts: DataFrame) -> np.ndarray:
+    """The place of each of 65,536 slots (the high bits of shingles' hashes) by how many shingles of all texts fall into it: what is common stands out from the even rest."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            total += np.bincount((np.asarray(batch.column("hashes").flatten()).view(np.uint64) >> np.uint64(48)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["slot", "n"])
+
+    rows = texts.select("hashes").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    place = np.zeros(SLOTS, np.uint64)
+    place[np.argsort(out, kind="stable")] = np.arange(SLOTS, dtype=np.uint64)
+    return place
 
-    Candidates are texts whose 128-bit SimHashes differ in ``radius`` bits at most (at a similarity of 0.8 the mean is
-    about 19, its deviation 4) and whose numbers of shingles differ by a quarter at most; the sets decide. A radius this
-    large leaves the triangle bound nothing to prune, so the bands of size and the grid of cells share out the work. Only
-    texts that have a candidate carry their shingles further. Null and blank texts are one group. Smallest id names a group.
-    With ``row_col``, a column of distinct longs, the rows also have it and ``first``: whether the row is its group's only one to
-    stay, which is that of the smallest id and, of several such rows, of the smallest ``row_col``.
+
+def prefix_links(texts: DataFrame, similarity: float) -> DataFrame:
+    """``(u, v)`` that connect all of stable ``texts(node, size, hashes)`` whose sets may have that Jaccard similarity, and few others; equal texts may be among them.
+
+    Of two such sets ordered alike, rare elements first, the first ``size - ceil(similarity * size) + 1`` elements have one in common. Texts that share
+    such an element are chained in order of size as long as sizes allow the similarity: any two that may be similar lie on one
+    chain. A chain has a link less than members, so no group is paired off. An element has as many rows as texts, whose own rows are
+    many, so even one that a third of all texts share is a small part of all rows.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(_rarity(texts))
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, nodes = batch.column("hashes"), batch.column("node").to_numpy()
+            flat, cuts = np.asarray(sets.flatten()), np.concatenate([[0], np.cumsum(np.diff(sets.offsets.to_numpy()))])
+            code = flat.view(np.uint64)
+            rank = sent.value[(code >> np.uint64(48)).astype(np.int64)] << np.uint64(48) | code & np.uint64((1 << 48) - 1)  # an order of all hashes, without ties
+            sizes = np.diff(cuts)
+            keep = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, 0)
+            first = [np.argpartition(rank[a:b], k - 1)[:k] + a if k < b - a else np.arange(a, b) for a, b, k in zip(cuts, cuts[1:], keep)]
+            take = np.concatenate([*first, np.zeros(0, np.int64)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[take]), pa.array(np.repeat(sizes, keep).astype(np.int32)), pa.array(np.repeat(nodes, keep))], ["token", "size", "node"])
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
+        for batch in batches:
+            token, size, node = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(last, ("token", "size", "node")))
+            last = [x[-1:] for x in (token, size, node)]
+            met = (token[1:] == token[:-1]) & (size[:-1] >= similarity * size[1:] - 1e-9)
+            pairs = np.unique(np.stack([node[:-1][met], node[1:][met]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(1) if len(pairs) else pairs[:, 0]), pa.array(pairs.max(1) if len(pairs) else pairs[:, 0])], ["u", "v"])
+
+    rows = texts.select("node", "hashes").mapInArrow(lean(prefix), "token long, size int, node long")
+    return rows.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(lean(chain), "u long, v long").distinct()
+
+
+def similar_links(nodes: DataFrame, similarity: float, part: int = 2 << 20) -> DataFrame:
+    """Links ``(u, v)`` of ``nodes(node, component, size, hashes)`` (stable) that span, in each component, what has that Jaccard similarity; all are verified.
+
+    A component is first compared with one of its own, native and in parallel; who is similar to that one is connected. Only the rest is
+    compared with all, in cells of about ``part`` shingles of either side, so a component of any size is spread over tasks.
     """
-    if similarity < 0.8:
-        raise ValueError("bands of size hold for similarities from 0.8")
+    sums = nodes.groupBy("component").agg(F.sum("size").alias("shingles"), F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("hub"))
+    big = stable(sums.where(F.col("shingles") > part))
+    n_big = big.count()
+    rows = nodes.join(F.broadcast(big) if n_big <= 100_000 else big, "component", "left") if n_big else nodes.withColumn("hub", F.lit(None).cast("long"))
+    role = lambda k: F.lit(k).cast("byte").alias("role")
+    cells = rows.where("hub is null").select("node", "component", "hashes", F.lit(0).alias("i"), F.lit(0).alias("j"), role(3))
+    direct = None
+    if n_big:
+        theirs = rows.where("hub is not null")
+        hubs = theirs.where("node = hub").select("component", F.col("hashes").alias("hub_hashes"))
+        met = theirs.join(hubs, "component")
+        both = F.size(F.array_intersect("hashes", "hub_hashes"))
+        near = (F.col("node") == F.col("hub")) | (both >= F.lit(similarity) * (F.size("hashes") + F.size("hub_hashes") - both) - 1e-9)
+        met = stable(met.select("node", "component", "hub", "size", "shingles", "hashes", near.alias("near")))
+        direct = met.where("near and node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v"))
+        # cells of the large components: all as homes, the rest as queries
+        rest = met.groupBy("component").agg(F.sum(F.when(~F.col("near"), F.col("size"))).alias("left")).where("left > 0").select("component", F.ceil(F.col("left") / part).cast("int").alias("b"))
+        far = met.join(rest, "component").withColumn("a", F.ceil(F.col("shingles") / part).cast("int"))
+        cut = lambda n: F.pmod(F.xxhash64("node", F.lit(5)), n).cast("int")
+        home = far.select("node", "component", "hashes", cut(F.col("a")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("j"), role(1))
+        query = far.where(~F.col("near")).select("node", "component", "hashes", F.explode(F.sequence(F.lit(0), F.col("a") - 1)).alias("i"), cut(F.col("b")).alias("j"), role(2))
+        cells = cells.unionByName(home).unionByName(query)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+
+        def done() -> pa.RecordBatch:
+            u, v = _spanning([x.column("node") for x in held], [x.column("hashes") for x in held], [x.column("role") for x in held], similarity)
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("component", "i", "j")], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    if held and key != tuple(keys[a]):
+                        yield done()
+                        held = []
+                    key = tuple(keys[a])
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield done()
+
+    found = cells.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node", "role").mapInArrow(lean(compare), "u long, v long")
+    return found if direct is None else direct.unionByName(found)
+
+
+def _spanning(nodes: list[pa.Array], sets: list[pa.ListArray], roles: list[pa.Array], similarity: float) -> tuple[list[int], list[int]]:
+    """Verified links of one cell: queries are counted against an index of the homes; a query that its cell's first has reached already is skipped."""
+    node, role = (np.concatenate([x.to_numpy() for x in xs]) for xs in (nodes, roles))
+    size = np.concatenate([np.diff(x.offsets.to_numpy()) for x in sets]).astype(np.int64)
+    flat, cuts = np.concatenate([np.asarray(x.flatten()) for x in sets]), np.concatenate([[0], np.cumsum(size)])
+    homes, queries = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+    if not len(homes) or not len(queries) or len(node) < 2:
+        return [], []
+    owner = np.repeat(np.arange(len(node), dtype=np.int32), size)
+    at_home = np.flatnonzero((role[owner] & 1) > 0)
+    at_home = at_home[np.argsort(flat[at_home], kind="stable")]
+    index, owner = flat[at_home], owner[at_home]
+    forest, us, vs = Forest(len(node)), [], []
+    alone = bool((role == 3).all())  # homes and queries are the same
+    for q in queries:
+        if alone and q != queries[0] and forest.find(np.array([q]))[0] == forest.find(queries[:1])[0]:
+            continue  # links to the first one's group are found from the other side
+        own = flat[cuts[q] : cuts[q + 1]]
+        lo, hi = np.searchsorted(index, own), np.searchsorted(index, own, "right")
+        n = hi - lo
+        take = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(owner[take], minlength=len(node))
+        hit = np.flatnonzero((both >= similarity * (size[q] + size - both) - 1e-9) & (both > 0) & (node != node[q]))
+        for j in hit.tolist():
+            if forest.join(int(q), j):
+                us.append(min(int(node[q]), int(node[j])))
+                vs.append(max(int(node[q]), int(node[j])))
+    return us, vs
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, radius: int) -> tuple[DataFrame, DataFrame]:
+    """``(id, name, key)`` of every row, and ``(key, component, group_id)`` of every word sequence; both stable. Everything else that was written on the way is deleted."""
 
     def sketch(batches):
         for batch in slices(batches, "t"):
             keys, fps, sizes, sets = [], [], [], []
             for text in as_bytes(batch.column("t")):
-                h = shingle_hashes(text, words)
-                u = np.unique(h)
+                u = np.unique(shingle_hashes(text, words))
                 keys.append(xxhash.xxh3_128_digest(b" ".join(text.lower().split())))
-                fps.append(np.array([fingerprint(u), fingerprint(_mix(u, 1))], np.uint64).view(np.int64))
-                small = np.unique((u >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                sizes.append(len(small))
-                sets.append(small)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(keys, pa.binary()), pa.array(fps, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], ["id", "row", "key", "fp", "size", "hashes"])
-
-    rows = stable(docs.select(F.col(id_col).cast("long").alias("id"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"), F.col(text_col).cast("string").alias("t")).mapInArrow(lean(sketch), "id long, row long, key binary, fp array<long>, size long, hashes array<int>"))
-    # a number of the text's own: the smallest id of several texts can be the same where ids repeat
-    rows = rows.withColumn("node", F.xxhash64("key"))
-    same = stable(rows.groupBy("key").agg(F.min("id").alias("rep"), F.first("node").alias("node"), F.first("fp").alias("fp"), F.first("size").alias("size")).where("rep is not null"))
-    points = stable(same.groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"))).withColumnRenamed("node", "id")
-    maybe = near_links(points, radius, band=True)
-    hot = stable(maybe.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    linked = stable(rows.select("node", "fp", "size", "hashes").join(hot, "node").dropDuplicates(["node"]).withColumnRenamed("node", "id"))
-    comp = components(near_links(linked, radius, band=True, verify_jaccard=similarity))
-    named = same.select("key", "node", "rep").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = named.groupBy("component").agg(F.min("rep").alias("group_id"))
-    named = named.join(lowest, "component").select("key", "component", "group_id")
-    if row_col is None:
-        return rows.select("id", "key").join(named, "key").select(F.col("id").alias("doc_id"), "group_id")
-    named = stable(rows.select("id", "row", "key").join(named, "key"))
-    stay = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias("stay"))
-    return named.join(stay, "component").select(F.col("id").alias("doc_id"), "group_id", F.col("row").alias(row_col), (F.col("row") == F.col("stay")).alias("first"))
+                fps.append(np.uint64(fingerprint(u)).view(np.int64))
+                sizes.append(len(u))
+                sets.append(u.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("name"), pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "name", "key", "fp", "size", "hashes"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("id"), row_name(F.col(id_col), F.col(text_col)).alias("name"), F.col(text_col).cast("string").alias("t"))
+    with clearing(docs.sparkSession) as keep:
+        rows = source.mapInArrow(lean(sketch), "id long, name string, key binary, fp long, size long, hashes array<long>")
+        rows = stable(rows.withColumn("node", F.monotonically_increasing_id()))  # a number of each row's own, as ids may repeat
+        # a text is known by its first row
+        same = keep(rows.groupBy("key").agg(F.min("node").alias("node"), F.min("id").alias("rep")))
+        texts = rows.where("size > 0").select("node", "fp", "size", "hashes")
+        prints = stable(texts.groupBy("fp").agg(F.min("node").alias("id")))
+        alike = texts.select("fp", "node").join(prints, "fp").where("node <> id").select(F.col("id").alias("u"), F.col("node").alias("v"))
+        tree = near_links(prints.select("id", F.array("fp").alias("fp")), radius)
+        maybe = components(prefix_links(texts.select("node", "size", "hashes"), similarity).unionByName(alike).unionByName(tree))
+        # of rows with the same text one goes on, and only if another text may be like it
+        maybe = stable(maybe.join(same.select("node"), "node", "left_semi"))
+        several = maybe.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+        maybe = stable(maybe.join(several, "component", "left_semi"))
+        linked = keep(texts.select("node", "size", "hashes").join(F.broadcast(maybe) if maybe.count() <= 500_000 else maybe, "node"))
+        slim = keep(rows.select("id", "name", "key"))
+    with clearing(docs.sparkSession) as keep:
+        comp = components(similar_links(linked, similarity))
+        named = same.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        lowest = named.groupBy("component").agg(F.min("rep").alias("group_id"))
+        return slim, keep(named.join(lowest, "component").select("key", "component", "group_id"))
+
+
+def row_name(doc_id: Column, text: Column) -> Column:
+    """A row by its id and text: rows of one name are equal but for other columns."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
+    """``(doc_id, group_id)`` for every row; rows belong together if their word sequences are equal (A-Z as a-z), or along chains of texts with a
+    Jaccard similarity of at least ``similarity`` over the sets of their shingles of ``words`` words.
+
+    Candidates are texts whose SimHashes lie within ``radius`` bits, found in the vantage-point tree, and, as a SimHash can be further off, texts that
+    share a rare shingle of their prefixes (``prefix_links``): no similar pair escapes these. The sets, hashes of 64 bits, decide on every link. Null, empty and
+    blank texts are one group. The smallest id names a group, null if it has only null ids; texts of any length are taken whole; rows that
+    repeat stay rows; other columns are not read, an empty table gives an empty one.
+    """
+    rows, named = _grouped(docs, id_col, text_col, words, similarity, radius)
+    return rows.select("id", "key").join(named, "key").select(F.col("id").alias("doc_id"), "group_id")
+
+
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
+    """``docs`` with one row of each group of ``duplicate_groups``: that of the smallest id, null last; of several texts under this id the first by hash, and of
+    rows repeated with id and text any one."""
+    rows, named = _grouped(docs, id_col, text_col, words, similarity, radius)
+    by = rows.groupBy("name").agg(F.first("id").alias("id"), F.first("key").alias("key"), F.count("*").alias("n")).join(named.select("key", "component"), "key")
+    by = stable(by)
+    stay = by.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "name"))["name"].alias("stay"))
+    by = stable(by.join(stay, "component").select("name", (F.col("name") == F.col("stay")).alias("stays"), "n"))
+    name = row_name(F.col(id_col), F.col(text_col))
+    out = without(docs, name, by.where("not stays").select("name"))
+    again = by.where("stays and n > 1").select("name")
+    if again.count() == 0:
+        return out
+    column = free_name(docs.columns, "_name")
+    once = out.withColumn(column, name).join(again.withColumnRenamed("name", column), column, "left_semi").dropDuplicates([column]).drop(column)
+    return without(out, name, again).unionByName(once)

@@ -119,3 +119,39 @@ def test_groups_of_repeated_ids(spark):
     assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (4, 4), (5, 5), (5, 5), (6, 1), (7, 5)]
     kept = sorted(tuple(r) for r in C.drop_near_duplicates(spark, docs, "").collect())
     assert kept == [(1, a), (1, b), (4, "alone in its group"), (5, c)]
+
+
+def test_large_components_are_cut_into_cells(spark, monkeypatch):
+    """A cluster of near copies beyond a cell's size: one is compared with all, the rest in cells; null ids name no group of others."""
+    rng, base = random.Random(1), [f"z{k}" for k in range(120)]
+    rows = list(enumerate(texts(120, 9)))
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(120)] = f"e{i}"
+        rows.append((1000 + i, " ".join(w)))
+    links = S.similar_links
+    monkeypatch.setattr(S, "similar_links", lambda nodes, similarity: links(nodes, similarity, part=1_500))
+    extra = [(None, "a text of its own without an id"), (None, " ".join(base)), (None, None), (2000, "")]
+    got = [(r.doc_id, r.group_id) for r in S.duplicate_groups(frame(spark, rows + extra)).collect()]
+    sets = {i: set(S.shingle_hashes((t or "").encode(), 5).tolist()) for i, t in rows}
+    ids = list(sets)
+    want = groups([(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], ids)
+    assert {i: g for i, g in got if i in want} == want
+    named = next(want[i] for i, t in rows if t == " ".join(base)) if " ".join(base) in dict(rows).values() else want[1000]
+    assert sorted((x for x in got if x[0] not in want), key=repr) == sorted([(None, None), (None, named), (None, 2000), (2000, 2000)], key=repr)
+
+
+def test_short_texts_lose_no_link(spark):
+    """Texts of 5 to 12 words with a word put before or behind: similar by their sets, though their SimHashes lie far apart."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(0, 400, 2):
+        w = [f"t{rng.randrange(10**6)}" for _ in range(rng.randrange(8, 13))]
+        rows += [(i, " ".join(w)), (i + 1, " ".join([*w, "more"] if i % 4 else ["more", *w]))]
+    got = {r.doc_id: r.group_id for r in S.duplicate_groups(frame(spark, rows)).collect()}
+    sets = {i: set(S.shingle_hashes(t.encode(), 5).tolist()) for i, t in rows}
+    for i in range(0, 400, 2):
+        near = len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])
+        assert (got[i + 1] == i) == near and got[i] == i
+    assert any(bin(S.fingerprint(S.shingle_hashes(rows[i][1].encode(), 5)) ^ S.fingerprint(S.shingle_hashes(rows[i + 1][1].encode(), 5))).count("1") > 17 for i in range(0, 400, 2) if got[i + 1] == i)
