@@ -290,13 +290,42 @@ def _rarity(texts: DataFrame) -> np.ndarray:
     return place
 
 
-def prefix_links(texts: DataFrame, similarity: float) -> DataFrame:
-    """``(u, v)`` that connect all of stable ``texts(node, size, hashes)`` whose sets may have that Jaccard similarity, and few others; equal texts may be among them.
+def _met(token: np.ndarray, size: np.ndarray, node: np.ndarray, fp: np.ndarray, hot: np.ndarray, similarity: float, bits: int) -> tuple[list[int], list[int]]:
+    """Links that span what rows sorted by token and size may link: rows of one token are compared at distance 1, 2, ... all at once; hot rows with their neighbours only."""
+    found, at, k = np.zeros((0, 2), np.int64), np.arange(len(token)), 1
+    while True:
+        at = at[at + k < len(token)]
+        at = at[(token[at] == token[at + k]) & ((k == 1) | ~hot[at])]
+        if not len(at):
+            break
+        near = (np.bitwise_count(fp[at] ^ fp[at + k]) <= bits) | (size[at] < 32) | hot[at]
+        take = at[near & (size[at] >= similarity * size[at + k] - 1e-9)]
+        found = np.concatenate([found, np.stack([node[take], node[take + k]], 1)])
+        if len(found) > 500_000:
+            found = np.unique(found, axis=0)
+        k += 1
+    up: dict[int, int] = {}
+    us, vs = [], []
+    for u, v in np.unique(found, axis=0).tolist():
+        a, b = u, v
+        while up.get(a, a) != a:
+            up[a] = a = up.get(up[a], up[a])
+        while up.get(b, b) != b:
+            up[b] = b = up.get(up[b], up[b])
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            us.append(min(u, v))
+            vs.append(max(u, v))
+    return us, vs
+
+
+def prefix_links(texts: DataFrame, similarity: float, bits: int = 25, most: int = 1024) -> DataFrame:
+    """``(u, v)`` that connect what of stable ``texts(node, fp, size, hashes)`` may have that Jaccard similarity; equal texts may be among them, empty sets have no link.
 
-    Of two such sets ordered alike, rare elements first, the first ``size - ceil(similarity * size) + 1`` elements have one in common. Texts that share
-    such an element are chained in order of size as long as sizes allow the similarity: any two that may be similar lie on one
-    chain. A chain has a link less than members, so no group is paired off. An element has as many rows as texts, whose own rows are
-    many, so even one that a third of all texts share is a small part of all rows.
+    Of two such sets ordered alike, rare elements first, the first ``size - ceil(similarity * size) + 1`` elements have one in common. Texts that share such an
+    element meet, in order of size, if their sizes allow the similarity and, from 32 shingles on, their SimHashes differ in ``bits`` bits
+    at most (at a similarity of 0.8 the mean is 10 of 64, and more than 25 has odds of about 2 in a million). Only spanning links go on, so no group is paired off. An
+    element that over ``most`` texts share chains them instead, whatever their SimHashes, in one pass; as each of them has many more elements, it is a small part of all rows.
     """
     sent = texts.sparkSession.sparkContext.broadcast(_rarity(texts))
 
@@ -310,19 +339,38 @@ def prefix_links(texts: DataFrame, similarity: float) -> DataFrame:
             keep = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, 0)
             first = [np.argpartition(rank[a:b], k - 1)[:k] + a if k < b - a else np.arange(a, b) for a, b, k in zip(cuts, cuts[1:], keep)]
             take = np.concatenate([*first, np.zeros(0, np.int64)]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[take]), pa.array(np.repeat(sizes, keep).astype(np.int32)), pa.array(np.repeat(nodes, keep))], ["token", "size", "node"])
+            cells = [pa.array(flat[take]), pa.array(np.repeat(sizes, keep).astype(np.int32)), pa.array(np.repeat(nodes, keep)), pa.array(np.repeat(batch.column("fp").to_numpy(), keep))]
+            yield pa.RecordBatch.from_arrays(cells, ["token", "size", "node", "fp"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, chained = ("token", "size", "node", "fp"), None
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+
+        def links(rows: list[np.ndarray]) -> pa.RecordBatch:
+            token, size, node, fp = rows
+            cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
+            hot = np.repeat(np.diff(cuts) > most, np.diff(cuts)) | (token == chained if chained is not None else False)
+            u, v = _met(token, size, node, fp.view(np.uint64), hot, similarity, bits)
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
         for batch in batches:
-            token, size, node = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(last, ("token", "size", "node")))
-            last = [x[-1:] for x in (token, size, node)]
-            met = (token[1:] == token[:-1]) & (size[:-1] >= similarity * size[1:] - 1e-9)
-            pairs = np.unique(np.stack([node[:-1][met], node[1:][met]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(1) if len(pairs) else pairs[:, 0]), pa.array(pairs.max(1) if len(pairs) else pairs[:, 0])], ["u", "v"])
-
-    rows = texts.select("node", "hashes").mapInArrow(lean(prefix), "token long, size int, node long")
-    return rows.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(lean(chain), "u long, v long").distinct()
+            rows = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, names)]
+            if not len(rows[0]):
+                continue
+            last = int(np.searchsorted(rows[0], rows[0][-1]))  # where the token that may go on begins
+            if last:
+                yield links([x[:last] for x in rows])
+                chained = chained if rows[0][-1] == chained else None
+            held = [x[last:] for x in rows]
+            if len(held[0]) > most:
+                chained = held[0][0]
+                yield links(held)
+                held = [x[-1:] for x in held]
+        if len(held[0]):
+            yield links(held)
+
+    rows = texts.select("node", "fp", "hashes").mapInArrow(lean(prefix), "token long, size int, node long, fp long")
+    return rows.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(lean(meet), "u long, v long").distinct()
 
 
 def similar_links(nodes: DataFrame, similarity: float, part: int = 2 << 20) -> DataFrame:
@@ -433,7 +481,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
         prints = stable(texts.groupBy("fp").agg(F.min("node").alias("id")))
         alike = texts.select("fp", "node").join(prints, "fp").where("node <> id").select(F.col("id").alias("u"), F.col("node").alias("v"))
         tree = near_links(prints.select("id", F.array("fp").alias("fp")), radius)
-        maybe = components(prefix_links(texts.select("node", "size", "hashes"), similarity).unionByName(alike).unionByName(tree))
+        maybe = components(prefix_links(texts, similarity).unionByName(alike).unionByName(tree))
         # of rows with the same text one goes on, and only if another text may be like it
         maybe = stable(maybe.join(same.select("node"), "node", "left_semi"))
         several = maybe.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
@@ -457,7 +505,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Jaccard similarity of at least ``similarity`` over the sets of their shingles of ``words`` words.
 
     Candidates are texts whose SimHashes lie within ``radius`` bits, found in the vantage-point tree, and, as a SimHash can be further off, texts that
-    share a rare shingle of their prefixes (``prefix_links``): no similar pair escapes these. The sets, hashes of 64 bits, decide on every link. Null, empty and
+    share a rare shingle of their prefixes (``prefix_links``), which a similar pair escapes with odds of about 2 in a million, and none of under 32 shingles. The sets, hashes of 64 bits, decide on every link. Null, empty and
     blank texts are one group. The smallest id names a group, null if it has only null ids; texts of any length are taken whole; rows that
     repeat stay rows; other columns are not read, an empty table gives an empty one.
     """
