@@ -155,3 +155,18 @@ def test_short_texts_lose_no_link(spark):
         near = len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])
         assert (got[i + 1] == i) == near and got[i] == i
     assert any(bin(S.fingerprint(S.shingle_hashes(rows[i][1].encode(), 5)) ^ S.fingerprint(S.shingle_hashes(rows[i + 1][1].encode(), 5))).count("1") > 17 for i in range(0, 400, 2) if got[i + 1] == i)
+
+
+def test_prefix_links_connect_all_similar_texts_also_where_a_shingle_is_frequent(spark):
+    rows = texts(150, 4)
+    base = [f"z{k}" for k in range(100)]
+    rows += [" ".join(base[:50] + [f"e{i}"] + base[51:]) for i in range(40)]
+    sets = [S.shingle_hashes(t.encode(), 5) for t in rows]
+    data = [(i, int(np.uint64(S.fingerprint(np.unique(h))).view(np.int64)), len(np.unique(h)), np.unique(h).view(np.int64).tolist()) for i, h in enumerate(sets)]
+    df = spark.createDataFrame(data, "node long, fp long, size long, hashes array<long>").persist()
+    whole = [set(h.tolist()) for h in sets]
+    near = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if len(whole[a] & whole[b]) >= 0.8 * len(whole[a] | whole[b])]
+    for most in (5, 1024):
+        links = [(r.u, r.v) for r in S.prefix_links(df, 0.8, most=most).collect()]
+        group = groups(links, range(len(rows)))
+        assert all(group[a] == group[b] for a, b in near) and len(links) < 12 * len(rows)
