@@ -292,31 +292,30 @@ def _rarity(texts: DataFrame) -> np.ndarray:
 
 def _met(token: np.ndarray, size: np.ndarray, node: np.ndarray, fp: np.ndarray, hot: np.ndarray, similarity: float, bits: int) -> tuple[list[int], list[int]]:
     """Links that span what rows sorted by token and size may link: rows of one token are compared at distance 1, 2, ... all at once; hot rows with their neighbours only."""
-    found, at, k = np.zeros((0, 2), np.int64), np.arange(len(token)), 1
+    names, own = np.unique(node, return_inverse=True)
+    up, us, vs, at, k = np.arange(len(names)), [], [], np.arange(len(token)), 1
     while True:
         at = at[at + k < len(token)]
         at = at[(token[at] == token[at + k]) & ((k == 1) | ~hot[at])]
         if not len(at):
-            break
+            return us, vs
         near = (np.bitwise_count(fp[at] ^ fp[at + k]) <= bits) | (size[at] < 32) | hot[at]
         take = at[near & (size[at] >= similarity * size[at + k] - 1e-9)]
-        found = np.concatenate([found, np.stack([node[take], node[take + k]], 1)])
-        if len(found) > 500_000:
-            found = np.unique(found, axis=0)
+        a, b = own[take], own[take + k]
+        apart = up[a] != up[b]  # what is connected already needs no further link
+        for x, y in np.unique(np.stack([a[apart], b[apart]], 1), axis=0).tolist():
+            p, q = x, y
+            while up[p] != p:
+                p = up[p]
+            while up[q] != q:
+                q = up[q]
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                us.append(int(min(names[x], names[y])))
+                vs.append(int(max(names[x], names[y])))
+        while (up[up] != up).any():
+            up = up[up]
         k += 1
-    up: dict[int, int] = {}
-    us, vs = [], []
-    for u, v in np.unique(found, axis=0).tolist():
-        a, b = u, v
-        while up.get(a, a) != a:
-            up[a] = a = up.get(up[a], up[a])
-        while up.get(b, b) != b:
-            up[b] = b = up.get(up[b], up[b])
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            us.append(min(u, v))
-            vs.append(max(u, v))
-    return us, vs
 
 
 def prefix_links(texts: DataFrame, similarity: float, bits: int = 25, most: int = 1024) -> DataFrame:
