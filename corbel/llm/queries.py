@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, linededup, mixing, ppm, quality, search, simhash, tokenfile, warc
+from . import chat, decontaminate, language, linededup, mixing, ppm, quality, resample, search, simhash, tokenfile, vectors, warc
 from .common import id_remainder, shared_folder, table
 
 
@@ -152,9 +152,83 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (whole + CASE
 """
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of 20 words or more, drawn by importance for the benchmark's distribution of words."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# CRC-32 of a word's UTF-8 bytes by its table of 256 remainders
+_CRC = """crc_table AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256))::BIGINT AS i)),
+crc AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(word)), lambda k: ('0x' || substr(hex(word), (2 * k + 1)::BIGINT, 2))::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT word FROM w), crc_table)"""
+
+
+def _op11_sql() -> str:
+    return f"""
+WITH d AS (SELECT doc_id, list_filter({_WORDS}, lambda x: x <> '') AS list FROM documents),
+a AS (SELECT doc_id, unnest(list) AS word FROM d),
+b AS (SELECT unnest(list_filter({_WORDS}, lambda x: x <> '')) AS word FROM benchmark),
+w AS (SELECT word FROM a UNION ALL SELECT word FROM b),
+{_CRC},
+s AS (SELECT bucket, count(*) AS s FROM a JOIN crc USING (word) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN crc USING (word) GROUP BY 1),
+n AS (SELECT (SELECT coalesce(sum(s), 0)::DOUBLE FROM s) AS big_s, (SELECT coalesce(sum(t), 0)::DOUBLE FROM t) AS big_t),
+g AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (big_s + 10000)) / ((coalesce(s, 0) + 1)::DOUBLE * (big_t + 10000))))::BIGINT AS gain FROM s FULL JOIN t USING (bucket), n),
+v AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM a JOIN crc USING (word) JOIN g USING (bucket) GROUP BY 1),
+h AS (SELECT doc_id, len(list)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || left(sha256('2024:' || doc_id), 8))::BIGINT::DOUBLE AS h FROM d LEFT JOIN v USING (doc_id)),
+r AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0)))::BIGINT AS score FROM h),
+k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM r WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, rank FROM r LEFT JOIN (SELECT * FROM k WHERE rank <= (SELECT 10 * count(*) // 100 FROM k)) USING (doc_id)
+"""
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as event logs, folded into messages, rendered, written, and read back; with conversation -7, whose log has an edit and a regeneration."""
+    log = chat.events(table(spark, sf_dir, "conversations"))
+    at = "named_struct('turn', {}L, 'role', '', 'digest', '', 'copy', 1L)"
+    said = r"r'\### Assistant: </turn> ok'"
+    steps = [("message", 0, "'user'", "'hello'"), ("edit", 0, "null", said), ("message", 2, "'assistant'", "'draft'"), ("delta", 2, "null", "' of it'"), ("message", 4, "'user'", "'what?'"), ("regenerate", 2, "null", "null"), ("delta", 2, "null", f"left({said}, 9)"), ("delta", 2, "null", f"substring({said}, 10)")]
+    own = spark.sql("SELECT -7L AS conv_id, inline(array(" + ", ".join(f"named_struct('seq', named_struct('message', {at.format(k)}, 'k', 0), 'kind', '{kind}', 'message', {at.format(m)}, 'role', {role}, 'text', {text})" for k, (kind, m, role, text) in enumerate(steps)) + "))")
+    path = f"{shared_folder(spark)}/chat-{uuid.uuid4().hex}"
+    chat.render(log.unionByName(own)).write.parquet(path)
+    return chat.summary(spark.read.parquet(path))
+
+
+OP12_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<turn:' || replace(replace(regexp_replace(role, '<(\\*)(/?turn)', '<\\\1\2', 'g'), '\', '\b'), '>', '\g') || '>' || chr(10) || regexp_replace(text, '<(\\*)(/?turn)', '<\\\1\2', 'g') || chr(10) || '</turn>' || chr(10)))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as codes of eight parts of 16 entries, after six rounds over all vectors."""
+    return vectors.compress(table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql(rounds: int = 6) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"near{r} AS MATERIALIZED (SELECT vec, part, min(struct_pack(far, entry)) AS best FROM (SELECT vec, part, entry, sum((x - c) * (x - c))::BIGINT AS far FROM x JOIN book{r} USING (part, place) GROUP BY ALL) GROUP BY ALL)")
+        if r < rounds:
+            steps.append(f"book{r + 1} AS MATERIALIZED (SELECT part, place, entry, coalesce((s - (s % n + n) % n) // n, c)::BIGINT AS c FROM book{r} LEFT JOIN (SELECT part, place, best.entry AS entry, sum(x)::BIGINT AS s, count(*) AS n FROM x JOIN near{r} USING (vec, part) GROUP BY ALL) USING (part, place, entry))")
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS vec, vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+x AS MATERIALIZED (SELECT vec, (i - 1) // (n // 8) AS part, (i - 1) % (n // 8) AS place, floor(4096 * embedding[i]::DOUBLE)::BIGINT AS x FROM (SELECT *, len(embedding) AS n, unnest(generate_series(1, len(embedding))) AS i FROM kept)),
+book0 AS MATERIALIZED (SELECT part, place, vec - 1 AS entry, x AS c FROM x WHERE vec <= 16),
+{", ".join(steps)},
+coded AS (SELECT vec, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.far)::BIGINT AS error FROM near{rounds} GROUP BY 1)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, place)) FROM book{rounds}) AS codebooks_sha256 FROM coded JOIN kept USING (vec)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_language, op3_search, op4_line_dedup, op5_decontaminate, op6_quality, op7_ppm, op8_warc, op9_mixture, op10_token_file)}
+    return {f.__name__: f for f in (op1_simhash, op2_language, op3_search, op4_line_dedup, op5_decontaminate, op6_quality, op7_ppm, op8_warc, op9_mixture, op10_token_file, op11_resample, op12_chat, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_search": OP3_SQL, "op4_line_dedup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op8_warc": OP8_SQL, "op9_mixture": OP9_SQL}
+    return {"op3_search": OP3_SQL, "op4_line_dedup": OP4_SQL, "op5_decontaminate": OP5_SQL, "op8_warc": OP8_SQL, "op9_mixture": OP9_SQL, "op11_resample": _op11_sql(), "op12_chat": OP12_SQL, "op13_vector_codes": _op13_sql()}
