@@ -115,5 +115,5 @@ def events(rows: DataFrame, size: int = 512) -> DataFrame:
     rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("times")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     message = F.struct("turn", "role", F.md5(F.col("text").cast("binary")).alias("digest"), "copy")
     pieces = F.concat(F.array(F.lit("")), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
-    rows = rows.select("conv_id", "role", message.alias("message"), F.posexplode(pieces).alias("k", "piece"))
+    rows = rows.select("conv_id", "role", message.alias("message"), pieces.alias("pieces")).select("conv_id", "role", "message", F.posexplode_outer("pieces").alias("k", "piece"))
     return rows.select("conv_id", F.struct("message", "k").alias("seq"), F.when(F.col("k") == 0, "message").otherwise("delta").alias("kind"), "message", F.when(F.col("k") == 0, F.col("role")).alias("role"), F.col("piece").alias("text"))

@@ -25,7 +25,8 @@ def positions(docs: DataFrame) -> DataFrame:
     words one at place 0, so each row of ``docs`` has exactly one row at place 0."""
     lower = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
     digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    return docs.select("doc_id", digest.alias("digest"), "copies", F.posexplode(F.split(lower, SEPARATORS)).alias("pos", "word"))
+    cut = docs.select("doc_id", digest.alias("digest"), "copies", F.split(lower, SEPARATORS).alias("words"))  # before the rows multiply; the outer form, as there always is a word, asks for no filter on the split
+    return cut.select("doc_id", "digest", "copies", F.posexplode_outer("words").alias("pos", "word"))
 
 
 def features(docs: DataFrame, orders: int, buckets: int) -> DataFrame:
