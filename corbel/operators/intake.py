@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import detect
+from ..functions import jsonc
+from . import contracts, detect
 from .detect import Rule
+from .schema import Schema
 
 # Allowed moves of a scan, limits of a request, and what a classifier may say: fixed values.
 MOVES = {
@@ -29,90 +31,61 @@ def may_move(state: Column, target: Column) -> Column:
     return F.coalesce(F.array_contains(F.try_element_at(table, state), target), F.lit(False))
 
 
-_KINDS = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",)}
-
-
-def schema_violations(value: Column, schema: dict, path: str = "$") -> Column:
-    """What of a JSON text breaks a JSON schema: sorted ``path:keyword`` entries; ``$:json`` alone for what is no JSON.
-
-    Columns are made from the schema once, so rows are checked in the JVM. Understood: type, required, additionalProperties false, enum,
-    pattern, minimum, maximum, minLength, maxLength, minItems, maxItems, uniqueItems, properties. A key that is absent breaks only ``required``.
-    """
-    v = F.try_parse_json(value)
-    found = _broken(v, schema, path)
-    return F.when(v.isNull(), F.array(F.lit(f"{path}:json"))).otherwise(F.array_sort(F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")))
-
-
-def _broken(v: Column, schema: dict, path: str) -> list[Column]:
-    kind, out = F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, path, "variant")), "^([A-Z]+)", 1), []
-    here = F.try_variant_get(v, path, "variant").isNotNull()
-    say = lambda bad, word: F.when(here & F.coalesce(bad, F.lit(False)), F.lit(f"{path}:{word}"))
-    if "type" in schema:
-        out.append(say(~kind.isin(*_KINDS[schema["type"]]), "type"))
-    text, number = F.try_variant_get(v, path, "string"), F.try_variant_get(v, path, "double")
-    if "enum" in schema:
-        out.append(say(~F.coalesce(text.isin(*map(str, schema["enum"])), F.lit(False)), "enum"))
-    if "pattern" in schema:
-        out.append(say((kind == "STRING") & ~text.rlike(schema["pattern"]), "pattern"))
-    if "minimum" in schema:
-        out.append(say(number < schema["minimum"], "minimum"))
-    if "maximum" in schema:
-        out.append(say(number > schema["maximum"], "maximum"))
-    if "minLength" in schema:
-        out.append(say((kind == "STRING") & (F.char_length(text) < schema["minLength"]), "minLength"))
-    if "maxLength" in schema:
-        out.append(say((kind == "STRING") & (F.char_length(text) > schema["maxLength"]), "maxLength"))
-    items = F.try_variant_get(v, path, "array<string>")
-    if "minItems" in schema:
-        out.append(say(F.size(items) < schema["minItems"], "minItems"))
-    if "maxItems" in schema:
-        out.append(say(F.size(items) > schema["maxItems"], "maxItems"))
-    if schema.get("uniqueItems"):
-        out.append(say(F.size(F.array_distinct(items)) < F.size(items), "uniqueItems"))
-    fields = schema.get("properties", {})
-    keys = F.json_object_keys(F.to_json(F.try_variant_get(v, path, "variant")))
-    if schema.get("additionalProperties") is False:
-        out.append(say(F.size(F.array_except(keys, F.array(*map(F.lit, fields)).cast("array<string>"))) > 0, "additionalProperties"))
-    for name in schema.get("required", ()):
-        out.append(say(~F.array_contains(keys, name), f"required:{name}"))
-    for name, inner in fields.items():
-        out += _broken(v, inner, f"{path}.{name}")
-    return out
+def schema_violations(value: Column, schema: dict) -> Column:
+    """What of a JSON text breaks a JSON schema; see ``schema.Schema``."""
+    return Schema(schema).violations(value)
 
 
 def accept(requests: DataFrame, scans: DataFrame, workspace: object) -> DataFrame:
     """Requests after acceptance: ``outcome`` and, for the accepted ones, the scan that answers them.
 
-    ``requests(request_id, workspace_id, idempotency_key, kind, text, size_bytes, given_digest, envelope)``, ``scans(idempotency_key,
-    request_digest, scan_id)`` being what the workspace has. Outcomes: DENIED (another workspace), TOO_LARGE (request, text or upload),
-    created, replay (the key's request has the same digest), CONFLICT. Of a batch's requests with one key the smallest
-    ``request_id`` is first. A null key or envelope is INVALID. Keys are settled by partial aggregation, so a key that repeats often costs no more.
+    ``requests(position, body)`` are JSON bodies, ``scans(idempotency_key, request_digest, scan_id)`` what the workspace has. Outcomes: TOO_LARGE (body, text or
+    upload), INVALID (the contract is broken), DENIED (another workspace), created, replay (the key's request has the same digest), CONFLICT. Digests are those
+    of canonical JSON, so the order of keys and the form of numbers make no other request; an input's digest is its own where it names one (uploads, feed events). Of a batch's requests with one key the smallest
+    ``position`` is first. Keys are settled by partial aggregation, so a key that repeats often costs no more.
     """
-    digest = lambda c: F.concat(F.lit("sha256:"), F.sha2(c.cast("binary"), 256))
-    size = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
-    too_large = (size(F.col("envelope")) > MOST_REQUEST_BYTES) | ((F.col("kind") == "text") & (size(F.col("text")) > MOST_TEXT_BYTES)) | F.coalesce((F.col("kind") == "upload") & (F.col("size_bytes") > MOST_UPLOAD_BYTES), F.lit(False))
-    early = F.when(F.col("idempotency_key").isNull() | F.col("envelope").isNull(), "INVALID").when(~F.col("workspace_id").eqNullSafe(F.lit(workspace)), "DENIED").when(F.coalesce(too_large, F.lit(False)), "TOO_LARGE")
-    given = F.when(F.col("kind").isin("upload", "feed_event"), F.col("given_digest")).otherwise(digest(F.coalesce("text", "envelope")))
-    rows = requests.withColumn("early", early).withColumn("request_digest", digest(F.col("envelope"))).withColumn("input_digest", given)
-    first = rows.where("early is null").groupBy("idempotency_key").agg(F.min(F.struct("request_id", "request_digest")).alias("first"))
+    v = F.try_parse_json("body")
+    text = lambda p: F.try_variant_get(v, p, "string")
+    rows = requests.select("position", jsonc.canonical(F.col("body")).alias("canonical"), F.size(contracts.contract("ingestionRequest").violations(F.col("body"))).alias("broken"), text("$.workspace_id").alias("workspace_id"), text("$.idempotency_key").alias("idempotency_key"), text("$.input.kind").alias("kind"), F.octet_length(text("$.input.text")).alias("text_bytes"), F.try_variant_get(v, "$.input.size_bytes", "double").alias("upload_bytes"), F.coalesce(text("$.input.digest"), text("$.input.payload_digest")).alias("given"), jsonc.canonical_variant(F.try_variant_get(v, "$.input", "variant")).alias("input"))
+    over = lambda c, most: F.coalesce(F.col(c) > most, F.lit(False)) if isinstance(c, str) else F.coalesce(c > most, F.lit(False))
+    early = (
+        F.when(over(F.octet_length("canonical"), MOST_REQUEST_BYTES), "TOO_LARGE").when(F.col("broken") > 0, "INVALID").when(~F.col("workspace_id").eqNullSafe(F.lit(workspace)), "DENIED")
+        .when((F.col("kind") == "text") & over("text_bytes", MOST_TEXT_BYTES) | (F.col("kind") == "upload") & over("upload_bytes", MOST_UPLOAD_BYTES), "TOO_LARGE")
+    )
+    given = F.when(F.col("kind").isin("upload", "feed_event"), F.col("given")).otherwise(jsonc.digest(F.col("input")))
+    # the key counts only where the contract holds: rows that are refused early settle nothing
+    rows = rows.select("position", "workspace_id", early.alias("early"), jsonc.digest(F.col("canonical")).alias("request_digest"), given.alias("input_digest"), F.col("idempotency_key"))
+    first = rows.where("early is null").groupBy("idempotency_key").agg(F.min(F.struct("position", "request_digest")).alias("first"))
     known = scans.select("idempotency_key", F.col("request_digest").alias("known_digest"), F.col("scan_id").alias("known_scan"))
     rows = rows.join(first, "idempotency_key", "left").join(known, "idempotency_key", "left")
     winner = F.coalesce("known_digest", "first.request_digest")
-    outcome = F.coalesce("early", F.when(F.col("request_digest") != winner, "CONFLICT").when(F.col("known_scan").isNull() & (F.col("request_id") == F.col("first.request_id")), "created").otherwise("replay"))
+    outcome = F.coalesce("early", F.when(F.col("request_digest") != winner, "CONFLICT").when(F.col("known_scan").isNull() & (F.col("position") == F.col("first.position")), "created").otherwise("replay"))
     scan = F.coalesce("known_scan", F.concat(F.lit("scan_"), F.left(F.sha2(F.concat_ws("\u0000", "workspace_id", "idempotency_key").cast("binary"), 256), F.lit(26))))
     out = rows.withColumn("outcome", outcome).withColumn("scan_id", F.when(F.col("outcome").isin("created", "replay"), scan))
-    return out.select("request_id", "idempotency_key", "outcome", "scan_id", "request_digest", "input_digest", F.when(F.col("outcome") == "created", "queued").alias("state"), F.when(F.col("outcome") == "created", F.concat(F.lit("object://sha256/"), F.substring("input_digest", 8, 64))).alias("payload_ref"))
+    made = F.col("outcome") == "created"
+    good = F.col("early").isNull()
+    return out.select("position", F.when(good, F.col("idempotency_key")).alias("idempotency_key"), "outcome", "scan_id", F.when(good, F.col("request_digest")).alias("request_digest"), F.when(good, F.col("input_digest")).alias("input_digest"), F.when(made, "queued").alias("state"), F.when(made, F.concat(F.lit("object://sha256/"), F.substring("input_digest", 8, 64))).alias("payload_ref"))
+
+
+def text_at(value: Column, path: str) -> Column:
+    """The string at a path of a variant; null for whatever is no string there, numbers and objects too."""
+    return F.when(F.schema_of_variant(F.try_variant_get(value, path, "variant")) == "STRING", F.try_variant_get(value, path, "string"))
+
+
+def envelope_text(envelope: Column) -> Column:
+    """The text that an envelope brings, if it is a string."""
+    return text_at(F.try_parse_json(envelope), "$.input.text")
 
 
 def process(scans: DataFrame, rules: tuple[Rule, ...], tenant: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(decided, findings)`` of ``scans(scan_id, state, envelope)``, the envelope being JSON with ``input.text``, ``input.kind`` and ``input.source_id``.
 
-    Scans already ended keep their state; others than queued ones are ``CONFLICT``. Without a text in reach a scan goes to review with
+    Scans already ended keep their state; others than queued ones are ``CONFLICT``. Without a text in reach (absent, or anything but a string) a scan goes to review with
     one finding; else its state follows the most restrictive rule that matches. The decision is made inside the row, without a join.
     """
-    v = lambda p: F.get_json_object("envelope", p)
-    source = F.when(v("$.input.kind") == "feed_event", v("$.input.source_id"))
-    rows = scans.select("scan_id", "state", v("$.input.text").alias("text"), source.alias("source"), F.lit(tenant).cast("string").alias("tenant"))
+    v = F.try_parse_json("envelope")
+    source = F.when(text_at(v, "$.input.kind") == "feed_event", text_at(v, "$.input.source_id"))
+    rows = scans.select("scan_id", "state", text_at(v, "$.input.text").alias("text"), source.alias("source"), F.lit(tenant).cast("string").alias("tenant"))
     worst = F.array_max(F.transform(detect.matching(rules, F.col("text"), F.col("tenant"), F.col("source")), lambda r: detect.rank(r["disposition"])))
     ended = F.col("state").isin(*(s for s, to in MOVES.items() if not to), "review")
     after = F.when(F.col("text").isNull(), "review").otherwise(F.element_at(F.array(*map(F.lit, ("allowed", "review", "blocked"))), (F.coalesce(worst, F.lit(0)) + 1).cast("int")))

@@ -40,21 +40,39 @@ SELECT r.state, r.target, m.state IS NOT NULL AS allowed, count(*) AS n FROM r L
 
 
 def ingestion_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests made of events: keys repeat with equal and other contents, some belong to another workspace, some are too large, some keys are known."""
+    """Requests made of events: keys repeat with equal contents in other writings and with other contents, some belong to another workspace, some are too large or break the contract, some keys are known."""
     e, k = table(spark, sf_dir, "events"), F.col("event_id")
-    kind = _pick(("text", "upload", "feed_event"), k)
-    text = F.concat(F.lit("text "), (k % 5).cast("string"))
-    rows = e.select(k.alias("request_id"), F.when(k % 23 == 0, "ws_other").otherwise("ws_own").alias("workspace_id"), F.when(k % 41 != 0, F.concat(F.lit("key-"), (k % 700).cast("string"))).alias("idempotency_key"), kind.alias("kind"), F.when(kind == "text", text).alias("text"), F.when(kind == "upload", (k % 11) * 10_000_001).alias("size_bytes"), F.concat(F.lit("sha256:"), F.sha2((k % 700).cast("string").cast("binary"), 256)).alias("given_digest"), F.concat(F.lit('{"n":'), (k % 1400).cast("string"), F.lit("}")).alias("envelope"))
-    known = e.where("event_id % 10 = 3").select((k % 700).alias("r")).distinct().where("r % 7 = 3").select(F.concat(F.lit("key-"), F.col("r").cast("string")).alias("idempotency_key"), F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit('{"n":'), F.col("r").cast("string"), F.lit("}")).cast("binary"), 256)).alias("request_digest"), F.concat(F.lit("scan_old"), F.col("r").cast("string")).alias("scan_id"))
-    return intake.accept(rows, known, "ws_own")
-
-
-INGESTION_ACCEPT = """WITH k AS (SELECT event_id AS id, CASE WHEN event_id % 23 = 0 THEN 'ws_other' ELSE 'ws_own' END AS ws, CASE WHEN event_id % 41 <> 0 THEN 'key-' || event_id % 700 END AS key, ['text','upload','feed_event'][event_id % 3 + 1] AS kind, (event_id % 11) * 10000001 AS size, '{"n":' || event_id % 1400 || '}' AS env, event_id FROM events),
-r AS (SELECT *, CASE WHEN key IS NULL THEN 'INVALID' WHEN ws <> 'ws_own' THEN 'DENIED' WHEN kind = 'upload' AND size > 100000000 THEN 'TOO_LARGE' END AS early, 'sha256:' || sha256(env) AS rd, 'sha256:' || sha256(CASE WHEN kind = 'text' THEN 'text ' || event_id % 5 ELSE (event_id % 700)::VARCHAR END) AS inp FROM k),
-o AS (SELECT DISTINCT 'key-' || event_id % 700 AS key, 'sha256:' || sha256('{"n":' || event_id % 700 || '}') AS kd, 'scan_old' || event_id % 700 AS ks FROM events WHERE event_id % 10 = 3 AND event_id % 700 % 7 = 3),
-f AS (SELECT key, min(id) AS fid, arg_min(rd, id) AS fd FROM r WHERE early IS NULL GROUP BY 1),
-x AS (SELECT r.*, ks, fid, coalesce(early, CASE WHEN rd <> coalesce(kd, fd) THEN 'CONFLICT' WHEN ks IS NULL AND id = fid THEN 'created' ELSE 'replay' END) AS outcome FROM r LEFT JOIN f ON r.key = f.key LEFT JOIN o ON r.key = o.key)
-SELECT id AS request_id, key AS idempotency_key, outcome, CASE WHEN outcome IN ('created', 'replay') THEN coalesce(ks, 'scan_' || left(sha256(ws || chr(0) || key), 26)) END AS scan_id, rd AS request_digest, inp AS input_digest,
+    r, n = k % 700, k % 1400
+    digits = lambda c: F.lpad(c.cast("string"), 26, "0")
+    join = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs))
+    kind = _pick(("text", "upload", "feed_event", "url"), r)
+    digest = F.concat(F.lit("sha256:"), F.sha2(r.cast("string").cast("binary"), 256))
+    size = (n % 11) * 10_000_001
+    inner = (
+        F.when(kind == "text", join('{"text":"text ', n, '","media_type":"text/plain","kind":"text"}'))
+        .when(kind == "upload", join('{"upload_id":"up_', digits(r), '","media_type":"x/y","kind":"upload","size_bytes":', size + 1, F.when(k % 2 == 0, ".0").otherwise(""), ',"digest":"', digest, '"}'))
+        .when(kind == "url", join('{"url":"https://', n, '.example","kind":"url"}'))
+        .otherwise(join('{"kind":"feed_event","source_id":"src_', digits(r), '","event_id":"e', n, '","payload_digest":"', digest, '"}'))
+    )
+    owner = F.when(r % 23 == 0, "1").otherwise("2")
+    one = join('{"schema_version":"1.0","request_id":"req_', digits(n), '","workspace_id":"ws_', digits(owner), '","submitted_at":"2024-01-01T00:00:00Z","idempotency_key":', F.when(r % 41 == 0, "null").otherwise(join('"key-', r, '-0000"')), ',"provenance":{"submitted_by":"me","source_class":"primary"},"input":', inner, ',"extensions":{}}')
+    two = join('{ "input":', inner, ', "extensions" : {},"provenance":{"source_class":"primary","submitted_by":"me"},"idempotency_key":', F.when(r % 41 == 0, "null").otherwise(join('"key-', r, '-0000"')), ',"submitted_at":"2024-01-01T00:00:00Z","workspace_id":"ws_', digits(owner), '","request_id":"req_', digits(n), '","schema_version":"1.0"}')
+    rows = e.select(k.alias("position"), F.when(F.floor(k / 1400) % 2 == 0, one).otherwise(two).alias("body"))
+    known = e.where("event_id % 10 = 3").select((k % 700).alias("r")).distinct().where("r % 7 = 3").select(F.concat(F.lit("key-"), F.col("r").cast("string"), F.lit("-0000")).alias("idempotency_key"), F.lit("sha256:other").alias("request_digest"), F.concat(F.lit("scan_old"), F.col("r").cast("string")).alias("scan_id"))
+    return intake.accept(rows, known, "ws_" + "2".rjust(26, "0"))
+
+
+INGESTION_ACCEPT = """WITH k AS (SELECT event_id AS id, event_id % 700 AS r, event_id % 1400 AS n FROM events),
+i AS (SELECT *, ['text', 'upload', 'feed_event', 'url'][r % 4 + 1] AS kind, (n % 11) * 10000001 + 1 AS size, 'sha256:' || sha256(r::VARCHAR) AS given, 'ws_' || lpad(CASE WHEN r % 23 = 0 THEN '1' ELSE '2' END, 26, '0') AS ws, CASE WHEN r % 41 <> 0 THEN 'key-' || r || '-0000' END AS key FROM k),
+j AS (SELECT *, CASE kind WHEN 'text' THEN '{"kind":"text","media_type":"text/plain","text":"text ' || n || '"}' WHEN 'upload' THEN '{"digest":"' || given || '","kind":"upload","media_type":"x/y","size_bytes":' || size || ',"upload_id":"up_' || lpad(r::VARCHAR, 26, '0') || '"}'
+  WHEN 'url' THEN '{"kind":"url","url":"https://' || n || '.example"}' ELSE '{"event_id":"e' || n || '","kind":"feed_event","payload_digest":"' || given || '","source_id":"src_' || lpad(r::VARCHAR, 26, '0') || '"}' END AS input FROM i),
+c AS (SELECT *, CASE WHEN key IS NULL THEN 'INVALID' WHEN ws LIKE '%1' THEN 'DENIED' WHEN kind = 'upload' AND size > 100000000 THEN 'TOO_LARGE' END AS early,
+  'sha256:' || sha256('{"extensions":{},"idempotency_key":"' || key || '","input":' || input || ',"provenance":{"source_class":"primary","submitted_by":"me"},"request_id":"req_' || lpad(n::VARCHAR, 26, '0') || '","schema_version":"1.0","submitted_at":"2024-01-01T00:00:00Z","workspace_id":"' || ws || '"}') AS rd,
+  CASE WHEN kind IN ('upload', 'feed_event') THEN given ELSE 'sha256:' || sha256(input) END AS inp FROM j),
+o AS (SELECT DISTINCT 'key-' || event_id % 700 || '-0000' AS key, 'sha256:other' AS kd, 'scan_old' || event_id % 700 AS ks FROM events WHERE event_id % 10 = 3 AND event_id % 700 % 7 = 3),
+f AS (SELECT key, min(id) AS fid, arg_min(rd, id) AS fd FROM c WHERE early IS NULL GROUP BY 1),
+x AS (SELECT c.*, ks, coalesce(early, CASE WHEN rd <> coalesce(kd, fd) THEN 'CONFLICT' WHEN ks IS NULL AND id = fid THEN 'created' ELSE 'replay' END) AS outcome FROM c LEFT JOIN f ON c.key = f.key LEFT JOIN o ON c.key = o.key)
+SELECT id AS position, CASE WHEN early IS NULL THEN key END AS idempotency_key, outcome, CASE WHEN outcome IN ('created', 'replay') THEN coalesce(ks, 'scan_' || left(sha256(ws || chr(0) || key), 26)) END AS scan_id, CASE WHEN early IS NULL THEN rd END AS request_digest, CASE WHEN early IS NULL THEN inp END AS input_digest,
   CASE WHEN outcome = 'created' THEN 'queued' END AS state, CASE WHEN outcome = 'created' THEN 'object://sha256/' || inp[8:] END AS payload_ref FROM x"""
 
 
@@ -410,11 +428,11 @@ def account_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ACCOUNT_HOLDINGS = """WITH r AS (SELECT l_orderkey AS k, l_linenumber AS n, l_quantity::BIGINT AS q FROM lineitem),
-p AS (SELECT k, CASE WHEN NOT (k % 29 = 0 AND n = 1) THEN 'COIN' || CASE WHEN k % 31 = 0 THEN 1 ELSE n END END AS asset, CASE WHEN k % 3 = 0 THEN CASE WHEN q < 10 THEN -(10 - q) - 0.5 WHEN q = 10 THEN 0.5 ELSE q - 10 + 0.5 END END AS bal,
-  CASE WHEN k % 3 = 1 OR k % 37 <> 0 THEN q END AS av, CASE WHEN n % 2 = 0 THEN 0.25 END AS fr FROM r),
-g AS (SELECT k, asset, count(*) AS n, min(coalesce(bal, CASE WHEN av IS NOT NULL OR fr IS NOT NULL THEN coalesce(av, 0) + coalesce(fr, 0) END)) AS q, count(*) FILTER (bal IS NULL AND av IS NULL AND fr IS NULL) AS bad FROM p GROUP BY 1, 2),
+p AS (SELECT k, CASE WHEN NOT (k % 29 = 0 AND n = 1) THEN 'COIN' || CASE WHEN k % 31 = 0 THEN 1 ELSE n END END AS asset, CASE WHEN k % 3 = 0 THEN (q - 10) || '.500' END AS bal,
+  CASE WHEN k % 3 = 1 OR k % 37 <> 0 THEN q END AS av, CASE WHEN n % 2 = 0 THEN '.25' END AS fr FROM r),
+g AS (SELECT k, asset, count(*) AS n, min(coalesce(bal, CASE WHEN av IS NOT NULL THEN av || coalesce(fr, '') WHEN fr IS NOT NULL THEN '0.25' END)) AS q, count(*) FILTER (bal IS NULL AND av IS NULL AND fr IS NULL) AS bad FROM p GROUP BY 1, 2),
 e AS (SELECT k, CASE WHEN bool_or(asset IS NULL) THEN 'INVALID_IDENTIFIER' WHEN max(n) > 1 THEN 'DUPLICATE_ASSET' WHEN sum(bad) > 0 THEN 'INVALID_BALANCE' END AS error FROM g GROUP BY 1)
-SELECT g.k AS account_id, asset, CASE WHEN q = floor(q) THEN q::BIGINT::VARCHAR ELSE regexp_replace(q::DECIMAL(18, 2)::VARCHAR, '0+$', '') END AS quantity, NULL::VARCHAR AS error FROM g JOIN e ON g.k = e.k WHERE error IS NULL AND q > 0
+SELECT g.k AS account_id, asset, q AS quantity, NULL::VARCHAR AS error FROM g JOIN e ON g.k = e.k WHERE error IS NULL AND q::DECIMAL(18, 3) > 0
 UNION ALL SELECT k, NULL, NULL, error FROM e WHERE error IS NOT NULL"""
 
 
