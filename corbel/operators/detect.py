@@ -122,11 +122,76 @@ def findings(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: st
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), T.fold(F.col(text_col)).alias("folded"), tenant.alias("tenant"), source.alias("source"))
     hits = rows.withColumn("rule", F.explode(matching(rules, F.col("text"), F.col("tenant"), F.col("source"))))
     places = hits.withColumn("start", F.explode(T.occurrences(F.col("folded"), F.lower(F.col("rule.phrase"))))).withColumn("end", F.col("start") + F.char_length("rule.phrase"))
-    return places.select(
-        id_col, F.col("rule.id").alias("rule_id"), F.col("rule.reason").alias("reason_code"), F.col("rule.severity").alias("severity"), F.col("rule.disposition").alias("disposition"),
-        "start", "end", T.line(F.col("text"), F.col("start")).alias("start_line"), T.column(F.col("text"), F.col("start")).alias("start_column"),
-        T.line(F.col("text"), F.col("end")).alias("end_line"), T.column(F.col("text"), F.col("end")).alias("end_column"),
-    )
+    return _placed(places, F.col(id_col).alias(id_col), F.col("rule.id"), F.col("rule.reason"), F.col("rule.severity"), F.col("rule.disposition"))
+
+
+def _placed(places: DataFrame, of: Column, rule: Column, reason: Column, severity: Column, disposition: Column) -> DataFrame:
+    """Findings from ``places`` with ``text``, ``start`` and ``end``: lines and columns by what stands before the start, cut once, and by the phrase itself."""
+    before, own = F.left("text", F.col("start")), F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
+    rows = places.select(of, rule.alias("rule_id"), reason.alias("reason_code"), severity.alias("severity"), disposition.alias("disposition"), "start", "end", before.alias("before"), own.alias("own"))
+    breaks = lambda c: (F.char_length(c) - F.char_length(F.replace(F.col(c), F.lit("\n"), F.lit("")))).cast("int")
+    tail = lambda c: F.char_length(F.substring_index(c, "\n", -1))
+    rows = rows.withColumns({"start_line": breaks("before") + 1, "start_column": (tail("before") + 1).cast("int"), "breaks": breaks("own"), "tail": tail("own")})
+    end_column = F.when(F.col("breaks") > 0, F.col("tail") + 1).otherwise(F.col("start_column") + F.col("end") - F.col("start"))
+    return rows.withColumn("end_line", F.col("start_line") + F.col("breaks")).withColumn("end_column", end_column.cast("int")).drop("before", "own", "breaks", "tail")
+
+
+# How many rules are found at once: a text is cut every STRIDE characters, and each phrase brings the grams that may stand at such a cut. Shorter phrases are sought at every character.
+GRAM, STRIDE, SHORT = 6, 7, 3
+
+
+def rule_table(rules: DataFrame, most: int = MOST_RULES) -> DataFrame:
+    """``rules(id, phrase, reason, severity, disposition, tenants, sources)`` with ``folded``, and ``bordered`` for phrases that can overlap themselves. A phrase has 3 characters at least; more than ``most`` rules are an error."""
+    if (n := rules.count()) > most:
+        raise ValueError(f"{n} rules; {most} are allowed")
+    folded = F.lower("phrase")
+    size = F.char_length(folded)
+    border = F.when(size > 1, F.exists(F.sequence(F.lit(1), size - 1), lambda k: F.left(folded, k) == F.right(folded, k)))
+    return rules.where(size >= SHORT).select("id", "phrase", "reason", "severity", "disposition", "tenants", "sources", folded.alias("folded"), size.cast("int").alias("size"), F.coalesce(border, F.lit(False)).alias("bordered"))
+
+
+def many(docs: DataFrame, rules: DataFrame, id_col: str, text_col: str, tenant_col: str | None = None, source_col: str | None = None) -> DataFrame:
+    """What ``findings`` gives, for a table of up to 10,000 rules (``rule_table``'s columns): the work at a text hardly grows with their number.
+
+    Texts are cut into pieces of seven characters. A phrase of 12 or more covers the first six of one piece wherever it stands, so it brings its seven grams of six, one for each place of the cut within it;
+    shorter phrases bring their first three characters, and texts all their grams of three. Grams meet in a join with the broadcast rules, a match is compared with the text, and
+    a phrase that can overlap itself is counted from the left. Nothing is shuffled. Rules with equal phrases each have their findings; a null text has none, and ids may be null or repeat.
+    """
+    none = F.lit(None).cast("string")
+    tenant, source = (F.col(c).cast("string") if c else none for c in (tenant_col, source_col))
+    table = rule_table(rules)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"), T.fold(F.col(text_col).cast("string")).alias("text_folded"), tenant.alias("tenant"), source.alias("source"))
+    long_ = F.col("size") >= GRAM + STRIDE - 1
+    wide = table.where(long_).withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(STRIDE - 1)))).withColumn("gram", F.substring(F.col("folded"), F.col("shift") + 1, F.lit(GRAM)))
+    narrow = table.where(~long_).withColumn("shift", F.lit(0)).withColumn("gram", F.left("folded", F.lit(SHORT)))
+    chunks = lambda text, size: F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+    def cuts(pieces: str, size: int, gram: int, first: int, more: int) -> Column:
+        """Of each piece where it begins, its gram, and the gram with what stands behind it, up to ``more`` pieces on."""
+        behind = lambda i: [F.coalesce(F.get(pieces, i + n), F.lit("")) for n in range(1, more + 1)]
+        return F.transform(pieces, lambda p, i: F.struct((i * size + first).alias("at"), F.left(p, F.lit(gram)).alias("gram"), F.concat(p, *behind(i)).alias("ahead")))
+
+    far = rows.withColumn("pieces0", chunks(F.col("text_folded"), STRIDE)).withColumn("cuts", cuts("pieces0", STRIDE, GRAM, 0, 1))
+    close = rows.withColumns({f"pieces{k}": chunks(F.substring(F.col("text_folded"), k + 1, 1 << 30), SHORT) for k in range(SHORT)}).withColumn("cuts", F.concat(*(cuts(f"pieces{k}", SHORT, SHORT, k, 3) for k in range(SHORT))))
+    found = []
+    for part, keys, some in ((far, wide, table.where(long_)), (close, narrow, table.where(~long_))):
+        if some.isEmpty():
+            continue
+        each = part.select("_id", "text", "text_folded", "tenant", "source", F.explode_outer("cuts").alias("cut")).select("_id", "text", "text_folded", "tenant", "source", "cut.*")
+        met = each.join(F.broadcast(keys), "gram").where(in_scope(F.col("tenants"), F.col("tenant")) & in_scope(F.col("sources"), F.col("source")))
+        # what stands behind the gram tells most chance matches apart without the text, and all of short phrases
+        rest = F.substring(F.col("folded"), F.col("shift") + 1, F.col("size"))
+        met = met.where(F.startswith("ahead", F.left(rest, F.lit(STRIDE + GRAM))))
+        met = met.withColumn("first", F.col("at") - F.col("shift"))
+        if part is far:
+            met = met.where((F.col("first") >= 0) & (F.substring(F.col("text_folded"), F.col("first") + 1, F.col("size")) == F.col("folded")))
+        leftmost = F.position(F.col("folded"), F.col("text_folded"))
+        starts = F.when(~F.col("bordered"), F.array("first")).when(leftmost == F.col("first") + 1, T.occurrences(F.col("text_folded"), F.col("folded")))
+        found.append(met.withColumn("start", F.explode(starts)).withColumn("end", F.col("start") + F.char_length("phrase")))
+    if not found:  # no rules: no findings
+        found = [rows.where("false").withColumns({c: F.lit(None).cast("string") for c in ("id", "reason", "severity", "disposition")} | {c: F.lit(0) for c in ("start", "end")})]
+    out = [_placed(f, F.col("_id").alias(id_col), F.col("id"), F.col("reason"), F.col("severity"), F.col("disposition")) for f in found]
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
 def rank(disposition: Column) -> Column:

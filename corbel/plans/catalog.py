@@ -6,9 +6,9 @@ has no SQL form that is faithful, and is tested on small cases.
 
 from __future__ import annotations
 
-from . import contracts, forms, lifecycle, parsed, records, screening
+from . import clocks, contracts, forms, lifecycle, parsed, records, screening
 
-MODULES = [screening, records, parsed, lifecycle, forms, contracts]
+MODULES = [screening, records, parsed, lifecycle, forms, contracts, clocks]
 
 
 def queries() -> dict:

@@ -29,12 +29,7 @@ def _rules_sql(rules: tuple[Rule, ...]) -> str:
     return f"rules(rule_id, phrase, reason_code, severity, disposition, tenants, sources) AS (VALUES {rows})"
 
 
-def _findings_sql(rules: tuple[Rule, ...], table_sql: str) -> str:
-    """Over ``t(id, text, tenant, source)``."""
-    return f"""{_rules_sql(rules)}, t AS ({table_sql}), hit AS (
-      SELECT t.id, t.text, r.*, string_split(lower(t.text), r.phrase) AS pieces FROM t JOIN rules r
-      ON (r.tenants IS NULL OR list_contains(r.tenants, t.tenant)) AND (r.sources IS NULL OR list_contains(r.sources, t.source)) AND contains(lower(t.text), r.phrase)
-    ), k AS (SELECT *, unnest(generate_series(1, len(pieces) - 1)) AS k FROM hit
+_PLACES_SQL = """k AS (SELECT *, unnest(generate_series(1, len(pieces) - 1)) AS k FROM hit
     ), p AS (SELECT *, (list_sum(list_transform(pieces[1:k], lambda x: length(x))) + (k - 1) * length(phrase))::BIGINT AS s FROM k
     ), f AS (SELECT id, rule_id, reason_code, severity, disposition, s AS "start", s + length(phrase) AS "end", left(text, s) AS a, left(text, s + length(phrase)) AS b FROM p
     ), found AS (SELECT id, rule_id, reason_code, severity, disposition, "start", "end",
@@ -42,6 +37,14 @@ def _findings_sql(rules: tuple[Rule, ...], table_sql: str) -> str:
       len(string_split(b, chr(10))) AS end_line, length(string_split(b, chr(10))[-1]) + 1 AS end_column FROM f)"""
 
 
+def _findings_sql(rules: tuple[Rule, ...], table_sql: str) -> str:
+    """Over ``t(id, text, tenant, source)``."""
+    return f"""{_rules_sql(rules)}, t AS ({table_sql}), hit AS (
+      SELECT t.id, t.text, r.*, string_split(lower(t.text), r.phrase) AS pieces FROM t JOIN rules r
+      ON (r.tenants IS NULL OR list_contains(r.tenants, t.tenant)) AND (r.sources IS NULL OR list_contains(r.sources, t.source)) AND contains(lower(t.text), r.phrase)
+    ), {_PLACES_SQL}"""
+
+
 _DOCS = "SELECT doc_id AS id, text, lang AS tenant, source FROM documents"
 _RANK = "CASE disposition WHEN 'block' THEN 2 WHEN 'review' THEN 1 ELSE 0 END"
 
@@ -50,11 +53,29 @@ def _doc_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.findings(table(spark, sf_dir, "documents"), RULES, "doc_id", "text", "lang", "source")
 
 
+def _item_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of 24 characters of all benchmark items as rules, and the first nine of each item: hundreds to thousands."""
+    items = table(spark, sf_dir, "benchmark").where("text is not null")
+    every = F.concat(F.transform(F.regexp_extract_all("text", F.lit("(?s).{24}"), F.lit(0)), lambda p, i: F.struct(F.concat(F.lit("w"), i.cast("string")).alias("kind"), p.alias("phrase"))), F.array(F.struct(F.lit("s").alias("kind"), F.left("text", F.lit(9)).alias("phrase"))))
+    rows = items.select("item_id", F.explode(every).alias("x")).select(F.concat(F.col("item_id").cast("string"), F.lit("-"), F.col("x.kind")).alias("id"), "x.phrase", "item_id").where(F.char_length("phrase") >= 3)
+    scope = F.when(F.col("item_id") % 5 == 0, F.array(F.lit("en")))
+    return rows.select("id", "phrase", F.lit("TOOL_COERCION").alias("reason"), F.lit("low").alias("severity"), F.when(F.col("item_id") % 2 == 0, "block").otherwise("review").alias("disposition"), scope.alias("tenants"), F.lit(None).cast("array<string>").alias("sources"))
+
+
+def scan_many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of thousands of phrases in documents, with its place: grams of texts meet those of the phrases."""
+    return detect.many(table(spark, sf_dir, "documents"), _item_rules(spark, sf_dir), "doc_id", "text", "lang", "source")
+
+
 def scan_rules_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence of every rule's phrase in documents, with its place."""
     return _doc_findings(spark, sf_dir)
 
 
+SCAN_MANY_RULES = f"""WITH c AS (SELECT item_id, text, unnest(generate_series(0, length(text) // 24 - 1)) AS i FROM benchmark),
+rules AS (SELECT item_id || '-w' || i AS rule_id, substr(text, 24 * i + 1, 24) AS phrase, item_id FROM c UNION ALL SELECT item_id || '-s', left(text, 9), item_id FROM benchmark WHERE length(text) >= 3),
+r AS (SELECT rule_id, lower(phrase) AS phrase, 'TOOL_COERCION' AS reason_code, 'low' AS severity, CASE WHEN item_id % 2 = 0 THEN 'block' ELSE 'review' END AS disposition, item_id % 5 = 0 AS scoped FROM rules),
+hit AS (SELECT doc_id AS id, text, r.*, string_split(lower(text), phrase) AS pieces FROM documents JOIN r ON (NOT scoped OR lang = 'en') AND contains(lower(text), phrase)), {_PLACES_SQL} SELECT id AS doc_id, * EXCLUDE (id) FROM found"""
 SCAN_RULES_FINDINGS = f"WITH {_findings_sql(RULES, _DOCS)} SELECT id AS doc_id, * EXCLUDE (id) FROM found"
 
 
@@ -272,6 +293,6 @@ UNION ALL SELECT 'languages_without_label', count(*) FROM (SELECT lang FROM docu
 UNION ALL SELECT 'empty_items', count(*) FROM benchmark WHERE trim(text) = ''"""
 
 QUERIES = (
-    scan_rules_findings, scan_rules_disposition, scan_conversations, rule_counts, occurrence_positions, line_column, secret_scan, space_collapse, content_dedup, url_admission, host_extract, source_verification, base64_scan,
+    scan_many_rules, scan_rules_findings, scan_rules_disposition, scan_conversations, rule_counts, occurrence_positions, line_column, secret_scan, space_collapse, content_dedup, url_admission, host_extract, source_verification, base64_scan,
     revenue_extract, policy_verdicts, classifier_merge, benchmark_eval, corpus_checks,
 )

@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import detect
 from ..operators.detect import Rule
+from . import keyed
 
 
 def read_table_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 8) -> DataFrame:
@@ -24,9 +22,8 @@ def screen(stream: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: st
 
     def batch(df: DataFrame, n: int) -> None:
         df = df.persist()
-        found = detect.findings(df, rules, id_col, text_col)
-        found.write.mode("overwrite").parquet(f"{out}/findings/batch={n}")
-        detect.verdicts(df, found, id_col).write.mode("overwrite").parquet(f"{out}/verdicts/batch={n}")
+        detect.findings(df, rules, id_col, text_col).write.mode("overwrite").parquet(f"{out}/findings/batch={n}")
+        detect.decide(df, rules, id_col, text_col).write.mode("overwrite").parquet(f"{out}/verdicts/batch={n}")
         df.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -79,21 +76,6 @@ def windowed_counts(stream: DataFrame, time_col: str, labels: list[str], window:
     return stream.withWatermark(time_col, late).groupBy(F.window(time_col, window), *labels).agg(F.count("*").alias("n"))
 
 
-def rate_limited(stream: DataFrame, key: str, at_ms: str, order: str, window_ms: int, most: int) -> DataFrame:
-    """Each request of a key with its window's start, its number in it, and whether it is allowed. A window begins with the key's first request at or after
-    the last one's end. State: two numbers a key; a batch's requests of a key arrive in pieces, are put in order together."""
-
-    def run(k: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, n = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(pieces)).sort_values([at_ms, order])
-        out = []
-        for at, one in zip(rows[at_ms], rows[order]):
-            if start is None or start + window_ms <= at:
-                start, n = int(at), 0
-            n += 1
-            out.append((k[0], int(one), start, n, n <= most))
-        state.update((start, n))
-        yield pd.DataFrame(out, columns=[key, order, "window_start", "hit", "allowed"])
-
-    kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {order} long, window_start long, hit long, allowed boolean", "start long, n long", "append", GroupStateTimeout.NoTimeout)
+def rate_limited(stream: DataFrame, key: str, at_ms: str, order: str, window_ms: int, most: int, late: str = "0 seconds") -> DataFrame:
+    """Each request of a key with its window's start, its number in it, and whether it is allowed; ``keyed.streamed`` with ``keyed.Windows``, so a window is forgotten when its time is over."""
+    return keyed.streamed(stream, keyed.Windows(window_ms, most), key, at_ms, order, late).select(key, order, "window_start", "hit", "allowed")

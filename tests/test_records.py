@@ -190,6 +190,7 @@ def test_stream_rate_limit_equals_batch(spark, tmp_path):
         df.where(f"at >= {a} and at < {b}").coalesce(1).write.parquet(str(tmp_path / f"in/p{i}"))
     got = []
     schema = df.schema
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     for i in range(3):  # each trigger takes what has arrived
         q = pipelines.rate_limited(spark.readStream.schema(schema).parquet(str(tmp_path / f"in/p[0-{i}]")), "user", "at", "n", 700, 2).writeStream
         out = []

@@ -182,3 +182,22 @@ def test_base64_after_many_words_is_counted_and_found(spark, tmp_path):
     assert {r.doc_id: r.n_tokens for r in detect.base64_tokens(docs, "doc_id", "text", most=64).collect()}[1] == 101
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert ("base64", parsed.RULES[0].id, 1) in {tuple(r) for r in parsed.representation_scan(spark, str(tmp_path)).select("representation", "rule_id", "n").collect()}
+
+
+def test_many_rules_equal_rules_one_by_one(spark):
+    import random
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abAB \n😀É") for _ in range(n))
+    phrases = {word(rng.choice((3, 4, 6, 11, 12, 13, 19, 30))) for _ in range(60)} | {"aaa", "ababab", "a" * 14, "ab" * 9, "tail of all"}
+    rules = tuple(detect.Rule(f"r{k}", p, "TOOL_COERCION", "low", rng.choice(("allow", "review", "block")), tenants=("x",) if k % 4 == 0 else None, sources=("s", "t") if k % 7 == 0 else None) for k, p in enumerate(sorted(phrases)) if len(p.strip()) >= 3)
+    texts = [word(rng.randrange(200)) + rng.choice(rules).phrase.upper() * rng.randrange(4) + word(rng.randrange(9)) + rng.choice(rules).phrase for _ in range(120)] + ["a" * 100, "abababababab", None, "", "aa", "the tail of ALL"]
+    docs = spark.createDataFrame([(k % 50 if k % 3 else None, t, rng.choice(("x", "y", None)), rng.choice(("s", "u", None))) for k, t in enumerate(texts)], "id long, text string, tenant string, source string")
+    table = spark.createDataFrame([(r.id, r.phrase, r.reason, r.severity, r.disposition, r.tenants, r.sources) for r in rules], "id string, phrase string, reason string, severity string, disposition string, tenants array<string>, sources array<string>")
+    want = detect.findings(docs, rules, "id", "text", "tenant", "source")
+    got = detect.many(docs, table, "id", "text", "tenant", "source")
+    assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and want.count() > 200
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert detect.many(docs, table.limit(0), "id", "text").count() == 0
+    with pytest.raises(ValueError):
+        detect.rule_table(table, most=3)
