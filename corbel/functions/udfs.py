@@ -78,6 +78,12 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+@F.pandas_udf(T.ArrayType(TEXT))
+def nfkc_each(lists: pd.Series) -> pd.Series:
+    """NFKC of the texts of an array."""
+    return lists.map(lambda ts: None if ts is None else [None if t is None else unicodedata.normalize("NFKC", t) for t in ts])
+
+
 @F.pandas_udf(TEXT)
 def unaccented(texts: pd.Series) -> pd.Series:
     """Letters without their marks (NFKD)."""

@@ -1,10 +1,11 @@
-"""Queries of machines with clocks: the same folds as the streams run, over tables."""
+"""Queries of time: machines with clocks, the same folds as the streams run, and results against those of another run."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import lifecycle
 from ..session import table
 from ..streaming import keyed
 
@@ -26,4 +27,18 @@ r AS (SELECT user_id, event_id, ms, n, 'closed' AS state, NULL::BIGINT AS cooled
   FROM r JOIN c ON c.user_id = r.user_id AND c.n = r.n + 1, LATERAL (SELECT CASE WHEN r.s >= 3 THEN CASE WHEN c.ms < r.u THEN 'open' ELSE 'half_open' END ELSE 'closed' END AS state, CASE WHEN r.s < 3 AND r.u <= c.ms THEN 0 ELSE r.s END AS s) w)
 SELECT user_id, event_id, ms AS "at", state, state <> 'open' AS allowed FROM r UNION ALL SELECT user_id, NULL, cooled, 'half_open', NULL FROM r WHERE cooled IS NOT NULL"""
 
-QUERIES = (timed_breakers,)
+
+
+def replay_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders against what another run made of them: some altered, some missing, some added, some with keys that repeat."""
+    o, k = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), F.col("o_orderkey")
+    after = o.where(k % 7 != 0).withColumn("o_orderstatus", F.when(k % 5 == 0, None).otherwise(F.col("o_orderstatus"))).withColumn("o_totalprice", F.col("o_totalprice").cast("double"))
+    added = o.where((k % 11 == 0) & (k > 0)).select((-k).alias("o_orderkey"), "o_orderstatus", "o_totalprice")
+    return lifecycle.differences(o.unionByName(o.where(k % 13 == 0)), after.unionByName(added).unionByName(o.where((k % 13 == 0) & (k % 2 == 0))), ["o_orderkey"])
+
+
+REPLAY_DIFFERENCES = """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 AND NOT (o_orderkey % 13 = 0 AND o_orderkey % 2 = 0) THEN 'missing' WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 OR (o_orderkey % 13 = 0 AND o_orderkey % 2 <> 0) THEN 'altered' ELSE 'equal' END AS state FROM orders
+UNION ALL SELECT -o_orderkey, 'added' FROM orders WHERE o_orderkey % 11 = 0 AND o_orderkey <> 0"""
+
+
+QUERIES = (timed_breakers, replay_differences)

@@ -218,6 +218,24 @@ def made_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 MADE_METADATA = """SELECT c_custkey, 'T ' || c_custkey AS title, key, CASE key WHEN 'author' THEN 'a' || c_custkey WHEN 'og:x' THEN 'p' ELSE '/c' || c_custkey END AS value FROM customer, (VALUES ('author'), ('og:x'), ('canonical')) AS v(key)"""
 
 
+def filing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of filings made of parts, with the offsets that cut them out."""
+    k = F.col("p_partkey")
+    one = lambda i: F.concat(F.lit("<DOCUMENT>\n<TYPE>"), F.when(i % 3 == 2, "").otherwise(F.concat(F.lit(" EX-"), i.cast("string"), F.lit(" \r"))), F.lit("\n<FILENAME>é"), i.cast("string"), F.lit(".txt\n<TEXT>"), F.col("p_name"), F.lit("</TEXT>\n"), F.when(k % 5 != 0, "</DOCUMENT>\n").otherwise(""))
+    some = F.when(k % 4 > 0, F.array_join(F.transform(F.sequence(F.lit(0), (k % 4 - 1).cast("int")), one), "")).otherwise("")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("<FILING-DATE>20240131\n"), some, F.lit("end")).alias("text"))
+    found = corpus.filing_documents(rows, "p_partkey", "text").join(rows, "p_partkey")
+    cut = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
+    return found.select("p_partkey", "anchor", "start", "end", "type", "filename", "description", F.md5(cut.cast("binary")).alias("part_md5"))
+
+
+FILING_DOCUMENTS = """WITH d AS (SELECT p_partkey AS k, unnest(generate_series(0, p_partkey % 4 - 1)) AS i, p_name FROM part WHERE p_partkey % 4 > 0),
+p AS (SELECT *, '<DOCUMENT>' || chr(10) || '<TYPE>' || CASE WHEN i % 3 = 2 THEN '' ELSE ' EX-' || i || ' ' || chr(13) END || chr(10) || '<FILENAME>é' || i || '.txt' || chr(10) || '<TEXT>' || p_name || '</TEXT>' || chr(10) AS body,
+  CASE WHEN k % 5 <> 0 THEN '</DOCUMENT>' WHEN i = k % 4 - 1 THEN 'end' ELSE '' END AS rest FROM d),
+o AS (SELECT *, 22 + coalesce(sum(length(body) + CASE WHEN k % 5 <> 0 THEN 12 ELSE 0 END) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS s FROM p)
+SELECT k AS p_partkey, 'document:' || (i + 1) AS anchor, s AS start, s + length(body || rest) AS "end", CASE WHEN i % 3 <> 2 THEN 'EX-' || i END AS type, 'é' || i || '.txt' AS filename, NULL AS description, md5(body || rest) AS part_md5 FROM o"""
+
+
 def cross_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules over all fields of a record together: phrases that are split between fields."""
     fields = F.array(F.concat(F.lit("please ignore  "), F.when(F.col("c_custkey") % 2 == 0, "previous").otherwise("other")), F.lit(" instructions\nnow"), F.col("c_mktsegment"))
@@ -229,5 +247,5 @@ CROSS_FIELD = "SELECT c_custkey, 'ignore-previous-instructions' AS rule_id, 7 AS
 
 QUERIES = (
     content_types, private_addresses, private_addresses6, privacy_gate, policy_moves, review_queue, time_forms, slug_forms, percents, decimal_forms, wide_sums, optional_filters, rule_checks, filing_fields, announcements,
-    feed_items, upload_states, made_metadata, cross_field,
+    feed_items, upload_states, made_metadata, cross_field, filing_documents,
 )

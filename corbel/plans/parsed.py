@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import udfs
-from ..operators import detect
+from ..operators import detect, representation
 from ..session import table
-from .screening import RULES
+from .screening import CHAT_RULES, RULES
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +68,53 @@ def representation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asis.unionByName(changed).unionByName(coded).groupBy("representation", "rule_id").agg(F.count("*").alias("n"))
 
 
+FIELD_RULES = tuple(r for r in CHAT_RULES if r.tenants is None) + (detect.Rule("hidden", "and the hidden", "TOOL_COERCION", "high", "block"),)
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as records, their turns as fields, with some that are hidden, encoded, too long or too many. Only records that may be within the limit are gathered."""
+    c, k = table(spark, sf_dir, "conversations"), F.col("conv_id")
+    more = F.when(k % 11 == 0, F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.lit("more"))).otherwise(F.array().cast("array<string>"))
+    for test, text in ((k % 3 == 0, F.base64(F.encode(F.lit("and the hidden text"), "UTF-8"))), (k % 5 == 0, F.lit("AND\u200b  th\u00e9\uff01")), (k % 7 == 0, F.repeat(F.lit("x "), 140_000)), (k % 4 == 0, F.lit("aaaaaaaaa and"))):
+        more = F.concat(more, F.when(test, F.array(text)).otherwise(F.array().cast("array<string>")))
+    sizes = c.groupBy("conv_id").agg(F.count("*").alias("n"))
+    turns = c.join(sizes.where(F.col("n") <= representation.MOST_FIELDS), "conv_id").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
+    own = F.transform("turns", lambda t: F.struct(t["turn"].cast("string").alias("id"), t["text"].alias("content")))
+    extra = F.transform(more, lambda m, i: F.struct(F.concat(F.lit("x"), i.cast("string")).alias("id"), m.alias("content")))
+    large = sizes.where(F.col("n") > representation.MOST_FIELDS).select("conv_id", F.transform(F.sequence(F.lit(0), F.lit(representation.MOST_FIELDS)), lambda i: F.struct(i.cast("string").alias("id"), F.lit("").alias("content"))).alias("fields"))
+    return turns.select("conv_id", F.concat(own, extra).alias("fields")).unionByName(large)
+
+
+def field_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records under the limits on fields and bytes: what came of each, and the findings by kind of representation."""
+    listed = representation.representations(_records(spark, sf_dir), "conv_id", "fields")
+    found = representation.scan(listed, FIELD_RULES, "conv_id").groupBy("conv_id", "kind", "rule_id").agg(F.count("*").alias("n"))
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    return listed.select("conv_id", "outcome", "n_bytes", "skipped", none("kind", "string"), none("rule_id", "string"), none("n", "long")).unionByName(found.select("conv_id", F.lit("found").alias("outcome"), none("n_bytes", "long"), none("skipped", "int"), "kind", "rule_id", "n"))
+
+
+# The sums of a record's representations, beside the driver's texts, which NFKC leaves as they are
+_FIELD_RULES = ", ".join(f"('{r.id}', '{r.phrase}')" for r in FIELD_RULES)
+FIELD_SCAN = f"""WITH own AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(text, '')) AS pos, coalesce(text, '') AS content FROM conversations),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+f AS (SELECT * FROM own UNION ALL SELECT conv_id, 1000 + i, 'more' FROM ids, range(40) t(i) WHERE conv_id % 11 = 0 UNION ALL SELECT conv_id, 2000, to_base64('and the hidden text'::BLOB) FROM ids WHERE conv_id % 3 = 0
+  UNION ALL SELECT conv_id, 2001, 'AND' || chr(8203) || '  thé' || chr(65281) FROM ids WHERE conv_id % 5 = 0 UNION ALL SELECT conv_id, 2002, repeat('x ', 140000) FROM ids WHERE conv_id % 7 = 0 UNION ALL SELECT conv_id, 2003, 'aaaaaaaaa and' FROM ids WHERE conv_id % 4 = 0),
+k AS (SELECT conv_id, count(*) AS n FROM f GROUP BY 1),
+few AS (SELECT f.* FROM f JOIN k USING (conv_id) WHERE n <= 32),
+t AS (SELECT conv_id, pos, unnest(regexp_extract_all(content, '[A-Za-z0-9+/]{{8,}}={{0,2}}')[1:64]) AS v FROM few), b AS (SELECT *, rtrim(v, '=') AS bare FROM t),
+d AS (SELECT conv_id, CASE WHEN length(v) % 4 = 0 OR (v = bare AND length(v) % 4 <> 1) THEN TRY(decode(from_base64(rpad(bare, ((length(bare) + 3) // 4 * 4)::INTEGER, '=')))) END AS s FROM b),
+m AS (SELECT conv_id, content, trim(regexp_replace(replace(replace(content, chr(8203), ''), chr(65281), '!'), '\\s+', ' ', 'g')) AS plain FROM few UNION ALL SELECT conv_id, NULL, trim(regexp_replace(replace(replace(string_agg(content, ' ' ORDER BY pos), chr(8203), ''), chr(65281), '!'), '\\s+', ' ', 'g')) FROM few GROUP BY 1),
+r AS (SELECT conv_id, 'canonical' AS kind, content AS text FROM few UNION ALL SELECT conv_id, CASE WHEN content IS NULL THEN 'cross_field' ELSE 'normalized' END, plain FROM m WHERE content IS NULL OR content <> plain UNION ALL SELECT conv_id, 'base64', s FROM d WHERE strlen(s) <= 65536 AND regexp_matches(s, '[\\p{{L}}\\p{{N}}]')),
+z AS (SELECT conv_id, sum(strlen(text))::BIGINT AS n_bytes FROM r GROUP BY 1),
+y AS (SELECT conv_id, count(*) FILTER (s IS NULL OR strlen(s) > 65536 OR NOT regexp_matches(s, '[\\p{{L}}\\p{{N}}]')) AS skipped FROM d GROUP BY 1),
+o AS (SELECT k.conv_id, CASE WHEN n > 32 THEN 'too_many_fields' WHEN n_bytes > 262144 THEN 'too_many_bytes' ELSE 'ok' END AS outcome, n_bytes, coalesce(skipped, 0)::INTEGER AS skipped FROM k LEFT JOIN z USING (conv_id) LEFT JOIN y USING (conv_id))
+SELECT conv_id, outcome, n_bytes, CASE WHEN outcome = 'ok' THEN skipped END AS skipped, NULL AS kind, NULL AS rule_id, NULL AS n FROM o
+UNION ALL SELECT conv_id, 'found', NULL, NULL, kind, rule_id, sum(len(string_split(lower(text), phrase)) - 1)::BIGINT FROM r JOIN o USING (conv_id) JOIN (VALUES {_FIELD_RULES}) v(rule_id, phrase) ON contains(lower(text), phrase) WHERE outcome = 'ok' GROUP BY conv_id, kind, rule_id"""
+
+
 def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed pseudonymous ids of customers."""
     return table(spark, sf_dir, "customer").select("c_custkey", udfs.stable_id("member", F.col("c_name"), "fixture-secret").alias("member_id"), udfs.keyed_digest(F.col("c_name"), "fixture-secret").alias("digest"))
 
 
-QUERIES = (page_parse, page_links, page_hidden, page_metadata, page_formats, canonicalize_docs, representation_scan, pseudonyms)
+QUERIES = (page_parse, page_links, page_hidden, page_metadata, page_formats, canonicalize_docs, representation_scan, field_scan, pseudonyms)

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 SAMPLES = "schema_version string, samples array<struct<id:string,partition:string,language:string,content:string,spans:array<struct<text:string,category:string>>,intent:string,severity:string,expected_disposition:string>>"
 
 
@@ -85,6 +87,22 @@ def filings(df: DataFrame, text_col: str) -> DataFrame:
     return df.select("*", form.alias("form"), F.regexp_extract(t, "<FILING-DATE>(\\d{4}-?\\d{2}-?\\d{2})", 1).alias("filed"), F.regexp_count(t, F.lit("<DOCUMENT>")).alias("n_documents"), form.rlike("/A$").alias("amends"))
 
 
+def filing_documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, k, anchor, start, end, type, filename, description)``: a row for each ``<DOCUMENT>`` of a filing, from its tag to the next one or the text's end, its end tag included if there is one.
+
+    Offsets are zero-based code points of the whole text; fields are those of the document's own part, null where it has none. A filing without documents, and a null text, have no row.
+    """
+    tag, end = "<DOCUMENT>", "</DOCUMENT>"
+    rows = df.select(id_col, F.col(text_col).alias("_text"), T.occurrences(F.col(text_col), F.lit(tag)).alias("_starts"))
+    rows = rows.select(id_col, "_text", "_starts", F.posexplode("_starts").alias("k", "start"))
+    upto = F.coalesce(F.get("_starts", F.col("k") + 1), F.char_length("_text"))
+    rows = rows.select(id_col, "k", "start", F.substring(F.col("_text"), F.col("start") + 1, upto - F.col("start")).alias("_part"))
+    closed = F.position(F.lit(end), F.col("_part"))
+    rows = rows.withColumn("_part", F.when(closed > 0, F.left("_part", closed + len(end) - 1)).otherwise(F.col("_part")))
+    field = lambda name: F.nullif(F.trim(F.regexp_extract("_part", f"<{name}>([^\\r\\n<]+)", 1)), F.lit(""))
+    return rows.select(id_col, "k", F.concat(F.lit("document:"), (F.col("k") + 1).cast("string")).alias("anchor"), "start", (F.col("start") + F.char_length("_part")).alias("end"), field("TYPE").alias("type"), field("FILENAME").alias("filename"), field("DESCRIPTION").alias("description"))
+
+
 ANNOUNCEMENTS = "array<struct<symbol:string,title:string,published_at:string>>"
 
 
