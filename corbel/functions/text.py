@@ -46,6 +46,15 @@ def column(text: Column, offset: Column) -> Column:
     return (F.char_length(F.substring_index(F.substring(text, F.lit(1), offset), "\n", -1)) + 1).cast("int")
 
 
+def source_span(runs: Column, start: Column, end: Column) -> Column:
+    """Where a span of a canonical text stands in its source, by the runs of ``udfs.canonical_mapped``: exact within unchanged runs, the whole of a changed one that it touches. Null for an empty span."""
+    met = F.filter(runs, lambda r: (r["canonical_start"] < end) & (r["canonical_end"] > start))
+    first, last = F.get(met, 0), F.get(met, F.size(met) - 1)
+    begin = F.when(first["same"], first["source_start"] + start - first["canonical_start"]).otherwise(first["source_start"])
+    stop = F.when(last["same"], last["source_start"] + end - last["canonical_start"]).otherwise(last["source_end"])
+    return F.when(F.size(met) > 0, F.struct(begin.cast("int").alias("start"), stop.cast("int").alias("end")))
+
+
 def collapse_space(text: Column) -> Column:
     """ECMAScript white space collapsed to blanks, none at the ends."""
     return F.trim(F.regexp_replace(text, ECMA_SPACE, " "))

@@ -78,6 +78,49 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+RUN = T.StructType([T.StructField(c, T.IntegerType()) for c in ("canonical_start", "canonical_end", "source_start", "source_end")] + [T.StructField("same", T.BooleanType())])
+MAPPED = T.StructType([T.StructField("content", TEXT), T.StructField("runs", T.ArrayType(RUN))])
+
+
+def canonical_runs(text: str) -> tuple[str, list[tuple[int, int, int, int, bool]]]:
+    """``canonical_text``'s content, and where it comes from in code points: runs that are the same, and changed ones, whose characters can't be told apart.
+
+    A character and the marks that combine with it are normalized together. Where more than that grows together (Hangul letters), the whole text is one run.
+    """
+    content, _ = canonical_text(text)
+    if content == text:
+        return content, [(0, len(text), 0, len(text), True)] if text else []
+    units: list[list] = []
+    for i, c in enumerate(text):
+        if c in ZERO_WIDTH or c in BIDI or (ord(c) < 32 and c not in "\t\n\r") or 127 <= ord(c) < 160:
+            continue
+        if units and unicodedata.combining(c):
+            units[-1][1] += HOMOGLYPHS.get(c) or c
+            units[-1][3] = i + 1
+        else:
+            units.append([c, HOMOGLYPHS.get(c) or c, i, i + 1])
+    out, at = [], 0
+    for first, new, start, end in units:
+        new = unicodedata.normalize("NFKC", new)
+        same = new == first and end == start + 1
+        last = out[-1] if out else None
+        if same and last and last[4] and last[3] == start:
+            out[-1] = (last[0], at + 1, last[2], end, True)
+        else:
+            out.append((at, at + len(new), start, end, same))
+        at += len(new)
+    if at != len(content) or "".join(unicodedata.normalize("NFKC", u[1]) for u in units) != content:
+        return content, [(0, len(content), 0, len(text), False)]
+    return content, out
+
+
+@F.pandas_udf(MAPPED)
+def canonical_mapped(texts: pd.Series) -> pd.DataFrame:
+    """Canonical texts with their runs."""
+    rows = [(None, None) if t is None else (lambda x: (x[0], [dict(zip(RUN.names, r)) for r in x[1]]))(canonical_runs(t)) for t in texts]
+    return pd.DataFrame(rows, columns=["content", "runs"])
+
+
 @F.pandas_udf(T.ArrayType(TEXT))
 def nfkc_each(lists: pd.Series) -> pd.Series:
     """NFKC of the texts of an array."""

@@ -107,8 +107,17 @@ def claimable_deliveries(rows: DataFrame, now: Column) -> DataFrame:
     return rows.where(due).join(head, "ordering_key", "left").where("head is null or sequence is null or sequence <= head").drop("head")
 
 
-def claim_delivery(rows: DataFrame, now: Column) -> DataFrame:
-    return claimable_deliveries(rows, now).orderBy(F.col("sequence").asc_nulls_last(), "created_at", "delivery_id").limit(1)
+def claim_delivery(rows: DataFrame, now: Column, lease_ms: int | None = None) -> DataFrame:
+    """The next delivery by sequence (null last), time and id. With ``lease_ms`` as it is after the claim: ``delivering``, one attempt more, leased until then."""
+    one = claimable_deliveries(rows, now).orderBy(F.col("sequence").asc_nulls_last(), "created_at", "delivery_id").limit(1)
+    return one if lease_ms is None else one.withColumns({"state": F.lit("delivering"), "attempt": F.col("attempt") + 1, "lease_until": later(now, F.lit(lease_ms))})
+
+
+def claim_deliveries(rows: DataFrame, now: Column, lease_ms: int, workspace: str = "workspace_id") -> DataFrame:
+    """The next delivery of each workspace, claimed: ``(workspace, delivery_id, attempt, state, lease_until)``. Its key is the minimum of a struct, found by partial aggregation."""
+    first = F.min(F.struct(F.col("sequence").isNull().alias("last"), "sequence", "created_at", "delivery_id", "attempt"))
+    keyed = rows.withColumn("ordering_key", F.when(F.col("ordering_key").isNotNull(), F.to_json(F.struct(workspace, "ordering_key"))))  # an order holds within a workspace
+    return claimable_deliveries(keyed, now).groupBy(workspace).agg(first.alias("d")).select(workspace, "d.delivery_id", (F.col("d.attempt") + 1).alias("attempt"), F.lit("delivering").alias("state"), later(now, F.lit(lease_ms)).alias("lease_until"))
 
 
 def insert_if_absent(new: DataFrame, old: DataFrame, key: list[str], order: list[str]) -> DataFrame:

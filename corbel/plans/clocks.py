@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lifecycle
+from ..operators import lifecycle, workqueue
 from ..session import table
 from ..streaming import keyed
 
@@ -41,4 +41,18 @@ REPLAY_DIFFERENCES = """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 AND NOT
 UNION ALL SELECT -o_orderkey, 'added' FROM orders WHERE o_orderkey % 11 = 0 AND o_orderkey <> 0"""
 
 
-QUERIES = (timed_breakers, replay_differences)
+def deliveries_claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each workspace's next delivery, claimed under a lease: heads of their ordering keys only, by sequence."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    state = F.element_at(F.array(*map(F.lit, ("delivered", "pending", "delivering", "retry"))), (k % 4 + 1).cast("int"))
+    rows = e.select((F.col("user_id") % 30).alias("workspace_id"), k.alias("delivery_id"), F.when(k % 5 != 0, F.col("user_id") % 7).alias("ordering_key"), F.when(k % 5 != 0, k).alias("sequence"), state.alias("state"), (k % 3).cast("int").alias("attempt"), F.col("ts").alias("next_attempt_at"), F.when(state == "delivering", F.col("ts") + F.make_dt_interval(F.lit(9))).alias("lease_until"), F.col("ts").alias("created_at"))
+    return workqueue.claim_deliveries(rows, F.lit("2024-01-15 00:00:00").cast("timestamp"), 30_000).withColumn("lease_until", F.unix_millis("lease_until"))
+
+
+DELIVERIES_CLAIMED = """WITH d AS (SELECT user_id % 30 AS w, event_id AS id, CASE WHEN event_id % 5 <> 0 THEN user_id % 7 END AS key, CASE WHEN event_id % 5 <> 0 THEN event_id END AS seq, ['delivered', 'pending', 'delivering', 'retry'][event_id % 4 + 1] AS state, event_id % 3 AS attempt, ts, TIMESTAMP '2024-01-15' AS now FROM events),
+c AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY seq NULLS LAST, ts, id) AS n FROM d WHERE ((state IN ('pending', 'retry') AND ts <= now) OR (state = 'delivering' AND ts + INTERVAL 9 DAY <= now))
+  AND NOT EXISTS (SELECT 1 FROM d x WHERE x.w = d.w AND x.key = d.key AND x.id <> d.id AND (x.state IN ('pending', 'retry') OR (x.state = 'delivering' AND x.ts + INTERVAL 9 DAY > x.now)) AND x.seq < d.seq))
+SELECT w AS workspace_id, id AS delivery_id, (attempt + 1)::INTEGER AS attempt, 'delivering' AS state, epoch_ms(now) + 30000 AS lease_until FROM c WHERE n = 1"""
+
+
+QUERIES = (timed_breakers, replay_differences, deliveries_claimed)

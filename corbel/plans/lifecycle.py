@@ -537,13 +537,14 @@ def service_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SERVICE_SESSIONS = "SELECT p_partkey, p_partkey % 120 AS account, p_partkey % 25 AS workspace FROM part JOIN supplier ON s_suppkey = p_partkey % 120 AND s_nationkey = p_partkey % 25 WHERE s_acctbal > 0"
 
 
-def identity_workspaces(spark: SparkSession, sf_dir: str, provider: str = "BUILDING", digest: str = "Customer#000000021") -> DataFrame:
-    """The table function of an identity: its active workspaces in order, by provider and digest."""
-    c = table(spark, sf_dir, "customer").where((F.col("c_mktsegment") == provider) | (F.col("c_name") == digest))
-    return c.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("workspace")).agg(F.min("c_custkey").alias("identity"))
+def identity_workspaces(spark: SparkSession, sf_dir: str, provider: str = "BUILDING", digest: str = "d7") -> DataFrame:
+    """The table function of an identity, known by provider and digest together: its active workspaces in order."""
+    c = table(spark, sf_dir, "customer").withColumn("digest", F.concat(F.lit("d"), (F.col("c_custkey") % 20).cast("string")))
+    own = c.where((F.col("c_mktsegment") == provider) & (F.col("digest") == digest) & (F.col("c_acctbal") > 0))
+    return own.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("workspace")).agg(F.min("c_custkey").alias("identity"))
 
 
-IDENTITY_WORKSPACES = "SELECT n_name AS workspace, min(c_custkey) AS identity FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' OR c_name = 'Customer#000000021' GROUP BY 1"
+IDENTITY_WORKSPACES = "SELECT n_name AS workspace, min(c_custkey) AS identity FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' AND c_custkey % 20 = 7 AND c_acctbal > 0 GROUP BY 1"
 
 
 def charset_decode(spark: SparkSession, sf_dir: str) -> DataFrame:

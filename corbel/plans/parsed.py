@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions import udfs
 from ..operators import detect, representation
 from ..session import table
-from .screening import CHAT_RULES, RULES
+from .screening import CHAT_RULES, RULES, _findings_sql
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,25 @@ def representation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asis.unionByName(changed).unionByName(coded).groupBy("representation", "rule_id").agg(F.count("*").alias("n"))
 
 
+def mapped_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over the canonical form of disguised documents (wide letters, invisible characters), each finding with its place in the text as it came."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    hidden = F.replace(F.replace(F.col("text"), F.lit("e"), F.lit("\uff45")), F.lit("l"), F.lit("l\u200b"))
+    rows = docs.select("doc_id", hidden.alias("raw")).withColumn("m", udfs.canonical_mapped(F.col("raw")))
+    found = detect.findings(rows.select(F.struct("doc_id", "m.runs", "raw").alias("of"), F.col("m.content").alias("content")), RULES_OF_ALL, "of", "content")
+    span = T.source_span(F.col("of.runs"), F.col("start"), F.col("end"))
+    found = found.withColumn("span", span)
+    cut = F.substring(F.col("of.raw"), F.col("span.start") + 1, F.col("span.end") - F.col("span.start"))
+    return found.select("of.doc_id", "rule_id", "start", F.col("span.start").alias("source_start"), F.col("span.end").alias("source_end"), F.md5(cut.cast("binary")).alias("cut_md5"))
+
+
+RULES_OF_ALL = tuple(r for r in RULES if r.tenants is None) + (detect.Rule("letter-phrase", "the l", "TOOL_COERCION", "low", "review"),)
+MAPPED_FINDINGS = f"""WITH {_findings_sql(RULES_OF_ALL, "SELECT doc_id AS id, text, lang AS tenant, source FROM documents WHERE text IS NOT NULL")},
+x1 AS (SELECT found.*, text, left(text, "start") AS a, left(text, "end" - 1) AS b FROM found JOIN documents ON doc_id = id),
+x2 AS (SELECT *, "start" + length(a) - length(replace(a, 'l', '')) AS source_start, "end" + length(b) - length(replace(b, 'l', '')) AS source_end FROM x1)
+SELECT id AS doc_id, rule_id, "start", source_start::INTEGER AS source_start, source_end::INTEGER AS source_end, md5(substr(replace(replace(text, 'e', 'ｅ'), 'l', 'l' || chr(8203)), source_start + 1, source_end - source_start)) AS cut_md5 FROM x2"""
+
+
 FIELD_RULES = tuple(r for r in CHAT_RULES if r.tenants is None) + (detect.Rule("hidden", "and the hidden", "TOOL_COERCION", "high", "block"),)
 
 
@@ -117,4 +136,4 @@ def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", udfs.stable_id("member", F.col("c_name"), "fixture-secret").alias("member_id"), udfs.keyed_digest(F.col("c_name"), "fixture-secret").alias("digest"))
 
 
-QUERIES = (page_parse, page_links, page_hidden, page_metadata, page_formats, canonicalize_docs, representation_scan, field_scan, pseudonyms)
+QUERIES = (page_parse, page_links, page_hidden, page_metadata, page_formats, canonicalize_docs, representation_scan, field_scan, mapped_findings, pseudonyms)

@@ -56,3 +56,38 @@ def test_representations_under_limits(spark):
     assert got[1]["skipped"] == 1 and got[1]["n_bytes"] == sum(len(i["content"].encode()) for i in got[1]["items"]) and got[5]["n_bytes"] == 0 and got[4]["n_bytes"] == 400_000
     found = representation.scan(listed, (Rule("r", "ignore all", "TOOL_COERCION", "low", "block"),), "id").collect()
     assert sorted((r.id, r.place, r.kind, r.field_ids, r.start) for r in found) == [(1, 1, "normalized", ["a"], 0), (1, 3, "base64", ["b"], 0), (1, 5, "cross_field", ["a", "b", "c"], 0), (2, 3, "cross_field", ["a", "b"], 0)]
+
+
+def test_canonical_runs_map_back(spark):
+    import random
+    import unicodedata
+
+    from corbel.functions import text as T
+    from corbel.functions import udfs
+
+    rng = random.Random(3)
+    parts = ["a", "B", " ", "​", "‮", "\x07", "é", "é", "ｅ", "ﬁ", "а", "½", "日", "́", "\n", "plain words", "😀"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(300)] + ["", "only ascii", "가", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", "t", udfs.canonical_mapped(F.col("t")).alias("m"), udfs.canonicalize(F.col("t")).alias("c"))
+    spans = df.select("id", "t", "m", "c", F.explode_outer(F.transform(F.sequence(F.lit(0), F.greatest(F.char_length("m.content") - 1, F.lit(0))), lambda i: F.struct(i.alias("start"), T.source_span(F.col("m.runs"), i, i + 1).alias("span")))).alias("x")).collect()
+    for r in spans:
+        if r.t is None:
+            assert r.m.content is None
+            continue
+        assert r.m.content == r.c.content and [x.canonical_start for x in r.m.runs[1:]] == [x.canonical_end for x in r.m.runs[:-1]] and (not r.m.runs or r.m.runs[-1].canonical_end == len(r.m.content))
+        if r.m.content:
+            char, cut = r.m.content[r.x.start], r.t[r.x.span.start : r.x.span.end]
+            assert char in udfs.canonical_text(cut)[0] and (char == cut or len(cut) > 1 or unicodedata.normalize("NFKC", udfs.HOMOGLYPHS.get(cut) or cut) != cut)
+
+
+def test_claims_set_leases(spark):
+    from corbel.operators import workqueue
+
+    rows = [(1, 1, "k", 1, "delivering", 1, 0, 50), (1, 2, "k", 2, "pending", 0, 0, None), (2, 3, None, None, "retry", 2, 5, None), (3, 4, "k", 9, "pending", 0, 90, None)]
+    df = spark.createDataFrame(rows, "workspace_id long, delivery_id long, ordering_key string, sequence long, state string, attempt int, due long, lease long")
+    df = df.select("*", F.timestamp_millis("due").alias("next_attempt_at"), F.timestamp_millis("lease").alias("lease_until"), F.timestamp_millis("due").alias("created_at"))
+    at = lambda ms: F.timestamp_millis(F.lit(ms))
+    claimed = lambda ms: {r.workspace_id: (r.delivery_id, r.attempt) for r in workqueue.claim_deliveries(df, at(ms), 30).collect()}
+    assert claimed(20) == {2: (3, 3)} and claimed(60) == {1: (1, 2), 2: (3, 3)} and claimed(95) == {1: (1, 2), 2: (3, 3), 3: (4, 1)}
+    one = workqueue.claim_delivery(df, at(60), 30).select("delivery_id", "state", "attempt", F.unix_millis("lease_until")).first()
+    assert tuple(one) == (1, "delivering", 2, 90)
