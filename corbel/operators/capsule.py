@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions import jsonc
 from ..functions import text as T
+from . import contracts
 
 # Fields with raw content, keys that a payload may not hold, how reasons become categories, places of findings: fixed values.
 RAW_FIELDS = ("content", "raw_content", "rawContent", "parsed_text", "excerpt")
@@ -94,6 +96,30 @@ def compose(scans: DataFrame, findings: DataFrame, policy_id: str, component: st
     return rows.select("scan_id", F.to_json(body).alias("capsule")).withColumn("digest", T.digest(F.col("capsule").cast("binary")))
 
 
+def compose_contract(scans: DataFrame, findings: DataFrame, policy: dict[str, str], component: dict[str, str]) -> DataFrame:
+    """``(scan_id, capsule, digest, violations)``: unsigned capsules of ended scans with all that their contract asks for, as canonical JSON, and what of the contract they break.
+
+    As ``compose``, with ids of capsules and findings made from the scan's (and the finding's place in the order of starts and detectors), ``policy(policy_id, version, digest)`` and ``component(component, version, digest)``, an unknown
+    subject and empty extensions. Names of keys are fixed, and stand alike in either order of canonical JSON.
+    """
+    known = F.coalesce(F.col("representation").isin(*PLACES), F.lit(False))
+    place = F.struct(F.when(known, F.col("representation")).otherwise("metadata").alias("representation"), F.when(known, F.col("text_end")).alias("text_end"), F.when(known, F.col("text_start")).alias("text_start"))
+    none = F.from_json(F.lit("{}"), "map<string,string>")
+    one = F.struct(category(F.col("category"), F.col("reason_code")).alias("category"), "confidence_bps", "detector_id", place.alias("location"), "reason_code", "severity")
+    listed = findings.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("text_start", F.lit(-1)).alias("at"), F.col("detector_id").alias("by"), one.alias("f")))).alias("found"))
+    rows = scans.where(F.col("state").isin("allowed", "blocked", "review")).join(listed, "scan_id", "left")
+    made = lambda prefix, text: F.concat(F.lit(f"{prefix}_"), F.upper(F.left(F.sha2(text.cast("binary"), 256), F.lit(26))))
+    named = F.transform(F.coalesce("found", F.array().cast(rows.schema["found"].dataType)), lambda x, k: F.struct(*(x["f"][c].alias(c) for c in ("category", "confidence_bps", "detector_id", "location", "reason_code", "severity")), made("finding", F.concat(F.col("scan_id"), F.lit(":"), k.cast("string"))).alias("finding_id"), none.alias("extensions")))
+    empty, fixed = F.array().cast("array<string>"), lambda d: F.struct(*(F.lit(v).alias(k) for k, v in d.items()))
+    body = F.struct(
+        F.lit("1.0").alias("schema_version"), made("capsule", F.col("scan_id")).alias("capsule_id"), "workspace_id", "scan_id", "input_digest", "created_at", F.col("created_at").alias("as_of"), F.struct(F.lit("unknown").alias("kind"), empty.alias("symbols")).alias("subject"),
+        empty.alias("claims"), named.alias("findings"), empty.alias("evidence"), empty.alias("conflicts"), F.when(F.col("state") == "allowed", "allow").when(F.col("state") == "blocked", "block").otherwise("review").alias("disposition"),
+        fixed(policy).alias("policy"), F.array(fixed(component)).alias("components"), none.alias("extensions"),
+    )
+    capsules = rows.select("scan_id", jsonc.canonical(F.to_json(body)).alias("capsule"))
+    return capsules.withColumn("digest", jsonc.digest(F.col("capsule"))).withColumn("violations", contracts.contract("unsignedCapsule").violations(F.col("capsule")))
+
+
 def _found_type(findings: DataFrame) -> str:
     kind = lambda c: findings.schema[c].dataType.simpleString()
     return f"array<struct<category:string,confidence_bps:{kind('confidence_bps')},detector_id:string,location:struct<representation:string,text_end:{kind('text_end')},text_start:{kind('text_start')}>,reason_code:string,severity:string>>"

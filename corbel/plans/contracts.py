@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import jsonc
-from ..operators import contracts, intake, listing
+from ..operators import capsule, contracts, intake, listing
 from ..session import table
-from .lifecycle import RULES
+from .lifecycle import _PROCESSED, RULES, _scans
 
 
 def _text(c) -> Column:
@@ -179,4 +179,27 @@ UNION ALL SELECT k, 'SOL', '0.0000000000000000004', NULL FROM g WHERE c IN (1, 2
 UNION ALL SELECT k, NULL, NULL, CASE c WHEN 4 THEN 'DUPLICATE_ASSET' WHEN 5 THEN 'INVALID_IDENTIFIER' WHEN 6 THEN 'INVALID_BALANCE' END FROM g WHERE c IN (4, 5, 6)"""
 
 
-QUERIES = (contract_requests, contract_claims, contract_subjects, canonical_forms, scan_inputs, account_responses, response_holdings)
+POLICY = {"policy_id": "policy_" + "P" * 26, "version": "1.2.3", "digest": ZERO}
+COMPONENT = {"component": "engine", "version": "1", "digest": ZERO}
+
+
+def capsule_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unsigned capsules of the processed scans by their contract: the canonical text, its digest, and what it breaks, which is nothing."""
+    named = _scans(spark, sf_dir).withColumn("scan_id", _identifier("scan", F.col("scan_id")))
+    decided, found = intake.process(named, RULES)
+    scans = decided.where("outcome = 'processed'").select("scan_id", _identifier("ws", F.lit(1)).alias("workspace_id"), F.concat(F.lit("sha256:"), F.sha2(F.col("scan_id").cast("binary"), 256)).alias("input_digest"), F.lit("2024-01-01T00:00:00.000Z").alias("created_at"), "state")
+    return capsule.compose_contract(scans, found, POLICY, COMPONENT).withColumn("violations", F.array_join("violations", ","))
+
+
+_FINDING = """'{"category":"' || CASE reason_code WHEN 'DIRECT_INSTRUCTION_OVERRIDE' THEN 'direct_prompt_injection' WHEN 'INDIRECT_INSTRUCTION_OVERRIDE' THEN 'indirect_prompt_injection' WHEN 'SOURCE_IMPERSONATION' THEN 'source_mismatch' ELSE 'other' END
+  || '","confidence_bps":10000,"detector_id":"' || rule_id || '","extensions":{},"finding_id":"finding_' || upper(left(sha256('scan_' || lpad(id::VARCHAR, 26, '0') || ':' || (n - 1)), 26)) || '","location":{"representation":"canonical","text_end":' || "end" || ',"text_start":' || "start" || '},"reason_code":"' || reason_code || '","severity":"' || severity || '"}'"""
+_UNREAD = """'{"category":"policy_failure","detector_id":"processing.v1","extensions":{},"finding_id":"finding_' || upper(left(sha256('scan_' || lpad(doc_id::VARCHAR, 26, '0') || ':0'), 26)) || '","location":{"representation":"metadata"},"reason_code":"INPUT_REQUIRES_REVIEW","severity":"medium"}'"""
+CAPSULE_CONTRACT = f"""WITH {_PROCESSED}, q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY "start", rule_id) AS n FROM found), l AS (SELECT id, string_agg({_FINDING}, ',' ORDER BY n) AS items FROM q GROUP BY 1),
+g AS (SELECT doc_id, 'scan_' || lpad(doc_id::VARCHAR, 26, '0') AS scan, CASE WHEN doc_id % 9 = 0 OR text IS NULL THEN 1 ELSE coalesce(worst, 0) END AS worst, CASE WHEN doc_id % 9 = 0 OR text IS NULL THEN {_UNREAD} ELSE coalesce(items, '') END AS items
+  FROM documents LEFT JOIN w ON w.id = doc_id LEFT JOIN l ON l.id = doc_id WHERE doc_id % 13 <> 0 AND doc_id % 17 <> 0),
+o AS (SELECT scan AS scan_id, '{{"as_of":"2024-01-01T00:00:00.000Z","capsule_id":"capsule_' || upper(left(sha256(scan), 26)) || '","claims":[],"components":[{{"component":"engine","digest":"{ZERO}","version":"1"}}],"conflicts":[],"created_at":"2024-01-01T00:00:00.000Z","disposition":"' || ['allow', 'review', 'block'][worst + 1]
+  || '","evidence":[],"extensions":{{}},"findings":[' || items || '],"input_digest":"sha256:' || sha256(scan) || '","policy":{{"digest":"{ZERO}","policy_id":"{POLICY["policy_id"]}","version":"1.2.3"}},"scan_id":"' || scan || '","schema_version":"1.0","subject":{{"kind":"unknown","symbols":[]}},"workspace_id":"ws_' || lpad('1', 26, '0') || '"}}' AS capsule FROM g)
+SELECT *, 'sha256:' || sha256(capsule) AS digest, CASE WHEN contains(capsule, '"detector_id":""') THEN 'x' ELSE '' END AS violations FROM o"""
+
+
+QUERIES = (contract_requests, contract_claims, contract_subjects, canonical_forms, scan_inputs, account_responses, response_holdings, capsule_contract)
