@@ -56,14 +56,13 @@ def contradictions(current: DataFrame) -> DataFrame:
 def quorum(claims: DataFrame, evidence: DataFrame, minimum: int, require_primary: bool) -> DataFrame:
     """``claims(claim_id, entity, value, currency, ambiguous, type_matches)`` with counts of supporting and contradicting ``evidence(id, entity,
     value, currency, primary)`` and ``state``. Support needs the value and the currency (USD where absent); any other value contradicts, whatever its
-    currency, and an equal value in another currency is neither."""
-    e = evidence.select(F.col("entity"), F.col("value").alias("e_value"), F.coalesce("currency", F.lit("USD")).alias("e_currency"), "primary")
-    met = claims.join(e, "entity", "left")
-    equal = F.col("e_value") == F.col("value")
-    supports = equal & (F.col("e_currency") == F.coalesce("currency", F.lit("USD")))
-    counted = met.groupBy("claim_id", "entity", "value", "ambiguous", "type_matches").agg(
-        F.count_if(supports).alias("supporting"), F.count_if(F.col("e_value").isNotNull() & ~equal).alias("contradicting"), F.coalesce(F.bool_or(supports & F.col("primary")), F.lit(False)).alias("has_primary")
-    )
+    currency, and an equal value in another currency is neither. Evidence is added up by entity, value and currency before it meets the claims, so no claim is paired with each piece; a claim that is repeated keeps its rows."""
+    by = evidence.where("value is not null").groupBy("entity", F.col("value").alias("value"), F.coalesce("currency", F.lit("USD")).alias("money")).agg(F.count("*").alias("supporting"), F.bool_or("primary").alias("has_primary"))
+    equal = by.groupBy("entity", "value").agg(F.sum("supporting").alias("equal"))
+    all_ = by.groupBy("entity").agg(F.sum("supporting").alias("all"))
+    asked = claims.withColumn("money", F.coalesce("currency", F.lit("USD"))).join(by, ["entity", "value", "money"], "left").join(equal, ["entity", "value"], "left").join(all_, "entity", "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    counted = asked.select("claim_id", "value", "ambiguous", "type_matches", n("supporting").alias("supporting"), (n("all") - n("equal")).alias("contradicting"), F.coalesce("has_primary", F.lit(False)).alias("has_primary"))
     open_ = F.col("value").isNull() | ~F.col("type_matches")
     state = (
         F.when(F.col("ambiguous"), "ambiguous").when(open_, "pending").when(F.col("contradicting") > 0, "contradicted").when((F.col("supporting") >= minimum) & (F.lit(not require_primary) | F.col("has_primary")), "verified").otherwise("unsupported")
