@@ -106,14 +106,14 @@ def summary(formatted: DataFrame) -> DataFrame:
     return whole.select("conv_id", "n_turns", digest("said").alias("turns_sha256"), F.char_length(text("learned")).cast("long").alias("loss_chars"), digest("learned").alias("loss_sha256"), "formatted_chars")
 
 
-def events(rows: DataFrame, size: int = 512) -> DataFrame:
+def events(rows: DataFrame, size: int = 2048) -> DataFrame:
     """The log of ``rows(conv_id, turn, role, text)``: each row a message that is streamed in deltas of ``size`` code points.
 
     Rows go by turn, then role and text; null turns come first. Rows that are repeated whole are messages of their own, numbered by ``copy``.
     """
     rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("times")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
-    message = F.struct("turn", "role", F.md5(F.col("text").cast("binary")).alias("digest"), "copy")
+    message = F.struct("turn", "role", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "copy")
     pieces = F.concat(F.array(F.lit("")), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
     rows = rows.select("conv_id", "role", message.alias("message"), pieces.alias("pieces")).select("conv_id", "role", "message", F.posexplode_outer("pieces").alias("k", "piece"))
-    return rows.select("conv_id", F.struct("message", "k").alias("seq"), F.when(F.col("k") == 0, "message").otherwise("delta").alias("kind"), "message", F.when(F.col("k") == 0, F.col("role")).alias("role"), F.col("piece").alias("text"))
+    return rows.select("conv_id", F.struct("message.*", "k").alias("seq"), F.when(F.col("k") == 0, "message").otherwise("delta").alias("kind"), "message", F.when(F.col("k") == 0, F.col("role")).alias("role"), F.col("piece").alias("text"))

@@ -184,10 +184,10 @@ SELECT doc_id, n_features, weight, score, rank FROM r LEFT JOIN (SELECT * FROM k
 def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as event logs, folded into messages, rendered, written, and read back; with conversation -7, whose log has an edit and a regeneration."""
     log = chat.events(table(spark, sf_dir, "conversations"))
-    at = "named_struct('turn', {}L, 'role', '', 'digest', '', 'copy', 1L)"
+    at = "'turn', {}L, 'role', '', 'digest', X'', 'copy', 1L"
     said = r"r'\### Assistant: </turn> ok'"
     steps = [("message", 0, "'user'", "'hello'"), ("edit", 0, "null", said), ("message", 2, "'assistant'", "'draft'"), ("delta", 2, "null", "' of it'"), ("message", 4, "'user'", "'what?'"), ("regenerate", 2, "null", "null"), ("delta", 2, "null", f"left({said}, 9)"), ("delta", 2, "null", f"substring({said}, 10)")]
-    own = spark.sql("SELECT -7L AS conv_id, inline(array(" + ", ".join(f"named_struct('seq', named_struct('message', {at.format(k)}, 'k', 0), 'kind', '{kind}', 'message', {at.format(m)}, 'role', {role}, 'text', {text})" for k, (kind, m, role, text) in enumerate(steps)) + "))")
+    own = spark.sql("SELECT -7L AS conv_id, inline(array(" + ", ".join(f"named_struct('seq', named_struct({at.format(k)}, 'k', 0), 'kind', '{kind}', 'message', named_struct({at.format(m)}), 'role', {role}, 'text', {text})" for k, (kind, m, role, text) in enumerate(steps)) + "))")
     path = f"{shared_folder(spark)}/chat-{uuid.uuid4().hex}"
     chat.render(log.unionByName(own)).write.parquet(path)
     return chat.summary(spark.read.parquet(path))
