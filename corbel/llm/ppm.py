@@ -280,7 +280,8 @@ def chunked(rows: DataFrame, order: int, most_bytes: int = 24 << 20, most_keys:
 
 
 def answers(counted: DataFrame, asked: DataFrame, low: tuple[np.ndarray, np.ndarray], order: int, share: int = 1_500_000) -> DataFrame:
-    """``(chunk, bucket, size, keys, logs)``: the asked keys' log10 probabilities under all counts, in 32 bits each. A task takes buckets of about ``share`` keys."""
+    """``(chunk, bucket, size, keys, logs)``: the asked keys' log10 probabilities under all counts, in 32 bits each, so that each, and a sum of them, is off by at most 6e-8 of itself. A task takes buckets of about ``share`` keys;
+    there are 1,024 buckets, so that beyond about 1.5 thousand million keys a task's share grows."""
     levels = [_summed(low[0] & _mask(k + 1), low[1]) for k in range(min(order, 2) + 1)]
     sent = asked.sparkSession.sparkContext.broadcast(levels)
     n = sum(x.agg(F.sum("size")).first()[0] or 0 for x in (counted, asked))

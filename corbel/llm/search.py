@@ -41,7 +41,7 @@ def _hash(word: bytes) -> int:
 
 
 def build(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> DataFrame:
-    """One row a shard: documents' ids and lengths, and the postings of each term, documents by their number in the shard."""
+    """One row a shard: documents' ids and lengths, and the postings of each term, documents by their number in the shard. Rows of one id, or of none, go to shards by their texts."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = int(size // shard_bytes) + 1
@@ -70,7 +70,7 @@ def build(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> Data
         kinds = [pa.int64()] * 4 + [pa.int32()] * 2
         return pa.table({k: pa.array([c], pa.list_(t)) for k, c, t in zip(("ids", "lengths", "terms", "offsets", "docs", "tfs"), cells, kinds)})
 
-    return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")).applyInArrow(index, INDEX)
+    return rows.groupBy(F.pmod(F.xxhash64("id", "t"), F.lit(shards)).alias("shard")).applyInArrow(index, INDEX)
 
 
 def _within(counts: np.ndarray) -> np.ndarray:

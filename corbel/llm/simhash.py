@@ -456,7 +456,7 @@ def _spanning(nodes: list[pa.Array], sets: list[pa.ListArray], roles: list[pa.Ar
     return us, vs
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, radius: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, radius: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """``(id, name, key)`` of every row, and ``(key, component, group_id)`` of every word sequence; both stable. Everything else that was written on the way is deleted."""
 
     def sketch(batches):
@@ -480,7 +480,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
         prints = stable(texts.groupBy("fp").agg(F.min("node").alias("id")))
         alike = texts.select("fp", "node").join(prints, "fp").where("node <> id").select(F.col("id").alias("u"), F.col("node").alias("v"))
         tree = near_links(prints.select("id", F.array("fp").alias("fp")), radius)
-        maybe = components(prefix_links(texts, similarity).unionByName(alike).unionByName(tree))
+        maybe = components(prefix_links(texts, similarity, bits).unionByName(alike).unionByName(tree))
         # of rows with the same text one goes on, and only if another text may be like it
         maybe = stable(maybe.join(same.select("node"), "node", "left_semi"))
         several = maybe.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
@@ -499,23 +499,23 @@ def row_name(doc_id: Column, text: Column) -> Column:
     return F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 3, bits: int = 25) -> DataFrame:
     """``(doc_id, group_id)`` for every row; rows belong together if their word sequences are equal (A-Z as a-z), or along chains of texts with a
     Jaccard similarity of at least ``similarity`` over the sets of their shingles of ``words`` words.
 
     Candidates are texts whose SimHashes lie within ``radius`` bits, found in the vantage-point tree, and, as a SimHash can be further off, texts that
-    share a rare shingle of their prefixes (``prefix_links``), which a similar pair escapes with odds of about 2 in a million, and none of under 32 shingles. The sets, hashes of 64 bits, decide on every link. Null, empty and
+    share a rare shingle of their prefixes (``prefix_links``), which a similar pair escapes with odds of about 2 in a million, and none of under 32 shingles; with ``bits`` 64 none escapes, at the cost of more candidates. The sets, hashes of 64 bits, decide on every link. Null, empty and
     blank texts are one group. The smallest id names a group, null if it has only null ids; texts of any length are taken whole; rows that
     repeat stay rows; other columns are not read, an empty table gives an empty one.
     """
-    rows, named = _grouped(docs, id_col, text_col, words, similarity, radius)
+    rows, named = _grouped(docs, id_col, text_col, words, similarity, radius, bits)
     return rows.select("id", "key").join(named, "key").select(F.col("id").alias("doc_id"), "group_id")
 
 
-def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 3, bits: int = 25) -> DataFrame:
     """``docs`` with one row of each group of ``duplicate_groups``: that of the smallest id, null last; of several texts under this id the first by hash, and of
     rows repeated with id and text any one."""
-    rows, named = _grouped(docs, id_col, text_col, words, similarity, radius)
+    rows, named = _grouped(docs, id_col, text_col, words, similarity, radius, bits)
     by = rows.groupBy("name").agg(F.first("id").alias("id"), F.first("key").alias("key"), F.count("*").alias("n")).join(named.select("key", "component"), "key")
     by = stable(by)
     stay = by.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "name"))["name"].alias("stay"))

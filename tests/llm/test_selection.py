@@ -264,3 +264,11 @@ def test_search_scores_few_documents(spark):
     before = shard.scored
     list(shard.search(queries, 10, np.full(len(queries), 1e9)))  # what can't reach the k-th score of other shards isn't scored at all
     assert shard.scored == before
+
+
+def test_search_deals_rows_without_ids_to_many_shards(spark):
+    rng = random.Random(5)
+    docs = [(None if i % 2 else i, " ".join(rng.choice("abcdefghij") * 3 for _ in range(30)) + f" x{i}") for i in range(400)]
+    shards = search.build(frame(spark, docs), "doc_id", "text", 2_000).collect()
+    sizes = [len(r["ids"]) for r in shards]
+    assert sum(sizes) == 400 and len(sizes) > 8 and max(sizes) < 4 * sum(sizes) / len(sizes)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -170,3 +171,22 @@ def test_prefix_links_connect_all_similar_texts_also_where_a_shingle_is_frequent
         links = [(r.u, r.v) for r in S.prefix_links(df, 0.8, most=most).collect()]
         group = groups(links, range(len(rows)))
         assert all(group[a] == group[b] for a, b in near) and len(links) < 12 * len(rows)
+
+
+@pytest.mark.parametrize(("low", "high"), [(36, 45), (120, 160), (600, 700)])
+def test_bits_lose_no_similar_pair_at_any_length(spark, low, high):
+    """Texts with so many words replaced that they are just similar, by length: the default of 25 bits finds what 64 bits, which drop nothing, find."""
+    rng, rows = random.Random(low), []
+    for i in range(120):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(low, high))]
+        edited = list(w)
+        for at in rng.sample(range(len(w)), len(w) // 50) or [len(w) - rng.randrange(1, 5)]:  # of a short text one of the last words, which few shingles have
+            edited[at] = f"e{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(edited))]
+    sets = {i: set(S.shingle_hashes(t.encode(), 5).tolist()) for i, t in rows}
+    near = {i for i in range(0, 240, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
+    far = {i for i in near if bin(S.fingerprint(S.shingle_hashes(rows[i][1].encode(), 5)) ^ S.fingerprint(S.shingle_hashes(rows[i + 1][1].encode(), 5))).count("1") > 3}
+    assert len(near) > 20 and len(far) > 15
+    for bits in (25, 64):
+        got = {r.doc_id: r.group_id for r in S.duplicate_groups(frame(spark, rows), bits=bits).collect()}
+        assert {i for i in range(0, 240, 2) if got[i + 1] == got[i]} == near

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corbel.llm import language, ppm, quality
+from corbel.llm import language, ppm, quality, queries
 from corbel.llm.textstats import NAMES, stats
 
 EN, DE = "the cat and the dog of this house are in the garden with us", "der hund und die katze von diesem haus sind in dem garten mit uns"
@@ -194,3 +194,62 @@ def test_language_features_and_votes_by_hand(spark):
     rows = [(k * 1000 + i, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 20, f"l{k}") for k in range(230) for i in range(2)]
     learned = L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert len(learned.families) == 230
+
+
+def plain_languages(train, texts, cost=20.0, steps=150):
+    """The method in one process and 64 bits: features, families, pairs of languages in a family, votes."""
+
+    def vector(t):
+        if not t or not any(c.isalpha() for c in t):
+            return None
+        data = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in t.lower().encode())
+        data, counts = b" " + b" ".join(data.split()) + b" ", {}
+        for n in range(1, 5):
+            for i in range(len(data) - n + 1):
+                slot = ((int.from_bytes(data[i : i + n], "big") * 2654435761 + n * 40503) % 2**32) >> 21
+                counts[slot] = counts.get(slot, 0) + 1
+        out = np.zeros(language.DIMS + 1)
+        for k, c in counts.items():
+            out[k] = np.sqrt(c / sum(counts.values()))
+        out[-1] = 1
+        return out
+
+    def machine(x, y):
+        rate, w = 1 / (1 + 2 * cost * (x * x).sum(1).mean()), np.zeros(x.shape[1])
+        v = w
+        for k in range(steps):
+            new = v - rate * (v - 2 * cost / len(x) * (x.T @ (y * np.maximum(0, 1 - y * (x @ v)))))
+            w, v = new, new + k / (k + 3) * (new - w)
+        return w
+
+    rows = [(g, v) for g, t in train if g is not None and (v := vector(t)) is not None]
+    x, of, chance = np.array([v for _, v in rows]), np.array([g for g, _ in rows]), lambda m: 1 / (1 + np.exp(-3 * m))
+    kin = np.array([language.family(g) for g in of])
+    families = sorted(set(kin))
+    first = {f: machine(x, np.where(kin == f, 1.0, -1.0)) for f in families}
+    langs = {f: sorted(set(of[kin == f])) for f in families}
+    second = {(a, b): machine(x[(of == a) | (of == b)], np.where(of[(of == a) | (of == b)] == a, 1.0, -1.0)) for f in families for i, a in enumerate(langs[f]) for b in langs[f][i + 1 :]}
+    out = []
+    for t in texts:
+        if (v := vector(t)) is None:
+            out.append(("und", 0.0))
+            continue
+        votes = {f: chance(v @ first[f]) for f in families}
+        best = max(families, key=lambda f: votes[f])
+        own = {g: sum(chance(v @ w) if a == g else 1 - chance(v @ w) for (a, b), w in second.items() if g in (a, b)) for g in langs[best]}
+        top = max(langs[best], key=lambda g: own[g])
+        share = (own[top] / sum(own.values()) if len(own) > 2 else own[top]) if len(own) > 1 else 1.0
+        out.append((top, share * (votes[best] / sum(votes.values()) if len(families) > 1 else 1.0)))
+    return out
+
+
+def test_language_query_equals_the_method_in_one_process(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").orderBy("doc_id").collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    want = plain_languages([(d.lang, d.text) for d in docs if not held(d.doc_id)], [d.text for d in docs])
+    got = {r.doc_id: r for r in queries.op2_language(spark, folder).collect()}
+    assert len(got) == len(docs)
+    for d, (lang, score) in zip(docs, want):
+        r = got[d.doc_id]
+        assert (r.lang_pred, r.held_out) == (lang, held(d.doc_id)) and abs(r.score - score) < 2e-3
