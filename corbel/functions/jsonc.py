@@ -25,8 +25,9 @@ def _shortest(d: Column) -> Column:
     """A positive double as Java writes it, or with fewer digits if these give the same double."""
     plain = d.cast("string")
     digits = F.char_length(F.regexp_replace(plain, "E.*|[.]|^0[.]0*", ""))
-    tried = F.filter(F.array(*(F.format_string(f"%.{p}e", d) for p in range(17))), lambda t: t.cast("double") == d)
-    return F.upper(F.when((digits > 15) | (d < 1e-300), F.coalesce(F.get(tried, 0), plain)).otherwise(plain))
+    tried = lambda ps: F.coalesce(F.get(F.filter(F.array(*(F.format_string(f"%.{p}e", d) for p in ps)), lambda t: t.cast("double") == d), 0), plain)
+    # of 16 and 17 digits one or two may be too many; what is next to nothing has fewer than Java's two
+    return F.upper(F.when(d < 1e-300, tried(range(17))).when(digits > 15, tried((14, 15))).otherwise(plain))
 
 
 def number(token: Column) -> Column:

@@ -104,7 +104,7 @@ def canonical_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", one.alias("one"), two.alias("two"))
     rows = rows.select("event_id", jsonc.canonical(F.col("one")).alias("utf16"), jsonc.canonical(F.col("one"), "locale", 3).alias("locale"), jsonc.canonical(F.col("two")).alias("other"))
     each = F.array(*(F.struct(F.lit(name).alias("form"), F.col(order).alias("text")) for name, order in jsonc.FORMS.items()))
-    rows = rows.select("event_id", F.col("utf16").eqNullSafe(F.col("other")).alias("agrees"), F.inline(each))
+    rows = rows.select("event_id", F.col("utf16").eqNullSafe(F.col("other")).alias("agrees"), F.inline_outer(each))
     return rows.select("event_id", "form", "text", jsonc.digest(F.col("text")).alias("digest"), "agrees")
 
 
