@@ -23,16 +23,20 @@ def fold(text: Column) -> Column:
 def occurrences(folded: Column, phrase: Column) -> Column:
     """Zero-based starts of all non-overlapping occurrences of a literal phrase, from the left."""
     literal = F.concat(F.lit("\\Q"), F.replace(phrase, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    pieces = F.split(folded, literal, -1)
-    n, group = F.size(pieces) - 1, 256  # pieces are added up group by group, as a fold copies what it holds at each step
-    step = lambda acc, piece: F.struct(
-        (acc["at"] + F.char_length(piece) + F.char_length(phrase)).cast("int").alias("at"), F.concat(acc["out"], F.array((acc["at"] + F.char_length(piece)).cast("int"))).alias("out")
-    )
+    group = 256  # pieces are added up group by group, as a fold copies what it holds at each step
+    step = lambda acc, size: F.struct((acc["at"] + size).cast("int").alias("at"), F.array_append(acc["out"], (acc["at"] + size - F.char_length(phrase)).cast("int")).alias("out"))
     begin = lambda at, kind: F.struct(at.cast("int").alias("at"), F.array().cast(kind).alias("out"))
-    within = lambda acc, k: F.aggregate(F.slice(pieces, k * group + 1, F.least(F.lit(group), n - k * group)), begin(acc["at"], "array<int>"), step)
-    outer = lambda acc, k: F.element_at(F.transform(F.array(within(acc, k)), lambda g: F.struct(g["at"].alias("at"), F.concat(acc["out"], F.array(g["out"])).alias("out"))), 1)
-    groups = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / group).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.aggregate(groups, begin(F.lit(0), "array<array<int>>"), outer)["out"])
+
+    def of(sizes: Column) -> Column:
+        n = F.size(sizes) - 1
+        within = lambda acc, k: F.aggregate(F.slice(sizes, k * group + 1, F.least(F.lit(group), n - k * group)), begin(acc["at"], "array<int>"), step)
+        outer = lambda acc, k: F.element_at(F.transform(F.array(within(acc, k)), lambda g: F.struct(g["at"].alias("at"), F.array_append(acc["out"], g["out"]).alias("out"))), 1)
+        groups = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / group).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.aggregate(groups, begin(F.lit(0), "array<array<int>>"), outer)["out"])
+
+    # the text is cut once, and only the sizes of its pieces, each with the phrase behind it, go on
+    sizes = F.transform(F.split(folded, literal, -1), lambda p: F.char_length(p) + F.char_length(phrase))
+    return F.element_at(F.transform(F.array(sizes), of), 1)
 
 
 def line(text: Column, offset: Column) -> Column:

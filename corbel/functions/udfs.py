@@ -8,9 +8,13 @@ import hmac
 import html.parser
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +33,7 @@ TEXT = T.StringType()
 FINDING = _struct(kind=TEXT, source_start=T.IntegerType(), source_end=T.IntegerType())
 CANONICAL = _struct(content=TEXT, digest=TEXT, raw_digest=TEXT, findings=T.ArrayType(FINDING))
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e]*")
+_PIECE = re.compile(r"[\t\n\r\x20-\x7e]+|.", re.DOTALL)  # plain characters together, others alone
 _SPACE = re.compile("[\\s\\ufeff]+")
 
 
@@ -36,17 +41,36 @@ def _sha(text: str) -> str:
     return "sha256:" + hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+def sliced(arrays: tuple[pa.Array, ...], most: int = 1 << 18) -> Iterator[tuple[list, ...]]:
+    """The values of a batch, the first array being texts, in parts of about ``most`` bytes of text: results that are larger than their texts never stand for a whole batch at once."""
+    start = held = 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(arrays[0]), 0).to_pylist()):
+        held += size
+        if held >= most or i + 1 - start >= 1_000:
+            yield tuple(a.slice(start, i + 1 - start).to_pylist() for a in arrays)
+            start, held = i + 1, 0
+    if start < len(arrays[0]):
+        yield tuple(a.slice(start).to_pylist() for a in arrays)
+
+
+def _rows(names: tuple[str, ...], rows: list[tuple | None], kind: pa.DataType) -> pa.Array:
+    return pa.array([None if r is None else dict(zip(names, r)) for r in rows], kind)
+
+
 def canonical_text(text: str) -> tuple[str, list[tuple[str, int, int]]]:
     """NFKC without invisible and control characters, look-alikes folded; each change as (kind, start, end) in code points."""
     if _PLAIN.fullmatch(text):
         return text, []
     out, found = [], []
-    for i, c in enumerate(text):
-        if c in ZERO_WIDTH:
+    for m in _PIECE.finditer(text):
+        c, i = m.group(), m.start()
+        if len(c) > 1 or _PLAIN.fullmatch(c):
+            out.append(c)
+        elif c in ZERO_WIDTH:
             found.append(("zero_width", i, i + 1))
         elif c in BIDI:
             found.append(("bidirectional_control", i, i + 1))
-        elif (ord(c) < 32 and c not in "\t\n\r") or 127 <= ord(c) < 160:
+        elif ord(c) < 32 or 127 <= ord(c) < 160:
             found.append(("control_character", i, i + 1))
         else:
             twin = HOMOGLYPHS.get(c)
@@ -59,13 +83,24 @@ def canonical_text(text: str) -> tuple[str, list[tuple[str, int, int]]]:
     return unicodedata.normalize("NFKC", "".join(out)), found
 
 
-@F.pandas_udf(CANONICAL)
-def _canonicalize(texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t in texts:
-        content, found = canonical_text(t)
-        rows.append((content, _sha(content), _sha(t), [dict(zip(("kind", "source_start", "source_end"), f)) for f in found]))
-    return pd.DataFrame(rows, columns=["content", "digest", "raw_digest", "findings"])
+_FOUND = pa.list_(pa.struct([("kind", pa.string()), ("source_start", pa.int32()), ("source_end", pa.int32())]))
+_CANONICAL = pa.struct([("content", pa.string()), ("digest", pa.string()), ("raw_digest", pa.string()), ("findings", _FOUND)])
+
+
+@F.arrow_udf(CANONICAL)
+def _canonicalize(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for (texts,) in sliced((batch,)):
+            rows = [(t, *canonical_text(t)) for t in texts]
+            yield _rows(CANONICAL.names, [(c, _sha(c), _sha(t), [dict(zip(FINDING.names, f)) for f in found]) for t, c, found in rows], _CANONICAL)
+
+
+@F.arrow_udf(TEXT)
+def canonical_content(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The content of ``canonicalize`` alone."""
+    for batch in batches:
+        for (texts,) in sliced((batch,)):
+            yield pa.array([None if t is None else canonical_text(t)[0] for t in texts], pa.string())
 
 
 def canonicalize(text: Column) -> Column:
@@ -73,9 +108,11 @@ def canonicalize(text: Column) -> Column:
     return F.when(text.isNotNull(), _canonicalize(F.coalesce(text, F.lit(""))))
 
 
-@F.pandas_udf(TEXT)
-def nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+@F.arrow_udf(TEXT)
+def nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for (texts,) in sliced((batch,)):
+            yield pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts], pa.string())
 
 
 RUN = T.StructType([T.StructField(c, T.IntegerType()) for c in ("canonical_start", "canonical_end", "source_start", "source_end")] + [T.StructField("same", T.BooleanType())])
@@ -90,35 +127,85 @@ def canonical_runs(text: str) -> tuple[str, list[tuple[int, int, int, int, bool]
     content, _ = canonical_text(text)
     if content == text:
         return content, [(0, len(text), 0, len(text), True)] if text else []
-    units: list[list] = []
-    for i, c in enumerate(text):
-        if c in ZERO_WIDTH or c in BIDI or (ord(c) < 32 and c not in "\t\n\r") or 127 <= ord(c) < 160:
-            continue
-        if units and unicodedata.combining(c):
-            units[-1][1] += HOMOGLYPHS.get(c) or c
-            units[-1][3] = i + 1
-        else:
-            units.append([c, HOMOGLYPHS.get(c) or c, i, i + 1])
-    out, at = [], 0
-    for first, new, start, end in units:
-        new = unicodedata.normalize("NFKC", new)
-        same = new == first and end == start + 1
+    out, parts, at, unit = [], [], 0, None
+
+    def put(new: str, start: int, end: int, same: bool) -> None:
+        nonlocal at
         last = out[-1] if out else None
         if same and last and last[4] and last[3] == start:
-            out[-1] = (last[0], at + 1, last[2], end, True)
+            out[-1] = (last[0], at + len(new), last[2], end, True)
         else:
             out.append((at, at + len(new), start, end, same))
+        parts.append(new)
         at += len(new)
-    if at != len(content) or "".join(unicodedata.normalize("NFKC", u[1]) for u in units) != content:
+
+    def settle() -> None:
+        if unit:
+            first, own, start, end = unit
+            new = unicodedata.normalize("NFKC", own)
+            put(new, start, end, new == first and end == start + 1)
+
+    for m in _PIECE.finditer(text):
+        c, i = m.group(), m.start()
+        if len(c) > 1:  # plain ones; the last may have marks behind it
+            settle()
+            put(c[:-1], i, m.end() - 1, True)
+            unit = [c[-1], c[-1], m.end() - 1, m.end()]
+        elif c in ZERO_WIDTH or c in BIDI or (ord(c) < 32 and c not in "\t\n\r") or 127 <= ord(c) < 160:
+            continue
+        elif unit and unicodedata.combining(c):
+            unit[1] += HOMOGLYPHS.get(c) or c
+            unit[3] = i + 1
+        else:
+            settle()
+            unit = [c, HOMOGLYPHS.get(c) or c, i, i + 1]
+    settle()
+    if "".join(parts) != content:
         return content, [(0, len(content), 0, len(text), False)]
     return content, out
 
 
-@F.pandas_udf(MAPPED)
-def canonical_mapped(texts: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(MAPPED)
+def canonical_mapped(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Canonical texts with their runs."""
-    rows = [(None, None) if t is None else (lambda x: (x[0], [dict(zip(RUN.names, r)) for r in x[1]]))(canonical_runs(t)) for t in texts]
-    return pd.DataFrame(rows, columns=["content", "runs"])
+    kind = pa.struct([("content", pa.string()), ("runs", pa.list_(pa.struct([(c, pa.bool_() if c == "same" else pa.int32()) for c in RUN.names])))])
+    for batch in batches:
+        for (texts,) in sliced((batch,)):
+            rows = ((None, None) if t is None else canonical_runs(t) for t in texts)
+            yield _rows(MAPPED.names, [(c, None if runs is None else [dict(zip(RUN.names, r)) for r in runs]) for c, runs in rows], kind)
+
+
+def spans_of(text: str, spans: list[dict]) -> list[tuple[int, int] | None]:
+    """Where spans of the canonical form stand in a text, as ``text.source_span`` has it."""
+    runs = canonical_runs(text)[1] if spans else []
+    starts, ends, out = [r[0] for r in runs], [r[1] for r in runs], []
+    for s in spans:
+        i, k = bisect_right(ends, s["start"]), bisect_left(starts, s["end"]) - 1
+        if i > k:
+            out.append(None)
+            continue
+        first, last = runs[i], runs[k]
+        out.append((first[2] + s["start"] - first[0] if first[4] else first[2], last[2] + s["end"] - last[0] if last[4] else last[3]))
+    return out
+
+
+def source_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ``mapInArrow`` over ``(id, text, found)``: where findings, an array of ``(rule_id, start, end)`` in the canonical form of a text, stand in the text itself, and the digest of what stands there, a row each.
+
+    The runs of a text are made, searched and dropped.
+    """
+    names = ("rule_id", "start", "source_start", "source_end", "cut_md5")
+    for batch in batches:
+        ids, texts, all_ = batch.columns
+        for part, some, of in sliced((texts, all_, ids)):
+            rows = []
+            for text, found, key in zip(part, some, of):
+                for f, span in zip(found or (), spans_of(text, found or [])):
+                    a, b = span or (None, None)
+                    rows.append((key, f["rule_id"], f["start"], a, b, None if a is None else hashlib.md5(text[a:b].encode("utf-8", "surrogatepass")).hexdigest()))
+            kinds = (ids.type, pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[batch.schema.names[0], *names])
 
 
 @F.pandas_udf(T.ArrayType(TEXT))
@@ -226,9 +313,16 @@ def parse_page(raw: str, declared: str | None = None) -> tuple:
     return kind, page.title, page.metadata, page.links, page.hidden, _SPACE.sub(" ", " ".join(page.visible)).strip()[:1_000_000]
 
 
-@F.pandas_udf(PAGE)
-def _parse(pages: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_page(p) for p in pages], columns=["format", "title", "metadata", "links", "hidden", "content"])
+_LINKS, _REGIONS = (pa.list_(pa.struct([(c, pa.string()) for c in kind.names])) for kind in (LINK, REGION))
+_PAGE = pa.struct([("format", pa.string()), ("title", pa.string()), ("metadata", pa.map_(pa.string(), pa.string())), ("links", _LINKS), ("hidden", _REGIONS), ("content", pa.string())])
+
+
+@F.arrow_udf(PAGE)
+def _parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for (pages,) in sliced((batch,)):
+            rows = map(parse_page, pages)
+            yield _rows(PAGE.names, [(kind, title, list(metadata.items()), *rest) for kind, title, metadata, *rest in rows], _PAGE)
 
 
 def parse_html(page: Column) -> Column:

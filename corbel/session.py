@@ -26,8 +26,13 @@ def workspace_scope(df: DataFrame, workspace: object, column: str = "workspace_i
     return df.where(F.lit(False)) if workspace is None else df.where(F.col(column) == F.lit(workspace))
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, times without a zone read as UTC."""
+    """A table, times without a zone read as UTC. Texts go to Python in batches of 4 MB at most, unless the session's own settings name a size."""
+    if not spark.sparkContext.getConf().contains(BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, "4m")
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"}) if "timestamp_ntz" in dict(df.dtypes).values() else df
 
