@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonc
 from ..operators import capsule, contracts, intake, listing
-from ..session import table
+from ..session import spread, table
 from .lifecycle import _PROCESSED, RULES, _scans
 
 
@@ -44,7 +44,7 @@ def contract_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 11 == 0, "").otherwise(',"idempotency_key":"key-0001"'), F.when(k % 17 == 0, ',"more":null').otherwise(""), "}",
     )
     found = contracts.contract("ingestionRequest").violations(F.when(k % 29 == 0, F.lit('{"request_id":')).otherwise(body))
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(found, ",").alias("violations"))
+    return spread(table(spark, sf_dir, "events").select("event_id", "event_type")).select("event_id", F.array_join(found, ",").alias("violations"))
 
 
 # What speaks against each of the four inputs, by the rules of oneOf: the kinds that aren't meant, their missing keys, the key too many
@@ -101,7 +101,7 @@ def canonical_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, d = F.col("event_id"), F.col("event_id") % 9 + 1
     one = _join('{ "z":[', k, ".0,", k, "e2, -0.0,", d, "e21,0.", d, "00,", d, 'e-7, true,null], "B":"', F.col("event_type"), '\\u000b\\/ \\"1.0\\"", "b":', F.col("value"), ',"A1":{}, "a_b":{"\\ud83d\\ude00":1,"\\uff5e":2.50},"\\u00e9":123456789012345680000}')
     two = _join('{"A1":{},"a_b":{"～":25e-1,"😀":1.0},"b":', F.col("value"), ',"z":[', k * 1, ",", k * 100, ",0,", d, "000000000000000000000,0.", d, ",0.0000001e0,true,null", '],"B":"', F.col("event_type"), '\\u000B/ \\"1.0\\"","é":1.2345678901234568e20}')
-    rows = table(spark, sf_dir, "events").select("event_id", one.alias("one"), two.alias("two"))
+    rows = spread(table(spark, sf_dir, "events").select("event_id", "event_type", "value")).select("event_id", one.alias("one"), two.alias("two"))
     rows = rows.select("event_id", jsonc.canonical(F.col("one")).alias("utf16"), jsonc.canonical(F.col("one"), "locale", 3).alias("locale"), jsonc.canonical(F.col("two")).alias("other"))
     each = F.array(*(F.struct(F.lit(name).alias("form"), F.col(order).alias("text")) for name, order in jsonc.FORMS.items()))
     rows = rows.select("event_id", F.col("utf16").eqNullSafe(F.col("other")).alias("agrees"), F.inline_outer(each))
@@ -150,7 +150,7 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = k % 4 != 0
     body = _join('{"code":', F.when(good, '"00000"').otherwise(pick(CODES, 4)), ',"requestTime":', F.when(good, F.lit(TIMES[0])).otherwise(pick(TIMES, 8)), ',"data":', pick(data, 4), "}")
     status = F.when(k % 40 == 0, _pick((F.lit(401), F.lit(403), F.lit(429), F.lit(503), F.lit(302)), F.floor(k / 40).cast("long"))).otherwise(200)
-    return table(spark, sf_dir, "orders").select(k.alias("account_id"), status.alias("status"), F.when(k % 44 == 0, "[]").otherwise(body).alias("body"))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")).select(k.alias("account_id"), status.alias("status"), F.when(k % 44 == 0, "[]").otherwise(body).alias("body"))
 
 
 def account_responses(spark: SparkSession, sf_dir: str) -> DataFrame:

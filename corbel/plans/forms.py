@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import udfs
 from ..operators import detect, evidence, listing, ops, policy
-from ..session import optional_predicate, table
+from ..session import optional_predicate, spread, table
 from ..sources import corpus
 from .lifecycle import _list, _pick
 
@@ -211,7 +211,7 @@ def made_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata of pages made to have some: the first value of a key counts, whatever its case."""
     k = F.col("c_custkey").cast("string")
     html = F.concat(F.lit('<html><head><meta NAME="Author" content="a'), k, F.lit('"><meta name="author" content="later"><meta property="og:x" content="p"><meta name="empty"><link rel="Canonical" href="/c'), k, F.lit('"><title> T '), k, F.lit(" </title></head><body><p hidden>gone</p>seen</body></html>"))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", udfs.parse_html(html).alias("p"))
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", udfs.parse_html(html).alias("p"))
     return rows.select("c_custkey", "p.title", F.explode("p.metadata").alias("key", "value"))
 
 

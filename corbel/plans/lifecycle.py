@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import access, benchmark, capsule, delivery, intake, listing, ops, workqueue
-from ..session import table
+from ..session import spread, table
 from .screening import _findings_sql
 from .screening import RULES as ALL_RULES
 
@@ -57,7 +57,7 @@ def ingestion_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     owner = F.when(r % 23 == 0, "1").otherwise("2")
     one = join('{"schema_version":"1.0","request_id":"req_', digits(n), '","workspace_id":"ws_', digits(owner), '","submitted_at":"2024-01-01T00:00:00Z","idempotency_key":', F.when(r % 41 == 0, "null").otherwise(join('"key-', r, '-0000"')), ',"provenance":{"submitted_by":"me","source_class":"primary"},"input":', inner, ',"extensions":{}}')
     two = join('{ "input":', inner, ', "extensions" : {},"provenance":{"source_class":"primary","submitted_by":"me"},"idempotency_key":', F.when(r % 41 == 0, "null").otherwise(join('"key-', r, '-0000"')), ',"submitted_at":"2024-01-01T00:00:00Z","workspace_id":"ws_', digits(owner), '","request_id":"req_', digits(n), '","schema_version":"1.0"}')
-    rows = e.select(k.alias("position"), F.when(F.floor(k / 1400) % 2 == 0, one).otherwise(two).alias("body"))
+    rows = spread(e.select("event_id")).select(k.alias("position"), F.when(F.floor(k / 1400) % 2 == 0, one).otherwise(two).alias("body"))
     known = e.where("event_id % 10 = 3").select((k % 700).alias("r")).distinct().where("r % 7 = 3").select(F.concat(F.lit("key-"), F.col("r").cast("string"), F.lit("-0000")).alias("idempotency_key"), F.lit("sha256:other").alias("request_digest"), F.concat(F.lit("scan_old"), F.col("r").cast("string")).alias("scan_id"))
     return intake.accept(rows, known, "ws_" + "2".rjust(26, "0"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import detect, evidence, ops, policy
 from ..operators.detect import HOSTED, Rule
-from ..session import table
+from ..session import spread, table
 
 #: The hosted rules, and some whose phrases occur in the driver's texts.
 RULES = (
@@ -64,7 +64,7 @@ def _item_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence of thousands of phrases in documents, with its place: grams of texts meet those of the phrases."""
-    return detect.many(table(spark, sf_dir, "documents"), _item_rules(spark, sf_dir), "doc_id", "text", "lang", "source")
+    return detect.many(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")), _item_rules(spark, sf_dir), "doc_id", "text", "lang", "source")
 
 
 def scan_rules_findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"}) if "timestamp_ntz" in dict(df.dtypes).values() else df
 
 
+def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """``df`` dealt evenly over tasks, four for each core unless told: small files bring few tasks, however much is to be done for a row."""
+    sc = df.sparkSession.sparkContext
+    return df.repartition(tasks or max(4 * sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def optional_predicate(column: Column, value: object, make) -> Column:
     """``make(column, value)``, or true where no value is given."""
     return F.lit(True) if value is None else make(column, F.lit(value))
