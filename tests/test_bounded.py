@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corbel.functions import text as T
 from corbel.functions import udfs
-from corbel.operators import detect
+from corbel.operators import detect, portfolio
 
 
 @pytest.mark.parametrize("run", ["_parse", "_canonicalize", "canonical_content", "canonical_mapped", "nfkc"])
@@ -67,3 +67,14 @@ def test_spans_of_findings_equal_those_of_expressions(spark):
     rows = df.select("id", "raw", detect.spans(rule, F.col("m.content")).alias("found"))
     got = rows.mapInArrow(udfs.source_spans, "id int, rule_id string, start int, source_start int, source_end int, cut_md5 string").collect()
     assert len(got) == 303 and {(r.id, r.start, r.source_start, r.source_end) for r in got} == want
+
+
+def test_references_of_one_name_bring_one_row_an_instrument(spark):
+    refs = spark.range(1, 1_001).select(F.col("id").cast("int").alias("ref"), F.when(F.col("id") % 2 == 0, "$b").otherwise("u").alias("symbol"), (F.col("id") % 7 / 10).alias("confidence"))
+    some = spark.range(40).select(F.col("id").cast("int").alias("instrument_id"), F.concat(F.lit("S"), "id").alias("symbol"), F.lit("B").alias("base_asset"), F.lit("USDT").alias("quote_asset"), F.lit("U").alias("underlying_symbol"))
+    assert portfolio.matches(spark.createDataFrame([("B",), ("U",)], "name string"), some).count() == 80
+    none = spark.createDataFrame([], "instrument string")
+    held = portfolio.impacts(refs, some, spark.createDataFrame([("b",)], "asset string"), none).collect()
+    assert len(held) == 40 and {(r.relationship, r.mapping_confidence, r.mapping_basis) for r in held} == {("holding", 0.588, "base_asset")}
+    seen = portfolio.impacts(refs, some, spark.createDataFrame([], "asset string"), spark.createDataFrame([("b",)], "instrument string")).collect()
+    assert len(seen) == 40 and {(r.relationship, r.mapping_confidence, r.mapping_basis) for r in seen} == {("watchlist", 0.588, "base_asset")}
