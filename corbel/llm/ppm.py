@@ -36,7 +36,8 @@ def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     codes = np.zeros(len(a) - order, np.uint64)
     for i in range(order + 1):
-        codes = (codes << np.uint64(8)) | a[i : len(a) - order + i]
+        codes <<= np.uint64(8)
+        codes |= a[i : len(a) - order + i]
     begin = np.cumsum(sizes + order) - sizes - order
     keep = np.ones(len(codes) + order, bool)
     for i in range(1, order + 1):  # windows that end in the padding of the next text
@@ -59,8 +60,8 @@ def counts(train: DataFrame, text_col: str = "text", order: int = 5, hold: int =
         for batch in slices(batches, "t"):
             texts = [x.lower() for x in as_bytes(batch.column("t"))]
             new, n = np.unique(grams(texts, order)[0], return_counts=True)
-            both, inverse = np.unique(np.concatenate([codes, new]), return_inverse=True)
-            codes, ns = both, np.bincount(inverse, np.concatenate([ns, n]), len(both)).astype(np.int64)
+            codes, ns = _summed(np.concatenate([codes, new]), np.concatenate([ns, n]))
+            ns = ns.astype(np.int64)
             for t in texts:
                 words.update(t.split())
             words[b""] += len(texts)
@@ -90,7 +91,9 @@ class Trie:
     def build(order: int, edges: list[np.ndarray], seen: list[np.ndarray]) -> Trie:
         t = Trie(order, edges, seen, [], [], [], [])
         for k in range(order + 1):
-            ctx, inv = np.unique(edges[k] >> np.uint64(8), return_inverse=True)
+            ctx = edges[k] >> np.uint64(8)
+            first = _firsts(ctx)
+            ctx, inv = ctx[first], np.repeat(np.arange(len(first)), np.diff(first, append=len(ctx)))
             t.contexts.append(ctx)
             t.total.append(_small(np.bincount(inv, seen[k], len(ctx))))
             t.kinds.append(_small(np.bincount(inv, minlength=len(ctx))))
@@ -208,9 +211,55 @@ def _pack_keys(keys: np.ndarray) -> bytes:
     return _pack(np.diff(keys, prepend=np.uint64(0)))
 
 
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where each value of a sorted array stands first."""
+    return np.flatnonzero(np.concatenate([np.ones(min(len(x), 1), bool), x[1:] != x[:-1]]))
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """As ``np.unique``, which hashes the values when nothing but these is asked for: several times the work of sorting them."""
+    x = np.sort(x)
+    return x[_firsts(x)]
+
+
 def _summed(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    unique, inverse = np.unique(x, return_inverse=True)
-    return unique, np.bincount(inverse, n, len(unique))
+    """The different values with their sums; what is sorted in parts is merged."""
+    by = np.argsort(x, kind="stable")
+    x = x[by]
+    first = _firsts(x)
+    return x[first], np.add.reduceat(n[by].astype(np.float64), first) if len(x) else np.zeros(0)
+
+
+class Places:
+    """Where different keys stand in their array, by open addressing over whole arrays: sorting a chunk's strings again for a search costs several times as much."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.keys, self.shift, self.mask = keys, np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
+        left, at = np.arange(len(keys), dtype=np.int32), self._start(keys)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            lost = self.slots[at] != left
+            left, at = left[lost], at[lost] + 1 & self.mask
+
+    def _start(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The places of keys that may repeat, in any order; an error if one is not there."""
+        at = self._start(keys)
+        out = self.slots[at]
+        left = np.arange(len(keys))
+        while True:
+            if (out[left] < 0).any():
+                raise KeyError("a string that was not asked for")
+            wrong = self.keys[out[left]] != keys[left]
+            left, at = left[wrong], at[wrong] + 1 & self.mask
+            if not len(left):
+                return out
+            out[left] = self.slots[at]
 
 
 def gathered(train: DataFrame, text_col: str = "text", order: int = 5, hold: int = 300_000) -> DataFrame:
@@ -269,7 +318,7 @@ def chunked(rows: DataFrame, order: int, most_bytes: int = 24 << 20, most_keys:
             ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("id")).cast(list_kind)
             cells = [pa.array([chunk], pa.int64()), ids, pa.array([[len(x) for x in texts]], longs), pa.array([pa.compress(b"".join(texts), "zstd", asbytes=True)], pa.binary())]
             yield pa.RecordBatch.from_arrays([*cells, pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())], names)
-            keys, held = np.union1d(keys, _keys(grams(texts, order)[0], order)), held + sum(map(len, texts))
+            keys, held = _distinct(np.concatenate([keys, _distinct(_keys(grams(texts, order)[0], order))])), held + sum(map(len, texts))
             if held > most_bytes or len(keys) > most_keys:
                 yield out()
                 chunk, held, keys = chunk + 1, 0, keys[:0]
@@ -342,15 +391,18 @@ def scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col:
     sent = spark.sparkContext.broadcast((model, log))
     del model, frequent, log
 
-    def score(ids: pa.Array, texts: list[bytes], asked: tuple[np.ndarray, np.ndarray] | None) -> pa.RecordBatch:
+    def score(ids: pa.Array, texts: list[bytes], asked: tuple[Places, np.ndarray] | None) -> pa.RecordBatch:
         own, log = sent.value
         if own is None and asked is None:
             total = np.array([-(len(t) + 1) * np.log10(256.0) for t in texts])
         else:
             codes, begin = grams(texts, order)
-            unique, inverse = np.unique(codes if asked is None else _keys(codes, order), return_inverse=True)
-            logs = own.log10(unique) if asked is None else asked[1][np.searchsorted(asked[0], unique)]
-            total = np.add.reduceat(logs[inverse], begin)
+            if asked is None:
+                unique, inverse = np.unique(codes, return_inverse=True)
+                logs = own.log10(unique)[inverse]
+            else:
+                logs = asked[1][asked[0].of(_keys(codes, order))]
+            total = np.add.reduceat(logs, begin)
         sizes, known, base, rare, times = [], [], [], [], []
         for t in texts:
             w = t.split()
@@ -372,7 +424,7 @@ def scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col:
     def of_chunk(texts: pa.Table, found: pa.Table) -> pa.Table:
         found = found.sort_by("bucket")
         logs = np.concatenate([np.zeros(0), *(_unpack(b, n, np.float32).astype(np.float64) for b, n in zip(found.column("logs").to_pylist(), found.column("size").to_pylist()))])
-        asked, out = (_unpack_keys(found), logs), []
+        asked, out = (Places(_unpack_keys(found)), logs), []
         for i in range(texts.num_rows):
             ids, sizes, blob = (texts.column(c)[i] for c in ("ids", "sizes", "texts"))
             ends = np.cumsum(sizes.values.to_numpy())

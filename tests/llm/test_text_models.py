@@ -155,6 +155,24 @@ def test_ppm_keys_are_codes_rearranged():
         assert sum(s.stop - s.start for _, s in parts) == len(keys) and len({b for b, _ in parts}) == len(parts)
 
 
+def test_ppm_finds_strings_without_sorting_them_again():
+    rng = np.random.default_rng(7)
+    for n in (1, 5, 3_000):
+        keys = ppm._distinct(np.concatenate([rng.integers(0, 1 << 48, n), np.arange(n)]).astype(np.uint64))
+        asked = rng.choice(keys, 10_000)
+        places = ppm.Places(keys)
+        assert (places.of(asked) == np.searchsorted(keys, asked)).all() and len(places.of(asked[:0])) == 0
+        with pytest.raises(KeyError):
+            places.of(np.array([1 << 50], np.uint64))
+    at_once = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)) * np.arange(1, 500, dtype=np.uint64)  # all begin in the same slot
+    assert (ppm.Places(at_once).of(at_once[::-1]) == np.arange(499)[::-1]).all()
+    x, n = rng.integers(0, 50, 1_000).astype(np.uint64), np.full(1_000, 1 << 31, np.uint32)
+    for part in (0, 1, 1_000):
+        unique, sums = ppm._summed(x[:part], n[:part])
+        want, counts = np.unique(x[:part], return_counts=True)
+        assert (unique == want).all() and (ppm._distinct(x[:part]) == want).all() and (sums == counts * float(1 << 31)).all()
+
+
 def test_remainder_is_that_of_crc32(spark):
     from corbel.llm.common import id_remainder
 
