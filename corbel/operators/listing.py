@@ -25,13 +25,26 @@ def identifier(value: Column) -> Column:
 def decimal_text(value: Column, negative: bool = False) -> Column:
     """A plain decimal of up to 100 digits as text, or null."""
     t = F.trim(value)
-    return F.when(t.rlike(("^-?" if negative else "^") + "\\d+(?:\\.\\d+)?$") & (F.char_length(F.regexp_replace(t, "[.-]", "")) <= 100), t)
+    fits = (F.char_length(t) <= 100) | (F.char_length(F.regexp_replace(t, "[.-]", "")) <= 100)
+    return F.when(t.rlike(("^-?" if negative else "^") + "\\d+(?:\\.\\d+)?$") & fits, t)
+
+
+def _short_total(parts: Column) -> Column:
+    """``decimal_total`` of at most 9 decimals of at most 17 characters: a sum below 10^18 with at most 16 digits behind the point."""
+    kind, most = "decimal(35,16)", 18
+    total = F.aggregate(parts, F.lit(10**most).cast(kind), lambda acc, p: (acc + p.cast(kind)).cast(kind)).cast("string")  # 10^18 more, so that all digits are there
+
+    def placed(t: Column) -> Column:
+        whole = F.substring(t, 2, most).cast("long").cast("string")
+        return let(F.rtrim(F.substring(t, most + 3, 16), F.lit("0")), lambda rest: F.when(rest == "", whole).otherwise(F.concat(whole, F.lit("."), rest)))
+
+    return let(total, placed)
 
 
 def decimal_total(parts: Column) -> Column:
     """The exact sum of an array of decimals without sign, of any number of digits, without zeros at its end; null of an empty array.
 
-    Digits are aligned and added in pieces of 18 from the right, with what is carried.
+    A few short ones are added as they are. Else digits are aligned and added in pieces of 18 from the right, with what is carried.
     """
     size = 18
     part = lambda p, n: F.when(F.contains(p, F.lit(".")), F.substring_index(p, ".", n)).otherwise(p if n == 1 else F.lit(""))
@@ -47,24 +60,30 @@ def decimal_total(parts: Column) -> Column:
     start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("carry"), aligned.alias("all"))
     whole = F.aggregate(F.reverse(F.sequence(F.lit(0), pieces - 1)), start, step, lambda acc: F.concat(acc["carry"].cast("string"), acc["text"]))
     placed = let(whole, lambda t: F.when(scale > 0, F.concat(F.substring(t, F.lit(1), F.char_length(t) - scale), F.lit("."), F.rtrim(F.right(t, scale), F.lit("0")))).otherwise(t))
-    return F.when(F.size(parts) > 0, F.regexp_replace(F.regexp_replace(placed, "^0+(?=[0-9])", ""), "[.]$", ""))
+    short = (F.size(parts) <= 9) & F.forall(parts, lambda p: F.char_length(p) <= 17)
+    return F.when(F.size(parts) > 0, F.when(short, _short_total(parts)).otherwise(F.regexp_replace(F.regexp_replace(placed, "^0+(?=[0-9])", ""), "[.]$", "")))
 
 
 def holdings(rows: DataFrame, account: str = "account_id") -> DataFrame:
     """``(account, asset, quantity, error)`` of ``rows(account, coin, balance, available, frozen, locked)``: the balance as it is given, or the exact sum of its parts.
 
     An account whose response has an asset twice, a bad name or no quantity is invalid as a whole and gives one row with the error; quantities not above zero, by their digits and sign, are
-    left out. Decimals have up to 100 digits, sums as many as they need; other texts are none.
+    left out. Decimals have up to 100 digits, sums as many as they need; other texts are none. Rows are dealt by account once, before any work on them; an account's rows
+    pass through one task in the order of their assets, beside the disk where they are many.
     """
+    rows = rows.repartition(account)
     parts = F.array_compact(F.array(*(decimal_text(F.col(c)) for c in ("available", "frozen", "locked"))))
     named = rows.select(account, identifier(F.col("coin")).alias("asset"), decimal_text(F.col("balance"), True).alias("balance"), parts.alias("parts"))
     named = named.select(account, "asset", F.coalesce("balance", decimal_total(F.col("parts"))).alias("q"))
-    per = named.groupBy(account, "asset").agg(F.count("*").alias("n"), F.min("q").alias("q"), F.count_if(F.col("q").isNull()).alias("bad"))
-    error = F.when(F.bool_or(F.col("asset").isNull()), "INVALID_IDENTIFIER").when(F.max("n") > 1, "DUPLICATE_ASSET").when(F.sum("bad") > 0, "INVALID_BALANCE")
-    broken = per.groupBy(account).agg(error.alias("error")).where("error is not null")
+    whole = Window.partitionBy(account)
+    in_order = whole.orderBy("asset")
+    marked = named.select(account, "asset", "q", (F.lag("asset").over(in_order) == F.col("asset")).alias("again"), F.row_number().over(in_order).alias("place"))
+    any_ = lambda c: F.coalesce(F.bool_or(c).over(whole), F.lit(False))
+    error = F.when(any_(F.col("asset").isNull()), "INVALID_IDENTIFIER").when(any_(F.col("again")), "DUPLICATE_ASSET").when(any_(F.col("q").isNull()), "INVALID_BALANCE")
     above = ~F.col("q").startswith("-") & F.col("q").rlike("[1-9]")
-    good = per.join(broken, account, "left_anti").where(above).select(account, "asset", F.col("q").alias("quantity"), F.lit(None).cast("string").alias("error"))
-    return good.unionByName(broken.select(account, F.lit(None).cast("string").alias("asset"), F.lit(None).cast("string").alias("quantity"), "error"))
+    good = F.col("error").isNull()
+    out = marked.withColumn("error", error).where((good & above) | (~good & (F.col("place") == 1)))
+    return out.select(account, F.when(good, F.col("asset")).alias("asset"), F.when(good, F.col("q")).alias("quantity"), "error")
 
 
 def responses(rows: DataFrame, status: str = "status", body: str = "body") -> DataFrame:

@@ -1,3 +1,4 @@
+import decimal
 import hashlib
 import json
 import random
@@ -263,3 +264,29 @@ def test_quantities_keep_their_digits(spark):
     rows = [("a", "x", "5.500", None, None, None), ("b", "x", None, "0.1234567890123456789", "9" * 60, None), ("c", "x", None, "0.0000000000000000004", "0", "0.0"), ("d", "x", "-0.00", "1", None, None), ("e", "x", "1" * 101, None, None, None), ("f", "x", "-1", None, None, None), ("g", "x", None, "-1", "00.50", "nope"), ("h", "x", "007", None, None, None), ("i", "x", None, "0.75", "0.25", None)]
     got = {r.account_id: r.quantity or r.error for r in listing.holdings(spark.createDataFrame(rows, "account_id string, coin string, balance string, available string, frozen string, locked string")).collect()}
     assert got == {"a": "5.500", "b": "9" * 60 + ".1234567890123456789", "c": "0.0000000000000000004", "e": "INVALID_BALANCE", "g": "0.5", "h": "007", "i": "1"}
+
+
+def test_holdings_are_worked_out_once(spark):
+    rng = random.Random(5)
+    number = lambda: "".join(rng.choices("0123456789", k=rng.choice((1, 2, 16, 17, 18)))) + rng.choice(("", "." + "".join(rng.choices("059", k=rng.choice((1, 14, 15, 16, 17))))))
+    rows = [(None if rng.random() < 0.05 else k // 3, rng.choice(("x", "y", "z", "u", "v", " W ")) if rng.random() < 0.98 else "no!", number() if rng.random() < 0.2 else None, *(number() if rng.random() < 0.7 else rng.choice((None, "-1", "0", "0.0")) for _ in range(3))) for k in range(900)]
+    accounts, want = {}, []
+    for account, coin, balance, *parts in rows:
+        there = [decimal.Decimal(p) for p in parts if p and p[0] != "-"]
+        with decimal.localcontext(prec=200):
+            total = format(sum(there), "f") if there else None
+        total = total and (total.rstrip("0").rstrip(".") if "." in total else total)
+        accounts.setdefault(account, []).append((None if coin == "no!" else coin.strip().upper(), balance or total))
+    for account, held in accounts.items():
+        names = [a for a, _ in held]
+        error = "INVALID_IDENTIFIER" if None in names else "DUPLICATE_ASSET" if len(set(names)) < len(names) else "INVALID_BALANCE" if None in [q for _, q in held] else None
+        want += [(account, None, None, error)] if error else [(account, a, q, None) for a, q in held if q.strip("0.")]
+    df = listing.holdings(spark.createDataFrame(rows, "account_id long, coin string, balance string, available string, frozen string, locked string").repartition(3))
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str) and {e for *_, e in want} == {None, "INVALID_IDENTIFIER", "DUPLICATE_ASSET", "INVALID_BALANCE"}
+    plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(account_id") == 1 and "Join" not in plan and "Union" not in plan
+    parts = [[number() for _ in range(n)] for n in (1, 2, 9, 9, 9, 10, 12) for _ in range(20)] + [["9" * 17] * 9, ["9." + "9" * 15] * 9, ["0"], ["00.0", "000"], ["0.0000001"]]
+    got = [r[0] for r in spark.createDataFrame([(p,) for p in parts], "p array<string>").select(listing.decimal_total(F.col("p"))).collect()]
+    with decimal.localcontext(prec=200):
+        texts = [format(sum(map(decimal.Decimal, p)), "f") for p in parts]
+    assert got == [t.rstrip("0").rstrip(".") if "." in t else t for t in texts]
