@@ -76,7 +76,8 @@ def normalized(compact: Column) -> Column:
     tokens = lambda s: F.regexp_extract_all(s, F.lit("[-0-9][-+.0-9eE]*|[^-0-9]+"), F.lit(0))
     fixed = lambda s: F.array_join(F.transform(tokens(s), lambda t: F.when(t.rlike("^[-0-9]"), F.coalesce(number(t), F.lit(_BEYOND))).otherwise(t)), "")
     joined = F.array_join(F.transform(parts, lambda s, i: F.when(i % 2 == 1, _strings(s)).when(s.rlike("[0-9]"), fixed(s)).otherwise(s)), '"')
-    return F.replace(F.replace(F.when(~F.contains(joined, F.lit(_BEYOND)), joined), F.lit(_QUOTE), F.lit('\\"')), F.lit(_SLASH), F.lit("\\\\"))
+    whole = let(joined, lambda j: F.when(~F.contains(j, F.lit(_BEYOND)), j))
+    return F.replace(F.replace(whole, F.lit(_QUOTE), F.lit('\\"')), F.lit(_SLASH), F.lit("\\\\"))
 
 
 def canonical_variant(value: Column) -> Column:
@@ -102,7 +103,8 @@ def canonical(value: Column, order: str = "utf16", levels: int = LEVELS) -> Colu
     if order not in ("utf16", "locale"):
         raise ValueError(order)
     v = F.try_parse_json(value)
-    beyond = value.rlike("[eE][+]?[0-9]{3}|[0-9]{300}") & normalized(value).isNull()  # a variant would make a number beyond a double a string
+    # a variant would make a number beyond a double a string; what looks like one stands after a sign of JSON, unlike the digits of digests
+    beyond = value.rlike("(?:^|[\\[:,\\s])-?[0-9.]*?(?:[0-9][eE][+]?[0-9]{3}|[0-9]{300})") & normalized(value).isNull()
     text = canonical_variant(v) if order == "utf16" else F.when(v.isNotNull(), normalized(_by_locale(v, levels)))
     return F.when(~F.coalesce(beyond, F.lit(False)), text)
 

@@ -116,7 +116,8 @@ def compose_contract(scans: DataFrame, findings: DataFrame, policy: dict[str, st
         empty.alias("claims"), named.alias("findings"), empty.alias("evidence"), empty.alias("conflicts"), F.when(F.col("state") == "allowed", "allow").when(F.col("state") == "blocked", "block").otherwise("review").alias("disposition"),
         fixed(policy).alias("policy"), F.array(fixed(component)).alias("components"), none.alias("extensions"),
     )
-    capsules = rows.select("scan_id", jsonc.canonical(F.to_json(body)).alias("capsule"))
+    written = rows.select("scan_id", F.to_json(body).alias("written"))  # a column, as the canonical text refers to it several times
+    capsules = written.select("scan_id", jsonc.canonical(F.col("written")).alias("capsule"))
     return capsules.withColumn("digest", jsonc.digest(F.col("capsule"))).withColumn("violations", contracts.contract("unsignedCapsule").violations(F.col("capsule")))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.jsonc import let
 
 RANK = {"allow": 0, "review": 1, "block": 2}
 SEVERITIES = ("low", "medium", "high", "critical")
@@ -96,8 +97,7 @@ def in_scope(allowed: Column, value: Column) -> Column:
 
 def matching(rules: tuple[Rule, ...], text: Column, tenant: Column, source: Column) -> Column:
     """The rules that apply and whose phrase stands in the text, as an array of structs."""
-    folded = T.fold(text)
-    return F.filter(rules_literal(rules), lambda r: in_scope(r["tenants"], tenant) & in_scope(r["sources"], source) & F.contains(folded, F.lower(r["phrase"])))
+    return let(T.fold(text), lambda folded: F.filter(rules_literal(rules), lambda r: in_scope(r["tenants"], tenant) & in_scope(r["sources"], source) & F.contains(folded, F.lower(r["phrase"]))))
 
 
 def spans(rules: tuple[Rule, ...], text: Column, tenant: Column | None = None, source: Column | None = None) -> Column:

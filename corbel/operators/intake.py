@@ -83,13 +83,14 @@ def process(scans: DataFrame, rules: tuple[Rule, ...], tenant: str | None = None
     Scans already ended keep their state; others than queued ones are ``CONFLICT``. Without a text in reach (absent, or anything but a string) a scan goes to review with
     one finding; else its state follows the most restrictive rule that matches. The decision is made inside the row, without a join.
     """
-    v = F.try_parse_json("envelope")
+    v = F.col("v")
     source = F.when(text_at(v, "$.input.kind") == "feed_event", text_at(v, "$.input.source_id"))
-    rows = scans.select("scan_id", "state", text_at(v, "$.input.text").alias("text"), source.alias("source"), F.lit(tenant).cast("string").alias("tenant"))
+    once = lambda *cells: F.inline(F.array(F.struct(*cells)))  # noqa: E731  # filters on these stay above, where a plain column would be worked out in the filter and again
+    rows = scans.select("scan_id", "state", F.try_parse_json("envelope").alias("v")).select("scan_id", "state", once(text_at(v, "$.input.text").alias("text"), source.alias("source"))).withColumn("tenant", F.lit(tenant).cast("string"))
     worst = F.array_max(F.transform(detect.matching(rules, F.col("text"), F.col("tenant"), F.col("source")), lambda r: detect.rank(r["disposition"])))
     ended = F.col("state").isin(*(s for s, to in MOVES.items() if not to), "review")
     after = F.when(F.col("text").isNull(), "review").otherwise(F.element_at(F.array(*map(F.lit, ("allowed", "review", "blocked"))), (F.coalesce(worst, F.lit(0)) + 1).cast("int")))
-    decided = rows.select("scan_id", F.when(ended, F.col("state")).when(F.col("state") == "queued", after).otherwise(F.col("state")).alias("state"), F.when(ended, "kept").when(F.col("state") == "queued", "processed").otherwise("CONFLICT").alias("outcome"))
+    decided = rows.select("scan_id", once(F.when(ended, F.col("state")).when(F.col("state") == "queued", after).otherwise(F.col("state")).alias("after")), "state").select("scan_id", F.col("after").alias("state"), F.when(ended, "kept").when(F.col("state") == "queued", "processed").otherwise("CONFLICT").alias("outcome"))
     queued = rows.where("state = 'queued'")
     found = detect.findings(queued.where("text is not null"), rules, "scan_id", "text", "tenant", "source")
     named = found.select("scan_id", F.lit("prompt_injection").alias("category"), "severity", F.col("rule_id").alias("detector_id"), "reason_code", F.lit(10_000).alias("confidence_bps"), F.lit("canonical").alias("representation"), F.col("start").alias("text_start"), F.col("end").alias("text_end"))

@@ -290,3 +290,26 @@ def test_holdings_are_worked_out_once(spark):
     with decimal.localcontext(prec=200):
         texts = [format(sum(map(decimal.Decimal, p)), "f") for p in parts]
     assert got == [t.rstrip("0").rstrip(".") if "." in t else t for t in texts]
+
+
+def test_capsules_are_written_and_envelopes_read_once(spark):
+    from corbel.operators import capsule
+
+    rule = detect.Rule("r", "bad words", "TOOL_COERCION", "high", "block")
+    rows = [(f"scan_{i}", "queued", e) for i, e in enumerate(('{"input":{"text":"ok"}}', '{"input":{"text":"bad words, BAD words"}}', '{"input":{}}', None))]
+    decided, found = intake.process(spark.createDataFrame(rows, "scan_id string, state string, envelope string"), (rule,))
+    ended = decided.where("outcome = 'processed' and state in ('allowed', 'blocked', 'review')")
+    assert ended._jdf.queryExecution().executedPlan().toString().count("parseJson(envelope") == 1
+    scans = ended.select("scan_id", F.lit(f"ws_{ID}").alias("workspace_id"), F.lit(SHA).alias("input_digest"), F.lit(AT).alias("created_at"), "state")
+    capsules = capsule.compose_contract(scans, found, {"policy_id": f"policy_{ID}", "version": "1.2.3", "digest": SHA}, {"component": "engine", "version": "1", "digest": SHA})
+    plan = capsules._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("StructField(schema_version") == 1
+    got = [json.loads(r.capsule) for r in capsules.orderBy("scan_id").collect()]
+    assert [(c["disposition"], len(c["findings"])) for c in got] == [("allow", 0), ("block", 2), ("review", 1), ("review", 1)]
+
+
+def test_numbers_beyond_a_double_are_told_from_digits_of_digests(spark):
+    beyond = ["1e400", " -1E+400", "[1e400]", '{"a":1.5e999}', '{"a": -1e0400}', "[0,\n1e400]", '{"s":"x","a":[' + "9" * 400 + "]}", "[1,1e9999]"]
+    good = ['"e123"', '{"a":"sha256:1e400e999"}', '["12e345f", ",1e400"]', '{"1e400":1}', "[1e-400]", "[0." + "1" * 400 + "]", '{"a":"' + "1" * 400 + '"}', "[12]"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in beyond + good], "t string").select(jsonc.canonical(F.col("t"))).collect()]
+    assert got[: len(beyond)] == [None] * len(beyond) and [json.loads(t) for t in got[len(beyond) :]] == [json.loads(t) for t in good]
