@@ -261,7 +261,7 @@ class _Page(html.parser.HTMLParser):
                 self.metadata.setdefault(key.lower(), value)
         if tag == "link" and a.get("rel", "").lower() == "canonical" and "href" in a:
             self.metadata["canonical"] = a["href"]
-        if tag == "a" and "href" in a and not node["concealed"] and len(self.links) < 1000:
+        if tag == "a" and "href" in a and not node["concealed"]:
             node["link"] = {"href": a["href"], "text": ""}
             self.links.append(node["link"])
         if tag not in VOID:

@@ -18,6 +18,13 @@ def test_results_of_a_batch_come_in_parts(run):
     assert sum(parts) == 40 and max(parts) <= 4
 
 
+def test_all_links_of_a_page_are_listed(spark):
+    page = "".join(f"<a href=/{k}>n{k}</a>" for k in range(2_500)) + "<p hidden>" + "<a href=/no>no</a>" * 3
+    assert udfs.parse_page(page)[3] == [{"href": f"/{k}", "text": f"n{k}"} for k in range(2_500)]
+    got = spark.createDataFrame([(page,)], "t string").select(F.explode(udfs.parse_html(F.col("t"))["links"]).alias("l")).select("l.*").collect()
+    assert len(got) == 2_500 and tuple(got[-1]) == ("/2499", "n2499")
+
+
 def test_parts_by_rows_and_bytes():
     parts = [len(p) for (p,) in udfs.sliced((pa.array(["a"] * 2_500 + [None, "x" * 300_000, ""]),))]
     assert parts == [1_000, 1_000, 502, 1]
