@@ -302,15 +302,16 @@ class _Page(html.parser.HTMLParser):
 
 
 def parse_page(raw: str, declared: str | None = None) -> tuple:
+    """A page's parts, all of it; only its format is told by how it begins."""
     probe = raw.lstrip()[:512].lower()
     declared = declared or ""
     kind = "rss" if "rss" in declared or re.match(r"<rss[\s>]", probe) else "atom" if "atom" in declared or re.match(r"<feed[\s>]", probe) else "text" if declared.startswith("text/plain") else "html" if re.search(r"</?[a-z][^>]*>", probe) else "text"
     if kind == "text":
-        return kind, None, {}, [], [], _SPACE.sub(" ", raw).strip()[:1_000_000]
+        return kind, None, {}, [], [], _SPACE.sub(" ", raw).strip()
     page = _Page()
     page.feed(raw)
     page.finish()
-    return kind, page.title, page.metadata, page.links, page.hidden, _SPACE.sub(" ", " ".join(page.visible)).strip()[:1_000_000]
+    return kind, page.title, page.metadata, page.links, page.hidden, _SPACE.sub(" ", " ".join(page.visible)).strip()
 
 
 _LINKS, _REGIONS = (pa.list_(pa.struct([(c, pa.string()) for c in kind.names])) for kind in (LINK, REGION))

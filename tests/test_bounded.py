@@ -25,6 +25,12 @@ def test_all_links_of_a_page_are_listed(spark):
     assert len(got) == 2_500 and tuple(got[-1]) == ("/2499", "n2499")
 
 
+def test_a_page_is_read_to_its_end():
+    words = "word " * 300_000 + "end"
+    for page in (words, f"<p>{words}", f"<p>{words}</p><p hidden>gone"):
+        assert udfs.parse_page(page)[5] == words
+
+
 def test_parts_by_rows_and_bytes():
     parts = [len(p) for (p,) in udfs.sliced((pa.array(["a"] * 2_500 + [None, "x" * 300_000, ""]),))]
     assert parts == [1_000, 1_000, 502, 1]
