@@ -98,15 +98,15 @@ def _by_locale(v: Column, levels: int) -> Column:
     return F.when(entries.isNotNull() | items.isNotNull(), F.concat(end("{", "["), texts, end("}", "]"))).otherwise(F.to_json(v))
 
 
-def canonical(value: Column, order: str = "utf16", levels: int = LEVELS) -> Column:
-    """The canonical text of a JSON text. ``order`` of keys: ``utf16``, or ``locale`` for English collation, up to ``levels`` nested levels (more raise an error)."""
+def canonical(value: Column, order: str = "utf16", levels: int = LEVELS, parsed: Column | None = None) -> Column:
+    """The canonical text of a JSON text. ``order`` of keys: ``utf16``, or ``locale`` for English collation, up to ``levels`` nested levels (more raise an error). ``parsed``: its variant, if it is there already."""
     if order not in ("utf16", "locale"):
         raise ValueError(order)
-    v = F.try_parse_json(value)
-    # a variant would make a number beyond a double a string; what looks like one stands after a sign of JSON, unlike the digits of digests
-    beyond = value.rlike("(?:^|[\\[:,\\s])-?[0-9.]*?(?:[0-9][eE][+]?[0-9]{3}|[0-9]{300})") & normalized(value).isNull()
-    text = canonical_variant(v) if order == "utf16" else F.when(v.isNotNull(), normalized(_by_locale(v, levels)))
-    return F.when(~F.coalesce(beyond, F.lit(False)), text)
+    v = F.try_parse_json(value) if parsed is None else parsed
+    # a variant makes a number beyond a double infinite, and then a string; what looks like one stands after a sign of JSON, unlike the digits of digests
+    beyond = lambda c: F.contains(c, F.lit("Infinity")) & value.rlike("(?:^|[\\[:,\\s])-?[0-9.]*?(?:[0-9][eE][+]?[0-9]{3}|[0-9]{300})") & normalized(value).isNull()
+    text = F.to_json(v) if order == "utf16" else F.when(v.isNotNull(), _by_locale(v, levels))
+    return let(text, lambda c: F.when(~F.coalesce(beyond(c), F.lit(False)), normalized(c)))
 
 
 def digest(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonc
+from ..session import dealt
 from . import contracts, detect
 from .detect import Rule
 from .schema import Schema
@@ -44,27 +45,36 @@ def accept(requests: DataFrame, scans: DataFrame, workspace: object) -> DataFram
     of canonical JSON, so the order of keys and the form of numbers make no other request; an input's digest is its own where it names one (uploads, feed events). Of a batch's requests with one key the smallest
     ``position`` is first. Keys are settled by partial aggregation, so a key that repeats often costs no more.
     """
-    v = F.try_parse_json("body")
+    v = F.col("v")
     text = lambda p: F.try_variant_get(v, p, "string")
-    rows = requests.select("position", jsonc.canonical(F.col("body")).alias("canonical"), F.size(contracts.contract("ingestionRequest").violations(F.col("body"))).alias("broken"), text("$.workspace_id").alias("workspace_id"), text("$.idempotency_key").alias("idempotency_key"), text("$.input.kind").alias("kind"), F.octet_length(text("$.input.text")).alias("text_bytes"), F.try_variant_get(v, "$.input.size_bytes", "double").alias("upload_bytes"), F.coalesce(text("$.input.digest"), text("$.input.payload_digest")).alias("given"), jsonc.canonical_variant(F.try_variant_get(v, "$.input", "variant")).alias("input"))
-    over = lambda c, most: F.coalesce(F.col(c) > most, F.lit(False)) if isinstance(c, str) else F.coalesce(c > most, F.lit(False))
+    parsed = requests.select("position", "body", F.try_parse_json("body").alias("v"))
+    rows = parsed.select("position", "v", jsonc.canonical(F.col("body"), parsed=v).alias("canonical"), text("$.input.kind").alias("kind"), contracts.contract("ingestionRequest").holds(v).alias("holds"))
+    canonical, kind = F.col("canonical"), F.col("kind")
+    over = lambda c, most: F.coalesce(c > most, F.lit(False))
     early = (
-        F.when(over(F.octet_length("canonical"), MOST_REQUEST_BYTES), "TOO_LARGE").when(F.col("broken") > 0, "INVALID").when(~F.col("workspace_id").eqNullSafe(F.lit(workspace)), "DENIED")
-        .when((F.col("kind") == "text") & over("text_bytes", MOST_TEXT_BYTES) | (F.col("kind") == "upload") & over("upload_bytes", MOST_UPLOAD_BYTES), "TOO_LARGE")
+        F.when(over(F.octet_length(canonical), MOST_REQUEST_BYTES), "TOO_LARGE").when(~F.coalesce("holds", F.lit(False)), "INVALID").when(~text("$.workspace_id").eqNullSafe(F.lit(workspace)), "DENIED")
+        .when((kind == "text") & over(F.octet_length(text("$.input.text")), MOST_TEXT_BYTES) | (kind == "upload") & over(F.try_variant_get(v, "$.input.size_bytes", "double"), MOST_UPLOAD_BYTES), "TOO_LARGE")
     )
-    given = F.when(F.col("kind").isin("upload", "feed_event"), F.col("given")).otherwise(jsonc.digest(F.col("input")))
-    # the key counts only where the contract holds: rows that are refused early settle nothing
-    rows = rows.select("position", "workspace_id", early.alias("early"), jsonc.digest(F.col("canonical")).alias("request_digest"), given.alias("input_digest"), F.col("idempotency_key"))
-    first = rows.where("early is null").groupBy("idempotency_key").agg(F.min(F.struct("position", "request_digest")).alias("first"))
-    known = scans.select("idempotency_key", F.col("request_digest").alias("known_digest"), F.col("scan_id").alias("known_scan"))
-    rows = rows.join(first, "idempotency_key", "left").join(known, "idempotency_key", "left")
-    winner = F.coalesce("known_digest", "first.request_digest")
-    outcome = F.coalesce("early", F.when(F.col("request_digest") != winner, "CONFLICT").when(F.col("known_scan").isNull() & (F.col("position") == F.col("first.position")), "created").otherwise("replay"))
-    scan = F.coalesce("known_scan", F.concat(F.lit("scan_"), F.left(F.sha2(F.concat_ws("\u0000", "workspace_id", "idempotency_key").cast("binary"), 256), F.lit(26))))
+    # digests are bytes until the end; those that are given have the contract's form, or the row is refused
+    given = F.unhex(F.substring(F.coalesce(text("$.input.digest"), text("$.input.payload_digest")), 8, 64))
+    own = F.when(kind.isin("upload", "feed_event"), given).otherwise(F.unhex(F.sha2(jsonc.canonical_variant(F.try_variant_get(v, "$.input", "variant")).cast("binary"), 256)))
+    rows = rows.select("position", "v", "canonical", "kind", early.alias("early"))
+    good = F.col("early").isNull()
+    # the key counts only where the contract holds: rows that are refused early settle nothing, and have keys of no request
+    key = F.when(good, text("$.idempotency_key")).otherwise(F.concat_ws("", F.lit("\u0000"), F.col("position") % 1000))
+    rows = rows.select("position", "early", F.coalesce(key, F.lit("\u0000")).alias("key"), F.when(good, F.unhex(F.sha2(canonical.cast("binary"), 256))).alias("request"), F.when(good, own).alias("input"))
+    # dealt here, with all its columns on both ways, so that what was worked out is read twice and not made twice
+    rows = dealt(rows, "position")
+    first = rows.groupBy("key").agg(F.min(F.struct("position", "request", "input", "early")).alias("first"))
+    known = scans.select(F.col("idempotency_key").alias("key"), F.col("request_digest").alias("known_digest"), F.col("scan_id").alias("known_scan"))
+    rows = rows.join(first, "key", "left").join(known, "key", "left")
+    named = lambda c: F.concat(F.lit("sha256:"), F.lower(F.hex(c)))
+    changed = F.when(F.col("known_digest").isNotNull(), named(F.col("request")) != F.col("known_digest")).otherwise(F.col("request") != F.col("first.request"))
+    outcome = F.coalesce("early", F.when(changed, "CONFLICT").when(F.col("known_scan").isNull() & (F.col("position") == F.col("first.position")), "created").otherwise("replay"))
+    scan = F.coalesce("known_scan", F.concat(F.lit("scan_"), F.left(F.sha2(F.concat_ws("\u0000", F.lit(workspace).cast("string"), "key").cast("binary"), 256), F.lit(26))))
     out = rows.withColumn("outcome", outcome).withColumn("scan_id", F.when(F.col("outcome").isin("created", "replay"), scan))
     made = F.col("outcome") == "created"
-    good = F.col("early").isNull()
-    return out.select("position", F.when(good, F.col("idempotency_key")).alias("idempotency_key"), "outcome", "scan_id", F.when(good, F.col("request_digest")).alias("request_digest"), F.when(good, F.col("input_digest")).alias("input_digest"), F.when(made, "queued").alias("state"), F.when(made, F.concat(F.lit("object://sha256/"), F.substring("input_digest", 8, 64))).alias("payload_ref"))
+    return out.select("position", F.when(good, F.col("key")).alias("idempotency_key"), "outcome", "scan_id", F.when(good, named(F.col("request"))).alias("request_digest"), F.when(good, named(F.col("input"))).alias("input_digest"), F.when(made, "queued").alias("state"), F.when(made, F.concat(F.lit("object://sha256/"), F.lower(F.hex("input")))).alias("payload_ref"))
 
 
 def text_at(value: Column, path: str) -> Column:

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import json
 import re
-from functools import partial
+from functools import partial, reduce
+from operator import add, and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ ARRAY = {"items", "minItems", "maxItems", "uniqueItems"}
 OBJECT = {"properties", "required", "additionalProperties", "propertyNames", "minProperties", "maxProperties"}
 CHOICE = {"oneOf", "anyOf", "allOf", "not"}
 KNOWN = ANNOTATIONS | TEXT | NUMBER | ARRAY | OBJECT | CHOICE | {"type", "const", "enum", "$ref"}
+NAMES = {"pattern": lambda k, x: k.rlike(java_pattern(x)), "minLength": lambda k, x: F.char_length(k) >= x, "maxLength": lambda k, x: F.char_length(k) <= x, "enum": lambda k, x: k.isin(*x), "const": lambda k, x: k == x}  # of propertyNames
 _NUMERIC = ("BIGINT", "DOUBLE", "DECIMAL", "FLOAT")
 
 
@@ -107,6 +109,79 @@ class Schema:
         """
         return let(F.try_parse_json(value), lambda v: F.when(v.isNull(), F.array(F.lit("$:json"))).otherwise(F.array_sort(F.array_distinct(self._broken(self.start, v, ("$",))))))
 
+    def holds(self, v: Column) -> Column:
+        """Whether the variant of a JSON text, a column that is there, has no ``violations``. None are listed: parts are read by their paths, in generated code."""
+        return v.isNotNull() & self._fits(self.start, v, "$")
+
+    def _fits(self, s: dict | bool, v: Column, path: str) -> Column:
+        """Whether what stands at a path of a variant, and is there, has no violations."""
+        if isinstance(s, bool):
+            return F.lit(s)
+        got = lambda kind: F.try_variant_get(v, path, kind)
+        kind = F.schema_of_variant(got("variant"))
+        text, number, as_map, as_list = got("string"), got("double"), got("map<string,variant>"), got("array<variant>")
+        is_text, is_number = kind == "STRING", F.regexp_extract(kind, "^[A-Z]+", 0).isin(*_NUMERIC)
+        good: list[Column] = []
+        bad = lambda when: good.append(~F.coalesce(when, F.lit(False)))
+        if "type" in s:
+            of = {"string": is_text, "number": is_number, "integer": is_number & (number == F.floor(number)), "boolean": kind == "BOOLEAN", "null": kind == "VOID", "object": as_map.isNotNull(), "array": as_list.isNotNull()}
+            bad(~reduce(or_, [of[n] for n in ([s["type"]] if isinstance(s["type"], str) else s["type"])]))
+        for word in ("const", "enum"):
+            if word in s:
+                bad(~self._among([s[word]] if word == "const" else s[word], got("variant"), text, number, is_text, is_number))
+        for word, over in (("pattern", lambda x: ~text.rlike(java_pattern(x))), ("minLength", lambda x: F.char_length(text) < x), ("maxLength", lambda x: F.char_length(text) > x)):
+            if word in s:
+                bad(over(s[word]) if s.get("type") == "string" else is_text & over(s[word]))
+        for word, over in (("minimum", lambda x: number < x), ("maximum", lambda x: number > x), ("exclusiveMinimum", lambda x: number <= x), ("exclusiveMaximum", lambda x: number >= x)):
+            if word in s:
+                bad(is_number & over(float(s[word])))
+        if ARRAY & set(s):
+            for word, over in (("minItems", lambda x: F.size(as_list) < x), ("maxItems", lambda x: F.size(as_list) > x)):
+                if word in s:
+                    bad(as_list.isNotNull() & over(s[word]))
+            if s.get("uniqueItems"):
+                bad(F.size(F.array_distinct(F.transform(as_list, jsonc.canonical_variant))) < F.size(as_list))
+            if "items" in s:
+                bad(~F.forall(as_list, lambda x: self._fits(s["items"], x, "$")))
+        if OBJECT & set(s):
+            self._fits_object(s, v, path, as_map, bad)
+        good += [self._fits(one, v, path) for one in s.get("allOf", ())]
+        if "anyOf" in s:
+            good.append(reduce(or_, [self._fits(one, v, path) for one in s["anyOf"]]))
+        if "oneOf" in s:
+            good.append(reduce(add, [self._fits(one, v, path).cast("int") for one in s["oneOf"]]) == 1)
+        if "not" in s:
+            good.append(~self._fits(s["not"], v, path))
+        return reduce(and_, good, F.lit(True))
+
+    def _fits_object(self, s: dict, v: Column, path: str, m: Column, bad) -> None:
+        """What ``properties`` and the like demand of a node, where it is an object."""
+        keys, known, is_map = F.map_keys(m), s.get("properties", {}), m.isNotNull()
+
+        def inner(name: str) -> tuple[Column, str]:
+            quote = '"' if "'" in name else "'"
+            return (F.try_element_at(m, F.lit(name)), "$") if quote in name or "\\" in name else (v, f"{path}[{quote}{name}{quote}]")
+
+        there = lambda name: F.try_variant_get(*inner(name), "variant").isNotNull()
+        for name in s.get("required", ()):
+            bad(is_map & ~there(name))
+        for word, over in (("minProperties", lambda x: F.size(keys) < x), ("maxProperties", lambda x: F.size(keys) > x)):
+            if word in s:
+                bad(is_map & over(s[word]))
+        more = s.get("additionalProperties")
+        if more is False:
+            bad(is_map & (F.size(keys) > reduce(add, [there(name).cast("int") for name in known], F.lit(0))))
+        elif isinstance(more, dict):
+            rest = F.map_filter(m, lambda k, _: ~k.isin(*known)) if known else m
+            bad(~F.forall(F.map_values(rest), lambda x: self._fits(more, x, "$")))
+        names = s.get("propertyNames", True)
+        if names is not True:
+            for word, ok in NAMES.items():
+                if word in names:
+                    bad(~F.forall(keys, partial(_held, ok, names[word])))
+        for name in sorted(known, key=lambda n: not (isinstance(known[n], dict) and "const" in known[n])):
+            bad(there(name) & ~self._fits(known[name], *inner(name)))
+
     def _broken(self, s: dict | bool, v: Column, path: tuple) -> Column:
         """The violations of a variant that is there."""
         if s is True or s == {}:
@@ -210,7 +285,7 @@ class Schema:
             parts.append(F.flatten(F.transform(other, lambda k: let(F.try_element_at(m, k), lambda x: self._broken(s["additionalProperties"], x, (*path, "['", k, "']"))))))
         if "propertyNames" in s:
             names, good = s["propertyNames"], []
-            for word, ok in (("pattern", lambda k, x: k.rlike(java_pattern(x))), ("minLength", lambda k, x: F.char_length(k) >= x), ("maxLength", lambda k, x: F.char_length(k) <= x), ("enum", lambda k, x: k.isin(*x)), ("const", lambda k, x: k == x)):
+            for word, ok in NAMES.items():
                 if word in names:
                     good.append((ok, names[word]))
             for ok, x in good:

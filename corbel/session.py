@@ -39,8 +39,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
     """``df`` dealt evenly over tasks, four for each core unless told: small files bring few tasks, however much is to be done for a row."""
-    sc = df.sparkSession.sparkContext
-    return df.repartition(tasks or max(4 * sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return df.repartition(tasks or _tasks(df.sparkSession))
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt by the hash of columns, over as many tasks as ``spread`` has: without the sort that an even deal needs to be repeatable."""
+    return df.repartition(_tasks(df.sparkSession), *by)
+
+
+def _tasks(spark: SparkSession) -> int:
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def optional_predicate(column: Column, value: object, make) -> Column:

@@ -1,5 +1,7 @@
 """Work that stays bounded whatever a batch, a key or a group holds."""
 
+import json
+
 import pyarrow as pa
 import pytest
 from hypothesis import given
@@ -91,3 +93,56 @@ def test_references_of_one_name_bring_one_row_an_instrument(spark):
     assert len(held) == 40 and {(r.relationship, r.mapping_confidence, r.mapping_basis) for r in held} == {("holding", 0.588, "base_asset")}
     seen = portfolio.impacts(refs, some, spark.createDataFrame([], "asset string"), spark.createDataFrame([("b",)], "instrument string")).collect()
     assert len(seen) == 40 and {(r.relationship, r.mapping_confidence, r.mapping_basis) for r in seen} == {("watchlist", 0.588, "base_asset")}
+
+
+def test_a_contract_holds_where_nothing_speaks_against_it(spark):
+    import random
+
+    from corbel.operators import contracts
+    from corbel.operators.schema import Schema
+
+    rng = random.Random(7)
+    ids = "_" + "0" * 26
+    good = {
+        "schema_version": "1.0", "request_id": "req" + ids, "workspace_id": "ws" + ids, "submitted_at": "2024-01-01T00:00:00Z", "idempotency_key": "key-0001", "provenance": {"source_class": "primary", "submitted_by": "me"},
+        "input": {"kind": "text", "text": "t", "media_type": "text/plain"}, "extensions": {"a.b": 1},
+    }
+    inputs = [good["input"], {"kind": "url", "url": "https://a"}, {"kind": "upload", "upload_id": "up" + ids, "media_type": "x", "size_bytes": 5.0, "digest": "sha256:" + "a" * 64}, {"kind": "text"}, {"kind": "other"}, "text", [], None]
+    odd = [None, 1, 1.5, "", "x", True, [], {}, ["a", "a"], {"a'b": 1}]
+    bodies = [json.dumps(good | {"input": i}) for i in inputs]
+    for _ in range(300):
+        body = json.loads(json.dumps(good | {"input": rng.choice(inputs)}))
+        for _ in range(rng.randrange(1, 3)):
+            at = rng.choice([body, *(x for x in body.values() if isinstance(x, dict))])
+            key = rng.choice([*at, "more", "a.b"])
+            at[key] = rng.choice(odd)
+            if rng.random() < 0.3:
+                del at[key]
+        bodies.append(json.dumps(body))
+    bodies += ['{"a":1,"a":2}', "nope", "null", "5", "[]", None]
+    other = Schema({
+        "type": ["object", "array", "string", "null"], "properties": {"a'b": {"type": "number", "exclusiveMinimum": 1}, 'q"': {"const": 1}, "n": {"anyOf": [{"type": "integer", "maximum": 3}, {"minLength": 2}]}, "l": {"items": {"type": "string", "pattern": "^a$"}, "minItems": 1, "maxItems": 2, "uniqueItems": True}, "o": {"enum": [1, "x", None, [1]]}, "never": False},
+        "additionalProperties": {"not": {"type": "boolean"}}, "minProperties": 1, "maxProperties": 4, "items": {"type": "integer"},
+    })
+    values = [{"a'b": 1}, {"a'b": 2}, {'q"': 1.0}, {'q"': 2}, {"n": 3}, {"n": 4}, {"n": "a"}, {"n": "ab"}, {"n": True}, {"l": []}, {"l": ["a"]}, {"l": ["a", "a"]}, {"l": ["b"]}, {"l": 5}, {"o": None}, {"o": [1]}, {"o": 2}, {"never": 1}, {"z": True}, {"z": 1}, {}, {"a": 1, "b": 2, "c": 3, "d": 4, "e": 5}, [1, 2.0], [1.5], None, "s", 5, True]
+    for schema, texts in ((contracts.contract("ingestionRequest"), bodies), (other, [json.dumps(v) for v in values])):
+        df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("v", F.try_parse_json("t"))
+        rows = df.select("t", (F.size(schema.violations(F.col("t"))) == 0).alias("want"), F.coalesce(schema.holds(F.col("v")), F.lit(False)).alias("got")).collect()
+        assert {r.want for r in rows} == {True, False} and [r.t for r in rows if r.want != r.got] == []
+
+
+def test_requests_are_read_once(spark):
+    from corbel.operators import intake
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    ids = "_" + "0" * 26
+    body = F.concat(F.lit('{"schema_version":"1.0","request_id":"req' + ids + '","workspace_id":"ws' + ids + '","submitted_at":"2024-01-01T00:00:00Z","idempotency_key":"key-0000'), F.col("id") % 10, F.lit('","provenance":{"source_class":"primary","submitted_by":"me"},"input":{"kind":"url","url":"https://a"},"extensions":{}}'))
+    requests = spark.range(100).mapInArrow(seen, "id long").select(F.col("id").alias("position"), F.when(F.col("id") % 20 == 19, "{}").otherwise(body).alias("body"))
+    got = intake.accept(requests, spark.createDataFrame([], "idempotency_key string, request_digest string, scan_id string"), "ws" + ids).collect()
+    assert sorted(r.outcome for r in got) == ["INVALID"] * 5 + ["created"] * 10 + ["replay"] * 85 and read.value == 100
