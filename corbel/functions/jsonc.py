@@ -26,8 +26,8 @@ def _shortest(d: Column) -> Column:
     plain = d.cast("string")
     digits = F.char_length(F.regexp_replace(plain, "E.*|[.]|^0[.]0*", ""))
     tried = lambda ps: F.coalesce(F.get(F.filter(F.array(*(F.format_string(f"%.{p}e", d) for p in ps)), lambda t: t.cast("double") == d), 0), plain)
-    # of 16 and 17 digits one or two may be too many; what is next to nothing has fewer than Java's two
-    return F.upper(F.when(d < 1e-300, tried(range(17))).when(digits > 15, tried((14, 15))).otherwise(plain))
+    # of 16 to 18 digits one or two may be too many; what is next to nothing has fewer than Java's two
+    return F.upper(F.when(d < 1e-300, tried(range(17))).when(digits > 15, tried((14, 15, 16))).otherwise(plain))
 
 
 def number(token: Column) -> Column:
@@ -36,8 +36,10 @@ def number(token: Column) -> Column:
     short = let(F.abs(d), lambda a: F.when(a < float("inf"), let(let(_shortest(a), _digits), _laid_out)))
     full = F.when(d == 0, "0").when(d < 0, F.concat(F.lit("-"), short)).otherwise(short)
     cut = F.regexp_replace(token, "[.]?0*$", "")
+    # up to 15 digits in reach of a double are the shortest that give it: only their layout changes
+    moved = F.concat(F.when(F.startswith(token, F.lit("-")), "-").otherwise(""), let(_digits(F.upper(F.ltrim(token, F.lit("-")))), _laid_out))
     # up to 15 digits without an exponent are as they should be, but for zeros at the end of a fraction
-    return F.when(token.rlike("^(0|-?[1-9][0-9]{0,14})$"), token).when(token.rlike("^-?(?:0[.]0{0,5}[1-9]|[1-9][0-9]*[.])[0-9]*$") & (F.char_length(token) <= 16), cut).otherwise(full)
+    return F.when(token.rlike("^(0|-?[1-9][0-9]{0,14})$"), token).when(token.rlike("^-?(?:0[.]0{0,5}[1-9]|[1-9][0-9]*[.])[0-9]*$") & (F.char_length(token) <= 16), cut).when(token.rlike("^-?(?=[0-9.]{1,16}[eE])[0-9]*[.]?0*[1-9][0-9]*[eE][-+]?[0-9]{1,2}$|^-?(?=[0-9.]{1,16}[eE])0*[1-9][0-9]*[.][0-9]*[eE][-+]?[0-9]{1,2}$"), moved).otherwise(full)
 
 
 def _digits(s: Column) -> Column:
@@ -92,20 +94,26 @@ def _by_locale(v: Column, levels: int) -> Column:
         return F.when(entries.isNotNull() | items.isNotNull(), F.raise_error(F.lit("canonical JSON: too many levels"))).otherwise(F.to_json(v))
     order = lambda a, b: F.when(F.collate(a["key"], "en") < F.collate(b["key"], "en"), -1).when(F.collate(a["key"], "en") > F.collate(b["key"], "en"), 1).otherwise(0)
     name = lambda key: F.when(key.isNotNull(), F.concat(F.regexp_extract(F.to_json(F.struct(key.alias("k"))), r'(?s)^\{"k":(.*)\}$', 1), F.lit(":"))).otherwise("")
-    each = F.coalesce(F.array_sort(F.map_entries(entries), order), F.arrays_zip(F.transform(items, lambda _: F.lit(None).cast("string")).alias("key"), items.alias("value")))
-    texts = F.array_join(F.transform(each, lambda e: F.concat(name(e["key"]), _by_locale(e["value"], levels - 1))), ",")
-    end = lambda object_, array: F.when(entries.isNotNull(), object_).otherwise(array)
-    return F.when(entries.isNotNull() | items.isNotNull(), F.concat(end("{", "["), texts, end("}", "]"))).otherwise(F.to_json(v))
+
+    def of(m: Column) -> Column:
+        """Of the map that an object is, null for other values."""
+        each = F.when(m.isNotNull(), F.array_sort(F.map_entries(m), order)).otherwise(F.transform(items, lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value"))))
+        texts = F.array_join(F.transform(each, lambda e: F.concat(name(e["key"]), _by_locale(e["value"], levels - 1))), ",")
+        end = lambda object_, array: F.when(m.isNotNull(), object_).otherwise(array)
+        return F.coalesce(F.concat(end("{", "["), texts, end("}", "]")), F.to_json(v))
+
+    return let(entries, of)
 
 
 def canonical(value: Column, order: str = "utf16", levels: int = LEVELS, parsed: Column | None = None) -> Column:
     """The canonical text of a JSON text. ``order`` of keys: ``utf16``, or ``locale`` for English collation, up to ``levels`` nested levels (more raise an error). ``parsed``: its variant, if it is there already."""
     if order not in ("utf16", "locale"):
         raise ValueError(order)
-    v = F.try_parse_json(value) if parsed is None else parsed
+    if parsed is None:
+        return let(F.try_parse_json(value), lambda v: canonical(value, order, levels, v))
     # a variant makes a number beyond a double infinite, and then a string; what looks like one stands after a sign of JSON, unlike the digits of digests
     beyond = lambda c: F.contains(c, F.lit("Infinity")) & value.rlike("(?:^|[\\[:,\\s])-?[0-9.]*?(?:[0-9][eE][+]?[0-9]{3}|[0-9]{300})") & normalized(value).isNull()
-    text = F.to_json(v) if order == "utf16" else F.when(v.isNotNull(), _by_locale(v, levels))
+    text = F.to_json(parsed) if order == "utf16" else F.when(parsed.isNotNull(), _by_locale(parsed, levels))
     return let(text, lambda c: F.when(~F.coalesce(beyond(c), F.lit(False)), normalized(c)))
 
 

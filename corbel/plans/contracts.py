@@ -102,10 +102,11 @@ def canonical_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = _join('{ "z":[', k, ".0,", k, "e2, -0.0,", d, "e21,0.", d, "00,", d, 'e-7, true,null], "B":"', F.col("event_type"), '\\u000b\\/ \\"1.0\\"", "b":', F.col("value"), ',"A1":{}, "a_b":{"\\ud83d\\ude00":1,"\\uff5e":2.50},"\\u00e9":123456789012345680000}')
     two = _join('{"A1":{},"a_b":{"～":25e-1,"😀":1.0},"b":', F.col("value"), ',"z":[', k * 1, ",", k * 100, ",0,", d, "000000000000000000000,0.", d, ",0.0000001e0,true,null", '],"B":"', F.col("event_type"), '\\u000B/ \\"1.0\\"","é":1.2345678901234568e20}')
     rows = spread(table(spark, sf_dir, "events").select("event_id", "event_type", "value")).select("event_id", one.alias("one"), two.alias("two"))
-    rows = rows.select("event_id", jsonc.canonical(F.col("one")).alias("utf16"), jsonc.canonical(F.col("one"), "locale", 3).alias("locale"), jsonc.canonical(F.col("two")).alias("other"))
-    each = F.array(*(F.struct(F.lit(name).alias("form"), F.col(order).alias("text")) for name, order in jsonc.FORMS.items()))
-    rows = rows.select("event_id", F.col("utf16").eqNullSafe(F.col("other")).alias("agrees"), F.inline_outer(each))
-    return rows.select("event_id", "form", "text", jsonc.digest(F.col("text")).alias("digest"), "agrees")
+    rows = rows.withColumns({"v": F.try_parse_json("one"), "w": F.try_parse_json("two")})
+    rows = rows.select("event_id", jsonc.canonical(F.col("one"), parsed=F.col("v")).alias("utf16"), jsonc.canonical(F.col("one"), "locale", 3, F.col("v")).alias("locale"), jsonc.canonical(F.col("two"), parsed=F.col("w")).alias("other"))
+    rows = rows.select("event_id", *(F.struct(F.col(order).alias("text"), jsonc.digest(F.col(order)).alias("digest")).alias(order) for order in ("utf16", "locale")), F.col("utf16").eqNullSafe(F.col("other")).alias("agrees"))
+    each = F.array(*(F.struct(F.lit(name).alias("form"), F.col(f"{order}.text").alias("text"), F.col(f"{order}.digest").alias("digest")) for name, order in jsonc.FORMS.items()))
+    return rows.select("event_id", F.inline_outer(each), "agrees")
 
 
 _FORM = {

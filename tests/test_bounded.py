@@ -146,3 +146,39 @@ def test_requests_are_read_once(spark):
     requests = spark.range(100).mapInArrow(seen, "id long").select(F.col("id").alias("position"), F.when(F.col("id") % 20 == 19, "{}").otherwise(body).alias("body"))
     got = intake.accept(requests, spark.createDataFrame([], "idempotency_key string, request_digest string, scan_id string"), "ws" + ids).collect()
     assert sorted(r.outcome for r in got) == ["INVALID"] * 5 + ["created"] * 10 + ["replay"] * 85 and read.value == 100
+
+
+def test_numbers_in_reach_change_their_layout_alone(spark):
+    import random
+
+    from corbel.functions import jsonc
+
+    rng = random.Random(5)
+    tokens = ["1.0E21", "5.0E-7", "1e0", "12.50E-3", "0.0E5", "-0.0E-2", "-1.25e+20", "100E2", "0.001E3", "1e99", "9.99999999999999E-99", "123456789012345E6", "1234567890123456E6", "0.000000000000001E-5", "1.0e300", "5e-324", "10.0"]
+    tokens += [f"{rng.choice(['', '-'])}{rng.randrange(10 ** rng.randrange(1, 10))}.{rng.randrange(10 ** rng.randrange(1, 9))}{rng.choice('eE')}{rng.choice(['', '+', '-'])}{rng.randrange(100)}" for _ in range(2_000)]
+    tokens += [repr(rng.uniform(-1, 1) * 10.0 ** rng.randrange(-40, 40)) for _ in range(500)]
+
+    def shortest(x):
+        """As ECMAScript writes it, from Python's shortest digits."""
+        if x == 0:
+            return "0"
+        sign = "-" * (x < 0)
+        mantissa, e = next((m, e) for p in range(17) for m, e in [format(abs(x), f".{p}e").split("e")] if float(f"{m}e{e}") == abs(x))
+        d, n = mantissa.replace(".", "").rstrip("0"), int(e) + 1
+        if len(d) <= n <= 21:
+            return sign + d.ljust(n, "0")
+        if 0 < n <= 21:
+            return sign + d[:n] + "." + d[n:]
+        if -6 < n <= 0:
+            return sign + "0." + "0" * -n + d
+        return f"{sign}{d[0]}{'.' * (len(d) > 1)}{d[1:]}e{'+' if n > 0 else '-'}{abs(n - 1)}"
+
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", jsonc.number(F.col("t")).alias("n")).collect()
+    assert [(r.t, r.n, shortest(float(r.t))) for r in got if r.n != shortest(float(r.t))] == []
+
+
+def test_both_orders_of_keys_parse_a_text_once(spark):
+    from corbel.plans import contracts as plans
+
+    plan = plans.canonical_forms(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") == 2
