@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space as ECMAScript's \s has it: fixed values.
-ECMA_SPACE = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+"
+_SPACES = "\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
+ECMA_SPACE = f"[{_SPACES}]+"
+_NOT_A_BLANK = f"[{_SPACES}]{{2,}}|[{_SPACES}&&[^ ]]"  # runs other than one blank
 ZERO_WIDTH = "[\\u200b-\\u200d\\ufeff]"
 # Patterns of likely secrets: a private key block, an assignment to a credential's name, a live payment key. Fixed values.
 SECRETS = (
@@ -61,7 +63,7 @@ def source_span(runs: Column, start: Column, end: Column) -> Column:
 
 def collapse_space(text: Column) -> Column:
     """ECMAScript white space collapsed to blanks, none at the ends."""
-    return F.trim(F.regexp_replace(text, ECMA_SPACE, " "))
+    return F.trim(F.regexp_replace(text, _NOT_A_BLANK, " "))
 
 
 def strip_invisible(text: Column) -> Column:

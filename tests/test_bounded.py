@@ -182,3 +182,36 @@ def test_both_orders_of_keys_parse_a_text_once(spark):
 
     plan = plans.canonical_forms(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("parsejson") == 2
+
+
+def test_collapsed_space_leaves_single_blanks_where_they_are(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab  \t\n\x0b   ﻿​\u0085") for _ in range(rng.randrange(14))) for _ in range(500)] + ["x " * 100_000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(T.collapse_space(F.col("t")).alias("got"), F.trim(F.regexp_replace("t", T.ECMA_SPACE, " ")).alias("want"))
+    assert [r for r in df.collect() if r.got != r.want] == []
+
+
+def test_records_are_listed_once_whatever_comes_of_them(spark):
+    from corbel.operators import representation
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    fields = F.transform(F.sequence(F.lit(1), F.when(F.col("id") % 5 == 0, 40).otherwise(3)), lambda i: F.struct(i.cast("string").alias("id"), F.when(F.col("id") % 2 == 0, "The  letteré").otherwise("the letter the l").alias("content")))
+    records = spark.range(20).mapInArrow(seen, "id long").select("id", fields.alias("fields"))
+    rules = (detect.Rule("letter-phrase", "the l", "TOOL_COERCION", "low", "review"), detect.Rule("other", "the letter", "TOOL_COERCION", "low", "review"))
+    listed = representation.representations(records, "id", "fields")
+    got = listed.select("id", "outcome", F.inline_outer(representation.counts(rules))).collect()
+    assert read.value == 20 and {(r.id % 5 == 0, r.outcome) for r in got} == {(True, "too_many_fields"), (False, "ok")}
+    want = {tuple(r) for r in representation.scan(listed, rules, "id").groupBy("id", "kind", "rule_id").agg(F.count("*").alias("n")).collect()}
+    summed = {}
+    for r in got:
+        if r.outcome == "ok":
+            summed[r.id, r.kind, r.rule_id] = summed.get((r.id, r.kind, r.rule_id), 0) + r.n
+    assert {(*k, n) for k, n in summed.items()} == want and {r.rule_id for r in got} == {"letter-phrase", "other", None}
